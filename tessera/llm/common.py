@@ -54,3 +54,33 @@ def free_names(df: DataFrame, names: list[str]) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def map_text(df: DataFrame, text_col: str, outputs: dict[str, str], make, also: list[str] = ()) -> DataFrame:
+    """``df`` with new columns that Python makes of a text column, Arrow batch by Arrow batch.
+
+    ``make()`` runs once a task and returns a function from a list of texts (null: empty) and one list for each
+    column of ``also`` to one list for each entry of ``outputs`` (name: type). Columns of ``df`` with the
+    outputs' names are replaced.
+    """
+    import pyarrow as pa
+
+    types = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary(), "boolean": pa.bool_()}
+    named = {x.lower() for x in outputs}
+    keep = [c for c in df.columns if c.lower() not in named]
+    extra = free_names(df, [f"map_{i}" for i in range(1 + len(also))])
+    plain = df.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias(extra[0]), *[F.col(c).alias(e) for c, e in zip(also, extra[1:], strict=True)])
+    schema = df.select(*keep).schema
+    for name, kind in outputs.items():
+        schema = schema.add(name, kind)
+    width, names, kinds, many = len(keep), [*keep, *outputs], [types[k] for k in outputs.values()], 1 + len(also)
+
+    def run(batches):
+        function = make()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = function(*[batch.column(width + i).to_pylist() for i in range(many)])
+            yield pa.RecordBatch.from_arrays([batch.column(j) for j in range(width)] + [pa.array(x, k) for x, k in zip(new, kinds, strict=True)], names)
+
+    return plain.mapInArrow(run, schema)

@@ -1,9 +1,11 @@
 """The registered queries of the corpus operators, over whole tables."""
 
-from . import exact_dedup, line_dedup
+from . import exact_dedup, line_dedup, media, quality
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.query,
+    "op7_quality": quality.query,
+    "op9_media": media.query,
     "op10_line_dedup": line_dedup.query,
 }
 ORACLE = {
