@@ -56,7 +56,7 @@ def free_names(df: DataFrame, names: list[str]) -> list[str]:
     return out
 
 
-def map_text(df: DataFrame, text_col: str, outputs: dict[str, str], make, also: list[str] = ()) -> DataFrame:
+def map_text(df: DataFrame, text_col, outputs: dict[str, str], make, also: list[str] = ()) -> DataFrame:
     """``df`` with new columns that Python makes of a text column, Arrow batch by Arrow batch.
 
     ``make()`` runs once a task and returns a function from a list of texts (null: empty) and one list for each
@@ -69,7 +69,7 @@ def map_text(df: DataFrame, text_col: str, outputs: dict[str, str], make, also:
     named = {x.lower() for x in outputs}
     keep = [c for c in df.columns if c.lower() not in named]
     extra = free_names(df, [f"map_{i}" for i in range(1 + len(also))])
-    plain = df.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias(extra[0]), *[F.col(c).alias(e) for c, e in zip(also, extra[1:], strict=True)])
+    plain = df.select(*keep, F.coalesce(F.col(text_col) if isinstance(text_col, str) else text_col, F.lit("")).alias(extra[0]), *[F.col(c).alias(e) for c, e in zip(also, extra[1:], strict=True)])
     schema = df.select(*keep).schema
     for name, kind in outputs.items():
         schema = schema.add(name, kind)

@@ -17,7 +17,7 @@ def held_out(id_col: str, modulus: int, rest: int):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % modulus == rest, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, rest: int, max_rows: int, columns: list[str], id_col: str = "doc_id") -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, rest: int, max_rows: int, columns: list[str], id_col: str = "doc_id", shards: int = SHARDS) -> DataFrame:
     """About ``max_rows`` labelled rows at most (by hash of the id), dealt to shards; two labels of one id: the larger."""
     own = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col, modulus, rest))
     own = own.groupBy(F.col(id_col).cast("long").alias("label_id")).agg(F.max(label).cast("int").alias("y"))
@@ -25,7 +25,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     place = F.pmod(F.xxhash64("label_id"), F.lit(1 << 30))
     chosen = own.filter(place < int(share * (1 << 30))).withColumn("place", place)
     rows = docs.select(F.col(id_col).cast("long").alias("label_id"), *columns)
-    rows = rows.join(F.broadcast(chosen), "label_id").withColumn("shard", (F.col("place") % SHARDS).cast("int"))
+    rows = rows.join(F.broadcast(chosen), "label_id").withColumn("shard", (F.col("place") % shards).cast("int"))
     return stage(rows.drop("label_id"), "labelled")
 
 
@@ -56,6 +56,7 @@ def fit(sample: DataFrame, start: dict[str, np.ndarray], rounds: int, epoch) ->
     for turn in range(rounds):
         sent = sc.broadcast(state)
         parts = sample.groupBy("shard").applyInPandas(_turn(sent, turn, epoch), "shard int, name string, place binary, move binary").orderBy("shard", "name").collect()
+        sent.unpersist()
         sums = {k: (np.zeros(v.size), np.zeros(v.size, np.int32)) for k, v in state.items()}
         for part in parts:
             at = np.frombuffer(part["place"], np.int32)
@@ -64,5 +65,5 @@ def fit(sample: DataFrame, start: dict[str, np.ndarray], rounds: int, epoch) ->
             count[at] += 1
         # the mean over the shards that moved a coordinate: rare features keep their step
         state = {k: (v.ravel() + sums[k][0] / np.maximum(1, sums[k][1])).astype(v.dtype).reshape(v.shape) for k, v in state.items()}
-        sent.unpersist()
+        del parts
     return state

@@ -10,7 +10,7 @@ from .common import map_text
 from .fitting import fit, held_out, labelled_sample
 from .words import WORD, word_hashes
 
-BITS, FACTORS = 17, 8
+BITS, FACTORS = 15, 8
 #: The bound of the labelled sample that is learned from, and the held-out quarter.
 MAX_ROWS, MODULUS, REST = 16_000, 4, 2
 THRESHOLD = 0.7
@@ -102,7 +102,7 @@ def score_quality(docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "
     """``docs`` with ``held_out``, ``score`` and ``predicted`` (1 from 0.7 on).
 
     Null texts are scored as empty ones, a null stated length has a slot of its own. The model is broadcast:
-    a fixed 5 MB. An empty table gives an empty one; columns with the results' names are replaced.
+    a fixed 1.2 MB. An empty table gives an empty one; columns with the results' names are replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -1,10 +1,14 @@
 """The registered queries of the corpus operators, over whole tables."""
 
-from . import exact_dedup, line_dedup, media, quality
+from . import byte_bpe, exact_dedup, line_dedup, media, packing, quality, token_files, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.query,
     "op2_exact_dedup": exact_dedup.query,
+    "op5_token_files": token_files.query,
+    "op6_byte_bpe": byte_bpe.query,
     "op7_quality": quality.query,
+    "op8_packing": packing.query,
     "op9_media": media.query,
     "op10_line_dedup": line_dedup.query,
 }

@@ -12,9 +12,9 @@ from .words import K1, K3, WORD, mix, word_hashes
 
 BITS = 20
 #: The bound of the labelled sample that is learned from, and the held-out third.
-MAX_ROWS, MODULUS, REST = 24_000, 3, 1
+MAX_ROWS, MODULUS, REST = 12_000, 3, 1
 THRESHOLD = 0.7
-ROUNDS, ALPHA, BETA, L1, L2 = 4, 0.3, 1.0, 1.0, 0.1
+EPOCHS, ALPHA, BETA, L1, L2 = 3, 2.0, 1.0, 12.0, 0.1
 POSITIVE_WEIGHT = 2.0
 
 
@@ -34,10 +34,10 @@ def _probability(logit: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(logit, -35, 35))))
 
 
-def _epoch(rows, state, turn):
+def _epochs(rows, state, turn):
     z, n = state["z"], state["n"]
-    for text, y in zip(rows["t"], rows["y"], strict=True):
-        at = features(text or "")
+    known = [features(text or "").astype(np.int32) for text in rows["t"]]
+    for at, y in list(zip(known, rows["y"].tolist(), strict=True)) * EPOCHS:
         w = _weights(z[at], n[at])
         g = (_probability(w.sum()) - y) * (POSITIVE_WEIGHT if y else 1.0)
         root = np.sqrt(n[at])
@@ -46,9 +46,12 @@ def _epoch(rows, state, turn):
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """Slots and weights that are not zero, learned from at most about MAX_ROWS labelled rows outside the held-out third."""
-    sample = labelled_sample(docs.withColumn("t", F.col(text_col)), labels, "toxic", MODULUS, REST, MAX_ROWS, ["t"], id_col)
-    state = fit(sample, {"z": np.zeros(1 << BITS, np.float64), "n": np.zeros(1 << BITS, np.float64)}, ROUNDS, _epoch)
+    """Slots and weights that are not zero, learned from at most about MAX_ROWS labelled rows outside the held-out third.
+
+    Online learning is sequential, so the bounded sample is one shard, gone over EPOCHS times.
+    """
+    sample = labelled_sample(docs.withColumn("t", F.col(text_col)), labels, "toxic", MODULUS, REST, MAX_ROWS, ["t"], id_col, shards=1)
+    state = fit(sample, {"z": np.zeros(1 << BITS, np.float64), "n": np.zeros(1 << BITS, np.float64)}, 1, _epochs)
     w = _weights(state["z"], state["n"])
     slots = np.flatnonzero(w)
     return slots.astype(np.int32), w[slots].astype(np.float32)
