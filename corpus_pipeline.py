@@ -1,11 +1,58 @@
-"""The corpus pipeline; its stages follow with their operators."""
+"""The corpus pipeline: toxicity, quality, line dedup, near duplicates, packing; each stage on all that the one before kept."""
 
-STAGES = []
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import common, line_dedup, ngram_join, packing, quality, toxicity
+
+#: No SQL says what the fitted classifiers, the tokenizer and the packing plan decide.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, function in STAGES:
-        docs = function(spark, docs, sf_dir)
-    return docs
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model (1) does not mark; it is fitted on labelled rows of ``docs``."""
+    model = toxicity.train(docs, common.labels(spark, sf_dir))
+    return toxicity.score_toxicity(docs, model).filter("predicted = 0").select(*docs.columns)
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality model (7) accepts; it is fitted on labelled rows of ``docs``."""
+    model = quality.train(docs, common.labels(spark, sf_dir))
+    return quality.score_quality(docs, model).filter("predicted = 1").select(*docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that line dedup (10) takes; ``n_chars`` follows the text."""
+    out = line_dedup.line_dedup(docs)
+    return out.withColumns({"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest id of each component of the n-gram join (4); documents without an id stay."""
+    kept = ngram_join.ngram_components(docs).filter("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of best-fit packed sequences (8)."""
+    return packing.pack_documents(docs, public_tokenizers.path(packing.VOCABULARY))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality", drop_low_quality),
+    ("line_dedup", drop_repeated_lines),
+    ("ngram_join", drop_near_copies),
+    ("packing", pack),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; between them the documents are written and read again."""
+    docs = common.documents(spark, sf_dir)
+    for name, function in STAGES[:-1]:
+        docs = common.stage(function(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

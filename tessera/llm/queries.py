@@ -1,10 +1,12 @@
 """The registered queries of the corpus operators, over whole tables."""
 
-from . import byte_bpe, exact_dedup, line_dedup, media, packing, quality, token_files, toxicity
+from . import byte_bpe, chat, exact_dedup, line_dedup, media, ngram_join, packing, quality, token_files, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
     "op2_exact_dedup": exact_dedup.query,
+    "op3_chat": chat.query,
+    "op4_ngram_join": ngram_join.query,
     "op5_token_files": token_files.query,
     "op6_byte_bpe": byte_bpe.query,
     "op7_quality": quality.query,
@@ -14,5 +16,7 @@ QUERIES = {
 }
 ORACLE = {
     "op2_exact_dedup": exact_dedup.ORACLE,
+    "op3_chat": chat.ORACLE,
+    "op4_ngram_join": ngram_join.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
 }
