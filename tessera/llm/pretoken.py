@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import chain
 
 import numpy as np
 
@@ -16,10 +15,7 @@ ENDINGS = "'(?:s|t|re|ve|m|ll|d)"
 
 SPACED = re.compile(rf"{ENDINGS}| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACE}{LETTERS}{NUMBERS}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 UNSPACED = re.compile(rf"{ENDINGS}|[{LETTERS}]+|[{NUMBERS}]|[^{SPACE}{LETTERS}{NUMBERS}]+")
-_AWKWARD = re.compile(f" [{SPACE}]| $")
-_CONTROLS = re.compile("[\x1c-\x1f]")
-
-PIECES, WORDS, CHUNK = 200_000, 300_000, 1 << 20
+WORDS, CHUNK = 800_000, 1 << 20
 
 
 def _latin(text: str) -> bool:
@@ -33,61 +29,45 @@ def _latin(text: str) -> bool:
 class PartEncoder:
     """Ids of texts as little-endian bytes (``width`` each).
 
-    ``encode_words`` gives the ids of a list of pre-tokens, ``encode_text`` those of one text. Latin-1 texts are
-    cut at spaces; a piece not yet known is cut by the tokenizer's own pattern into pre-tokens, and only those not
-    yet known are encoded. Other texts are encoded whole. Both memos are bounded.
+    ``encode_words`` gives the ids of a list of pre-tokens, ``encode_text`` those of one text. Latin-1 texts are cut
+    into pre-tokens by the tokenizer's own pattern, and only those not yet known are encoded; the memo is bounded.
+    Other texts are encoded whole.
     """
 
     def __init__(self, encode_words, encode_text, spaced: bool, width: int = 2):
         self.encode_words, self.encode_text, self.spaced = encode_words, encode_text, spaced
         self.kind = np.dtype("<u2" if width == 2 else "<u4")
-        self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
     def _split(self, text: str) -> list[str] | None:
-        """The pieces of a text, or None where it has to be encoded whole."""
+        """The pre-tokens of a text, or None where it has to be encoded whole."""
         if not _latin(text):
             return None
-        if self.spaced:
-            if _AWKWARD.search(text):
-                return SPACED.findall(text)
-            first, *rest = text.split(" ")
-            return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
-        if _CONTROLS.search(text):
-            return None
-        return text.lower().split()
+        return SPACED.findall(text) if self.spaced else UNSPACED.findall(text.lower())
 
-    def _learn(self, missing: set[str]) -> None:
-        pattern = SPACED if self.spaced else UNSPACED
-        cut = {p: pattern.findall(p) for p in missing}
-        new = list(set(chain.from_iterable(cut.values())) - self.words.keys())
-        for word, ids in zip(new, self.encode_words(new), strict=True):
+    def _learn(self, missing: list[str]) -> None:
+        for word, ids in zip(missing, self.encode_words(missing), strict=True):
             self.words[word] = np.asarray(ids, self.kind).tobytes()
-        get = self.words.__getitem__
-        for piece, words in cut.items():
-            self.pieces[piece] = b"".join(map(get, words))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         at = 0
         while at < len(texts):
-            some, size = [], 0
+            some, size, missing = [], 0, set()
+            if len(self.words) > WORDS:
+                self.words.clear()
             while at < len(texts) and (not some or size < CHUNK):
                 some.append(self._split(texts[at]))
+                missing |= set(some[-1] or ()).difference(self.words)
                 size += len(texts[at])
                 at += 1
-            wanted = set().union(*[x for x in some if x is not None])
-            if len(self.words) > WORDS:
-                self.words.clear()
-            if len(self.pieces) > PIECES:
-                self.pieces.clear()
-            self._learn(wanted - self.pieces.keys())
-            get = self.pieces.__getitem__
-            for i, pieces in enumerate(some, at - len(some)):
-                if pieces is None:
+            self._learn(list(missing))
+            get = self.words.__getitem__
+            for i, words in enumerate(some, at - len(some)):
+                if words is None:
                     out.append(np.asarray(self.encode_text(texts[i]), self.kind).tobytes())
                 else:
-                    out.append(b"".join(map(get, pieces)))
+                    out.append(b"".join(map(get, words)))
         return out
 
 
