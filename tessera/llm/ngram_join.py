@@ -271,8 +271,9 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return stage(rows.mapInArrow(_verify, "a long, b long"), "links")
 
 
-def _near(n: str, other: str):
-    return 100 * F.least(n, other) >= PERCENT * F.greatest(n, other)
+def _reach(n: str, other: str, most) -> "F.Column":
+    """Whether sets of these sizes can link when they share ``most`` shingles at most."""
+    return (100 + PERCENT) * most >= PERCENT * (F.col(n) + F.col(other))
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -280,7 +281,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Equal sets are one class from the start and met once a task. 1. Shingles are counted by shard and each set
     gets its shared ones in global order, rarest first. 2. Sets with a common minimum hash are tested against
-    the smallest of them; that joins most near copies without all their pairs. 3. Sets of different components
+    the one of them with the least of its own, an original rather than a copy; that joins most near copies without
+    all their pairs. 3. Sets of different components
     that share a shingle of both prefixes (no link can miss that) are tested. Tests go through prefix trees.
 
     Null and empty texts, and texts of white space, have an empty set and stand alone. A null id takes part in
@@ -295,25 +297,23 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     members = table.filter("kind = 0").select("doc_id", "n", "set_id")
     sets = table.filter("kind = 3")
 
-    stars = sets.select("set_id", "n", F.explode("mins").alias("least"))
-    centers = stage(stars.groupBy("least").agg(F.min(F.struct("set_id", "n")).alias("c"), F.count("*").alias("k")).filter("k > 1"), "centers")
-    near = stars.join(centers, "least").filter("set_id <> c.set_id").filter(_near("n", "c.n"))
+    stars = sets.select("set_id", "n", "m", F.explode("mins").alias("least"))
+    best = F.struct(((F.col("n") - F.col("m")) / F.col("n")).alias("own"), "set_id", "n", "m")
+    centers = stage(stars.groupBy("least").agg(F.min(best).alias("c"), F.count("*").alias("k")).filter("k > 1"), "centers")
+    near = stars.join(centers, "least").filter("set_id <> c.set_id").filter(_reach("n", "c.n", F.least("m", "c.m")))
     links = _linked(near.select(F.col("c.set_id").alias("a"), F.col("set_id").alias("b")).distinct(), sets)
 
     comps = connected_components(links)
-    placed = sets.join(comps, sets.set_id == comps.node, "left").select(
-        "set_id", "n", (F.col("n") - F.col("m")).alias("own"), F.coalesce("comp", "set_id").alias("comp"), "prefix")
-    prefixes = stage(placed.select("set_id", "n", "comp", "own", F.posexplode("prefix").alias("pos", "token")), "prefixes")
+    placed = sets.join(comps, sets.set_id == comps.node, "left").select("set_id", "n", "m", F.coalesce("comp", "set_id").alias("comp"), "prefix")
+    prefixes = stage(placed.select("set_id", "n", "m", "comp", F.posexplode("prefix").alias("pos", "token")), "prefixes")
     bridges = prefixes.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token")
-    across = stage(prefixes.join(bridges, "token").withColumn("pos", F.col("pos") + F.col("own")), "bridges")
-    left = across.select("token", *[F.col(c).alias(c + "_a") for c in ("set_id", "n", "comp", "pos")])
-    right = across.select("token", *[F.col(c).alias(c + "_b") for c in ("set_id", "n", "comp", "pos")])
-    reach = 1 + F.least(F.col("n_a") - F.col("pos_a") - 1, F.col("n_b") - F.col("pos_b") - 1)
+    across = stage(prefixes.join(bridges, "token"), "bridges")
+    left, right = [across.select("token", *[F.col(c).alias(c + end) for c in ("set_id", "n", "m", "comp", "pos")]) for end in ("_a", "_b")]
+    most = F.least("pos_a", "pos_b") + 1 + F.least(F.col("m_a") - F.col("pos_a") - 1, F.col("m_b") - F.col("pos_b") - 1)
     pairs = (
         left.join(right, "token")
         .filter("set_id_a < set_id_b AND comp_a <> comp_b")
-        .filter(_near("n_a", "n_b"))
-        .filter((F.least("pos_a", "pos_b") + reach) * (100 + PERCENT) >= PERCENT * (F.col("n_a") + F.col("n_b")))
+        .filter(_reach("n_a", "n_b", most))
         .select(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b"))
         .distinct()
     )
