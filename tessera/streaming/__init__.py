@@ -1,0 +1 @@
+"""Structured Streaming twins of the polling loops."""
