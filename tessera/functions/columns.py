@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BY_CODE = Window.partitionBy("code").orderBy("date")
-BY_DATE = Window.partitionBy("date")
+
+def by_code():
+    """A code's rows by date. Windows are made when they are asked for: that needs a session, importing does not."""
+    return Window.partitionBy("code").orderBy("date")
+
+
+def by_date():
+    return Window.partitionBy("date")
 
 
 def col(x) -> Column:
@@ -18,28 +24,28 @@ def div(a, b) -> Column:
     return col(a) / F.nullif(col(b), F.lit(0.0))
 
 
-def roll(function, x, n: int, least: int | None = None, window=BY_CODE) -> Column:
+def roll(function, x, n: int, least: int | None = None, window=None) -> Column:
     """``function`` over the last ``n`` rows of a code, null with fewer than ``least`` (``n``) values."""
-    last = window.rowsBetween(1 - n, 0)
+    last = (window or by_code()).rowsBetween(1 - n, 0)
     return F.when(F.count(col(x)).over(last) >= (n if least is None else least), function(col(x)).over(last))
 
 
-def lag(x, k: int = 1, window=BY_CODE) -> Column:
-    return F.lag(col(x), k).over(window)
+def lag(x, k: int = 1, window=None) -> Column:
+    return F.lag(col(x), k).over(window or by_code())
 
 
-def pct_change(x, k: int = 1, window=BY_CODE) -> Column:
+def pct_change(x, k: int = 1, window=None) -> Column:
     return div(x, lag(x, k, window)) - 1
 
 
-def running_max(x, window=BY_CODE) -> Column:
-    return F.max(col(x)).over(window.rowsBetween(Window.unboundedPreceding, 0))
+def running_max(x, window=None) -> Column:
+    return F.max(col(x)).over((window or by_code()).rowsBetween(Window.unboundedPreceding, 0))
 
 
-def ewm(x, decay: float, n: int = 250, window=BY_CODE) -> Column:
+def ewm(x, decay: float, n: int = 250, window=None) -> Column:
     """Exponentially weighted mean with weights adjusted to sum to one over the last ``n`` rows; nulls are skipped."""
     start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w"))
-    values = F.collect_list(col(x)).over(window.rowsBetween(1 - n, 0))
+    values = F.collect_list(col(x)).over((window or by_code()).rowsBetween(1 - n, 0))
     done = F.aggregate(values, start, lambda a, v: F.struct((a["s"] * decay + v).alias("s"), (a["w"] * decay + 1.0).alias("w")))
     return div(done["s"], done["w"])
 
@@ -50,15 +56,15 @@ def clip(x, low, high) -> Column:
     return F.when(x.isNotNull(), F.least(F.greatest(x, col(low) if isinstance(low, str) else F.lit(low) if not isinstance(low, Column) else low), high if isinstance(high, Column) else F.lit(high)))
 
 
-def winsorize(x, low: float = 0.01, high: float = 0.99, window=BY_DATE) -> Column:
+def winsorize(x, low: float = 0.01, high: float = 0.99, window=None) -> Column:
     x = col(x)
-    bounds = F.percentile(x, F.array(F.lit(low), F.lit(high))).over(window)
+    bounds = F.percentile(x, F.array(F.lit(low), F.lit(high))).over(window or by_date())
     return F.when(x.isNotNull(), F.least(F.greatest(x, bounds[0]), bounds[1]))
 
 
-def zscore(x, window=BY_DATE) -> Column:
+def zscore(x, window=None) -> Column:
     """Population deviation with 1e-12 added."""
-    x = col(x)
+    x, window = col(x), window or by_date()
     return (x - F.avg(x).over(window)) / (F.stddev_pop(x).over(window) + 1e-12)
 
 

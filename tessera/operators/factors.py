@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import BY_CODE, div, lag, pct_change, roll
+from tessera.functions.columns import div, lag, pct_change, roll
 
 #: Code prefixes and the daily price limits of their boards.
 BOARD_20, BOARD_30 = ("300", "301", "688"), ("8", "4", "92")
@@ -107,4 +107,4 @@ def padded(panel: DataFrame, names: list[str], first: str) -> DataFrame:
     return panel.filter(F.col("date") >= F.date_sub(F.to_date(F.lit(first)), days))
 
 
-__all__ = ["BY_CODE", "FactorSpec", "PRICE_FACTORS", "REGISTRY", "SNAPSHOT_FACTORS", "compute_factors", "limit_down", "limit_up", "padded", "price_limit"]
+__all__ = ["FactorSpec", "PRICE_FACTORS", "REGISTRY", "SNAPSHOT_FACTORS", "compute_factors", "limit_down", "limit_up", "padded", "price_limit"]

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import BY_CODE, div, ewm, lag, roll
+from tessera.functions.columns import by_code, div, ewm, lag, roll
 
 
 def indicators(bars: DataFrame) -> DataFrame:
     """Moving averages, RSI(14) on simple means, MACD(12,26,9), KDJ(9,3,3) and the volume ratio; rows before the 20th of a code are left out."""
     x = bars.withColumns({
-        "ma5": roll(F.avg, "close", 5), "ma20": roll(F.avg, "close", 20), "_d": F.col("close") - lag("close"), "_n": F.row_number().over(BY_CODE),
+        "ma5": roll(F.avg, "close", 5), "ma20": roll(F.avg, "close", 20), "_d": F.col("close") - lag("close"), "_n": F.row_number().over(by_code()),
         "_e12": ewm("close", 1 - 2 / 13), "_e26": ewm("close", 1 - 2 / 27), "_lo": roll(F.min, "low", 9), "_hi": roll(F.max, "high", 9),
         "vol_ratio": div("volume", roll(F.avg, "volume", 5)),
     })

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import BY_CODE, pct_change, roll
+from tessera.functions.columns import by_code, pct_change, roll
 from tessera.operators import backtest as bt
 from tessera.operators import models
 
@@ -100,7 +100,7 @@ regimes AS (SELECT date, close, CASE WHEN n < 60 THEN 'transition' WHEN close >
 def regimes(index):
     """Rule labels of an index (code, date, close): windows instead of a rescan for each day."""
     x = index.withColumn("r", pct_change("close"))
-    x = x.withColumns({"ma20": F.avg("close").over(BY_CODE.rowsBetween(-19, 0)), "ma60": F.avg("close").over(BY_CODE.rowsBetween(-59, 0)), "n": F.count("*").over(BY_CODE.rowsBetween(-59, 0)), "vol": F.stddev_samp("r").over(BY_CODE.rowsBetween(-19, 0)) * F.sqrt(F.lit(252.0))})
+    x = x.withColumns({"ma20": F.avg("close").over(by_code().rowsBetween(-19, 0)), "ma60": F.avg("close").over(by_code().rowsBetween(-59, 0)), "n": F.count("*").over(by_code().rowsBetween(-59, 0)), "vol": F.stddev_samp("r").over(by_code().rowsBetween(-19, 0)) * F.sqrt(F.lit(252.0))})
     c, slow, fast = F.col("close"), F.col("ma60"), F.col("ma20")
     label = (F.when(F.col("n") < 60, "transition")
              .when((c > 1.05 * slow) & (fast > slow), F.when(F.coalesce("vol", F.lit(0.0)) >= 0.2, "bull_high_vol").otherwise("bull"))
@@ -146,7 +146,7 @@ def m15(spark, sf_dir):
 def m10(spark, sf_dir):
     """Rolling refits (windows of 250, step 100) against realized volatility."""
     r = p.index_series(spark, sf_dir).withColumn("code", F.lit("index")).withColumn("r", pct_change("close")).filter("r is not null")
-    r = r.withColumn("i", F.row_number().over(BY_CODE).cast("long"))
+    r = r.withColumn("i", F.row_number().over(by_code()).cast("long"))
     windows = r.withColumn("window_id", F.explode(F.sequence(F.greatest(F.ceil((F.col("i") - 250) / 100), F.lit(0)), F.floor((F.col("i") - 1) / 100)))).groupBy("window_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "r"))), lambda s: s["r"]).alias("returns"))
     fitted = models.rolling_garch(windows.filter(F.size("returns") == 250).repartition("window_id"))
     nxt = r.select(((F.col("i") - 251) / 100).alias("window_id"), F.abs("r").alias("realized"))
