@@ -289,7 +289,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     links but names no component unless it stands alone (then null). Repeated rows are documents of their own.
     Shingles are 64-bit hashes, compared by 40 bits within a shard.
     """
-    shards = max(12, docs.rdd.getNumPartitions())
+    # a shard is held in memory: about a third of an input partition's shingles
+    shards = max(12, 3 * docs.rdd.getNumPartitions())
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     scattered = rows.mapInArrow(_scatter(shards), _ROW)
     shared = scattered.groupBy("shard").applyInArrow(_shared(shards), _ROW)
