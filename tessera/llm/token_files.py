@@ -85,7 +85,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, id_col: str =
     empty, null ids come first, rows with one id follow by content. An empty table gives files without blocks.
     """
     spark = docs.sparkSession
-    encoded = stage(encode_documents(docs, vocabulary, id_col, text_col), "token-ids")
+    encoded = stage(encode_documents(docs, vocabulary, id_col, text_col), "token-ids", "zstd")
     counts = encoded.select("ids").mapInArrow(_counts, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
     ranked = [r["id"] for r in sorted(counts.collect(), key=lambda r: (-r["n"], r["id"]))]
     spark.createDataFrame([(np.asarray(ranked, "<u4").tobytes(),)], "ids binary").write.parquet(f"{path}/ranks")
