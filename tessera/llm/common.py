@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_own_dir: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
@@ -16,8 +19,10 @@ def shared_dir(spark: SparkSession) -> str:
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not _own_dir:
+            _own_dir.append("file://" + tempfile.mkdtemp(prefix="spark-"))
+            spark.sparkContext.setCheckpointDir(_own_dir[0])
+        path = _own_dir[0]
     return path.rstrip("/")
 
 
