@@ -145,7 +145,11 @@ def _shared(shards: int):
             ids, sizes, of, keys, _ = _gather(blobs)
             if len(ids) >= 1 << _SET_BITS:
                 raise ValueError("too many sets in one shard: deal to more shards")
-            both = np.unique(keys << np.uint64(_SET_BITS) | of.astype(np.uint64))
+            keys <<= np.uint64(_SET_BITS)
+            keys |= of.astype(np.uint64)
+            keys.sort()
+            both = keys[np.append(True, keys[1:] != keys[:-1])]
+            del keys, of
             keys, of = both >> np.uint64(_SET_BITS), (both & np.uint64((1 << _SET_BITS) - 1)).astype(np.int64)
             first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
             count = np.repeat(np.diff(np.append(first, len(keys))), np.diff(np.append(first, len(keys))))
@@ -289,8 +293,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     links but names no component unless it stands alone (then null). Repeated rows are documents of their own.
     Shingles are 64-bit hashes, compared by 40 bits within a shard.
     """
-    # a shard is held in memory: about a third of an input partition's shingles
-    shards = max(12, 3 * docs.rdd.getNumPartitions())
+    # a shard is held in memory: about two thirds of an input partition's shingles
+    shards = max(12, 3 * docs.rdd.getNumPartitions() // 2)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     scattered = rows.mapInArrow(_scatter(shards), _ROW)
     shared = scattered.groupBy("shard").applyInArrow(_shared(shards), _ROW)
