@@ -50,7 +50,10 @@ def g4(spark, sf_dir):
 def _scored(spark, sf_dir):
     x = signals.indicators(full_bars(spark, sf_dir).withColumn("_c", F.lit(0)))
     w = Window.partitionBy("code").orderBy("date")
-    return x.withColumn("dd20", F.lit(0.0)).withColumn("last", F.row_number().over(Window.partitionBy("code").orderBy(F.desc("date")))).withColumn("prev", F.lag("close").over(w))
+    closes = F.collect_list("close").over(w.rowsBetween(-19, 0))
+    start = F.struct(F.lit(0.0).alias("peak"), F.lit(0.0).alias("dd"))
+    fall = lambda a, c: F.struct(F.greatest(a["peak"], c).alias("peak"), F.least(a["dd"], c / F.nullif(F.greatest(a["peak"], c), F.lit(0.0)) - 1).alias("dd"))
+    return x.withColumn("dd20", F.aggregate(closes, start, fall)["dd"]).withColumn("last", F.row_number().over(Window.partitionBy("code").orderBy(F.desc("date")))).withColumn("prev", F.lag("close").over(w))
 
 
 @query("g7_rule_score")
