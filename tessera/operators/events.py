@@ -8,37 +8,46 @@ from pyspark.sql import functions as F
 from tessera.functions.columns import normal_cdf
 
 
-def event_study(events: DataFrame, returns: DataFrame, market: DataFrame, est: tuple[int, int] = (-120, -36), win: tuple[int, int] = (-5, 20), least_obs: int = 30, least_codes: int = 50, per_day: int | None = None) -> DataFrame:
-    """Mean abnormal return of each event and day: ``event_id``, ``rel_day``, ``aar``, ``codes``.
+def day_study(days: DataFrame, returns: DataFrame, market: DataFrame, est: tuple[int, int] = (-120, -36), win: tuple[int, int] = (-5, 20), least_obs: int = 30, least_codes: int = 50, per_day: int | None = None) -> DataFrame:
+    """Mean abnormal return around each event day: ``t0_idx``, ``rel_day``, ``aar``, ``codes``.
 
-    ``events`` (event_id, t0_idx) is small and broadcast; ``returns`` (code, cal_idx, r) is filtered to the windows before
-    it is grouped. A code counts with ``least_obs`` days to estimate on and every day of the window (or ``per_day`` of them).
+    The model depends on an event's day alone, so it runs once for each distinct ``t0_idx`` of ``days``. These and the days
+    around them are bounded by the calendar and broadcast; ``returns`` (code, cal_idx, r) is filtered by them before it is
+    grouped. A code counts with ``least_obs`` days to estimate on and every day of the window (or ``per_day`` of them).
     """
-    x = returns.join(market.select("cal_idx", F.col("r").alias("m")), "cal_idx")
-    near = F.broadcast(events.select("event_id", "t0_idx"))
-    rel = F.col("cal_idx") - F.col("t0_idx")
-    placed = x.join(near, (F.col("cal_idx") >= F.col("t0_idx") + est[0]) & (F.col("cal_idx") <= F.col("t0_idx") + win[1])).withColumn("rel_day", rel)
+    x = returns.join(F.broadcast(market.select("cal_idx", F.col("r").alias("m"))), "cal_idx")
+    rel = (F.col("cal_idx") - F.col("t0_idx")).alias("rel_day")
+
+    def placed(lo: int, hi: int) -> DataFrame:
+        near = days.select("t0_idx").distinct().select("t0_idx", F.explode(F.sequence(F.col("t0_idx") + lo, F.col("t0_idx") + hi)).alias("cal_idx"))
+        return x.join(F.broadcast(near), "cal_idx").select("t0_idx", "code", "r", "m", rel)
+
     inside = F.col("rel_day").between(*est)
     y, m = F.when(inside, F.col("r")), F.when(inside & F.col("r").isNotNull(), F.col("m"))
     need = per_day or win[1] - win[0] + 1
     n, var = F.count(y), F.var_pop(m)
-    fit = placed.groupBy("event_id", "code").agg(n.alias("n"), F.avg(y).alias("my"), F.avg(m).alias("mm"), var.alias("v"), F.covar_pop(m, y).alias("c"), F.count_if(F.col("rel_day").between(*win) & F.col("r").isNotNull()).alias("days"))
+    fit = placed(est[0], win[1]).groupBy("t0_idx", "code").agg(n.alias("n"), F.avg(y).alias("my"), F.avg(m).alias("mm"), var.alias("v"), F.covar_pop(m, y).alias("c"), F.count_if(F.col("rel_day").between(*win) & F.col("r").isNotNull()).alias("days"))
     fit = fit.filter((F.col("n") >= least_obs) & (F.col("days") >= need)).withColumn("beta", F.when(F.col("v") > 1e-12, F.col("c") / F.nullif("v", F.lit(0.0))).otherwise(0.0))
     fit = fit.withColumn("alpha", F.col("my") - F.col("beta") * F.col("mm"))
-    ar = placed.filter(F.col("rel_day").between(*win)).join(fit.select("event_id", "code", "alpha", "beta"), ["event_id", "code"]).withColumn("ar", F.col("r") - F.col("alpha") - F.col("beta") * F.col("m"))
-    return ar.groupBy("event_id", "rel_day").agg(F.avg("ar").alias("aar"), F.count("ar").alias("codes")).filter(F.col("codes") >= least_codes)
+    ar = placed(*win).join(fit.select("t0_idx", "code", "alpha", "beta"), ["t0_idx", "code"]).withColumn("ar", F.col("r") - F.col("alpha") - F.col("beta") * F.col("m"))
+    return ar.groupBy("t0_idx", "rel_day").agg(F.avg("ar").alias("aar"), F.count("ar").alias("codes")).filter(F.col("codes") >= least_codes)
+
+
+def event_study(events: DataFrame, study: DataFrame) -> DataFrame:
+    """Rows of a ``day_study`` (or of its ``car_tests``) for each event (event_id, t0_idx); the study is the bounded side."""
+    return events.join(F.broadcast(study), "t0_idx")
 
 
-def car_tests(aar: DataFrame, windows: list[tuple[int, int]], direction: Column) -> DataFrame:
-    """``car``, ``t_ref`` (sum over the error of the mean), ``t_std`` and p by direction, for each event and window with all its days."""
+def car_tests(aar: DataFrame, windows: list[tuple[int, int]], direction: Column, key: str = "event_id") -> DataFrame:
+    """``car``, ``t_ref`` (sum over the error of the mean), ``t_std`` and p by direction, for each ``key`` and window with all its days."""
     w = F.explode(F.array(*[F.struct(F.lit(a).alias("lo"), F.lit(b).alias("hi")) for a, b in windows])).alias("w")
     x = aar.select("*", w).filter(F.col("rel_day").between(F.col("w.lo"), F.col("w.hi")))
     s = F.nullif(F.stddev_samp("aar"), F.lit(0.0))
-    g = x.groupBy("event_id", "w").agg(F.sum("aar").alias("car"), F.count("*").alias("n"), F.coalesce(F.sum("aar") / (s / F.sqrt(F.count("*"))), F.lit(0.0)).alias("t_ref"), F.coalesce(F.sum("aar") / (s * F.sqrt(F.count("*"))), F.lit(0.0)).alias("t_std"))
+    g = x.groupBy(key, "w").agg(F.sum("aar").alias("car"), F.count("*").alias("n"), F.coalesce(F.sum("aar") / (s / F.sqrt(F.count("*"))), F.lit(0.0)).alias("t_ref"), F.coalesce(F.sum("aar") / (s * F.sqrt(F.count("*"))), F.lit(0.0)).alias("t_std"))
     g = g.filter(F.col("n") == F.col("w.hi") - F.col("w.lo") + 1)
     cdf = normal_cdf("t_ref")
     p = F.when(direction == "negative", cdf).when(direction == "mixed", 2 * (1 - normal_cdf(F.abs("t_ref")))).otherwise(1 - cdf)
-    return g.select("event_id", F.col("w.lo").alias("lo"), F.col("w.hi").alias("hi"), "car", "t_ref", "t_std", p.alias("p"))
+    return g.select(key, F.col("w.lo").alias("lo"), F.col("w.hi").alias("hi"), "car", "t_ref", "t_std", p.alias("p"))
 
 
 def benjamini_hochberg(df: DataFrame, by: list[str], p: str, tie: str) -> DataFrame:
@@ -49,6 +58,14 @@ def benjamini_hochberg(df: DataFrame, by: list[str], p: str, tie: str) -> DataFr
     return x.withColumn("p_adj", F.least(F.min("_q").over(down), F.lit(1.0))).drop("_q")
 
 
+def benjamini_hochberg_counted(df: DataFrame, by: list[str], p: str, tie: str, count: str) -> DataFrame:
+    """``benjamini_hochberg`` of rows that each stand for ``count`` tests with the same p: ranks are running counts."""
+    up = Window.partitionBy(*by).orderBy(p, tie).rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*by).orderBy(F.desc(p), F.desc(tie)).rowsBetween(Window.unboundedPreceding, 0)
+    x = df.withColumn("_q", F.col(p) * F.sum(count).over(Window.partitionBy(*by)) / F.sum(count).over(up))
+    return x.withColumn("p_adj", F.least(F.min("_q").over(down), F.lit(1.0))).drop("_q")
+
+
 def decide(cars: DataFrame, by: str, least: int = 5, consistent: float = 0.6, alpha: float = 0.05) -> DataFrame:
     """Mean, median and deviation of cars by type, share in the expected (positive) direction, share significant, decision."""
     a = cars.groupBy(by).agg(F.count("*").alias("n_events"), F.avg("car").alias("mean_car"), F.median("car").alias("median_car"), F.coalesce(F.stddev_samp("car"), F.lit(0.0)).alias("std_car"),
