@@ -34,10 +34,9 @@ rec AS (SELECT code, date, i, close AS s12, 1.0::DOUBLE AS w12, close AS s26, 1.
 
 @query("g3_w8_macd_line", with_(BARS, _EWM) + f"SELECT code, date, {q.rnd('s12 / w12 - s26 / w26', 5)} AS dif FROM rec WHERE i BETWEEN 20 AND 200")
 def g3(spark, sf_dir):
-    """Difference of the 12- and 26-day exponential means, each code's first 200 bars."""
-    b = full_bars(spark, sf_dir)
-    x = signals.indicators(b.withColumn("i", F.row_number().over(Window.partitionBy("code").orderBy("date"))))
-    return x.filter("i <= 200").select("code", "date", rnd("dif", 5).alias("dif"))
+    """Difference of the 12- and 26-day exponential means, from each code's 20th bar on."""
+    x = signals.indicators(full_bars(spark, sf_dir))
+    return x.select("code", "date", rnd("dif", 5).alias("dif"))
 
 
 @query("g3_g4_macd_kdj")

@@ -37,3 +37,24 @@ def test_counted_adjustment(spark):
     want = {(r.kind, r.t): r.p_adj for r in ev.benjamini_hochberg(single, ["kind"], "p", "id").collect()}
     for r in ev.benjamini_hochberg_counted(counted, ["kind"], "p", "t", "n").collect():
         assert abs(r.p_adj - want[r.kind, r.t]) < 1e-12
+
+
+def test_macd_line_of_whole_series(spark, duck):
+    """Each code's bars from the 20th to the last, by the recursion; the registered SQL on the bars that it keeps."""
+    bars = duck.execute(with_(BARS) + "SELECT code, date, close FROM bars ORDER BY code, date").fetchdf()
+    want, first = {}, set()
+    for code, part in bars.groupby("code"):
+        s12 = w12 = s26 = w26 = 0.0
+        for i, (date, close) in enumerate(zip(part.date, part.close, strict=True), 1):
+            s12, w12, s26, w26 = s12 * 11 / 13 + close, w12 * 11 / 13 + 1, s26 * 25 / 27 + close, w26 * 25 / 27 + 1
+            if i >= 20:
+                want[code, str(date)[:10]] = s12 / w12 - s26 / w26
+            if i <= 200:
+                first.add((code, str(date)[:10]))
+    frame = registry.QUERIES["g3_w8_macd_line"](spark, SF).toPandas()
+    keys = list(zip(frame.code, frame.date.astype(str), strict=True))
+    assert sorted(keys) == sorted(want)
+    assert len(want) > len(first)
+    for key, dif in zip(keys, frame.dif, strict=True):
+        assert abs(dif - want[key]) < 1e-5
+    same_rows(frame[[k in first for k in keys]], duck.execute(registry.ORACLE["g3_w8_macd_line"]).fetchdf())
