@@ -31,11 +31,13 @@ class PartEncoder:
 
     ``encode_words`` gives the ids of a list of pre-tokens, ``encode_text`` those of one text. Latin-1 texts are cut
     into pre-tokens by the tokenizer's own pattern, and only those not yet known are encoded; the memo is bounded.
-    Other texts are encoded whole.
+    Other texts are encoded whole, and so are those that hold one of the strings ``added``, in any case: the tokenizer
+    takes these out before it splits.
     """
 
-    def __init__(self, encode_words, encode_text, spaced: bool, width: int = 2):
+    def __init__(self, encode_words, encode_text, spaced: bool, width: int = 2, added: tuple[str, ...] = ()):
         self.encode_words, self.encode_text, self.spaced = encode_words, encode_text, spaced
+        self.added = tuple(a.lower() for a in added)
         self.kind = np.dtype("<u2" if width == 2 else "<u4")
         self.words: dict[str, bytes] = {}
 
@@ -43,7 +45,10 @@ class PartEncoder:
         """The pre-tokens of a text, or None where it has to be encoded whole."""
         if not _latin(text):
             return None
-        return SPACED.findall(text) if self.spaced else UNSPACED.findall(text.lower())
+        low = text.lower()
+        if any(a in low for a in self.added):
+            return None
+        return SPACED.findall(text) if self.spaced else UNSPACED.findall(low)
 
     def _learn(self, missing: list[str]) -> None:
         for word, ids in zip(missing, self.encode_words(missing), strict=True):
@@ -75,18 +80,18 @@ _encoders: dict[str, PartEncoder] = {}
 
 
 def library_encoder(path: str, spaced: bool) -> PartEncoder:
-    """Ids by the tokenizers library; special tokens' strings are ordinary text. One a Python worker and file."""
+    """Ids by the tokenizers library with its own settings: an added token's string gives its id. One a Python worker and file."""
     if path not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
         width = 2 if t.get_vocab_size() <= 1 << 16 else 4
         _encoders[path] = PartEncoder(
             lambda words: [e.ids for e in t.encode_batch_fast(words, add_special_tokens=False)],
             lambda text: t.encode(text, add_special_tokens=False).ids,
             spaced,
             width,
+            tuple(a.content for a in t.get_added_tokens_decoder().values()),
         )
     return _encoders[path]
