@@ -170,24 +170,39 @@ def rolling_garch(windows: DataFrame) -> DataFrame:
 # ---- regimes ----
 
 
-def two_state_hmm(x: np.ndarray, restarts: int = 5, rounds: int = 60, tau: float = 0.6) -> np.ndarray:
-    """Most probable state (0: the one of higher mean return) of each row, from fixed Gaussian emissions and re-estimated transitions."""
+def two_clusters(x: np.ndarray, seed: int) -> np.ndarray:
+    """Label (0 or 1) of each row by k-means from two seeded rows, the second drawn by squared distance."""
+    rng = np.random.default_rng(seed)
+    a = x[rng.integers(len(x))]
+    d = ((x - a) ** 2).sum(1)
+    centers = np.stack([a, x[rng.choice(len(x), p=d / d.sum())] if d.sum() > 0 else a])
+    for _ in range(20):
+        label = ((x[:, None] - centers) ** 2).sum(2).argmin(1)
+        centers = np.stack([x[label == k].mean(0) if (label == k).any() else centers[k] for k in (0, 1)])
+    return label
+
+
+def two_state_hmm(x: np.ndarray, restarts: int = 5, rounds: int = 120, tau: float = 0.6) -> np.ndarray | None:
+    """Most probable state (0: the one of lower mean return) of each row, from fixed Gaussian emissions and re-estimated transitions.
+
+    None where no restart gives each state a share of 0.05 at least.
+    """
     x = (x - x.mean(0)) / (x.std(0) + 1e-12)
-    best = (-np.inf, np.zeros(len(x), int))
-    prior = np.array([[0.95, 0.05], [0.05, 0.95]])
+    best, states = -np.inf, None
+    prior = np.array([[0.9, 0.1], [0.1, 0.9]])
     for seed in range(restarts):
-        rng = np.random.default_rng(seed)
-        a = x[rng.integers(len(x))]
-        d = ((x - a) ** 2).sum(1)
-        b = x[rng.choice(len(x), p=d / d.sum())] if d.sum() > 0 else a
-        centers = np.stack([a, b])
-        for _ in range(20):
-            label = ((x[:, None] - centers) ** 2).sum(2).argmin(1)
-            centers = np.stack([x[label == k].mean(0) if (label == k).any() else centers[k] for k in (0, 1)])
-        var = np.stack([x[label == k].var(0) + 1e-3 if (label == k).sum() > 1 else np.ones(x.shape[1]) for k in (0, 1)])
-        logp = -0.5 * (((x[:, None] - centers) ** 2 / var) + np.log(2 * np.pi * var)).sum(2)
+        label = two_clusters(x, seed)
+        if label.min() == label.max():
+            continue
+        means = np.stack([x[label == k].mean(0) for k in (0, 1)])
+        var = np.stack([x[label == k].var(0) + 1e-3 for k in (0, 1)])
+        logp = -0.5 * (((x[:, None] - means) ** 2 / var) + np.log(2 * np.pi * var)).sum(2)
         like = np.exp(logp - logp.max(1, keepdims=True))
-        trans, start = prior.copy(), np.array([0.5, 0.5])
+        trans = np.ones((2, 2))
+        np.add.at(trans, (label[:-1], label[1:]), 1)
+        trans /= trans.sum(1, keepdims=True)
+        start = np.array([(label == k).mean() for k in (0, 1)]) + 1e-6
+        start /= start.sum()
         for _ in range(rounds):
             alpha, scale = np.empty_like(like), np.empty(len(x))
             v = start * like[0]
@@ -198,32 +213,30 @@ def two_state_hmm(x: np.ndarray, restarts: int = 5, rounds: int = 60, tau: float
             beta = np.ones_like(like)
             for i in range(len(x) - 2, -1, -1):
                 beta[i] = trans @ (like[i + 1] * beta[i + 1]) / scale[i + 1]
-            pairs = (alpha[:-1, :, None] * trans * (like[1:] * beta[1:] / scale[1:, None])[:, None, :]).sum(0)
-            new = tau * prior + (1 - tau) * pairs / np.maximum(pairs.sum(1, keepdims=True), 1e-300)
-            new = np.clip(new, 0.01, 0.99)
-            new /= new.sum(1, keepdims=True)
-            done = np.abs(new - trans).max() < 1e-6
-            trans = new
-            if done:
+            gamma = alpha * beta
+            gamma /= gamma.sum(1, keepdims=True)
+            if gamma.sum(0).min() < 1e-6:
                 break
-        gamma = alpha * beta
-        states = gamma.argmax(1)
-        share, score = states.mean(), float(np.log(scale).sum() + logp.max(1).sum())
-        if 0.05 <= share <= 0.95 and score > best[0]:
-            if x[states == 1, 0].mean() > x[states == 0, 0].mean():
+            trans = gamma[:-1].T @ gamma[1:] / np.maximum(gamma[:-1].sum(0)[:, None], 1e-12)  # as the reference: no pairwise term
+            trans = np.clip(tau * trans + (1 - tau) * prior, 0.05, 0.95)
+            trans /= trans.sum(1, keepdims=True)
+            start = gamma[0]
+        share, score = gamma.mean(0), float(np.log(scale).sum() + logp.max(1).sum())
+        if share.min() >= 0.05 and score > best:
+            best, states = score, gamma.argmax(1)
+            if means[0, 0] > means[1, 0]:
                 states = 1 - states
-            best = (score, states)
-    return best[1]
+    return states
 
 
 def hmm_labels(features: DataFrame, by: str, order: str, columns: list[str]) -> DataFrame:
-    """State of each row of each series (one index a group); rows with nulls are left out."""
+    """State of each row of each series (one index a group); rows with nulls, and series of under 120 rows or without two states, are left out."""
 
     def label(part: pd.DataFrame) -> pd.DataFrame:
         part = part.dropna().sort_values(order)
         out = part[[by, order]].copy()
-        out["state"] = two_state_hmm(part[columns].to_numpy(float)) if len(part) > 10 else 0
-        return out
+        states = two_state_hmm(part[columns].to_numpy(float)) if len(part) >= 120 else None
+        return out.assign(state=states) if states is not None else out.iloc[:0].assign(state=0)
 
     schema = f"{by} {features.schema[by].dataType.simpleString()}, {order} {features.schema[order].dataType.simpleString()}, state int"
     return features.select(by, order, *columns).groupBy(by).applyInPandas(label, schema)

@@ -138,7 +138,7 @@ def m15(spark, sf_dir):
     f = x.withColumns({"vol20": roll(F.stddev_samp, "ret", 20), "ma60": roll(F.avg, "close", 60)}).withColumn("gap", F.col("close") / F.nullif("ma60", F.lit(0.0)) - 1)
     states = models.hmm_labels(f, "code", "date", ["ret", "vol20", "gap"])
     both = states.join(f.select("code", "date", "gap"), ["code", "date"])
-    label = F.when((F.col("state") == 0) & (F.col("gap") > 0.02), "bull").when((F.col("state") == 1) & (F.col("gap") < -0.02), "bear").when(F.abs("gap") < 0.05, "range").otherwise("transition")
+    label = F.when((F.col("state") == 1) & (F.col("gap") > 0.02), "bull").when((F.col("state") == 0) & (F.col("gap") < -0.02), "bear").when(F.abs("gap") < 0.05, "range").otherwise("transition")
     return both.select("date", F.col("state").cast("long").alias("state"), label.alias("hmm"))
 
 
