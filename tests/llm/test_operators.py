@@ -97,8 +97,50 @@ def test_ngram_join(spark, awkward, nothing):
     assert sorted([tuple(r) for r in ngram_join.ngram_components(docs).collect()], key=str) == jaccard_components(docs.collect())
 
 
-def test_tree_join_finds_all():
-    rng = np.random.default_rng(5)
+def near_sets(seed, families, copies, lowest, highest):
+    """Texts of families of near copies, the more edited the further down, with a passage that all share."""
+    rng, words = random.Random(seed), [f"v{i}" for i in range(3000)]
+    passage, texts = " ".join(rng.choices(words, k=12)), []
+    for _ in range(families):
+        base = rng.choices(words, k=rng.randint(lowest, highest))
+        for k in range(copies):
+            copy = list(base)
+            for _ in range(k // 6):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            texts.append(passage + " " + " ".join(copy[: len(copy) - k % 5]))
+    return texts
+
+
+def test_ngram_join_in_many_trees(spark, monkeypatch):
+    """Groups dealt to many trees and many shards lose no link."""
+    docs = spark.createDataFrame(list(enumerate(near_sets(11, 5, 40, 60, 90))), "doc_id long, text string")
+    want = jaccard_components(docs.collect())
+    assert len({x[2] for x in want}) > 10
+    monkeypatch.setattr(ngram_join, "TREE_SETS", 6)
+    monkeypatch.setattr(ngram_join, "SHARD_BYTES", 500)
+    assert sorted([tuple(r) for r in ngram_join.ngram_components(docs).collect()], key=str) == want
+
+
+def test_bridges_alone_find_all(spark, monkeypatch):
+    """Without the stars, which only spare work, the result is the same."""
+    docs = spark.createDataFrame(list(enumerate(near_sets(12, 4, 30, 30, 60))), "doc_id long, text string")
+    monkeypatch.setattr(ngram_join, "_stars", lambda sets: spark.createDataFrame([], "a long, b long"))
+    assert sorted([tuple(r) for r in ngram_join.ngram_components(docs).collect()], key=str) == jaccard_components(docs.collect())
+
+
+def test_scatter_and_gather_are_lossless():
+    rng = np.random.default_rng(2)
+    for wide in (np.uint16, np.uint32, np.uint64):
+        x = rng.integers(0, np.iinfo(wide).max, 1000, wide)
+        y, z = ngram_join._unpack(ngram_join._pack(x, x[:0]))
+        assert (y == x).all() and len(z) == 0
+    tokens = np.sort(rng.integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2))
+    assert (np.cumsum(ngram_join._steps(tokens)) == tokens).all()
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_prefix_tree_finds_all(seed):
+    rng = np.random.default_rng(seed)
     order = rng.permutation(1000).astype(np.uint64)
     place = {int(t): i for i, t in enumerate(order)}
     base = set(rng.choice(1000, 60, replace=False).tolist())
@@ -106,11 +148,12 @@ def test_tree_join_finds_all():
     def near(k):
         return sorted((base - set(list(base)[:k])) | set(rng.choice(1000, k).tolist()), key=place.get)
 
-    sets = [near(k) for k in range(15) for _ in range(5)]
-    probe = sorted(base, key=place.get)
-    want = [i for i, s in enumerate(sets) if 100 * len(set(s) & base) >= 75 * len(set(s) | base)]
-    got = ngram_join.tree_join((len(probe), np.array(probe, np.uint64)), [(i, len(s), np.array(s, np.uint64)) for i, s in enumerate(sets)])
-    assert sorted(got) == want and want
+    sets = [near(k) for k in range(30) for _ in range(5)]
+    tree = ngram_join.PrefixTree([(len(s), np.array(s, np.uint64)) for s in sets])
+    for probe in (sorted(base, key=place.get), sets[70], sets[-1]):
+        want = [i for i, s in enumerate(sets) if 100 * len(set(s) & set(probe)) >= 75 * len(set(s) | set(probe))]
+        got = tree.linked(len(probe), np.array(probe, np.uint64), np.ones(len(sets), bool))
+        assert sorted(tree.order[i] for i in got) == want and want
 
 
 def test_components(spark):
