@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_text
-from .pretoken import PartEncoder
+from .pretoken import PartEncoder, spaced_split
 from .words import mix
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -119,8 +119,11 @@ class ByteBPE:
         for token, i in self.ranks.items():
             self.by_id[i] = token
         self.decimal = [str(i) for i in range(most + 1)]
-        self._split = regex.compile(pattern).findall
-        self.encoder = PartEncoder(self.encode_words, self.encode_text, spaced=True, width=2 if most < 1 << 16 else 4)
+        matches = regex.compile(pattern).finditer
+        self._split = lambda text: [m.group() for m in matches(text)]
+        # the public pattern has a quicker form for Latin-1 texts
+        split = spaced_split if pattern == public_tokenizers.PATTERN else self._split
+        self.encoder = PartEncoder(self.encode_words, self.encode_text, split, width=2 if most < 1 << 16 else 4)
         self.kind = self.encoder.kind
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
@@ -161,8 +164,13 @@ def decode_bpe(df: DataFrame, vocabulary: str, pattern: str = public_tokenizers.
         token, decimal = bpe.by_id.__getitem__, bpe.decimal.__getitem__
 
         def decode(_, values):
-            ids = [np.frombuffer(x or b"", "<u4").tolist() for x in values]
-            return [[len(x) for x in ids], [" ".join(map(decimal, x)) for x in ids], [b"".join(map(token, x)) for x in ids]]
+            counts, texts, raw = [], [], []
+            for value in values:
+                ids = np.frombuffer(value or b"", "<u4").tolist()
+                counts.append(len(ids))
+                texts.append(" ".join(map(decimal, ids)))
+                raw.append(b"".join(map(token, ids)))
+            return [counts, texts, raw]
 
         return decode
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 _own_dir: list[str] = []
 #: Bytes of an Arrow batch that goes to a Python worker.
 BATCH_BYTES = 8 << 20
+#: Bytes of texts that are Python objects at once.
+SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -68,8 +70,16 @@ def free_names(df: DataFrame, names: list[str]) -> list[str]:
     return out
 
 
+def slices(batch, columns: list[int]):
+    """``batch`` in slices with about SLICE_BYTES of these columns, one row at least: what Python makes of a slice is small."""
+    size = sum(batch.column(i).nbytes for i in columns)
+    step = max(1, batch.num_rows * SLICE_BYTES // max(SLICE_BYTES, size))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
 def map_text(df: DataFrame, text_col, outputs: dict[str, str], make, also: list[str] = ()) -> DataFrame:
-    """``df`` with new columns that Python makes of a text column, Arrow batch by Arrow batch.
+    """``df`` with new columns that Python makes of a text column, slice by slice of Arrow batches.
 
     ``make()`` runs once a task and returns a function from a list of texts (null: empty) and one list for each
     column of ``also`` to one list for each entry of ``outputs`` (name: type). Columns of ``df`` with the
@@ -77,6 +87,7 @@ def map_text(df: DataFrame, text_col, outputs: dict[str, str], make, also: list[
     """
     import pyarrow as pa
 
+    small_batches(df.sparkSession)
     types = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary(), "boolean": pa.bool_()}
     named = {x.lower() for x in outputs}
     keep = [c for c in df.columns if c.lower() not in named]
@@ -90,9 +101,8 @@ def map_text(df: DataFrame, text_col, outputs: dict[str, str], make, also: list[
     def run(batches):
         function = make()
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            new = function(*[batch.column(width + i).to_pylist() for i in range(many)])
-            yield pa.RecordBatch.from_arrays([batch.column(j) for j in range(width)] + [pa.array(x, k) for x, k in zip(new, kinds, strict=True)], names)
+            for part in slices(batch, range(width, width + many)):
+                new = function(*[part.column(width + i).to_pylist() for i in range(many)])
+                yield pa.RecordBatch.from_arrays([part.column(j) for j in range(width)] + [pa.array(x, k) for x, k in zip(new, kinds, strict=True)], names)
 
     return plain.mapInArrow(run, schema)

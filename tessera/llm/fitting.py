@@ -55,10 +55,10 @@ def fit(sample: DataFrame, start: dict[str, np.ndarray], rounds: int, epoch) ->
     state = start
     for turn in range(rounds):
         sent = sc.broadcast(state)
-        parts = sample.groupBy("shard").applyInPandas(_turn(sent, turn, epoch), "shard int, name string, place binary, move binary").orderBy("shard", "name").collect()
+        parts = sample.groupBy("shard").applyInPandas(_turn(sent, turn, epoch), "shard int, name string, place binary, move binary").collect()
         sent.unpersist()
         sums = {k: (np.zeros(v.size), np.zeros(v.size, np.int32)) for k, v in state.items()}
-        for part in parts:
+        for part in sorted(parts, key=lambda r: (r["shard"], r["name"])):
             at = np.frombuffer(part["place"], np.int32)
             total, count = sums[part["name"]]
             total[at] += np.frombuffer(part["move"], np.float32)

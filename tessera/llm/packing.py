@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import slices, small_batches, stage
 from .pretoken import library_encoder
 
 VOCABULARY = "word_bpe_49k.json"
@@ -69,11 +69,11 @@ def plan_slots(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
 
 def _pieces(vocabulary: str, capacity: int):
     def cut(batches):
-        encoder = library_encoder(vocabulary, spaced=False)
+        encoder = library_encoder(vocabulary)
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in batches:
+        for part_of in (x for batch in batches for x in slices(batch, [1])):
             rows = []
-            for key, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
+            for key, ids in zip(part_of.column(0).to_pylist(), encoder.encode(part_of.column(1).to_pylist()), strict=True):
                 ids = np.append(np.frombuffer(ids, encoder.kind).astype("<u4"), np.uint32(END))
                 for k, start in enumerate(range(0, len(ids), capacity)):
                     piece = ids[start : start + capacity]
@@ -94,6 +94,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
     gives an empty one. Pieces are numbered within (task, length) as they are cut, so ranks need only the counts
     of each task and length, and no length is gathered in one place.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     pieces = stage(rows.mapInArrow(_pieces(vocabulary, capacity), _PIECES), "pieces")
     counts = stage(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "piece-counts")
@@ -103,7 +104,8 @@ def pack_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
     sent = docs.sparkSession.sparkContext.broadcast(plan)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = pieces.join(bases, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("place")).alias("rank"))
+    # the counts grow with the number of tasks: never broadcast
+    ranked = pieces.join(bases.hint("merge"), ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("place")).alias("rank"))
 
     def seat(batches):
         runs = sent.value

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from collections.abc import Callable
 
 import numpy as np
 
@@ -12,10 +14,20 @@ LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
 NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
 SPACE = "\t-\r \x85\xa0"
 ENDINGS = "'(?:s|t|re|ve|m|ll|d)"
+#: The settings of a tokenizer file that mean one of the two patterns.
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+WORD_LEVEL = [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    BYTE_LEVEL | {"use_regex": False},
+]
+WORD_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 
-SPACED = re.compile(rf"{ENDINGS}| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACE}{LETTERS}{NUMBERS}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-UNSPACED = re.compile(rf"{ENDINGS}|[{LETTERS}]+|[{NUMBERS}]|[^{SPACE}{LETTERS}{NUMBERS}]+")
-WORDS, CHUNK = 800_000, 1 << 20
+SPACED = re.compile(rf" ?[{LETTERS}]+| ?[{NUMBERS}]+|{ENDINGS}| ?[^{SPACE}{LETTERS}{NUMBERS}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+UNSPACED = re.compile(rf"[{LETTERS}]+|[{NUMBERS}]|{ENDINGS}|[^{SPACE}{LETTERS}{NUMBERS}]+")
+#: Pre-tokens, and their bytes, that a worker's memo holds at most.
+WORDS, WORD_BYTES = 400_000, 32 << 20
+
+Split = Callable[[str], list[str] | None]
 
 
 def _latin(text: str) -> bool:
@@ -26,72 +38,94 @@ def _latin(text: str) -> bool:
     return True
 
 
+def spaced_split(text: str) -> list[str] | None:
+    """Pre-tokens of a Latin-1 text by the byte-level pattern; None for other texts."""
+    return SPACED.findall(text) if _latin(text) else None
+
+
+def word_split(text: str) -> list[str] | None:
+    """Pre-tokens of a Latin-1 text in lower case, white space dropped; None for other texts."""
+    return UNSPACED.findall(text.lower()) if _latin(text) else None
+
+
 class PartEncoder:
     """Ids of texts as little-endian bytes (``width`` each).
 
-    ``encode_words`` gives the ids of a list of pre-tokens, ``encode_text`` those of one text. Latin-1 texts are cut
-    into pre-tokens by the tokenizer's own pattern, and only those not yet known are encoded; the memo is bounded.
-    Other texts are encoded whole, and so are those that hold one of the strings ``added``, in any case: the tokenizer
-    takes these out before it splits.
+    ``split`` cuts a text into pre-tokens, or gives None for a text that has to be encoded whole. ``encode_words`` gives
+    the ids of a list of pre-tokens, ``encode_text`` those of one text. Only pre-tokens not yet known are encoded; the
+    memo is bounded in entries and bytes and ends with the task. Texts that hold one of the strings ``added``, in any
+    case, are encoded whole: the tokenizer takes these out before it splits.
     """
 
-    def __init__(self, encode_words, encode_text, spaced: bool, width: int = 2, added: tuple[str, ...] = ()):
-        self.encode_words, self.encode_text, self.spaced = encode_words, encode_text, spaced
+    def __init__(self, encode_words, encode_text, split: Split, width: int = 2, added: tuple[str, ...] = ()):
+        self.encode_words, self.encode_text, self.split = encode_words, encode_text, split
         self.added = tuple(a.lower() for a in added)
+        # a run of characters without case in each of them: a text without any needs no second look
+        marks = [max(re.findall(r"[^A-Za-z\x80-\U0010ffff]+", a), key=len, default="") for a in added]
+        self.marks = tuple(dict.fromkeys(marks))
         self.kind = np.dtype("<u2" if width == 2 else "<u4")
-        self.words: dict[str, bytes] = {}
-
-    def _split(self, text: str) -> list[str] | None:
-        """The pre-tokens of a text, or None where it has to be encoded whole."""
-        if not _latin(text):
-            return None
-        low = text.lower()
-        if any(a in low for a in self.added):
-            return None
-        return SPACED.findall(text) if self.spaced else UNSPACED.findall(low)
+        self.forget()
 
-    def _learn(self, missing: list[str]) -> None:
+    def forget(self) -> None:
+        self.words: dict[str, bytes] = {}
+        self.held = 0
+
+    def _parts(self, text: str) -> list[str] | None:
+        if any(m in text for m in self.marks):
+            low = text.lower()
+            if any(a in low for a in self.added):
+                return None
+        return self.split(text)
+
+    def _learn(self, words: list[str]) -> None:
+        if len(self.words) > WORDS or self.held > WORD_BYTES:
+            self.forget()
+        missing = list(set(words).difference(self.words))
         for word, ids in zip(missing, self.encode_words(missing), strict=True):
-            self.words[word] = np.asarray(ids, self.kind).tobytes()
+            value = self.words[word] = np.asarray(ids, self.kind).tobytes()
+            self.held += len(word) + len(value)
+
+    def one(self, text: str) -> bytes:
+        words = self._parts(text)
+        if words is None:
+            return np.asarray(self.encode_text(text), self.kind).tobytes()
+        try:
+            return b"".join(map(self.words.__getitem__, words))
+        except KeyError:
+            self._learn(words)
+            return b"".join(map(self.words.__getitem__, words))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        at = 0
-        while at < len(texts):
-            some, size, missing = [], 0, set()
-            if len(self.words) > WORDS:
-                self.words.clear()
-            while at < len(texts) and (not some or size < CHUNK):
-                some.append(self._split(texts[at]))
-                missing |= set(some[-1] or ()).difference(self.words)
-                size += len(texts[at])
-                at += 1
-            self._learn(list(missing))
-            get = self.words.__getitem__
-            for i, words in enumerate(some, at - len(some)):
-                if words is None:
-                    out.append(np.asarray(self.encode_text(texts[i]), self.kind).tobytes())
-                else:
-                    out.append(b"".join(map(get, words)))
-        return out
+        return [self.one(text) for text in texts]
 
 
 _encoders: dict[str, PartEncoder] = {}
 
 
-def library_encoder(path: str, spaced: bool) -> PartEncoder:
+def library_split(settings: dict) -> Split:
+    """How the pre-tokens of a tokenizer file are found; files with other settings have their texts encoded whole."""
+    pre = settings.get("pre_tokenizer") or {}
+    if settings.get("normalizer") is None and pre == BYTE_LEVEL:
+        return spaced_split
+    if (settings.get("normalizer") or {}).get("normalizers") == WORD_NORMAL and pre.get("pretokenizers") == WORD_LEVEL:
+        return word_split
+    return lambda text: None
+
+
+def library_encoder(path: str) -> PartEncoder:
     """Ids by the tokenizers library with its own settings: an added token's string gives its id. One a Python worker and file."""
     if path not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        width = 2 if t.get_vocab_size() <= 1 << 16 else 4
+        with open(path, encoding="utf-8") as file:
+            split = library_split(json.load(file))
         _encoders[path] = PartEncoder(
             lambda words: [e.ids for e in t.encode_batch_fast(words, add_special_tokens=False)],
             lambda text: t.encode(text, add_special_tokens=False).ids,
-            spaced,
-            width,
+            split,
+            2 if t.get_vocab_size() <= 1 << 16 else 4,
             tuple(a.content for a in t.get_added_tokens_decoder().values()),
         )
     return _encoders[path]

@@ -56,12 +56,13 @@ class TokenFiles:
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and ``ids`` (binary, two little-endian bytes an id), with the end id after each document."""
+    """``doc_id`` and ``ids`` (binary, little-endian), with the end id after each document.
+
+    An id takes two bytes, or four where the vocabulary has more than 65,536.
+    """
 
     def make():
-        encoder = library_encoder(vocabulary, spaced=True)
-        if encoder.kind.itemsize != 2:
-            raise ValueError("vocabularies of over 65,536 ids are not supported")
+        encoder = library_encoder(vocabulary)
         end = np.asarray([END], encoder.kind).tobytes()
         return lambda texts: [[x + end for x in encoder.encode(texts)]]
 
@@ -69,13 +70,23 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
     return map_text(rows, "t", {"ids": "binary"}, make).drop("t")
 
 
-def _counts(batches):
-    total = np.zeros(1 << 16, np.int64)
-    for batch in batches:
-        for ids in batch.column(0):
-            total += np.bincount(np.frombuffer(ids.as_buffer(), "<u2"), minlength=1 << 16)
-    used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["id", "n"])
+def _values(column: pa.Array, kind: np.dtype) -> np.ndarray:
+    """All ids of a column of documents' ids in a row."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], kind, (offsets[-1] - offsets[0]) // kind.itemsize, offsets[0]) if len(column) else np.empty(0, kind)
+
+
+def _counts(kind: np.dtype):
+    def counts(batches):
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            new = np.bincount(_values(batch.column(0), kind), minlength=len(total))
+            new[: len(total)] += total
+            total = new
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["id", "n"])
+
+    return counts
 
 
 def write_token_files(docs: DataFrame, vocabulary: str, path: str, id_col: str = "doc_id", text_col: str = "text") -> TokenFiles:
@@ -85,11 +96,12 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, id_col: str =
     empty, null ids come first, rows with one id follow by content. An empty table gives files without blocks.
     """
     spark = docs.sparkSession
+    kind = library_encoder(vocabulary).kind
     encoded = stage(encode_documents(docs, vocabulary, id_col, text_col), "token-ids", "zstd")
-    counts = encoded.select("ids").mapInArrow(_counts, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = encoded.select("ids").mapInArrow(_counts(kind), "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
     ranked = [r["id"] for r in sorted(counts.collect(), key=lambda r: (-r["n"], r["id"]))]
     spark.createDataFrame([(np.asarray(ranked, "<u4").tobytes(),)], "ids binary").write.parquet(f"{path}/ranks")
-    rank = np.zeros(1 << 16, np.uint32)
+    rank = np.zeros(1 + max(ranked, default=0), np.uint32)
     rank[ranked] = np.arange(len(ranked), dtype=np.uint32)
 
     def blocks(batches):
@@ -111,7 +123,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, id_col: str =
         for batch in batches:
             for key, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids.append(key)
-                held.append(np.frombuffer(value.as_buffer(), "<u2").copy())
+                held.append(np.frombuffer(value.as_buffer(), kind).copy())
                 size += len(held[-1])
                 if size >= BLOCK_TOKENS:
                     yield close()

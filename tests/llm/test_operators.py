@@ -239,15 +239,42 @@ def fuzz(n):
     return ["".join(rng.choice(marks) for _ in range(rng.randint(0, 40))) for _ in range(n)]
 
 
-@pytest.mark.parametrize(("name", "spaced"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
-def test_parts_give_the_library_ids(name, spaced):
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_parts_give_the_library_ids(name, monkeypatch):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path(name))
-    t.encode_special_tokens = True
     texts = fuzz(3000)
     want = [np.asarray(x.ids, "<u2").tobytes() for x in t.encode_batch(texts, add_special_tokens=False)]
-    assert pretoken.library_encoder(P.path(name), spaced).encode(texts) == want
+    encoder = pretoken.library_encoder(P.path(name))
+    assert encoder.encode(texts) == want
+    monkeypatch.setattr(pretoken, "WORDS", 20)
+    encoder.forget()
+    assert encoder.encode(texts) == want
+
+
+def test_other_tokenizer_files(tmp_path):
+    """A file with settings of its own has its texts encoded whole."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    t.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True)
+    t.save(str(tmp_path / "own.json"))
+    texts = fuzz(300)
+    want = [np.asarray(x.ids, "<u2").tobytes() for x in t.encode_batch(texts, add_special_tokens=False)]
+    assert pretoken.library_encoder(str(tmp_path / "own.json")).encode(texts) == want
+
+
+def test_byte_bpe_with_another_pattern(spark):
+    import tiktoken
+
+    path, pattern = P.path(byte_bpe.VOCABULARY), r"\S+|\s+"
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    e = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    docs = spark.createDataFrame(list(enumerate(fuzz(200))), "doc_id long, text string")
+    for r in byte_bpe.encode_bpe(docs, path, pattern).collect():
+        assert np.frombuffer(r.ids, "<u4").tolist() == e.encode_ordinary(r.text)
 
 
 def test_byte_bpe(awkward, nothing):
@@ -269,7 +296,6 @@ def test_token_files(spark, awkward, nothing, tmp_path):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path(token_files.VOCABULARY))
-    t.encode_special_tokens = True
     files = token_files.write_token_files(awkward, P.path(token_files.VOCABULARY), str(tmp_path / "a"))
     got = sorted(token_files.read_token_files(spark, files).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in got] == [None, *range(14), 13][:15] + [13]
