@@ -21,11 +21,12 @@ def indicators(bars: DataFrame) -> DataFrame:
     })
     x = x.withColumns({"rsi": 100 - 100 / (1 + div("_gain", "_loss")), "dea": ewm("dif", 1 - 2 / 10), "k": ewm("_rsv", 1 - 1 / 3)})
     x = x.withColumns({"d": ewm("k", 1 - 1 / 3), "hist": (F.col("dif") - F.col("dea")) * 2})
+    x = x.withColumn("j", 3 * F.col("k") - 2 * F.col("d"))
     x = x.withColumns({
-        "j": 3 * F.col("k") - 2 * F.col("d"), "ma_bull": F.col("ma5") > F.col("ma20"),
+        "ma_bull": F.col("ma5") > F.col("ma20"),
         "macd_cross": (F.col("dif") > F.col("dea")) & (lag("dif") <= lag("dea")), "macd_bull": F.col("dif") > F.col("dea"),
         "kdj_cross": (F.col("k") > F.col("d")) & (lag("k") <= lag("d")),
-        "kdj_state": F.when(F.col("k") > 80, "overbought").when(F.col("k") < 20, "oversold").otherwise("normal"),
+        "kdj_state": F.when(F.col("j") > 80, "overbought").when(F.col("j") < 20, "oversold").otherwise("normal"),
         "rsi_state": F.when(F.col("rsi") > 70, "overbought").when(F.col("rsi") < 30, "oversold").otherwise("normal"),
         "vol_state": F.when(F.col("vol_ratio") > 1.5, "heavy").when(F.col("vol_ratio") < 0.7, "light").otherwise("normal"),
     })
@@ -61,15 +62,16 @@ def rule_decision(score: Column, close: Column) -> Column:
     )
 
 
-def scan_parts(price, pct, vol_ratio, turnover, rsi, macd_cross, kdj_cross, kdj_state, ma_bull, amount, drawdown20) -> dict[str, Column]:
+def scan_parts(price, pct, vol_ratio, turnover, rsi, macd_cross, macd_bull, kdj_cross, kdj_state, ma_bull, amount, drawdown20, bp) -> dict[str, Column]:
     """The scanner's parts with the research overlays on; their sum is the score, those above 0 its reasons."""
-    macd_cross, kdj_cross, ma_bull = (F.coalesce(c, F.lit(False)) for c in (macd_cross, kdj_cross, ma_bull))
+    macd_cross, macd_bull, kdj_cross, ma_bull = (F.coalesce(c, F.lit(False)) for c in (macd_cross, macd_bull, kdj_cross, ma_bull))
     return {
         "volume": _points((vol_ratio >= 2.0, 30), (vol_ratio >= 1.5, 20)), "turnover": _points((turnover >= 3.0, 20), (turnover >= 1.5, 10)),
-        "macd": _points((macd_cross, 25), (F.lit(True), 8)), "kdj": _points((kdj_cross & (kdj_state != "overbought"), 15), (kdj_cross, 5)), "trend": _points((ma_bull, 10)),
+        "macd": _points((macd_cross, 25), (macd_bull, 8)), "kdj": _points((kdj_cross & (kdj_state != "overbought"), 15), (kdj_cross, 5)), "trend": _points((ma_bull, 10)),
         "rsi": _points(((rsi >= 35) & (rsi <= 60), 10), (rsi < 30, 5)), "change": _points(((pct >= 0) & (pct <= 5), 10), (pct > 5, -5)),
         "amount": _points((amount >= 1e8, 10), (amount >= 5e7, 5)), "price": _points(((price >= 5) & (price <= 200), 5)),
         "low_turnover": _points((turnover < 1.5, 10), (turnover >= 8, -15)), "chase": _points((pct > 7, -10)), "drawdown": _points((drawdown20 > -0.08, 8), (drawdown20 < -0.20, -8)),
+        "value": _points((bp >= 0.75, 8), (bp >= 0.40, 3), (bp < 0.25, -5)),
     }
 
 

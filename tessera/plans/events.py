@@ -13,7 +13,7 @@ from tessera.plans.sql import BARS, CAL, INDEX, with_
 from tessera.registry import query
 from tessera.sources import panel as p
 
-_EVENTS = """ev AS (SELECT o_orderkey AS event_id, CAST(o_orderdate AS DATE) AS event_date, CASE o_orderkey % 3 WHEN 0 THEN 'rate' WHEN 1 THEN 'plan' ELSE 'tax' END AS kind FROM orders WHERE o_orderkey % 500 = 0),
+_EVENTS = """ev AS (SELECT o_orderkey AS event_id, CAST(o_orderdate AS DATE) AS event_date, CASE o_orderkey % 3 WHEN 0 THEN 'rate' WHEN 1 THEN 'plan' ELSE 'tax' END AS kind FROM orders),
 t0 AS (SELECT e.*, c.date AS t0, c.cal_idx AS t0_idx FROM ev e ASOF JOIN cal c ON e.event_date <= c.date)"""
 
 
@@ -32,11 +32,12 @@ def j8(spark, sf_dir):
 
 _AR = """keyed AS (SELECT code, cal_idx, b.date, close, lag(close) OVER (PARTITION BY code ORDER BY date) AS prev FROM bars b JOIN cal USING (date)),
 rets AS (SELECT code, cal_idx, ln(close / prev) / 100 AS r FROM keyed WHERE prev > 0), mkt AS (SELECT cal_idx, avg(r) AS m FROM rets GROUP BY 1),
-placed AS (SELECT event_id, code, r, m, cal_idx - t0_idx AS rel_day FROM rets JOIN mkt USING (cal_idx) JOIN t0 ON cal_idx BETWEEN t0_idx - 120 AND t0_idx + 20),
-fit AS (SELECT event_id, code, avg(r) FILTER (rel_day BETWEEN -120 AND -36) AS my, avg(m) FILTER (rel_day BETWEEN -120 AND -36) AS mm, var_pop(m) FILTER (rel_day BETWEEN -120 AND -36) AS v, covar_pop(m, r) FILTER (rel_day BETWEEN -120 AND -36) AS c,
+placed AS (SELECT t0_idx, code, r, m, cal_idx - t0_idx AS rel_day FROM rets JOIN mkt USING (cal_idx) JOIN (SELECT DISTINCT t0_idx FROM t0) ON cal_idx BETWEEN t0_idx - 120 AND t0_idx + 20),
+fit AS (SELECT t0_idx, code, avg(r) FILTER (rel_day BETWEEN -120 AND -36) AS my, avg(m) FILTER (rel_day BETWEEN -120 AND -36) AS mm, var_pop(m) FILTER (rel_day BETWEEN -120 AND -36) AS v, covar_pop(m, r) FILTER (rel_day BETWEEN -120 AND -36) AS c,
   count(r) FILTER (rel_day BETWEEN -120 AND -36) AS n, count(r) FILTER (rel_day BETWEEN -5 AND 20) AS days FROM placed GROUP BY 1, 2),
-ab AS (SELECT event_id, code, CASE WHEN v > 1e-12 THEN c / nullif(v, 0) ELSE 0 END AS beta, my, mm FROM fit WHERE n >= 10 AND days >= 3),
-aar AS (SELECT event_id, rel_day, avg(r - (my - beta * mm) - beta * m) AS aar, count(*) AS codes FROM placed JOIN ab USING (event_id, code) WHERE rel_day BETWEEN -5 AND 20 GROUP BY 1, 2 HAVING count(*) >= 5)"""
+ab AS (SELECT t0_idx, code, CASE WHEN v > 1e-12 THEN c / nullif(v, 0) ELSE 0 END AS beta, my, mm FROM fit WHERE n >= 10 AND days >= 3),
+by_day AS (SELECT t0_idx, rel_day, avg(r - (my - beta * mm) - beta * m) AS aar, count(*) AS codes FROM placed JOIN ab USING (t0_idx, code) WHERE rel_day BETWEEN -5 AND 20 GROUP BY 1, 2 HAVING count(*) >= 5),
+aar AS (SELECT event_id, kind, rel_day, aar, codes FROM by_day JOIN t0 USING (t0_idx))"""
 
 
 def _aar(spark, sf_dir):
@@ -67,14 +68,26 @@ def a19(spark, sf_dir):
     return ev.event_study(e, c).select("event_id", "lo", "hi", rnd("car", 8).alias("car"), F.round("t_ref", 5).alias("t"))
 
 
-@query("a20_m20_m21_decisions")
+_P = "1.0::DOUBLE / (1 + 0.3275911::DOUBLE * abs(t) / sqrt(2.0::DOUBLE))"
+_DECIDED = f""", one AS (SELECT event_id, kind, sum(aar) AS car, coalesce(sum(aar) / (nullif(stddev_samp(aar), 0) / sqrt(count(*))), 0) AS t FROM aar WHERE rel_day BETWEEN -1 AND 5 GROUP BY 1, 2 HAVING count(*) = 7),
+erf AS (SELECT *, 1 - k * (0.254829592::DOUBLE + k * (-0.284496736::DOUBLE + k * (1.421413741::DOUBLE + k * (-1.453152027::DOUBLE + k * 1.061405429::DOUBLE)))) * exp(-t * t / 2) AS e FROM (SELECT *, {_P} AS k FROM one)),
+ps AS (SELECT *, 1 - CASE WHEN t >= 0 THEN 0.5 * (1 + e) ELSE 0.5 * (1 - e) END AS p FROM erf),
+ranked AS (SELECT *, p * count(*) OVER (PARTITION BY kind) / row_number() OVER (PARTITION BY kind ORDER BY p, event_id) AS q FROM ps),
+adj AS (SELECT *, least(min(q) OVER (PARTITION BY kind ORDER BY p DESC, event_id DESC ROWS UNBOUNDED PRECEDING), 1) AS p_adj FROM ranked),
+types AS (SELECT kind, count(*) AS n_events, avg(car) AS mean_car, median(car) AS median_car, coalesce(stddev_samp(car), 0) AS std_car, avg((car > 0)::INT) AS consistency, avg((p_adj < 0.05)::INT) AS rejection FROM adj GROUP BY 1)
+SELECT kind, n_events, {", ".join(f"{q.rnd(c, 8)} AS {c}" for c in ("mean_car", "median_car", "std_car"))}, round(consistency, 6) AS consistency, round(rejection, 6) AS rejection,
+  CASE WHEN n_events < 5 THEN 'too_few' WHEN consistency < 0.6 OR rejection < 0.5 THEN 'reject' ELSE 'accept' END AS decision FROM types"""
+
+
+@query("a20_m20_m21_decisions", with_(BARS, CAL, _EVENTS, _AR) + _DECIDED)
 def a20(spark, sf_dir):
     """One-sided p by the normal law, adjusted within types, decision ladder."""
     e, aar = _aar(spark, sf_dir)
     c = ev.car_tests(aar, [(-1, 5)], F.lit("positive"), "t0_idx")
     days = ev.event_study(e.groupBy("kind", "t0_idx").agg(F.count("*").alias("events")), c)
     adjusted = ev.benjamini_hochberg_counted(days, ["kind"], "p", "t0_idx", "events").select("kind", "t0_idx", "car", "p_adj")
-    return ev.decide(e.select("kind", "t0_idx").join(F.broadcast(adjusted), ["kind", "t0_idx"]), "kind")
+    d = ev.decide(e.select("kind", "t0_idx").join(F.broadcast(adjusted), ["kind", "t0_idx"]), "kind")
+    return d.select("kind", "n_events", *[rnd(c, 8).alias(c) for c in ("mean_car", "median_car", "std_car")], F.round("consistency", 6).alias("consistency"), F.round("rejection", 6).alias("rejection"), "decision")
 
 
 @query("m21_benjamini_hochberg", with_("x AS (SELECT c_mktsegment AS kind, c_custkey, (c_custkey * 37 % 1000) / 1000.0::DOUBLE AS p FROM customer)",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.columns import rnd
 from tessera.operators import joins, ledger, signals
 from tessera.plans import sql as q
-from tessera.plans.factors import FULL, full_bars
+from tessera.plans.factors import FULL, SNAP_SPEC, _SNAP, full_bars, snapshot
 from tessera.plans.sql import BARS, TRADES, with_
 from tessera.registry import query
 from tessera.sources import panel as p
@@ -27,38 +27,57 @@ def g1(spark, sf_dir):
     return x.select("code", "date", rnd("ma5", 5).alias("ma5"), rnd("ma20", 5).alias("ma20"), "ma_bull", rnd("rsi", 5).alias("rsi"), rnd("vol_ratio", 5).alias("vol_ratio"), "vol_state")
 
 
-_EWM = """seq AS (SELECT code, date, close, row_number() OVER (PARTITION BY code ORDER BY date) AS i FROM bars),
-rec AS (SELECT code, date, i, close AS s12, 1.0::DOUBLE AS w12, close AS s26, 1.0::DOUBLE AS w26 FROM seq WHERE i = 1
-  UNION ALL SELECT q.code, q.date, q.i, r.s12 * (11/13.0::DOUBLE) + q.close, r.w12 * (11/13.0::DOUBLE) + 1, r.s26 * (25/27.0::DOUBLE) + q.close, r.w26 * (25/27.0::DOUBLE) + 1 FROM rec r JOIN seq q ON q.code = r.code AND q.i = r.i + 1 WHERE q.i <= 200)"""
+_EWM = f"""seq AS (SELECT code, date, close, row_number() OVER (PARTITION BY code ORDER BY date) AS i,
+  (close - ({q.roll('min', 'low', 9)})) / (({q.roll('max', 'high', 9)}) - ({q.roll('min', 'low', 9)}) + 1e-9::DOUBLE) * 100 AS rsv FROM bars),
+rec AS (SELECT code, date, i, close AS s12, 1.0::DOUBLE AS w12, close AS s26, 1.0::DOUBLE AS w26, 0.0::DOUBLE AS dif, 0.0::DOUBLE AS s9, 1.0::DOUBLE AS w9, coalesce(rsv, 0) AS sk, (rsv IS NOT NULL)::INT::DOUBLE AS wk, rsv AS k,
+    coalesce(rsv, 0) AS sd, (rsv IS NOT NULL)::INT::DOUBLE AS wd FROM seq WHERE i = 1
+  UNION ALL SELECT code, date, i, s12, w12, s26, w26, dif, s9 * 0.8::DOUBLE + dif, w9 * 0.8::DOUBLE + 1, sk, wk, k, CASE WHEN k IS NULL THEN sd ELSE sd * (2 / 3.0::DOUBLE) + k END, CASE WHEN k IS NULL THEN wd ELSE wd * (2 / 3.0::DOUBLE) + 1 END
+    FROM (SELECT *, s12 / w12 - s26 / w26 AS dif, sk / nullif(wk, 0) AS k FROM (
+      SELECT q.code, q.date, q.i, r.s12 * (11 / 13.0::DOUBLE) + q.close AS s12, r.w12 * (11 / 13.0::DOUBLE) + 1 AS w12, r.s26 * (25 / 27.0::DOUBLE) + q.close AS s26, r.w26 * (25 / 27.0::DOUBLE) + 1 AS w26, r.s9, r.w9,
+        CASE WHEN rsv IS NULL THEN r.sk ELSE r.sk * (2 / 3.0::DOUBLE) + rsv END AS sk, CASE WHEN rsv IS NULL THEN r.wk ELSE r.wk * (2 / 3.0::DOUBLE) + 1 END AS wk, r.sd, r.wd FROM rec r JOIN seq q ON q.code = r.code AND q.i = r.i + 1))),
+osc AS (SELECT *, (dif - dea) * 2 AS hist, 3 * k - 2 * d AS j, coalesce(dif > dea AND lag(dif) OVER w <= lag(dea) OVER w, false) AS macd_cross, coalesce(k > d AND lag(k) OVER w <= lag(d) OVER w, false) AS kdj_cross,
+    CASE WHEN 3 * k - 2 * d > 80 THEN 'overbought' WHEN 3 * k - 2 * d < 20 THEN 'oversold' ELSE 'normal' END AS kdj_state
+  FROM (SELECT code, date, i, dif, s9 / w9 AS dea, k, sd / nullif(wd, 0) AS d FROM rec) WINDOW w AS (PARTITION BY code ORDER BY date))"""
 
 
-@query("g3_w8_macd_line", with_(BARS, _EWM) + f"SELECT code, date, {q.rnd('s12 / w12 - s26 / w26', 5)} AS dif FROM rec WHERE i BETWEEN 20 AND 200")
+@query("g3_w8_macd_line", with_(BARS, _EWM) + f"SELECT code, date, {q.rnd('dif', 5)} AS dif FROM osc WHERE i >= 20")
 def g3(spark, sf_dir):
     """Difference of the 12- and 26-day exponential means, from each code's 20th bar on."""
     x = signals.indicators(full_bars(spark, sf_dir))
     return x.select("code", "date", rnd("dif", 5).alias("dif"))
 
 
-@query("g3_g4_macd_kdj")
+@query("g3_g4_macd_kdj", with_(BARS, _EWM) + f"SELECT code, date, {', '.join(f'{q.rnd(c, 4)} AS {c}' for c in ('dif', 'dea', 'hist', 'k', 'd', 'j'))}, macd_cross, kdj_cross, kdj_state FROM osc WHERE i >= 20")
 def g4(spark, sf_dir):
-    """MACD with signal line and crossings, KDJ with states."""
+    """MACD with signal line and crossings, KDJ with states by J."""
     x = signals.indicators(full_bars(spark, sf_dir))
-    return x.select("code", "date", *[rnd(c, 5).alias(c) for c in ("dif", "dea", "hist", "k", "d", "j")], "macd_cross", "kdj_cross", "kdj_state")
+    crossed = [F.coalesce(c, F.lit(False)).alias(c) for c in ("macd_cross", "kdj_cross")]
+    return x.select("code", "date", *[rnd(c, 4).alias(c) for c in ("dif", "dea", "hist", "k", "d", "j")], *crossed, "kdj_state")
 
 
 def _scored(spark, sf_dir):
-    x = signals.indicators(full_bars(spark, sf_dir).withColumn("_c", F.lit(0)))
-    w = Window.partitionBy("code").orderBy("date")
-    closes = F.collect_list("close").over(w.rowsBetween(-19, 0))
+    """The last bar of each code with indicators and the drawdown of the last 20 closes."""
+    closes = F.collect_list("close").over(Window.partitionBy("code").orderBy("date").rowsBetween(-19, 0))
     start = F.struct(F.lit(0.0).alias("peak"), F.lit(0.0).alias("dd"))
     fall = lambda a, c: F.struct(F.greatest(a["peak"], c).alias("peak"), F.least(a["dd"], c / F.nullif(F.greatest(a["peak"], c), F.lit(0.0)) - 1).alias("dd"))
-    return x.withColumn("dd20", F.aggregate(closes, start, fall)["dd"]).withColumn("last", F.row_number().over(Window.partitionBy("code").orderBy(F.desc("date")))).withColumn("prev", F.lag("close").over(w))
+    x = signals.indicators(full_bars(spark, sf_dir).withColumn("dd20", F.aggregate(closes, start, fall)["dd"]))
+    return x.withColumn("last", F.row_number().over(Window.partitionBy("code").orderBy(F.desc("date")))).filter("last = 1")
 
 
-@query("g7_rule_score")
+_LAST = """bar AS (SELECT rs.code, rs.date, close, pct_chg, turnover, amount, rsi, vol_ratio, ma5, ma20, ma5 > ma20 AS ma_bull, hist, dif > dea AS macd_bull, macd_cross, kdj_cross, kdj_state
+  FROM rs JOIN osc USING (code, date) WHERE n >= 20 QUALIFY row_number() OVER (PARTITION BY rs.code ORDER BY rs.date DESC) = 1)"""
+_RULES = """pts AS (SELECT code, close,
+  CASE WHEN coalesce(rsi, 50) < 30 THEN 3 WHEN coalesce(rsi, 50) > 70 THEN -3 WHEN coalesce(rsi, 50) < 40 THEN 1 WHEN coalesce(rsi, 50) > 60 THEN -1 ELSE 0 END + CASE WHEN coalesce(hist, 0) > 0 THEN 2 ELSE -2 END + CASE WHEN coalesce(ma_bull, false) THEN 2 ELSE -2 END
+  + CASE WHEN close > ma5 THEN 1 ELSE -1 END + CASE WHEN close > ma20 THEN 1 ELSE -1 END + CASE WHEN pct_chg - ix > 1 THEN 2 WHEN pct_chg - ix < -1 THEN -2 ELSE 0 END + CASE WHEN pct_chg > 0 AND pct_chg < 2 THEN 1 WHEN pct_chg > 5 THEN -1 WHEN pct_chg < -5 THEN 1 ELSE 0 END AS score
+  FROM bar CROSS JOIN (SELECT avg(pct_chg) AS ix FROM bar))"""
+
+
+@query("g7_rule_score", with_(BARS, FULL, _IND, _EWM, _LAST, _RULES) + f"""SELECT code, score::BIGINT AS score, CASE WHEN score >= 3 THEN 'buy' WHEN score >= -2 THEN 'hold' ELSE 'sell' END AS action,
+  (CASE WHEN score >= 6 THEN least(90, 60 + score * 3) WHEN score >= 3 THEN least(75, 50 + score * 4) WHEN score >= -2 THEN 50 WHEN score >= -5 THEN 70 ELSE 80 END)::BIGINT AS confidence,
+  CASE WHEN score >= 6 THEN 0.4::DOUBLE WHEN score >= 3 THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END AS position, {q.rnd('CASE WHEN score >= 6 THEN close * 0.97::DOUBLE WHEN score >= 3 THEN close * 0.95::DOUBLE END', 4)} AS stop_loss FROM pts""")
 def g7(spark, sf_dir):
     """Score, action, confidence, position and stop at each code's last bar, with the MACD histogram in use."""
-    x = _scored(spark, sf_dir).filter("last = 1")
+    x = _scored(spark, sf_dir)
     index_pct = x.agg(F.avg("pct_chg").alias("index_pct"))
     x = x.crossJoin(F.broadcast(index_pct))
     c = F.col
@@ -67,12 +86,24 @@ def g7(spark, sf_dir):
     return x.select("code", c("score").cast("long").alias("score"), d["action"].alias("action"), d["confidence"].alias("confidence"), d["position"].alias("position"), rnd(d["stop_loss"], 4).alias("stop_loss"))
 
 
-@query("g8_g9_market_scan")
+_SCAN = """fall AS (SELECT code, min(close / nullif(peak, 0) - 1) AS dd20 FROM (SELECT code, close, max(close) OVER (PARTITION BY code ORDER BY date) AS peak FROM (SELECT * FROM bars QUALIFY row_number() OVER (PARTITION BY code ORDER BY date DESC) <= 20)) GROUP BY 1),
+ratio AS (SELECT code, 1 / pb AS bp FROM snap WHERE pb > 0),
+p AS (SELECT code, CASE WHEN vol_ratio >= 2 THEN 30 WHEN vol_ratio >= 1.5 THEN 20 ELSE 0 END AS volume, CASE WHEN turnover >= 3 THEN 20 WHEN turnover >= 1.5 THEN 10 ELSE 0 END AS turnover_, CASE WHEN macd_cross THEN 25 WHEN macd_bull THEN 8 ELSE 0 END AS macd,
+  CASE WHEN kdj_cross AND kdj_state <> 'overbought' THEN 15 WHEN kdj_cross THEN 5 ELSE 0 END AS kdj, CASE WHEN ma_bull THEN 10 ELSE 0 END AS trend, CASE WHEN rsi >= 35 AND rsi <= 60 THEN 10 WHEN rsi < 30 THEN 5 ELSE 0 END AS rsi_,
+  CASE WHEN pct_chg >= 0 AND pct_chg <= 5 THEN 10 WHEN pct_chg > 5 THEN -5 ELSE 0 END AS change, CASE WHEN amount >= 1e8 THEN 10 WHEN amount >= 5e7 THEN 5 ELSE 0 END AS amount_, CASE WHEN close >= 5 AND close <= 200 THEN 5 ELSE 0 END AS price,
+  CASE WHEN turnover < 1.5 THEN 10 WHEN turnover >= 8 THEN -15 ELSE 0 END AS low_turnover, CASE WHEN pct_chg > 7 THEN -10 ELSE 0 END AS chase, CASE WHEN dd20 > -0.08 THEN 8 WHEN dd20 < -0.20 THEN -8 ELSE 0 END AS drawdown, CASE WHEN bp >= 0.75 THEN 8 WHEN bp >= 0.40 THEN 3 WHEN bp < 0.25 THEN -5 ELSE 0 END AS value
+  FROM bar JOIN fall USING (code) LEFT JOIN ratio USING (code) WHERE turnover >= 0.5 AND close >= 2)"""
+_PARTS = ["volume", "turnover", "macd", "kdj", "trend", "rsi", "change", "amount", "price", "low_turnover", "chase", "drawdown", "value"]
+_COLUMNS = [x + "_" if x in ("turnover", "rsi", "amount") else x for x in _PARTS]
+
+
+@query("g8_g9_market_scan", with_(BARS, FULL, _SNAP, _IND, _EWM, _LAST, _SCAN) + f"SELECT * FROM (SELECT code, ({' + '.join(_COLUMNS)})::BIGINT AS score, concat_ws('|', {', '.join(f'CASE WHEN {c} > 0 THEN {n!r} END' for c, n in zip(_COLUMNS, _PARTS, strict=True))}) AS reasons FROM p) WHERE score >= 25 ORDER BY score DESC, code LIMIT 10")
 def g8(spark, sf_dir):
-    """The scanner's score with reasons; price and turnover filters; top ten from 25 points on."""
-    x = _scored(spark, sf_dir).filter("last = 1 and turnover >= 0.5 and close >= 2")
+    """The scanner's score with the research overlays and reasons; price and turnover filters; top ten from 25 points on."""
+    ratio = p.ensure_columns(snapshot(spark, sf_dir), SNAP_SPEC).filter("pb > 0").select("code", (1 / F.col("pb")).alias("bp"))
+    x = _scored(spark, sf_dir).filter("turnover >= 0.5 and close >= 2").join(ratio, "code", "left")
     c = F.col
-    parts = signals.scan_parts(c("close"), c("pct_chg"), c("vol_ratio"), c("turnover"), c("rsi"), c("macd_cross"), c("kdj_cross"), c("kdj_state"), c("ma_bull"), c("amount"), c("dd20"))
+    parts = signals.scan_parts(c("close"), c("pct_chg"), c("vol_ratio"), c("turnover"), c("rsi"), c("macd_cross"), c("macd_bull"), c("kdj_cross"), c("kdj_state"), c("ma_bull"), c("amount"), c("dd20"), c("bp"))
     score = sum(parts.values(), F.lit(0))
     reasons = F.array_join(F.array_compact(F.array(*[F.when(v > 0, k) for k, v in parts.items()])), "|")
     return x.select("code", score.cast("long").alias("score"), reasons.alias("reasons")).filter("score >= 25").orderBy(F.desc("score"), "code").limit(10)

@@ -44,17 +44,30 @@ def plain(x):
     return str(x).removesuffix(" 00:00:00")
 
 
+def same(v, w):
+    return v == w or (isinstance(v, (int, float)) and isinstance(w, (int, float)) and abs(v - w) <= 1e-6 * max(1, abs(v)))
+
+
 def same_rows(frame, expected):
-    """Column names and rows, in any order; doubles to 1e-6 of their size."""
+    """Column names and rows, in any order; doubles to 1e-6 of their size.
+
+    Rows are paired by their exact columns; among rows that agree on those, each takes the first with near doubles.
+    """
     assert sorted(frame.columns) == sorted(expected.columns)
     names = sorted(frame.columns)
-
-    def key(r):
-        return [(v is None, f"{v:.4g}" if isinstance(v, float) else str(v)) for v in r]
-
-    a = sorted(([plain(v) for v in r] for r in frame[names].itertuples(index=False, name=None)), key=key)
-    b = sorted(([plain(v) for v in r] for r in expected[names].itertuples(index=False, name=None)), key=key)
-    assert len(a) == len(b)
-    for x, y in zip(a, b, strict=True):
-        for v, w in zip(x, y, strict=True):
-            assert v == w or (isinstance(v, (int, float)) and isinstance(w, (int, float)) and abs(v - w) <= 1e-6 * max(1, abs(v))), (x, y)
+    tables = [[[plain(v) for v in r] for r in x[names].itertuples(index=False, name=None)] for x in (frame, expected)]
+    doubles = [any(isinstance(r[i], float) for t in tables for r in t) for i in range(len(names))]
+    groups = ({}, {})
+    for table, group in zip(tables, groups, strict=True):
+        for r in table:
+            exact = tuple("" if d else str(v) for v, d in zip(r, doubles, strict=True))
+            group.setdefault(exact, []).append([v + 0.0 if d and v is not None else v for v, d in zip(r, doubles, strict=True)])
+    assert groups[0].keys() == groups[1].keys()
+    order = lambda values: [(v is None, v if isinstance(v, float) else 0.0) for v in values]
+    for exact, left in groups[0].items():
+        left, right = sorted(left, key=order), sorted(groups[1][exact], key=order)
+        assert len(left) == len(right), exact
+        for row in left:
+            at = next((i for i, other in enumerate(right) if all(map(same, row, other))), None)
+            assert at is not None, (row, right[:1])
+            right.pop(at)
