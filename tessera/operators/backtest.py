@@ -94,17 +94,26 @@ def rebalance(panel: DataFrame, factor: DataFrame, name: str, costs: Costs = Cos
     return out.withColumn("nav", F.product(1 + F.col("period_ret")).over(w))
 
 
-def performance(returns: DataFrame, by: list[str], order: str, r: str, per_year: float = 12.0) -> DataFrame:
-    """Ten figures of each return series: one window for the drawdown, one aggregate."""
+def performance(returns: DataFrame, by: list[str], order: str, r: str, per_year: float | None = 12.0) -> DataFrame:
+    """Ten figures of each return series: one window for the drawdown, one aggregate.
+
+    Without ``per_year``, a series of dates with a median gap of two days at most has 252 periods a year, others 12.
+    """
     w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     x = returns.filter(F.col(r).isNotNull()).withColumn("_e", F.product(1 + F.col(r)).over(w))
+    if per_year is None:
+        gap = F.datediff(F.col(order), F.lag(order).over(Window.partitionBy(*by).orderBy(order)))
+        daily = F.median("_gap").over(Window.partitionBy(*by)) <= 2
+        x = x.withColumn("_gap", gap).withColumn("_year", F.when(daily, 252.0).otherwise(12.0))
+    else:
+        x = x.withColumn("_year", F.lit(float(per_year)))
     x = x.withColumn("_dd", F.col("_e") / F.nullif(F.max("_e").over(w), F.lit(0.0)) - 1)
-    year = F.sqrt(F.lit(per_year))
+    year = F.sqrt(F.first("_year"))
     a = x.groupBy(*by).agg(
-        F.count("*").alias("periods"), (F.product(1 + F.col(r)) - 1).alias("total_return"), (F.stddev_samp(r) * year).alias("annualized_vol"), F.min("_dd").alias("max_drawdown"),
+        F.count("*").alias("periods"), F.first("_year").alias("_year"), (F.product(1 + F.col(r)) - 1).alias("total_return"), (F.stddev_samp(r) * year).alias("annualized_vol"), F.min("_dd").alias("max_drawdown"),
         (F.stddev_samp(F.when(F.col(r) < 0, F.col(r))) * year).alias("_down"), F.avg((F.col(r) > 0).cast("double")).alias("win_rate"),
         F.coalesce(F.avg(r) / F.nullif(F.stddev_samp(r) / F.sqrt(F.count(r)), F.lit(0.0)), F.lit(0.0)).alias("t_stat"))
-    a = a.withColumn("annualized_return", F.pow(1 + F.col("total_return"), per_year / F.col("periods")) - 1)
+    a = a.withColumn("annualized_return", F.pow(1 + F.col("total_return"), F.col("_year") / F.col("periods")) - 1)
     return a.select(
         *by, "periods", "total_return", "annualized_return", "annualized_vol", F.coalesce(F.col("annualized_return") / F.nullif("annualized_vol", F.lit(0.0)), F.lit(0.0)).alias("sharpe"), "max_drawdown",
         F.when(F.col("max_drawdown") < 0, F.col("annualized_return") / F.abs(F.nullif("max_drawdown", F.lit(0.0)))).alias("calmar"), (F.col("annualized_return") / F.nullif("_down", F.lit(0.0))).alias("sortino"), "win_rate", "t_stat")

@@ -71,3 +71,12 @@ def fifo_lots(rows: DataFrame, key: str, order: list[str], volume: str = "volume
     total = cum.filter(F.col(direction) == "buy").groupBy(key).agg(F.max("hi").alias("bought"))
     rest = sells.join(total, key, "left").withColumn("alloc", F.col("hi") - F.greatest("lo", F.coalesce("bought", F.lit(0.0)))).filter("alloc > 0")
     return lots.unionByName(rest.select(key, "sell_id", F.lit(None).cast(rows.schema["id"].dataType).alias("buy_id"), "alloc", "sold"))
+
+
+def carried(values: DataFrame, value: str, rows: int, by: list[str], index: str) -> DataFrame:
+    """``value`` at its own place of a dense ``index`` and at the next ``rows`` places, the latest where several reach one.
+
+    Each value goes to the few places that it can reach, so no grid of all keys and places is made.
+    """
+    reach = values.select(*by, F.col(index).alias("_from"), value, F.explode(F.sequence(F.col(index), F.col(index) + rows)).alias(index))
+    return reach.groupBy(*by, index).agg(F.max_by(value, "_from").alias(value))

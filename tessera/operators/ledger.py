@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: The fees of a buy and of a sell, as shares of the turnover.
 BUY_COST, SELL_COST = 0.0003, 0.0013
 
 
@@ -31,6 +32,54 @@ def replay(trades: DataFrame, order: list[str]) -> DataFrame:
     return folded.select("code", "s.held", "s.cost", "s.pnl", "s.rejected", "s.filled")
 
 
+_POSITIONS = "map<string, struct<held: double, cost: double, today: double, day: date>>"
+
+
+def account_ledger(trades: DataFrame, order: list[str], cash: float) -> DataFrame:
+    """Accounts after all their trades in order: ``account``, ``cash``, ``pnl``, ``filled``, ``no_cash``, ``no_shares``, ``positions``.
+
+    A buy costs its value and BUY_COST and is rejected when the cash is short; a sell brings its value less SELL_COST and
+    is rejected beyond what is held and was not bought the same day. Each step depends on the one before, so an
+    account is one fold over its ordered trades; accounts run side by side.
+    """
+    step = F.struct(F.struct(*order).alias("at"), "code", "direction", "price", "volume", F.to_date("ts").alias("day"))
+    none = F.lit(0).cast("long")
+    zero = F.struct(F.lit(cash).alias("cash"), F.create_map().cast(_POSITIONS).alias("positions"), F.lit(0.0).alias("pnl"), none.alias("filled"), none.alias("no_cash"), none.alias("no_shares"))
+
+    def fold(s, x):
+        own = F.try_element_at(s["positions"], x["code"])
+        held, cost = F.coalesce(own["held"], F.lit(0.0)), F.coalesce(own["cost"], F.lit(0.0))
+        today = F.when(own["day"].eqNullSafe(x["day"]), own["today"]).otherwise(F.lit(0.0))
+        buy, value = x["direction"] == "buy", x["price"] * x["volume"]
+        bought, sold = buy & (s["cash"] >= value * (1 + BUY_COST)), ~buy & (held - today >= x["volume"])
+        now = F.when(bought, held + x["volume"]).otherwise(held - x["volume"])
+        mean = F.when(bought, (held * cost + value) / F.nullif(held + x["volume"], F.lit(0.0))).otherwise(cost)
+        entry = F.struct(now.alias("held"), mean.alias("cost"), F.when(bought, today + x["volume"]).otherwise(today).alias("today"), x["day"].alias("day"))
+        others = F.map_filter(s["positions"], lambda k, _: k != x["code"])
+        return F.struct(
+            F.when(bought, s["cash"] - value * (1 + BUY_COST)).when(sold, s["cash"] + value * (1 - SELL_COST)).otherwise(s["cash"]).alias("cash"),
+            F.when(bought | sold, F.map_concat(others, F.create_map(x["code"], entry))).otherwise(s["positions"]).cast(_POSITIONS).alias("positions"),
+            F.when(sold, s["pnl"] + (x["price"] - cost) * x["volume"]).otherwise(s["pnl"]).alias("pnl"),
+            (s["filled"] + (bought | sold).cast("long")).alias("filled"),
+            (s["no_cash"] + (buy & ~bought).cast("long")).alias("no_cash"),
+            (s["no_shares"] + (~buy & ~sold).cast("long")).alias("no_shares"),
+        )
+
+    folded = trades.groupBy("account").agg(F.aggregate(F.array_sort(F.collect_list(step)), zero, fold).alias("s"))
+    return folded.select("account", "s.*")
+
+
+def marked_positions(ledger: DataFrame, prices: DataFrame) -> DataFrame:
+    """Open positions of ``account_ledger`` at ``prices`` (code, price): value gained and percent on the average cost.
+
+    A code without a price is taken at its cost.
+    """
+    open_ = ledger.select("account", F.explode("positions").alias("code", "own")).filter("own.held > 0").select("account", "code", "own.held", "own.cost")
+    priced = open_.join(prices, "code", "left").withColumn("price", F.coalesce("price", "cost"))
+    ratio = F.when(F.col("cost") > 0, (F.col("price") / F.nullif("cost", F.lit(0.0)) - 1) * 100).otherwise(0.0)
+    return priced.withColumns({"unrealized": (F.col("price") - F.col("cost")) * F.col("held"), "pnl_ratio": ratio})
+
+
 def timed_fifo(trades: DataFrame, order: list[str]) -> DataFrame:
     """Realized profit per sell against earlier buys only; what no earlier buy covers is dropped (``matched`` tells)."""
 

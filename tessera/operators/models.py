@@ -106,8 +106,12 @@ def coefficient_summary(models: DataFrame, split: str) -> DataFrame:
 # ---- volatility ----
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -700, 700)))
+
+
 def _garch_loss(theta: np.ndarray, r2: np.ndarray, negative: np.ndarray) -> float:
-    omega, alpha, gamma, beta = np.exp(theta[0]), *(1 / (1 + np.exp(-theta[1:])))
+    omega, alpha, gamma, beta = np.exp(min(theta[0], 700.0)), *_unit(theta[1:])
     if alpha + gamma / 2 + beta >= 0.9999:
         return 1e12
     h, total = r2.mean(), 0.0
@@ -149,7 +153,7 @@ def fit_garch(returns: np.ndarray, asymmetric: bool = False) -> dict[str, float]
     free = (lambda t: np.array([t[0], t[1], t[2], t[3]])) if asymmetric else (lambda t: np.array([t[0], t[1], -50.0, t[2]]))
     start = np.array([math.log(base * 0.05), logit(0.08), *([logit(0.03)] if asymmetric else []), logit(0.85)])
     theta = free(nelder_mead(lambda t: _garch_loss(free(t), r2, negative), start))
-    omega, alpha, gamma, beta = float(np.exp(theta[0])), *(float(v) for v in 1 / (1 + np.exp(-theta[1:])))
+    omega, alpha, gamma, beta = float(np.exp(theta[0])), *(float(v) for v in _unit(theta[1:]))
     h = base
     for v, neg in zip(r2.tolist(), negative.tolist(), strict=True):
         h = omega + (alpha + gamma * neg) * v + beta * h
@@ -157,14 +161,53 @@ def fit_garch(returns: np.ndarray, asymmetric: bool = False) -> dict[str, float]
 
 
 def rolling_garch(windows: DataFrame) -> DataFrame:
-    """One fit for each row of (window_id, returns): refits run in parallel, a window a task at the finest."""
+    """GARCH and GJR fits for each row of (window_id, returns): refits run in parallel, a window a task at the finest."""
+    names = ["omega", "alpha", "gamma", "beta", "persistence", "forecast"]
 
     def fit(batches):
         for part in batches:
-            rows = [(i, *(fit_garch(np.asarray(r))[k] for k in ("omega", "alpha", "beta", "persistence", "forecast"))) for i, r in zip(part.window_id, part.returns, strict=True)]
-            yield pd.DataFrame(rows, columns=["window_id", "omega", "alpha", "beta", "persistence", "forecast"])
+            rows = []
+            for i, r in zip(part.window_id, part.returns, strict=True):
+                for model in ("GARCH", "GJR"):
+                    fitted = fit_garch(np.asarray(r), model == "GJR")
+                    rows.append((i, model, *(fitted[k] for k in names)))
+            yield pd.DataFrame(rows, columns=["window_id", "model", *names])
+
+    return windows.mapInPandas(fit, "window_id long, model string, " + ", ".join(f"{k} double" for k in names))
 
-    return windows.mapInPandas(fit, "window_id long, omega double, alpha double, beta double, persistence double, forecast double")
+
+def rolling_windows(returns: DataFrame, by: str, order: str, r: str, size: int, step: int) -> DataFrame:
+    """Windows of ``size`` rows each ``step`` rows, where a row follows: ``window_id``, ``returns`` and that row's ``order``."""
+    w = Window.partitionBy(by).orderBy(order)
+    i = F.row_number().over(w).cast("long")
+    numbered = returns.select(by, order, r, i.alias("i"))
+    first, last = F.greatest(F.ceil((F.col("i") - size) / step), F.lit(0)), F.floor((F.col("i") - 1) / step)
+    placed = numbered.filter(first <= last).withColumn("window_id", F.explode(F.sequence(first, last)))
+    windows = placed.groupBy(by, "window_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", r))), lambda s: s[r]).alias("returns")).filter(F.size("returns") == size)
+    ends = numbered.filter((F.col("i") > size) & ((F.col("i") - size - 1) % step == 0)).select(by, ((F.col("i") - size - 1) / step).cast("long").alias("window_id"), order)
+    return windows.join(ends, [by, "window_id"])
+
+
+def compare_forecasts(forecasts: DataFrame, by: list[str], order: str) -> DataFrame:
+    """Mean squared error, QLIKE and share of right directions of ``forecast`` and of the rival ``realized_20d``, against ``realized_next``.
+
+    A direction is that from the forecast before; the first of a series counts as none on both sides, so as right.
+    """
+    w = Window.partitionBy(*by).orderBy(order)
+    up = lambda c: F.coalesce(F.col(c) > F.lag(c).over(w), F.lit(False))
+    x = forecasts.filter("realized_20d is not null and realized_next is not null")
+    x = x.withColumns({"_g": (up("forecast") == up("realized_next")).cast("double"), "_h": (up("realized_20d") == up("realized_next")).cast("double")})
+    error = lambda c: F.avg(F.pow(F.col(c) - F.col("realized_next"), 2.0))
+
+    def qlike(c: str):
+        ratio = F.col("realized_next") / F.nullif(F.col(c), F.lit(0.0))
+        return F.avg(ratio - F.ln(F.nullif(ratio, F.lit(0.0))) - 1)
+
+    out = x.groupBy(*by).agg(
+        F.count("*").alias("periods"), error("forecast").alias("mse_garch"), error("realized_20d").alias("mse_hist"), qlike("forecast").alias("qlike_garch"), qlike("realized_20d").alias("qlike_hist"),
+        F.avg("_g").alias("direction_garch"), F.avg("_h").alias("direction_hist"))
+    better = {"better_by_mse": F.col("mse_garch") < F.col("mse_hist"), "better_by_qlike": F.col("qlike_garch") < F.col("qlike_hist")}
+    return out.withColumn("mse_ratio", F.col("mse_garch") / F.nullif("mse_hist", F.lit(0.0))).withColumns(better)
 
 
 # ---- regimes ----

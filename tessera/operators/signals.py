@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import by_code, div, ewm, lag, roll
@@ -120,3 +120,24 @@ def entry_buckets(text: Column) -> dict[str, Column]:
         "turnover": F.when(t < 1, "<1%").when(t < 3, "1-3%").when(t < 5, "3-5%").when(t.isNotNull(), ">5%").otherwise("unknown"),
         "strong": ((ma == "是") & (gold == "是")) | ((kdj == "是") & (vol == "放量")),
     }
+
+
+#: What a missing name is called, and the two classes of an entry.
+UNKNOWN, STRONG, WEAK = "未知", "强因子共振", "弱因子/AI主观"
+
+
+def attribution(closed: DataFrame) -> DataFrame:
+    """Ten groupings of closed trades (strategy, reason, month, pnl, indicators): ``kind``, ``bucket``, ``n``, ``win_rate``, ``net_pnl``, ``place``.
+
+    Each trade gives a row a grouping, summed before the shuffle; a missing name is a bucket of its own. Buckets are placed
+    by their net, then by name.
+    """
+    b = entry_buckets(F.coalesce("indicators", F.lit("")))
+    named = {
+        "strategy": F.coalesce("strategy", F.lit(UNKNOWN)), "reason": F.coalesce("reason", F.lit(UNKNOWN)), "month": F.coalesce("month", F.lit(UNKNOWN)), "factor_signal": F.when(b["strong"], STRONG).otherwise(WEAK),
+        "ma": F.concat(F.lit("均线多头="), b["ma_bull"]), "rsi": F.concat(F.lit("RSI="), b["rsi_state"]), "macd": F.concat(F.lit("MACD金叉="), b["macd_cross"]), "kdj": F.concat(F.lit("KDJ金叉="), b["kdj_cross"]),
+        "volume": F.concat(F.lit("量="), b["vol_state"]), "turnover": F.concat(F.lit("换手="), b["turnover"]),
+    }
+    rows = closed.select(F.coalesce("pnl", F.lit(0.0)).alias("pnl"), F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("bucket")) for k, v in named.items()])).alias("g"))
+    out = rows.groupBy("g.kind", "g.bucket").agg(F.count("*").alias("n"), F.round(F.avg((F.col("pnl") > 0).cast("double")), 3).alias("win_rate"), F.round(F.sum("pnl"), 1).alias("net_pnl"))
+    return out.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("net_pnl"), "bucket")))

@@ -72,7 +72,7 @@ def a2(spark, sf_dir):
     """Total and annualized return, volatility, Sharpe, drawdown, Calmar, Sortino, win rate, t."""
     n = _rebalanced(spark, sf_dir, "vol_20d_atr", bt.Rules(max_price=1e9, ascending=True)).withColumn("s", F.lit(1))
     digits = {"total_return": 4, "max_drawdown": 6, "win_rate": 6}
-    perf = bt.performance(n, ["s"], "signal", "period_ret")
+    perf = bt.performance(n, ["s"], "signal", "period_ret", per_year=None)
     return perf.select("periods", *[F.round(c, digits.get(c, 5)).alias(c) for c in perf.columns if c not in ("s", "periods")])
 
 
@@ -91,7 +91,7 @@ def m26(spark, sf_dir):
     return reduce(lambda x, y: x.unionByName(y), runs).groupBy("variant").agg(F.count("*").alias("periods"), F.round(F.avg("period_ret"), 6).alias("mean_ret"))
 
 
-_REGIME = f"""idxw AS (SELECT date, close, avg(close) OVER w20 AS ma20, avg(close) OVER w60 AS ma60, count(*) OVER w60 AS n, r FROM (SELECT *, close / nullif(lag(close) OVER (ORDER BY date), 0) - 1 AS r FROM idx)
+REGIME = f"""idxw AS (SELECT date, close, avg(close) OVER w20 AS ma20, avg(close) OVER w60 AS ma60, count(*) OVER w60 AS n, r FROM (SELECT *, close / nullif(lag(close) OVER (ORDER BY date), 0) - 1 AS r FROM idx)
   WINDOW w20 AS (ORDER BY date ROWS 19 PRECEDING), w60 AS (ORDER BY date ROWS 59 PRECEDING)),
 regimes AS (SELECT date, close, CASE WHEN n < 60 THEN 'transition' WHEN close > 1.05 * ma60 AND ma20 > ma60 THEN CASE WHEN coalesce(vol, 0) >= 0.2 THEN 'bull_high_vol' ELSE 'bull' END WHEN close < 0.95 * ma60 AND ma20 < ma60 THEN 'bear'
   WHEN abs(close / ma60 - 1) < 0.05 THEN 'range' ELSE 'transition' END AS regime FROM (SELECT *, stddev_samp(r) OVER (ORDER BY date ROWS 19 PRECEDING) * sqrt(252) AS vol FROM idxw))"""
@@ -108,22 +108,22 @@ def regimes(index):
     return x.withColumn("regime", label)
 
 
-@query("m13_rule_regimes", with_(INDEX, _REGIME) + "SELECT date, regime FROM regimes")
+@query("m13_rule_regimes", with_(INDEX, REGIME) + "SELECT date, regime FROM regimes")
 def m13(spark, sf_dir):
     """Labels by moving averages and volatility."""
     return regimes(p.index_series(spark, sf_dir).withColumn("code", F.lit("index"))).select("date", "regime")
 
 
-@query("a26_month_regime", with_(INDEX, _REGIME) + "SELECT CAST(date_trunc('month', date) AS DATE) AS month, max_by(regime, date) AS regime, max(date) AS last_day FROM regimes GROUP BY 1")
+@query("a26_month_regime", with_(INDEX, REGIME) + "SELECT CAST(date_trunc('month', date) AS DATE) AS month, max_by(regime, date) AS regime, max(date) AS last_day FROM regimes GROUP BY 1")
 def a26(spark, sf_dir):
     """The last label of each month."""
     r = regimes(p.index_series(spark, sf_dir).withColumn("code", F.lit("index")))
     return r.groupBy(F.trunc("date", "MM").alias("month")).agg(F.max_by("regime", "date").alias("regime"), F.max("date").alias("last_day"))
 
 
-@query("j10_returns_by_regime", with_(*_BASE, _run("mom_1"), INDEX, _REGIME) + ", labelled AS (SELECT n.*, last_value(r.regime IGNORE NULLS) OVER (ORDER BY n.exit ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS regime FROM nav0 n LEFT JOIN regimes r ON r.date = n.exit) SELECT coalesce(regime, 'none') AS regime, count(*) AS periods, round(product(1 + period_ret) - 1, 5) AS ret FROM labelled GROUP BY 1")
+@query("j10_returns_by_regime", with_(*_BASE, _run("mom_1"), INDEX, REGIME) + ", labelled AS (SELECT n.*, last_value(r.regime IGNORE NULLS) OVER (ORDER BY n.exit ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS regime FROM nav0 n LEFT JOIN regimes r ON r.date = n.exit) SELECT coalesce(regime, 'none') AS regime, count(*) AS periods, round(product(1 + period_ret) - 1, 5) AS ret FROM labelled GROUP BY 1")
 def j10(spark, sf_dir):
-    """Label of the exit day, else of the exit day before; returns by label."""
+    """Label of the exit day, else of the exit day before; returns by label."""
     n = _rebalanced(spark, sf_dir, "mom_1", RULES)
     r = regimes(p.index_series(spark, sf_dir).withColumn("code", F.lit("index"))).select(F.col("date").alias("exit"), "regime")
     w = Window.orderBy("exit").rowsBetween(Window.unboundedPreceding, 0)  # one row a month
@@ -133,7 +133,7 @@ def j10(spark, sf_dir):
 
 @query("m15_m17_hmm_regimes")
 def m15(spark, sf_dir):
-    """Features by windows, states by a two-state hidden Markov model, label with the 60-day mean."""
+    """Features by windows, states by a two-state hidden Markov model, label with the 60-day mean."""
     x = p.index_series(spark, sf_dir).withColumn("code", F.lit("index")).withColumn("ret", pct_change("close"))
     f = x.withColumns({"vol20": roll(F.stddev_samp, "ret", 20), "ma60": roll(F.avg, "close", 60)}).withColumn("gap", F.col("close") / F.nullif("ma60", F.lit(0.0)) - 1)
     states = models.hmm_labels(f, "code", "date", ["ret", "vol20", "gap"])
@@ -142,18 +142,28 @@ def m15(spark, sf_dir):
     return both.select("date", F.col("state").cast("long").alias("state"), label.alias("hmm"))
 
 
+def _forecasts(spark, sf_dir):
+    """Refits on 500 days each 20, with the realized 20-day volatility of the day before and of the day itself, all a year."""
+    r = p.index_series(spark, sf_dir).withColumn("code", F.lit("index")).withColumn("r", pct_change("close")).filter("r is not null")
+    year = F.sqrt(F.lit(252.0))
+    vol = r.withColumn("realized_next", roll(F.stddev_samp, "r", 20) * year)
+    vol = vol.withColumn("realized_20d", F.lag("realized_next").over(by_code())).select("code", "date", "realized_20d", "realized_next")
+    windows = models.rolling_windows(r, "code", "date", "r", 500, 20)
+    fitted = models.rolling_garch(windows.select("window_id", "returns").repartition("window_id"))
+    out = fitted.join(windows.select("window_id", "code", "date"), "window_id").join(vol, ["code", "date"])
+    return out.withColumn("forecast", F.col("forecast") * year).drop("code")
+
+
 @query("m10_m12_garch")
 def m10(spark, sf_dir):
-    """Rolling refits (windows of 250, step 100) against realized volatility."""
-    r = p.index_series(spark, sf_dir).withColumn("code", F.lit("index")).withColumn("r", pct_change("close")).filter("r is not null")
-    r = r.withColumn("i", F.row_number().over(by_code()).cast("long"))
-    windows = r.withColumn("window_id", F.explode(F.sequence(F.greatest(F.ceil((F.col("i") - 250) / 100), F.lit(0)), F.floor((F.col("i") - 1) / 100)))).groupBy("window_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "r"))), lambda s: s["r"]).alias("returns"))
-    fitted = models.rolling_garch(windows.filter(F.size("returns") == 250).repartition("window_id"))
-    nxt = r.select(((F.col("i") - 251) / 100).alias("window_id"), F.abs("r").alias("realized"))
-    out = fitted.join(nxt, "window_id", "left")
-    mse = F.pow(F.col("forecast") - F.col("realized"), 2.0)
-    ratio = F.pow(F.col("realized"), 2.0) / F.nullif(F.pow(F.col("forecast"), 2.0), F.lit(0.0))
-    return out.withColumns({"squared_error": mse, "qlike": ratio - F.ln(F.nullif(ratio, F.lit(0.0))) - 1})
+    """GARCH and GJR refitted on 500 days each 20, next day's volatility beside the realized one."""
+    return _forecasts(spark, sf_dir)
+
+
+@query("m12_volatility_comparison")
+def m12(spark, sf_dir):
+    """Each model against the last realized volatility: squared error, QLIKE, directions."""
+    return models.compare_forecasts(_forecasts(spark, sf_dir), ["model"], "date")
 
 
 #: The stress scenarios (periods, total shock, whether half is sold on the first day).

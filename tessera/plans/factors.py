@@ -146,10 +146,10 @@ SELECT code, date, round(1 / nullif(f, 0), 6) AS value_bp FROM (
 def valuation_ffill(spark, sf_dir):
     """FA17 / J6: values on the union calendar, carried over five rows at most; ratios of 0 or less are dropped."""
     b = p.bars(spark, sf_dir)
-    grid = b.select("code").distinct().crossJoin(F.broadcast(p.calendar(b).select("date")))
-    values = b.filter(F.dayofmonth("date") % 3 != 0).select("code", "date", (F.col("close") / 10).alias("pb"))
-    filled = grid.join(values, ["code", "date"], "left").withColumn("f", joins.ffill(grid, "pb", 5, ["code"], "date"))
-    return filled.filter("f > 0").select("code", "date", F.round(1 / F.nullif("f", F.lit(0.0)), 6).alias("value_bp"))
+    cal = p.calendar(b)
+    values = b.filter(F.dayofmonth("date") % 3 != 0).join(F.broadcast(cal), "date").select("code", "cal_idx", (F.col("close") / 10).alias("pb"))
+    f = joins.carried(values.filter("pb is not null"), "pb", 5, ["code"], "cal_idx")
+    return f.filter("pb > 0").join(F.broadcast(cal), "cal_idx").select("code", "date", F.round(1 / F.nullif("pb", F.lit(0.0)), 6).alias("value_bp"))
 
 
 @query("fa19_fa20_baseline_factors", with_(BARS) + """

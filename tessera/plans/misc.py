@@ -130,10 +130,15 @@ def a28(spark, sf_dir):
 
 @query("o5_tercile_sample", "SELECT c_custkey, tercile FROM (SELECT *, row_number() OVER (PARTITION BY tercile ORDER BY (c_custkey * 7919) % 10007, c_custkey) AS pick FROM (SELECT c_custkey, (row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1) // ((SELECT count(*) FROM customer) // 3 + 1) AS tercile FROM customer)) WHERE pick <= 10")
 def o5(spark, sf_dir):
-    """Ten of each third by size; percentile ranks come from a sorted, numbered table of keys."""
+    """Ten of each third by size. Places are numbered within a thousand ranges of the size, after the counts of the ranges before."""
     c = p.table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
-    n = c.count()
-    t = c.withColumn("tercile", F.floor((F.row_number().over(Window.orderBy("c_acctbal", "c_custkey")) - 1) / (n // 3 + 1)))
+    ends = c.agg(F.min("c_acctbal").alias("lo"), F.max("c_acctbal").alias("hi"), F.count("*").alias("n"))
+    part = F.least(F.floor((F.col("c_acctbal") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * 1000), F.lit(999))
+    c = c.crossJoin(F.broadcast(ends)).withColumn("part", F.coalesce(part, F.lit(0)))
+    before = F.sum("k").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # one row a range
+    bases = c.groupBy("part").agg(F.count("*").alias("k")).select("part", F.coalesce(before, F.lit(0)).alias("base"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("c_acctbal", "c_custkey")) - 1
+    t = c.withColumn("place", place).join(F.broadcast(bases), "part").withColumn("tercile", F.floor((F.col("base") + F.col("place")) / (F.floor(F.col("n") / 3) + 1)))
     w = Window.partitionBy("tercile").orderBy((F.col("c_custkey") * 7919) % 10007, "c_custkey")
     return t.withColumn("pick", F.row_number().over(w)).filter("pick <= 10").select("c_custkey", "tercile")
 

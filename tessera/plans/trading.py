@@ -162,10 +162,43 @@ def j14(spark, sf_dir):
 
 @query("x1_x3_ledger_replay")
 def x1(spark, sf_dir):
-    """Position, average cost, realized profit and rejected sells of each code."""
+    """Position, average cost, realized profit and rejected sells of each code, without cash."""
     return ledger.replay(_numbered(spark, sf_dir), ["id"]).select("code", "held", F.round("cost", 6).alias("cost"), F.round("pnl", 4).alias("pnl"), "rejected", "filled")
 
 
+CASH = 100_000.0
+_ACCOUNTS = f"""acc AS (SELECT o_custkey AS account, code, direction, price, volume, CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY o_custkey ORDER BY {_O}) AS i FROM trades JOIN orders ON l_orderkey = o_orderkey),
+run AS (SELECT DISTINCT account, 0::BIGINT AS i, {CASH}::DOUBLE AS cash, MAP([]::VARCHAR[], []::STRUCT(held DOUBLE, cost DOUBLE, today DOUBLE, day DATE)[]) AS pos, 0::DOUBLE AS pnl, 0::BIGINT AS filled, 0::BIGINT AS no_cash, 0::BIGINT AS no_shares FROM acc
+  UNION ALL SELECT account, i, CASE WHEN bought THEN cash - price * volume * 1.0003::DOUBLE WHEN sold THEN cash + price * volume * 0.9987::DOUBLE ELSE cash END,
+    CASE WHEN bought THEN map_concat(pos, MAP([code], [{{'held': held + volume, 'cost': (held * cost + price * volume) / (held + volume), 'today': today + volume, 'day': day}}])) WHEN sold THEN map_concat(pos, MAP([code], [{{'held': held - volume, 'cost': cost, 'today': today, 'day': day}}])) ELSE pos END,
+    CASE WHEN sold THEN pnl + (price - cost) * volume ELSE pnl END, filled + (bought OR sold)::BIGINT, no_cash + (direction = 'buy' AND NOT bought)::BIGINT, no_shares + (direction = 'sell' AND NOT sold)::BIGINT
+  FROM (SELECT *, direction = 'buy' AND cash >= price * volume * 1.0003::DOUBLE AS bought, direction = 'sell' AND held - today >= volume AS sold FROM (
+    SELECT a.*, r.cash, r.pos, r.pnl, r.filled, r.no_cash, r.no_shares, coalesce(r.pos[a.code].held, 0) AS held, coalesce(r.pos[a.code].cost, 0) AS cost, CASE WHEN r.pos[a.code].day = a.day THEN r.pos[a.code].today ELSE 0 END AS today
+    FROM run r JOIN acc a ON a.account = r.account AND a.i = r.i + 1))),
+done AS (SELECT * FROM run QUALIFY row_number() OVER (PARTITION BY account ORDER BY i DESC) = 1)"""
+
+
+def _accounts(spark, sf_dir):
+    owner = p.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("account"))
+    return ledger.account_ledger(p.trades(spark, sf_dir).join(owner, "l_orderkey"), _ORDER, CASH)
+
+
+@query("x1_x2_account_ledger", with_(TRADES, _ACCOUNTS) + f"SELECT account, {q.rnd('cash', 3)} AS cash, {q.rnd('pnl', 3)} AS pnl, filled, no_cash, no_shares FROM done")
+def x1_cash(spark, sf_dir):
+    """Each customer's account from 100,000 on: fees, buys beyond the cash and sells beyond what may be sold."""
+    return _accounts(spark, sf_dir).select("account", rnd("cash", 3).alias("cash"), rnd("pnl", 3).alias("pnl"), "filled", "no_cash", "no_shares")
+
+
+@query("x3_marked_positions", with_(TRADES, BARS, _ACCOUNTS) + f""", last AS (SELECT code, arg_max(close, date) AS price FROM bars GROUP BY 1),
+open AS (SELECT account, UNNEST(map_keys(pos)) AS code, UNNEST(map_values(pos)) AS own FROM done)
+SELECT account, code, own.held AS held, {q.rnd('own.cost', 4)} AS cost, {q.rnd('price', 4)} AS price, {q.rnd('(price - own.cost) * own.held', 3)} AS unrealized, {q.rnd('(price / own.cost - 1) * 100', 4)} AS pnl_ratio FROM open JOIN last USING (code) WHERE own.held > 0""")
+def x3(spark, sf_dir):
+    """Open positions at each code's last close."""
+    last = p.bars(spark, sf_dir).groupBy("code").agg(F.max_by("close", "date").alias("price"))
+    x = ledger.marked_positions(_accounts(spark, sf_dir), last)
+    return x.select("account", "code", "held", rnd("cost", 4).alias("cost"), rnd("price", 4).alias("price"), rnd("unrealized", 3).alias("unrealized"), rnd("pnl_ratio", 4).alias("pnl_ratio"))
+
+
 @query("a22_sellable", with_(TRADES) + "SELECT code, sum(CASE WHEN direction = 'buy' AND CAST(ts AS DATE) < DATE '2001-06-01' THEN volume WHEN direction = 'sell' THEN -volume ELSE 0 END) AS sellable FROM trades WHERE CAST(ts AS DATE) <= DATE '2001-06-01' GROUP BY code")
 def a22(spark, sf_dir):
     """Bought before the day less all sold."""
@@ -177,13 +210,33 @@ def a22(spark, sf_dir):
 @query("a11_attribution", with_(TRADES) + """, r AS (SELECT code, direction, strftime(ts, '%Y-%m') AS month, (price - 1500) * volume AS pnl FROM trades)
 SELECT kind, bucket, count(*) AS n, round(avg((pnl > 0)::INT), 3) AS win_rate, round(sum(pnl), 1) AS net_pnl FROM (SELECT 'code' AS kind, code AS bucket, pnl FROM r UNION ALL SELECT 'direction', direction, pnl FROM r UNION ALL SELECT 'month', month, pnl FROM r) GROUP BY 1, 2""")
 def a11(spark, sf_dir):
-    """Buckets of several groupings in one pass by grouping sets."""
+    """Buckets of several groupings in one pass by grouping sets."""
     r = p.trades(spark, sf_dir).select("code", "direction", F.date_format("ts", "yyyy-MM").alias("month"), ((F.col("price") - 1500) * F.col("volume")).alias("pnl"))
-    g = r.groupingSets([["code"], ["direction"], ["month"]], "code", "direction", "month").agg(F.count("*").alias("n"), F.round(F.avg((F.col("pnl") > 0).cast("double")), 3).alias("win_rate"), F.round(F.sum("pnl"), 1).alias("net_pnl"))
-    kind = F.when(F.col("code").isNotNull(), "code").when(F.col("direction").isNotNull(), "direction").otherwise("month")
+    g = r.groupingSets([["code"], ["direction"], ["month"]], "code", "direction", "month").agg(F.count("*").alias("n"), F.round(F.avg((F.col("pnl") > 0).cast("double")), 3).alias("win_rate"), F.round(F.sum("pnl"), 1).alias("net_pnl"), F.grouping_id().alias("_id"))
+    kind = F.when(F.col("_id") == 3, "code").when(F.col("_id") == 5, "direction").otherwise("month")
     return g.select(kind.alias("kind"), F.coalesce("code", "direction", "month").alias("bucket"), "n", "win_rate", "net_pnl")
 
 
+_CLOSED = """closed AS (SELECT (price - 1500) * volume AS pnl, nullif(direction, 'sell') AS reason, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_linenumber::VARCHAR END AS strategy, strftime(ts, '%Y-%m') AS month, l_partkey AS k FROM trades),
+marked AS (SELECT *, CASE WHEN k % 2 = 0 THEN '是' ELSE '否' END AS ma, CASE WHEN k % 3 = 0 THEN '是' ELSE '否' END AS macd, CASE WHEN k % 5 = 0 THEN '是' ELSE '否' END AS kdj, CASE k % 4 WHEN 0 THEN '超买' WHEN 1 THEN '超卖' ELSE '正常' END AS rsi, CASE WHEN k % 7 < 2 THEN '放量' ELSE '正常' END AS vol, k % 6 AS t FROM closed),
+g AS (SELECT pnl, UNNEST([{'kind': 'strategy', 'bucket': coalesce(strategy, '未知')}, {'kind': 'reason', 'bucket': coalesce(reason, '未知')}, {'kind': 'month', 'bucket': month},
+  {'kind': 'factor_signal', 'bucket': CASE WHEN (ma = '是' AND macd = '是') OR (kdj = '是' AND vol = '放量') THEN '强因子共振' ELSE '弱因子/AI主观' END}, {'kind': 'ma', 'bucket': '均线多头=' || ma}, {'kind': 'rsi', 'bucket': 'RSI=' || rsi}, {'kind': 'macd', 'bucket': 'MACD金叉=' || macd},
+  {'kind': 'kdj', 'bucket': 'KDJ金叉=' || kdj}, {'kind': 'volume', 'bucket': '量=' || vol}, {'kind': 'turnover', 'bucket': '换手=' || CASE WHEN t < 1 THEN '<1%' WHEN t < 3 THEN '1-3%' WHEN t < 5 THEN '3-5%' ELSE '>5%' END}]) AS g FROM marked),
+s AS (SELECT g.kind AS kind, g.bucket AS bucket, count(*) AS n, round(avg((pnl > 0)::INT), 3) AS win_rate, round(sum(pnl), 1) AS net_pnl FROM g GROUP BY 1, 2)"""
+
+
+@query("a11_a12_attribution_report", with_(TRADES, _CLOSED) + "SELECT *, row_number() OVER (PARTITION BY kind ORDER BY net_pnl DESC, bucket)::INT AS place FROM s")
+def a11_report(spark, sf_dir):
+    """Count, share won and net of closed trades in ten groupings, by net."""
+    t = p.trades(spark, sf_dir)
+    k, yes = F.col("l_partkey"), lambda n: F.when(F.col("l_partkey") % n == 0, "是").otherwise("否")
+    rsi = F.when(k % 4 == 0, "超买").when(k % 4 == 1, "超卖").otherwise("正常")
+    text = F.concat(F.lit("均线多头="), yes(2), F.lit(" RSI状态="), rsi, F.lit(" MACD金叉="), yes(3), F.lit(" KDJ金叉="), yes(5), F.lit(" 成交量状态="), F.when(k % 7 < 2, "放量").otherwise("正常"), F.lit(" 换手率="), (k % 6).cast("string"), F.lit("%"))
+    strategy = F.when(F.col("l_linenumber") != 7, F.col("l_linenumber").cast("string"))
+    closed = t.select(((F.col("price") - 1500) * F.col("volume")).alias("pnl"), F.nullif("direction", F.lit("sell")).alias("reason"), strategy.alias("strategy"), F.date_format("ts", "yyyy-MM").alias("month"), text.alias("indicators"))
+    return signals.attribution(closed)
+
+
 @query("x4_order_sizing", "SELECT s_suppkey, CAST(floor(greatest(least(1e6 * 0.2, s_acctbal * 30, 1e6 * 0.05), 0) / (10 + s_suppkey % 90) / 100) * 100 AS BIGINT) AS volume FROM supplier")
 def x4(spark, sf_dir):
     """Lots of 100 within the ratio, the room and the single-name cap."""

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from tessera.functions.columns import clip, ic_stats, rank_ic, rnd, safe_corr, winsorize, zscore
 from tessera.operators import models
 from tessera.plans import sql as q
+from tessera.plans.backtest import REGIME, regimes
 from tessera.plans.factors import FACTOR_CTES, factor_table
-from tessera.plans.sql import BARS, CAL, ENDS, INDUSTRY, with_
+from tessera.plans.sql import BARS, CAL, ENDS, INDEX, INDUSTRY, with_
 from tessera.registry import query
 from tessera.sources import panel as p
 
@@ -200,3 +201,25 @@ def t4(spark, sf_dir):
     return monthly(spark, sf_dir).filter("mom_1 is not null and fwd is not null").groupBy("month").agg(F.round(safe_corr("mom_1", "fwd"), 6).alias("corr"))
 
 
+
+
+@query("a10_horizon_ic", with_(*MONTHLY_CTES, LONG) + """, h AS (SELECT unnest([21, 42, 63]) AS h), calx AS (SELECT date, row_number() OVER (ORDER BY date) AS cal_idx FROM (SELECT DISTINCT date FROM bars)),
+keyed AS (SELECT b.code, c.cal_idx, b.close, b.date FROM bars b JOIN calx c USING (date)), lasts AS (SELECT date_trunc('month', date) AS month, max(date) AS date FROM calx GROUP BY 1),
+far AS (SELECT a.code, CAST(l.month AS DATE) AS month, CAST(h.h AS BIGINT) AS horizon, """ + q.rnd("k.close / nullif(a.close, 0) - 1") + """ AS ret FROM keyed a JOIN lasts l USING (date) CROSS JOIN h JOIN keyed k ON k.code = a.code AND k.cal_idx = a.cal_idx + h.h),
+decay AS (SELECT l.factor, l.month, l.code, l.value, far.horizon, far.ret AS fwd FROM long l JOIN far ON far.code = l.code AND far.month = CAST(l.month AS DATE))"""
+       + _RANKS.format(by="factor, horizon, month", src="decay", least=5) + f" SELECT factor, horizon, {_STATS} FROM ics WHERE ic IS NOT NULL GROUP BY factor, horizon")
+def a10(spark, sf_dir):
+    """How the rank correlation of each factor decays over 21, 42 and 63 days."""
+    far = m4(spark, sf_dir).select("code", F.trunc("date", "MM").alias("month"), "horizon", F.col("fwd").alias("ret"))
+    rows = long_monthly(spark, sf_dir).select("factor", "code", F.to_date("month").alias("month"), "value").join(far, ["code", "month"])
+    return ic_stats(rank_ic(rows, "value", "ret", ["factor", "horizon", "month"]).filter("ic is not null"), ["factor", "horizon"])
+
+
+@query("a9_regime_ic", with_(*MONTHLY_CTES, LONG, INDEX, REGIME) + _RANKS.format(by="factor, month", src="long", least=5) + f""", label AS (SELECT CAST(date_trunc('month', date) AS DATE) AS month, max_by(regime, date) AS regime FROM regimes GROUP BY 1),
+r AS (SELECT factor, ic, coalesce(regime, 'none') AS regime FROM ics LEFT JOIN label ON label.month = CAST(ics.month AS DATE) WHERE ic IS NOT NULL) SELECT factor, regime, {_STATS} FROM r GROUP BY factor, regime""")
+def a9(spark, sf_dir):
+    """Rank correlations by the index's regime at the end of the month."""
+    index = p.index_series(spark, sf_dir).withColumn("code", F.lit("index"))
+    label = regimes(index).groupBy(F.trunc("date", "MM").alias("month")).agg(F.max_by("regime", "date").alias("regime"))
+    ics = rank_ic(long_monthly(spark, sf_dir), "value", "fwd", ["factor", "month"]).filter("ic is not null").withColumn("month", F.to_date("month"))
+    return ic_stats(ics.join(F.broadcast(label), "month", "left").fillna("none", ["regime"]), ["factor", "regime"])
