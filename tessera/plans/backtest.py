@@ -7,11 +7,12 @@ from functools import reduce
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import by_code, pct_change, roll
+from tessera.functions.columns import by_code, pct_change, rnd, roll
 from tessera.operators import backtest as bt
 from tessera.operators import models
 
-from tessera.plans.factors import FACTOR_CTES, factor_table
+from tessera.plans import sql as q
+from tessera.plans.factors import FACTOR_CTES, baseline_factors, factor_table
 from tessera.plans.sql import CAL, ENDS, INDEX, with_
 from tessera.registry import query
 from tessera.sources import panel as p
@@ -26,12 +27,12 @@ _QUOTES = f"""quotes AS (
     SELECT b.*, cal_idx, row_number() OVER w AS listed, CASE WHEN lag(cal_idx) OVER w = cal_idx - 1 THEN lag(close) OVER w END AS prev_close FROM bars b JOIN cal USING (date) WINDOW w AS (PARTITION BY code ORDER BY date)))"""
 
 
-def _run(score: str, ascending: bool = False, quantile: float = 0.2, listed: int = 120) -> str:
+def _run(score: str, ascending: bool = False, quantile: float = 0.2, listed: int = 120, holdings: int = 20, source: str = "factors") -> str:
     return f"""good AS (
-  SELECT pr.*, f.code, f.{score} AS score, e.open AS entry_open FROM periods pr JOIN factors f ON f.date = pr.signal JOIN quotes s ON s.code = f.code AND s.date = pr.signal
+  SELECT pr.*, f.code, f.{score} AS score, e.open AS entry_open FROM periods pr JOIN {source} f ON f.date = pr.signal JOIN quotes s ON s.code = f.code AND s.date = pr.signal
   JOIN quotes e ON e.code = f.code AND e.date = pr.entry WHERE f.{score} IS NOT NULL AND s.listed >= {listed} AND e.volume > 0 AND s.close BETWEEN 3 AND 1e9 AND NOT e.capped),
 picks AS (SELECT *, 1.0::DOUBLE / take AS weight FROM (SELECT *, row_number() OVER (PARTITION BY signal ORDER BY score {'' if ascending else 'DESC'}, code) AS rank,
-  least(greatest(1, CAST(floor(count(*) OVER (PARTITION BY signal) * {quantile}::DOUBLE) AS BIGINT)), 20) AS take FROM good) WHERE rank <= take),
+  least(greatest(1, CAST(floor(count(*) OVER (PARTITION BY signal) * {quantile}::DOUBLE) AS BIGINT)), {holdings}) AS take FROM good) WHERE rank <= take),
 held AS (SELECT k.*, (SELECT arg_min(x.open, x.cal_idx) FROM quotes x WHERE x.code = k.code AND x.cal_idx BETWEEN k.exit_idx AND k.exit_idx + 9 AND NOT x.blocked) AS exit_open FROM picks k),
 nav0 AS (SELECT signal, entry, exit, count(*) AS names, avg((exit_open IS NOT NULL)::INT) AS tradable,
   coalesce(sum(CASE WHEN entry_open > 0 AND exit_open > 0 THEN weight * (exit_open / entry_open - 1) - (2 * greatest(1000000 * weight * 0.00025::DOUBLE, 5.0) + 1000000 * weight * (0.001::DOUBLE + 0.001::DOUBLE * 2 + 0.00001::DOUBLE * 2)) / 1000000 END), 0) AS period_ret
@@ -83,6 +84,25 @@ def a6(spark, sf_dir):
     return _rebalanced(spark, sf_dir, "mom_1", RULES).groupBy(half.alias("half")).agg(F.count("*").alias("periods"), F.round(F.product(1 + F.col("period_ret")) - 1, 5).alias("ret"))
 
 
+_BASELINES = [("BL1", "constant", 1.0, 10_000), ("BL2", "hist_mean", 0.2, 20), ("BL3", "constant", 1.0, 10_000), ("BL4", "mom_12_1", 0.2, 20)]
+_BASELINE = """base AS (SELECT b.code, b.date, mom_12_1, 0.0::DOUBLE AS constant, h.hist_mean FROM factors b LEFT JOIN (SELECT code, date, lag(r) OVER (PARTITION BY code ORDER BY date) AS hist_mean FROM (
+  SELECT code, date, close / nullif(lag(close, 60) OVER (PARTITION BY code ORDER BY date), 0) - 1 AS r FROM bars)) h ON h.code = b.code AND h.date = b.date AND h.date >= (SELECT min(date) + 60 FROM bars))"""
+
+
+@query("m28_baselines", " UNION ALL ".join(f"SELECT * FROM ({with_(*_BASE, _BASELINE, _run(c, quantile=qt, holdings=k, source='base'))} SELECT '{n}' AS baseline, count(*) AS periods, round(avg(names), 4) AS names, round(avg(period_ret), 6) AS mean_ret, round(product(1 + period_ret) - 1, 4) AS total_return FROM nav0)" for n, c, qt, k in _BASELINES))
+def m28(spark, sf_dir):
+    """Random walk and equal weight (all names), historical mean and 12-1 momentum, each as a backtest."""
+    own = baseline_factors(spark, sf_dir)
+    momentum = factor_table(spark, sf_dir, ["mom_12_1"]).select("code", "date", "mom_12_1")
+    b = p.bars(spark, sf_dir)
+    runs = []
+    for name, column, share, holdings in _BASELINES:
+        rules = bt.Rules(max_price=1e9, top_quantile=share, max_holdings=holdings)
+        runs.append(bt.rebalance(b, momentum if column == "mom_12_1" else own, column, bt.Costs(), rules).withColumn("baseline", F.lit(name)))
+    return reduce(lambda x, y: x.unionByName(y), runs).groupBy("baseline").agg(
+        F.count("*").alias("periods"), F.round(F.avg("names"), 4).alias("names"), F.round(F.avg("period_ret"), 6).alias("mean_ret"), F.round(F.product(1 + F.col("period_ret")) - 1, 4).alias("total_return"))
+
+
 @query("m26_sensitivity", " UNION ALL ".join(f"SELECT * FROM ({with_(*_BASE, _run('mom_1', quantile=qt, listed=ld))} SELECT '{n}' AS variant, count(*) AS periods, round(avg(period_ret), 6) AS mean_ret FROM nav0)" for n, qt, ld in [("base", 0.2, 120), ("q_low", 0.16, 120), ("q_high", 0.24, 120), ("listed_low", 0.2, 96), ("listed_high", 0.2, 144)]))
 def m26(spark, sf_dir):
     """Five variants of the quantile and listed days."""
@@ -110,10 +130,19 @@ def regimes(index):
 
 @query("m13_rule_regimes", with_(INDEX, REGIME) + "SELECT date, regime FROM regimes")
 def m13(spark, sf_dir):
-    """Labels by moving averages and volatility."""
+    """Labels by moving averages and volatility."""
     return regimes(p.index_series(spark, sf_dir).withColumn("code", F.lit("index"))).select("date", "regime")
 
 
+@query("m14_regime_metrics", with_(INDEX, REGIME) + f"""SELECT count(*) AS days, {q.rnd('max_by(close, date)', 4)} AS close, {q.rnd('max_by(ma20, date)', 4)} AS ma20, {q.rnd('max_by(ma60, date)', 4)} AS ma60, {q.rnd('max_by(vol, date)')} AS vol_20d, {q.rnd('max_by(close / nullif(ma60, 0) - 1, date)')} AS deviation, max_by(regime, date) AS state
+FROM (SELECT r.date, r.close, r.regime, x.ma20, x.ma60, stddev_samp(x.r) OVER (ORDER BY r.date ROWS 19 PRECEDING) * sqrt(252) AS vol FROM regimes r JOIN idxw x USING (date))""")
+def m14(spark, sf_dir):
+    """The last day's means, volatility, deviation and state."""
+    r = regimes(p.index_series(spark, sf_dir).withColumn("code", F.lit("index"))).withColumn("deviation", F.col("close") / F.nullif("ma60", F.lit(0.0)) - 1)
+    at = lambda c, n, digits=6: rnd(F.max_by(c, "date"), digits).alias(n)
+    return r.agg(F.count("*").alias("days"), at("close", "close", 4), at("ma20", "ma20", 4), at("ma60", "ma60", 4), at("vol", "vol_20d"), at("deviation", "deviation"), F.max_by("regime", "date").alias("state"))
+
+
 @query("a26_month_regime", with_(INDEX, REGIME) + "SELECT CAST(date_trunc('month', date) AS DATE) AS month, max_by(regime, date) AS regime, max(date) AS last_day FROM regimes GROUP BY 1")
 def a26(spark, sf_dir):
     """The last label of each month."""
@@ -131,6 +160,13 @@ def j10(spark, sf_dir):
     return x.groupBy("regime").agg(F.count("*").alias("periods"), F.round(F.product(1 + F.col("period_ret")) - 1, 5).alias("ret"))
 
 
+@query("m18_both_regimes")
+def m18(spark, sf_dir):
+    """Each trading day with the rule's label and that of the hidden Markov model, null where it has none."""
+    rule = regimes(p.index_series(spark, sf_dir).withColumn("code", F.lit("index"))).select("date", F.col("regime").alias("rule"))
+    return rule.join(m15(spark, sf_dir).select("date", "hmm"), "date", "left")
+
+
 @query("m15_m17_hmm_regimes")
 def m15(spark, sf_dir):
     """Features by windows, states by a two-state hidden Markov model, label with the 60-day mean."""

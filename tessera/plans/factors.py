@@ -156,11 +156,15 @@ def valuation_ffill(spark, sf_dir):
 , hist AS (SELECT code, date, close / nullif(lag(close, 60) OVER w, 0) - 1 AS r FROM bars WINDOW w AS (PARTITION BY code ORDER BY date))
 SELECT code, date, round(lag(r, 1) OVER (PARTITION BY code ORDER BY date), 6) AS hist_mean, CAST(0.0 AS DOUBLE) AS constant FROM hist
 QUALIFY date >= (SELECT min(date) + 60 FROM bars)""")
-def baseline_factors(spark, sf_dir):
+def fa19(spark, sf_dir):
     """FA19 (the 60-row change, one row late) and FA20 (constant); dates from 60 days after the first."""
+    return baseline_factors(spark, sf_dir).withColumn("hist_mean", F.round("hist_mean", 6))
+
+
+def baseline_factors(spark, sf_dir) -> DataFrame:
     b = p.bars(spark, sf_dir)
     w = Window.partitionBy("code").orderBy("date")
     r = b.withColumn("r", F.col("close") / F.nullif(F.lag("close", 60).over(w), F.lit(0.0)) - 1)
     first = b.agg(F.date_add(F.min("date"), 60).alias("first"))
-    out = r.select("code", "date", F.round(F.lag("r").over(w), 6).alias("hist_mean"), F.lit(0.0).alias("constant"))
+    out = r.select("code", "date", F.lag("r").over(w).alias("hist_mean"), F.lit(0.0).alias("constant"))
     return out.join(F.broadcast(first), F.col("date") >= F.col("first")).drop("first")

@@ -194,20 +194,61 @@ def x15(spark, sf_dir):
     return e.select("user_id", "event_id", F.coalesce("n", F.first("n", ignorenulls=True).over(w)).alias("name"))
 
 
-#: Share of the account by regime and its horizon weights.
-LIMITS = {"bull": 1.0, "bear": 0.5, "range": 0.7}
+#: Share of the account by regime, the other limits, and the weights of short, medium and long.
+LIMITS, OTHER_LIMIT = {"bull": 1.0, "bear": 0.5, "range": 0.7}, 0.4
+SINGLE, LEAST_CASH = 0.05, 0.30
+WEIGHTS, BULL_WEIGHTS = (0.5, 0.3, 0.2), (0.6, 0.3, 0.1)
+_CONTRACT = "max_position_pct double, max_total_position double, single_stock_pct double, max_position_size double, min_cash_pct double, weights struct<short: double, medium: double, long: double>"
 
 
-@query("m30_contract", "SELECT r_regionkey, CAST(CASE r_regionkey % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 WHEN 2 THEN 0.7 ELSE 0.4 END AS DOUBLE) AS max_total, CAST(CASE WHEN r_regionkey % 4 = 0 THEN 0.6 ELSE 0.5 END AS DOUBLE) AS short_weight FROM region")
+def contract(regime):
+    """The risk limits and horizon weights of a regime, as a struct."""
+    limit = F.lit(OTHER_LIMIT)
+    for name, value in LIMITS.items():
+        limit = F.when(regime.startswith(name), value).otherwise(limit)
+    weights = [F.when(regime.startswith("bull"), b).otherwise(w).alias(n) for b, w, n in zip(BULL_WEIGHTS, WEIGHTS, ("short", "medium", "long"), strict=True)]
+    one, cash = F.lit(SINGLE), F.lit(LEAST_CASH)
+    return F.struct(limit.alias("max_position_pct"), limit.alias("max_total_position"), one.alias("single_stock_pct"), one.alias("max_position_size"), cash.alias("min_cash_pct"), F.struct(*weights).alias("weights"))
+
+
+_LIMIT_SQL = "CAST(CASE r_regionkey % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 WHEN 2 THEN 0.7 ELSE 0.4 END AS DOUBLE)"
+
+
+def _contracts(spark, sf_dir):
+    regime = F.element_at(F.array(F.lit("bull"), F.lit("bear"), F.lit("range"), F.lit("other")), (F.col("r_regionkey") % 4 + 1).cast("int"))
+    return p.table(spark, sf_dir, "region").select("r_regionkey", F.from_json(F.to_json(contract(regime)), _CONTRACT).alias("c"))
+
+
+@query("m30_contract", f"SELECT r_regionkey, {_LIMIT_SQL} AS max_position_pct, {_LIMIT_SQL} AS max_total_position, 0.05::DOUBLE AS single_stock_pct, 0.05::DOUBLE AS max_position_size, 0.3::DOUBLE AS min_cash_pct, CAST(CASE WHEN r_regionkey % 4 = 0 THEN 0.6 ELSE 0.5 END AS DOUBLE) AS short, 0.3::DOUBLE AS medium, CAST(CASE WHEN r_regionkey % 4 = 0 THEN 0.1 ELSE 0.2 END AS DOUBLE) AS long FROM region")
 def m30(spark, sf_dir):
     """Limits and weights by regime, sent as JSON and read back."""
-    regime = F.element_at(F.array(F.lit("bull"), F.lit("bear"), F.lit("range"), F.lit("other")), (F.col("r_regionkey") % 4 + 1).cast("int"))
-    limit = F.lit(0.4)
-    for name, value in LIMITS.items():
-        limit = F.when(regime == name, value).otherwise(limit)
-    contract = F.to_json(F.struct(limit.cast("double").alias("max_total"), F.struct(F.when(regime == "bull", 0.6).otherwise(0.5).alias("short")).alias("weights")))
-    back = F.from_json(contract, "max_total double, weights struct<short:double>")
-    return p.table(spark, sf_dir, "region").select("r_regionkey", back["max_total"].alias("max_total"), back["weights"]["short"].alias("short_weight"))
+    return _contracts(spark, sf_dir).select("r_regionkey", "c.max_position_pct", "c.max_total_position", "c.single_stock_pct", "c.max_position_size", "c.min_cash_pct", "c.weights.*")
+
+
+#: The parameters that hold where a contract says nothing.
+DEFAULTS = {"max_total_position": 0.8, "single_stock_pct": 0.2, "max_hold_days": 30.0}
+
+
+@query("g17_effective_parameters", f"SELECT r_regionkey, k AS key, CASE k WHEN 'max_total_position' THEN {_LIMIT_SQL} WHEN 'single_stock_pct' THEN 0.05::DOUBLE ELSE 30.0::DOUBLE END AS value, k <> 'max_hold_days' AS by_contract FROM region CROSS JOIN (SELECT UNNEST(['max_total_position', 'single_stock_pct', 'max_hold_days']) AS k)")
+def g17(spark, sf_dir):
+    """Stored parameters with the contract's limits laid over them."""
+    over = F.create_map(*[x for k in ("max_total_position", "single_stock_pct") for x in (F.lit(k), F.col(f"c.{k}"))])
+    rows = _contracts(spark, sf_dir).withColumn("over", over).select("r_regionkey", "over", F.explode(F.create_map(*[F.lit(x) for kv in DEFAULTS.items() for x in kv])).alias("key", "stored"))
+    own = F.try_element_at("over", F.col("key"))
+    return rows.select("r_regionkey", "key", F.coalesce(own, "stored").alias("value"), own.isNotNull().alias("by_contract"))
+
+
+@query("m34_landing_checks", f"""SELECT r_regionkey, c AS check_name, CASE c WHEN 'limits_in_range' THEN {_LIMIT_SQL} BETWEEN 0 AND 1 WHEN 'weights_sum_to_one' THEN true WHEN 'single_below_total' THEN 0.05 <= {_LIMIT_SQL} ELSE 1 - 0.3::DOUBLE >= {_LIMIT_SQL} END AS ok
+FROM region CROSS JOIN (SELECT UNNEST(['limits_in_range', 'weights_sum_to_one', 'single_below_total', 'cash_leaves_room']) AS c)""")
+def m34(spark, sf_dir):
+    """What a contract has to hold before it is used, one row a check."""
+    w = F.col("c.weights")
+    checks = {
+        "limits_in_range": F.col("c.max_total_position").between(0, 1), "weights_sum_to_one": F.abs(w["short"] + w["medium"] + w["long"] - 1) < 1e-9,
+        "single_below_total": F.col("c.single_stock_pct") <= F.col("c.max_total_position"), "cash_leaves_room": 1 - F.col("c.min_cash_pct") >= F.col("c.max_total_position"),
+    }
+    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("check_name"), v.alias("ok")) for k, v in checks.items()])).alias("x")
+    return _contracts(spark, sf_dir).select("r_regionkey", rows).select("r_regionkey", "x.*")
 
 
 @query("z15_z19_value_tilt", with_(_SNAP) + "SELECT code, CASE WHEN 1 / nullif(pb, 0) >= 0.75 THEN 'cheap' WHEN 1 / nullif(pb, 0) < 0.25 THEN 'dear' ELSE 'fair' END AS tilt FROM snap")

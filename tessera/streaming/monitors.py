@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -75,6 +75,23 @@ def pending_batches(ticks: DataFrame, threshold: int = 20) -> DataFrame:
     return ticks.groupBy("code").applyInPandasWithState(update, "code long, batches long", "pending long, done long", "update", GroupStateTimeout.NoTimeout)
 
 
+def enriched_batches(ticks: DataFrame, read, keys: list[str], write) -> DataStreamWriter:
+    """Each micro-batch joined with a table that ``read(session)`` gives anew, so its rows are at most one trigger old.
+
+    ``write(frame, batch_id)`` gets the result. A static side that is read once keeps the files that it had at the start.
+    """
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        write(batch.join(read(batch.sparkSession), keys, "left"), batch_id)
+
+    return ticks.writeStream.foreachBatch(each)
+
+
+def run_each(writer: DataStreamWriter, checkpoint: str, every: str) -> StreamingQuery:
+    """Start a stream that is polled each ``every`` ("5 minutes" for positions, "30 minutes" for scans)."""
+    return writer.option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
 def run_available(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Run a stream over what there is into a memory table, as tests and backfills do."""
     query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
