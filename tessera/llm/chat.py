@@ -98,32 +98,45 @@ def canonical_turns(df: DataFrame, id_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("conv_id"), find_layout(df, id_col).turns().cast(_TURN).alias("turns"))
 
 
+def _list_paths(json: Column, field: str, below: list[str]) -> Column:
+    """Which of the paths ``below`` a list has; one without elements may have them all."""
+    none = F.array().cast("array<string>")
+    elements = F.coalesce(F.from_json(F.get_json_object(json, f"$.{field}"), "array<string>"), none)
+    names = F.flatten(F.transform(elements, lambda x: F.coalesce(F.json_object_keys(x), none)))
+    every = F.array(*map(F.lit, below))
+    return F.when(F.size(elements) == 0, every).otherwise(F.filter(every, lambda p: F.array_contains(names, F.substring_index(p, ".", -1))))
+
+
+def _record_paths(json: Column) -> Column:
+    """The field paths of a JSON record that some layout knows, in order."""
+    value, none = F.try_parse_json(json), F.array().cast("array<string>")
+    declared, paths = sorted(set().union(*[x.paths for x in layouts().values()])), none
+    for field in sorted({p.split("[")[0] for p in declared}):
+        kind = F.schema_of_variant(F.try_variant_get(value, f"$.{field}", "variant"))
+        below = [p for p in declared if p.startswith(field + "[].")]
+        if below:
+            own = F.when(kind.startswith("ARRAY"), _list_paths(json, field, below))
+        else:
+            own = F.when(~kind.rlike("^(OBJECT|ARRAY)"), F.array(F.lit(field)))
+        paths = F.concat(paths, F.coalesce(own, none))
+    return F.sort_array(paths)
+
+
 def canonical_json(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
     """``conv_id``, ``layout`` and ``turns`` of JSON records of mixed layouts, each row by its own fingerprint.
 
-    A row's field paths come from the schema of its variant with the scalar types taken out. A record that no
-    layout fits, null or not JSON has a null layout and no turns.
+    As with frames, fields that no layout knows are left out, so a record may have an id or a source of its own. A list
+    without elements gives no turns. A record that no layout fits, null or not JSON has a null layout and no turns.
     """
-    value = F.try_parse_json(F.col(json_col))
-    bare = lambda c: F.regexp_replace(F.regexp_replace(c, "VOID|STRING|BIGINT|DOUBLE|BOOLEAN|DECIMAL\\([0-9,]*\\)", "x"), "ARRAY<x>", "x")
-    key = F.sha2(bare(F.schema_of_variant(value)), 256)
+    key = F.sha2(F.array_join(_record_paths(F.col(json_col)), "\n"), 256)
     name, turns = F.lit(None).cast("string"), F.array().cast(_TURN)
-    for layout in layouts().values():
-        mark = F.sha2(F.lit(_variant_shape(T._parse_datatype_string(layout.schema))), 256)
-        record = F.from_json(F.col(json_col), layout.schema)
-        names = T._parse_datatype_string(layout.schema).names
-        mapped = _on_record(layout, record, names)
+    for mark, layout in layouts().items():
+        mapped = _on_record(layout, F.from_json(F.col(json_col), layout.schema), T._parse_datatype_string(layout.schema).names)
         name = F.when(key == mark, layout.name).otherwise(name)
         turns = F.when(key == mark, mapped).otherwise(turns)
     return df.select(F.col(id_col).alias("conv_id"), name.alias("layout"), turns.alias("turns"))
 
 
-def _variant_shape(schema: T.DataType) -> str:
-    if isinstance(schema, T.StructType):
-        return "OBJECT<" + ", ".join(f"{f.name}: {_variant_shape(f.dataType)}" for f in sorted(schema.fields, key=lambda f: f.name)) + ">"
-    return f"ARRAY<{_variant_shape(schema.elementType)}>" if isinstance(schema, T.ArrayType) else "x"
-
-
 def _on_record(layout: Layout, record: Column, names: list[str]) -> Column:
     if layout.name in ("messages", "turns", "shared"):
         role, text = ("from", "value") if layout.name == "shared" else ("role", "content" if layout.name == "messages" else "text")

@@ -36,13 +36,22 @@ def repeated_slots(text_rows: DataFrame, text: str, bits: int) -> DataFrame:
     )
 
 
+def _tested(rows: DataFrame, filters: DataFrame, h1: str, h2: str, maybe: str, work: str) -> DataFrame:
+    """``rows`` with ``maybe``: both slots (h1, h2, which go) are set in the filter."""
+    for slot, end in ((h1, "1"), (h2, "2")):
+        side = filters.select(F.col("bucket").alias(work + end), F.col("bitmap").alias(maybe + end))
+        rows = rows.join(side, F.bitmap_bucket_number(slot) == F.col(work + end), "left").withColumn(maybe + end, _bit(F.col(maybe + end), F.col(slot)))
+    return rows.withColumn(maybe, F.col(maybe + "1") & F.col(maybe + "2")).drop(*[x + end for x in (work, maybe) for end in "12"], h1, h2)
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``keep_id``, ``group_size``, ``kept`` and ``text_sha256``.
 
-    Pass 1 counts rows per Bloom slot (two hashes of the text a row; only 64-bit slots shuffle) and packs
-    the slots met more than once into bitmaps. Pass 2 tests each row against them: a row with a slot of
+    Pass 1 counts rows per Bloom slot (two hashes of the text a row; only 64-bit slots shuffle, counted before and after)
+    and packs the slots met more than once into bitmaps. Pass 2 tests each row against them: a row with a slot of
     its own is unique and passes straight through; only the rest shuffle, as (id, SHA-256), and are
-    grouped exactly. The bitmaps are broadcast up to 32 MiB; a larger filter is joined by bucket.
+    grouped exactly. The bitmaps are broadcast up to 32 MiB. A larger filter tests (id, SHA-256, slots) by bucket, and the
+    few groups that come of it are joined to the rows, which then move once; the result is the same.
     Texts with very many copies (at most 1,000 of them) are joined by broadcast, so no key is hot.
 
     A null text counts as empty. A null id is less than any other; a group with null ids alone has a null
@@ -56,22 +65,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     while bits < BITS_PER_ROW * n:
         bits *= 2
     filters = stage(repeated_slots(rows, "t", bits), "bloom")
-    if bits <= MAX_BROADCAST_BITS:
-        filters = F.broadcast(filters)
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    probed = docs.withColumns({sha: F.sha2(text, 256), h1: _slot(text, _SEEDS[0], bits), h2: _slot(text, _SEEDS[1], bits)})
-    one = filters.select(F.col("bucket").alias(top + "1"), F.col("bitmap").alias(maybe + "1"))
-    two = filters.select(F.col("bucket").alias(top + "2"), F.col("bitmap").alias(maybe + "2"))
-    probed = (
-        probed.join(one, F.bitmap_bucket_number(h1) == F.col(top + "1"), "left")
-        .withColumn(maybe, _bit(F.col(maybe + "1"), F.col(h1)))
-        .drop(top + "1", maybe + "1")
-        .join(two, F.bitmap_bucket_number(h2) == F.col(top + "2"), "left")
-        .withColumn(maybe, F.col(maybe) & _bit(F.col(maybe + "2"), F.col(h2)))
-        .drop(top + "2", maybe + "2", h1, h2)
-    )
-    candidates = probed.filter(F.col(maybe))
+    slots = {h1: _slot(text, _SEEDS[0], bits), h2: _slot(text, _SEEDS[1], bits)}
+    hashed = docs.withColumn(sha, F.sha2(text, 256))
+    if bits <= MAX_BROADCAST_BITS:
+        probed = _tested(hashed.withColumns(slots), F.broadcast(filters), h1, h2, maybe, top)
+        candidates = probed.filter(F.col(maybe))
+    else:
+        probed = hashed.withColumn(maybe, F.lit(True))
+        narrow = hashed.withColumns(slots).select(id_col, sha, h1, h2)
+        candidates = _tested(narrow, filters, h1, h2, maybe, top).filter(F.col(maybe))
     groups = stage(
         candidates.groupBy(sha).agg(F.max(id_col).alias(top), F.count("*").alias(size)).filter(F.col(size) > 1), "copies"
     )

@@ -24,6 +24,9 @@ HOT_SHARE = 5_000
 NO_ID = -(2**63)
 _SPACE = b" \t\n\v\f\r"
 _KEY = ["key_hi", "key_lo"]
+_POSTING = "key_hi long, key_lo long, doc long"
+#: Tasks that share the lines of one shard where filters are not broadcast.
+SALTS = 8
 
 
 @dataclass(frozen=True)
@@ -73,7 +76,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _new_postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return stage(_rows(docs, id_col, text_col).mapInArrow(_postings, "key_hi long, key_lo long, doc long"), "postings")
+    return stage(_rows(docs, id_col, text_col).mapInArrow(_postings, _POSTING), "postings")
 
 
 def _count(postings: DataFrame) -> DataFrame:
@@ -103,12 +106,16 @@ def _updated_filters(filters: DataFrame | None, counts: DataFrame, changes: Data
     return stage(parts.groupBy("shard").applyInPandas(update, "shard int, filter binary"), "line-filters")
 
 
+def _shards(repeated: DataFrame) -> int:
+    return max(4, -(-repeated.count() // SHARD_KEYS))
+
+
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> LineIndex:
     """Index the lines of ``docs``; each row is a document."""
     postings = _new_postings(docs, id_col, text_col)
     counts = stage(_count(postings), "line-counts")
     repeated = counts.filter(F.col("n_docs") >= min_docs)
-    shards = max(4, -(-repeated.count() // SHARD_KEYS))
+    shards = _shards(repeated)
     filters = _updated_filters(None, counts, repeated.select(*_KEY, F.lit(1).alias("change")).limit(0), shards, min_docs)
     return LineIndex(postings, counts, filters, shards, min_docs)
 
@@ -124,15 +131,27 @@ def _moved(index: LineIndex, touched: DataFrame, counts: DataFrame) -> DataFrame
 
 
 def add_documents(index: LineIndex, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
-    """The index with ``docs`` added; only their keys are counted and only changed shards gain fingerprints."""
+    """The index with ``docs`` added; only their keys are counted and only changed shards gain fingerprints.
+
+    An id that the index has already is the same document once more: its old lines go first, so adding twice
+    counts once. The filters are dealt anew when the repeated keys are four times what the shards are meant for.
+    """
+    known = index.postings.select("doc").distinct().join(docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc")).filter(F.col("doc") != NO_ID).distinct(), "doc", "left_semi")
+    known = stage(known, "line-known")
+    if known.head(1):
+        index = remove_documents(index, known)
     new = _new_postings(docs, id_col, text_col)
     counts = stage(
         index.counts.unionByName(_count(new)).groupBy(*_KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc")),
         "line-counts",
     )
-    changes = _moved(index, new.select(*_KEY).distinct(), counts)
-    filters = _updated_filters(index.filters, counts, changes, index.shards, index.min_docs)
-    return LineIndex(index.postings.unionByName(new), counts, filters, index.shards, index.min_docs)
+    repeated = counts.filter(F.col("n_docs") >= index.min_docs)
+    shards = _shards(repeated)
+    if shards > 4 * index.shards:
+        filters, shards = _updated_filters(None, counts, repeated.select(*_KEY, F.lit(1).alias("change")).limit(0), shards, index.min_docs), shards
+    else:
+        filters, shards = _updated_filters(index.filters, counts, _moved(index, new.select(*_KEY).distinct(), counts), index.shards, index.min_docs), index.shards
+    return LineIndex(index.postings.unionByName(new), counts, filters, shards, index.min_docs)
 
 
 def remove_documents(index: LineIndex, ids: DataFrame) -> LineIndex:
@@ -146,11 +165,8 @@ def remove_documents(index: LineIndex, ids: DataFrame) -> LineIndex:
     return LineIndex(live.select(*_KEY, "doc"), counts, filters, index.shards, index.min_docs)
 
 
-def _candidates(index: LineIndex, rows: DataFrame) -> DataFrame:
-    """(doc, key) of lines that a filter knows; without a filter of bounded size, of all lines long enough."""
-    size = index.filters.agg(F.sum(F.length("filter"))).first()[0] or 0
-    if size > MAX_FILTER_BYTES:
-        return rows.mapInArrow(_postings, "key_hi long, key_lo long, doc long")
+def _probe_all(index: LineIndex, rows: DataFrame) -> DataFrame:
+    """(key, doc) of lines that a filter knows; all filters are sent to every task."""
     shards = index.shards
     sent = rows.sparkSession.sparkContext.broadcast({r["shard"]: bytes(r["filter"]) for r in index.filters.collect()})
 
@@ -164,7 +180,43 @@ def _candidates(index: LineIndex, rows: DataFrame) -> DataFrame:
                 hit[mine] = one.contains(lo[mine].view(np.uint64))
             yield batch.filter(pa.array(hit))
 
-    return rows.mapInArrow(probe, "key_hi long, key_lo long, doc long")
+    return rows.mapInArrow(probe, _POSTING)
+
+
+def _probe_by_shard(index: LineIndex, rows: DataFrame) -> DataFrame:
+    """The same, where the filters are too large together: lines go to their shard's filter, dealt to SALTS tasks a shard.
+
+    A task reads one filter at a time, ahead of the lines that it tests.
+    """
+    salt = F.pmod(F.xxhash64("key_lo"), F.lit(SALTS)).cast("int")
+    lines = rows.mapInArrow(_postings, _POSTING).select(F.pmod("key_hi", F.lit(index.shards)).cast("int").alias("shard"), salt.alias("salt"), F.lit(1).alias("side"), *_KEY, "doc", F.lit(None).cast("binary").alias("filter"))
+    nothing = [F.lit(0).cast("long").alias(c) for c in (*_KEY, "doc")]
+    filters = index.filters.select("shard", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt"), F.lit(0).alias("side"), *nothing, "filter")
+    dealt = lines.unionByName(filters).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "side")
+
+    def probe(batches):
+        now, of = None, None
+        for batch in batches:
+            shard, side = batch.column("shard").to_numpy(), batch.column("side").to_numpy()
+            for a, b in _runs(2 * shard.astype(np.int64) + side):
+                if side[a] == 0:
+                    now, of = CuckooFilter.from_bytes(batch.column("filter")[a].as_py()), shard[a]
+                elif of == shard[a]:
+                    part = batch.slice(a, b - a)
+                    hit = now.contains(part.column("key_lo").to_numpy().view(np.uint64))
+                    yield part.select([*_KEY, "doc"]).filter(pa.array(hit))
+
+    return dealt.mapInArrow(probe, _POSTING)
+
+
+def _runs(values: np.ndarray):
+    cuts = np.flatnonzero(np.diff(values)) + 1
+    return zip([0, *cuts.tolist()], [*cuts.tolist(), len(values)], strict=True) if len(values) else ()
+
+
+def _candidates(index: LineIndex, rows: DataFrame) -> DataFrame:
+    size = index.filters.agg(F.sum(F.length("filter"))).first()[0] or 0
+    return _probe_all(index, rows) if size <= MAX_FILTER_BYTES else _probe_by_shard(index, rows)
 
 
 def _dropped(index: LineIndex, rows: DataFrame) -> DataFrame:

@@ -379,7 +379,7 @@ def _stars(sets: DataFrame) -> DataFrame:
     one = [F.lit(0).alias("band"), F.lit(0).alias("i")]
     tail = [F.col("set_id").alias("comp"), F.lit(True).alias("native")]
     members = near.join(size, "g").select("g", *one, F.pmod(F.xxhash64("set_id"), "trees").cast("int").alias("j"), F.lit(1).alias("side"), "set_id", *tail)
-    centers = members.select("g", "band", "i", "j").distinct().select("g", "band", "i", "j", F.lit(0).alias("side"), F.col("g").alias("set_id"), F.col("g").alias("comp"), F.lit(True).alias("native"))
+    centers = size.select("g", *one, F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("j"), F.lit(0).alias("side"), F.col("g").alias("set_id"), F.col("g").alias("comp"), F.lit(True).alias("native"))
     return _linked(members.unionByName(centers), sets)
 
 
@@ -428,10 +428,9 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     members = table.filter("kind = 0").select("doc_id", "n", "set_id")
     sets = table.filter("kind = 3").drop("kind", "doc_id")
 
-    links = _stars(sets)
-    links = links.unionByName(_bridges(sets, connected_components(links)))
-
-    comps = connected_components(links)
+    comps = connected_components(_stars(sets))
+    bridged = _bridges(sets, comps)
+    comps = connected_components(comps.toDF("a", "b").unionByName(bridged))
     classes = members.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("first"))
     classes = classes.join(comps, classes.set_id == comps.node, "left").select("set_id", "first", F.coalesce("comp", "set_id").alias("comp"))
     classes = stage(classes, "classes")

@@ -85,7 +85,7 @@ def _epoch(rows, state, turn):
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> dict[str, np.ndarray]:
-    """Weights and factors, learned from at most about MAX_ROWS labelled rows outside the held-out quarter."""
+    """Weights and factors, learned from at most about MAX_ROWS labelled rows outside the held-out quarter; zeros without any."""
     rows = docs.withColumns({"t": F.col(text_col), "stated": F.col(length_col).cast("long")})
     sample = labelled_sample(rows, labels, "quality", MODULUS, REST, MAX_ROWS, ["t", "stated"], id_col)
     start = {
@@ -94,6 +94,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         "gw": np.zeros(WIDTH, np.float32),
         "gv": np.zeros((WIDTH, FACTORS), np.float32),
     }
+    if not sample.head(1):
+        return {k: np.zeros_like(start[k]) for k in ("w", "v")}
     state = fit(sample, start, ROUNDS, _epoch)
     return {k: state[k] for k in ("w", "v")}
 

@@ -16,14 +16,28 @@ MAX_ROWS, MODULUS, REST = 12_000, 3, 1
 THRESHOLD = 0.7
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 2.0, 1.0, 12.0, 0.1
 POSITIVE_WEIGHT = 2.0
+#: What a word pair or skip-pair weighs against a word.
+PAIR = 0.3
+#: Parts of the sample that are scored by a model of the others, to place the threshold.
+FOLDS = 3
+#: The logit of THRESHOLD.
+PLAIN = float(np.log(THRESHOLD / (1 - THRESHOLD)))
 
 
-def features(text: str) -> np.ndarray:
-    """Distinct slots of the words, word pairs and pairs with one word skipped; slot 0 is the intercept."""
+def features(text: str) -> tuple[np.ndarray, int]:
+    """Distinct slots, the intercept's (0) and the words' first, then those of pairs and of pairs with one word skipped; how many come first."""
     h = word_hashes(WORD.findall(text.lower()))
     with np.errstate(over="ignore"):
-        grams = np.concatenate([h, mix(h[:-1] * K1 + h[1:]), mix(h[:-2] * K3 + h[2:])])
-    return np.unique(np.append(grams >> np.uint64(64 - BITS), np.uint64(0))).astype(np.int64)
+        pairs = np.concatenate([mix(h[:-1] * K1 + h[1:]), mix(h[:-2] * K3 + h[2:])])
+    shift = np.uint64(64 - BITS)
+    words = np.unique(np.append(h >> shift, np.uint64(0)))
+    return np.concatenate([words, np.setdiff1d(pairs >> shift, words)]).astype(np.int32), len(words)
+
+
+def _values(many: int, words: int) -> np.ndarray:
+    x = np.full(many, PAIR)
+    x[:words] = 1.0
+    return x
 
 
 def _weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -34,30 +48,61 @@ def _probability(logit: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(logit, -35, 35))))
 
 
-def _epochs(rows, state, turn):
-    z, n = state["z"], state["n"]
-    known = [features(text or "").astype(np.int32) for text in rows["t"]]
-    for at, y in list(zip(known, rows["y"].tolist(), strict=True)) * EPOCHS:
+def _learn(known: list[tuple[np.ndarray, int]], labels: list[int], z: np.ndarray, n: np.ndarray) -> None:
+    """FTRL-proximal steps over the rows, EPOCHS times: each coordinate has its own rate, L1 keeps most weights at zero."""
+    for (at, words), y in list(zip(known, labels, strict=True)) * EPOCHS:
+        x = _values(len(at), words)
         w = _weights(z[at], n[at])
-        g = (_probability(w.sum()) - y) * (POSITIVE_WEIGHT if y else 1.0)
+        g = (_probability(w @ x) - y) * (POSITIVE_WEIGHT if y else 1.0) * x
         root = np.sqrt(n[at])
         z[at] += g - (np.sqrt(n[at] + g * g) - root) / ALPHA * w
         n[at] += g * g
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """Slots and weights that are not zero, learned from at most about MAX_ROWS labelled rows outside the held-out third.
+def best_cut(logits: np.ndarray, labels: np.ndarray) -> float:
+    """The logit that parts the labels with the best F1; that of THRESHOLD where there is nothing to part."""
+    if not 0 < labels.sum() < len(labels):
+        return PLAIN
+    order = np.argsort(-logits, kind="stable")
+    s, y = logits[order], labels[order]
+    hits = np.cumsum(y)
+    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
+    f1[:-1][s[:-1] == s[1:]] = 0  # no cut between equal scores
+    k = int(np.argmax(f1))
+    return min(PLAIN, float((s[k] + s[min(k + 1, len(s) - 1)]) / 2))
+
 
-    Online learning is sequential, so the bounded sample is one shard, gone over EPOCHS times.
+def _epochs(rows, state, turn):
+    known, labels = [features(text or "") for text in rows["t"]], rows["y"].to_numpy()
+    fold, logits = np.arange(len(known)) % FOLDS, np.zeros(len(known))
+    for k in range(FOLDS):
+        z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
+        others = np.flatnonzero(fold != k)
+        _learn([known[i] for i in others], labels[others].tolist(), z, n)
+        w = _weights(z, n)
+        for i in np.flatnonzero(fold == k):
+            at, words = known[i]
+            logits[i] = w[at] @ _values(len(at), words)
+    state["cut"][0] = best_cut(logits, labels)
+    _learn(known, labels.tolist(), state["z"], state["n"])
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray, float]:
+    """Slots and weights that are not zero, and the logit that gets the score THRESHOLD; learned from at most about
+    MAX_ROWS labelled rows outside the held-out third.
+
+    Online learning is sequential, so the bounded sample is one shard, gone over EPOCHS times. L1 draws all logits to
+    zero, the more so in a small sample; so the cut is placed by models that have not seen the rows they score.
     """
     sample = labelled_sample(docs.withColumn("t", F.col(text_col)), labels, "toxic", MODULUS, REST, MAX_ROWS, ["t"], id_col, shards=1)
-    state = fit(sample, {"z": np.zeros(1 << BITS, np.float64), "n": np.zeros(1 << BITS, np.float64)}, 1, _epochs)
+    start = {"z": np.zeros(1 << BITS), "n": np.zeros(1 << BITS), "cut": np.full(1, PLAIN)}
+    state = fit(sample, start, 1, _epochs)
     w = _weights(state["z"], state["n"])
     slots = np.flatnonzero(w)
-    return slots.astype(np.int32), w[slots].astype(np.float32)
+    return slots.astype(np.int32), w[slots].astype(np.float32), float(state["cut"][0])
 
 
-def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``held_out``, ``score`` and ``predicted`` (1 from 0.7 on). Null texts are scored as empty ones.
 
     The sparse weights are broadcast: at most 2^20 of eight bytes, whatever the corpus. An empty table gives an
@@ -66,10 +111,16 @@ def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_col
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        slots, values = sent.value
+        slots, values, cut = sent.value
         w = np.zeros(1 << BITS, np.float32)
         w[slots] = values
-        return lambda texts: [[_probability(float(w[features(t)].sum(dtype=np.float64))) for t in texts]]
+        shift = PLAIN - cut
+
+        def one(text: str) -> float:
+            at, words = features(text)
+            return _probability(float(w[at[:words]].sum(dtype=np.float64) + PAIR * w[at[words:]].sum(dtype=np.float64)) + shift)
+
+        return lambda texts: [list(map(one, texts))]
 
     out = map_text(docs, text_col, {"score": "double"}, make)
     return out.withColumns({"held_out": held_out(id_col, MODULUS, REST), "predicted": (F.col("score") >= THRESHOLD).cast("int")})

@@ -46,6 +46,12 @@ def test_exact_dedup(awkward, nothing):
     assert "lang" in got[0]
 
 
+def test_exact_dedup_beyond_the_broadcast(awkward, monkeypatch):
+    want = sorted((tuple(r) for r in exact_dedup.exact_dedup(awkward).collect()), key=str)
+    monkeypatch.setattr(exact_dedup, "MAX_BROADCAST_BITS", 0)
+    assert sorted((tuple(r) for r in exact_dedup.exact_dedup(awkward).collect()), key=str) == want
+
+
 def test_exact_dedup_hot_text(spark):
     docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("text"))
     got = exact_dedup.exact_dedup(docs)
@@ -185,6 +191,28 @@ def test_line_dedup(awkward, nothing):
     assert set(awkward.columns) <= set(got.columns)
 
 
+def test_line_dedup_beyond_the_broadcast(spark, awkward, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    rows = lambda df: sorted(((r.doc_id, r.kept_text, r.n_dropped) for r in df.collect()), key=str)
+    want = [rows(line_dedup.line_dedup(x)) for x in (docs, awkward)]
+    assert sum(x[2] for x in want[0])
+    monkeypatch.setattr(line_dedup, "MAX_FILTER_BYTES", 0)
+    assert [rows(line_dedup.line_dedup(x)) for x in (docs, awkward)] == want
+
+
+def test_line_dedup_grows(spark, monkeypatch):
+    """Adding known documents again counts them once, and filters are dealt to more shards as the index grows."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    rows = lambda df: sorted((r.doc_id, r.kept_text, r.n_dropped) for r in df.collect())
+    want = rows(line_dedup.line_dedup(docs))
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 1)
+    index = line_dedup.build_index(docs.filter("doc_id < 12"))
+    grown = line_dedup.add_documents(index, docs.filter("doc_id >= 10"))
+    assert grown.shards > index.shards
+    assert rows(line_dedup.apply_index(grown, docs)) == want
+    assert rows(line_dedup.apply_index(line_dedup.add_documents(grown, docs.filter("doc_id < 50")), docs)) == want
+
+
 def test_line_dedup_is_reversible(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     old, new = docs.filter("doc_id < 120"), docs.filter("doc_id >= 120")
@@ -345,12 +373,14 @@ def test_slot_plan_is_best_fit():
 
 def test_chat_layouts(spark):
     records = ['{"prompt":"a|b","completion":"c\\\\d"}', '{"instruction":"i","input":"","output":"o"}', '{"instruction":"i","output":"o"}', '{"messages":[{"role":"user","content":"x"},{"content":"<|end|>\\n","role":"assistant"}]}',
-               '{"conversations":[{"from":"human","value":"h"},{"from":"gpt","value":null}]}', "no json", None, '{"z":1}', '{"messages":[]}']
+               '{"conversations":[{"from":"human","value":"h"},{"from":"gpt","value":null}]}', "no json", None, '{"z":1}', '{"messages":[]}', '{"id":7,"source":"s","prompt":"p","response":"r"}', '{"turns":[{"role":"user","text":"t","at":1},{"text":"u"}],"x":{"y":[1]}}', '{"prompt":{"a":1},"completion":"c"}', '{"messages":[{"content":"c"}]}']
     df = spark.createDataFrame(list(enumerate(records)), "id int, j string")
     turns = chat.canonical_json(df, "id", "j")
     back = {r.conv_id: r for r in chat.read_chat(chat.format_chat(turns.select("conv_id", "turns"))).collect()}
     known = {r.conv_id: r for r in turns.collect()}
     assert [known[i].layout for i in range(8)] == ["prompt", "instruction_input", "instruction", "messages", "shared", None, None, None]
+    assert [known[i].layout for i in range(8, 13)] == ["messages", "prompt_response", "turns", None, None]
+    assert known[8].turns == [] and [tuple(x) for x in known[10].turns] == [("user", "t"), ("", "u")]
     assert all(back[i].turns == known[i].turns for i in known)
     assert [back[i].loss_text for i in range(5)] == ["c\\d", "o", "o", "<|end|>\n", ""]
     with pytest.raises(ValueError, match="no layout"):
@@ -366,20 +396,121 @@ def test_sql_twins(spark, duck, module):
     same_rows(module.query(spark, SF).toPandas(), duck.execute(module.ORACLE).fetchdf())
 
 
-def test_classifiers(spark, awkward, nothing):
+@pytest.mark.parametrize(("module", "label", "train", "score", "recall", "precision"), [
+    (toxicity, "toxic", toxicity.train, toxicity.score_toxicity, 0.83, 0.9),
+    (quality, "quality", quality.train, quality.score_quality, 0.97, 0.97),
+])
+def test_classifiers(spark, awkward, nothing, module, label, train, score, recall, precision):
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     docs = spark.read.parquet(f"{sf}/documents.parquet").join(labels.select("doc_id"), "doc_id", "left_semi")
-    for module, label, train, score, least in ((toxicity, "toxic", toxicity.train, toxicity.score_toxicity, 0.95), (quality, "quality", quality.train, quality.score_quality, 0.97)):
-        model = train(docs, labels)
-        out = score(docs, model).join(labels, "doc_id")
-        held = out.filter("held_out").agg(F.avg((F.col("predicted") == F.col(label)).cast("double"))).first()[0]
-        assert held > least
-        rows = score(awkward, model).collect()
-        assert len(rows) == awkward.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in rows)
-        assert score(nothing, model).count() == 0
-        empty = train(nothing, labels.limit(0))
-        assert score(awkward, empty).count() == awkward.count()
+    model = train(docs, labels)
+    held = score(docs, model).join(labels, "doc_id").filter("held_out")
+    yes, said, both, all_ = held.agg(F.sum(label), F.sum("predicted"), F.sum(F.col(label) * F.col("predicted")), F.count("*")).first()
+    assert both / yes >= recall and both / said >= precision and yes < all_
+    rows = score(awkward, model).collect()
+    assert len(rows) == awkward.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in rows)
+    assert score(nothing, model).count() == 0
+    empty = train(nothing, labels.limit(0))
+    assert {r.predicted for r in score(awkward, empty).collect()} == {0}
+
+
+def labelled(n):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(rng.randint(0, 1), rng.choices(words, k=rng.randint(0, 30))) for _ in range(n)]
+    return [(" ".join([*w, *(["bad", "bad"] if y else ["good"])]), y) for y, w in rows]
+
+
+def test_toxicity_learns_as_plain_ftrl():
+    """Steps coordinate by coordinate give the same weights."""
+    rows = labelled(60)
+    known = [toxicity.features(t) for t, _ in rows]
+    z, n = np.zeros(1 << toxicity.BITS), np.zeros(1 << toxicity.BITS)
+    toxicity._learn(known, [y for _, y in rows], z, n)
+    own_z, own_n = {}, {}
+
+    def weight(i):
+        if abs(own_z.get(i, 0)) <= toxicity.L1:
+            return 0.0
+        sign = 1 if own_z[i] > 0 else -1
+        return -(own_z[i] - sign * toxicity.L1) / ((toxicity.BETA + own_n[i] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.EPOCHS):
+        for (at, words), (_, y) in zip(known, rows, strict=True):
+            x = {int(i): 1.0 if k < words else toxicity.PAIR for k, i in enumerate(at)}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + np.exp(-sum(w[i] * x[i] for i in x)))
+            for i in x:
+                g = (p - y) * (toxicity.POSITIVE_WEIGHT if y else 1.0) * x[i]
+                rate = ((own_n.get(i, 0) + g * g) ** 0.5 - own_n.get(i, 0) ** 0.5) / toxicity.ALPHA
+                own_z[i] = own_z.get(i, 0) + g - rate * w[i]
+                own_n[i] = own_n.get(i, 0) + g * g
+    assert len(own_z) == np.count_nonzero(n) and any(weight(i) for i in own_z)
+    assert all(abs(z[i] - v) < 1e-9 for i, v in own_z.items())
+
+
+def test_best_cut():
+    rng = np.random.default_rng(0)
+    logits, labels = np.round(rng.normal(0, 1, 300), 1), (rng.random(300) < 0.3).astype(int)
+    logits = logits + labels - 2
+    f1 = lambda c: 2 * labels[logits >= c].sum() / ((logits >= c).sum() + labels.sum())
+    assert abs(f1(toxicity.best_cut(logits, labels)) - max(f1(c) for c in logits)) < 1e-12
+    assert toxicity.best_cut(logits, labels * 0) == toxicity.best_cut(logits[:0], labels[:0]) == toxicity.PLAIN
+
+
+def test_quality_pairs_and_gradient():
+    """The sum-of-squares identity against all pairs, and one step against numeric differences."""
+    import pandas as pd
+
+    text, rng = labelled(1)[0][0], np.random.default_rng(3)
+    at, x = quality.features(text, len(text))
+    w, v = rng.normal(0, 1, quality.WIDTH), rng.normal(0, 1, (quality.WIDTH, quality.FACTORS))
+    pairs = sum(v[at[i]] @ v[at[j]] * x[i] * x[j] for i in range(len(at)) for j in range(i))
+    assert abs(quality._logit(w[at], v[at], x)[0] - (w[at] @ x + pairs)) < 1e-9
+    state = {"w": w.copy(), "v": v.copy(), "gw": np.zeros(quality.WIDTH), "gv": np.zeros(v.shape)}
+    quality._epoch(pd.DataFrame({"t": [text], "stated": [len(text)], "y": [1]}), state, 0)
+
+    def loss(ww, vv):
+        return np.log1p(np.exp(-quality._logit(ww[at], vv[at], x)[0])) + quality.DECAY / 2 * ((ww[at] ** 2).sum() + (vv[at] ** 2).sum())
+
+    for k in (0, len(at) // 2, len(at) - 1):
+        up, down = v.copy(), v.copy()
+        up[at[k], 2] += 1e-5
+        down[at[k], 2] -= 1e-5
+        slope = (loss(w, up) - loss(w, down)) / 2e-5
+        assert abs(np.sqrt(state["gv"][at[k], 2]) - abs(slope)) < 1e-4 * max(1, abs(slope))
+
+
+def test_chat_of_awkward_rows(spark):
+    """Null ids, roles and texts, repeated turns, control strings, an empty table, other columns, a long conversation."""
+    rows = [(1, 0, "user", "a<|end|>\n", "x"), (1, 0, "user", "a<|end|>\n", None), (1, 1, "assistant", None, ""), (None, 0, None, "b|\\", "x"), (2, None, "assistant", "c", None)]
+    rows += [(3, i, ("user", "assistant")[i % 2], f"<|user|>\nturn {i}", None) for i in range(2000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, Turns string")
+    out = {r.conv_id: r for r in chat.read_chat(chat.format_chat(chat.canonical_turns(chat.gather_turns(df), "conv_id"))).collect()}
+    assert [tuple(x) for x in out[1].turns] == [("user", "a<|end|>\n")] * 2 + [("assistant", "")] and out[1].loss_text == ""
+    assert [tuple(x) for x in out[None].turns] == [("", "b|\\")] and out[2].loss_text == "c"
+    assert out[3].loss_text == "".join(f"<|user|>\nturn {i}" for i in range(1, 2000, 2))
+    assert chat.read_chat(chat.format_chat(chat.canonical_turns(chat.gather_turns(df.limit(0)), "conv_id"))).count() == 0
+
+
+def test_pipeline_stages_on_awkward_rows(spark):
+    """Columns named like the models' keep their values; copies without an id, or with one id, go; empty tables pass."""
+    import corpus_pipeline as c
+
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, "own"), (1, text, "own"), (None, text, "own"), (None, text + " more", "own"), (2, "", "own"), (3, None, "own"), (None, None, None), (4, "one two three", "own"), (4, "four five six", "own")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), o, 0.5, "x") for i, t, o in rows], "doc_id long, text string, lang string, source string, n_chars long, score string, Predicted double, kept_text string")
+    for name, stage in c.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        got = out.collect()
+        assert out.columns == docs.columns and {r.score for r in got} <= {"own", None} and {r.Predicted for r in got} <= {0.5} and {r.kept_text for r in got} <= {"x"}
+        assert stage(spark, docs.limit(0), SF).count() == 0
+        if name == "ngram_join":
+            assert sorted((r.text or "")[:9] for r in got) == ["", "", "", "four five", "one two t", "w0 w1 w2 "]
+        if name == "line_dedup":
+            assert len(got) == len(rows)
+    assert c.STAGES[-1][1](spark, docs, SF).count() == len(rows)
 
 
 def test_pipeline(spark):
