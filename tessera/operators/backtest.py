@@ -59,28 +59,37 @@ def quotes(panel: DataFrame) -> DataFrame:
     return keyed.withColumns({"listed": F.count("close").over(w.rowsBetween(Window.unboundedPreceding, 0)), "prev_close": before})
 
 
-def select_names(panel: DataFrame, factor: DataFrame, name: str, rules: Rules) -> DataFrame:
-    """Eligible names at each signal day and the top of them by ``name`` (ties by code): one window a period."""
-    q = quotes(panel)
-    p = F.broadcast(periods(panel))
-    at = q.select("code", F.col("date").alias("signal"), F.col("close").alias("signal_close"), "listed").join(p, "signal").join(factor.select("code", F.col("date").alias("signal"), F.col(name).alias("score")), ["code", "signal"])
-    entry = q.select("code", F.col("date").alias("entry"), F.col("open").alias("entry_open"), F.col("volume").alias("entry_volume"), F.col("prev_close").alias("entry_prev"))
-    good = at.join(entry, ["code", "entry"]).filter(
-        F.col("score").isNotNull() & (F.col("listed") >= rules.min_listed_days) & F.col("entry_open").isNotNull() & (F.coalesce("entry_volume", F.lit(0.0)) > 0)
-        & F.col("signal_close").between(rules.min_price, rules.max_price) & ~limit_up(F.col("code"), F.col("entry_prev"), F.col("entry_open")))
-    order = F.col("score").asc() if rules.ascending else F.col("score").desc()
-    ranked = good.withColumns({"rank": F.row_number().over(Window.partitionBy("signal").orderBy(order, "code")), "k": F.count("*").over(Window.partitionBy("signal"))})
-    take = F.least(F.greatest(F.lit(1), F.floor(F.col("k") * rules.top_quantile)), F.lit(rules.max_holdings))
+def select_names(panel: DataFrame, factor: DataFrame, name: str, variants: dict[str, Rules]) -> DataFrame:
+    """Eligible names at each signal day and the top of them by ``name`` (ties by code): one window a ``variant`` and period."""
+    w = Window.partitionBy("code").orderBy("date")
+    follows = F.lead("cal_idx").over(w) == F.col("cal_idx") + 1
+    # the entry day is the calendar's next, so a code's next row is its entry row or it has none
+    q = quotes(panel).withColumns({"entry_open": F.when(follows, F.lead("open").over(w)), "entry_volume": F.when(follows, F.lead("volume").over(w))})
+    at = q.select("code", F.col("date").alias("signal"), F.col("close").alias("signal_close"), "listed", "entry_open", "entry_volume").join(F.broadcast(periods(panel)), "signal")
+    good = at.join(factor.select("code", F.col("date").alias("signal"), F.col(name).alias("score")), ["code", "signal"]).filter(
+        F.col("score").isNotNull() & F.col("entry_open").isNotNull() & (F.coalesce("entry_volume", F.lit(0.0)) > 0) & ~limit_up(F.col("code"), F.col("signal_close"), F.col("entry_open")))
+    rows = [F.struct(F.lit(k).alias("variant"), F.lit(r.min_listed_days).alias("days"), F.lit(r.min_price).alias("low"), F.lit(r.max_price).alias("high"), F.lit(r.top_quantile).alias("share"),
+                     F.lit(r.max_holdings).alias("most"), F.lit(1.0 if r.ascending else -1.0).alias("sign")) for k, r in variants.items()]
+    each = good.select("*", F.inline(F.array(*rows))).filter((F.col("listed") >= F.col("days")) & F.col("signal_close").between(F.col("low"), F.col("high")))
+    w = Window.partitionBy("variant", "signal")
+    ranked = each.withColumns({"rank": F.row_number().over(w.orderBy(F.col("score") * F.col("sign"), "code")), "k": F.count("*").over(w)})
+    take = F.least(F.greatest(F.lit(1), F.floor(F.col("k") * F.col("share"))), F.col("most"))
     return ranked.filter(F.col("rank") <= take).withColumn("weight", 1.0 / take)
 
 
 def rebalance(panel: DataFrame, factor: DataFrame, name: str, costs: Costs = Costs(), rules: Rules = Rules()) -> DataFrame:
-    """``exit``, ``names``, ``tradable``, ``period_ret`` and ``nav`` of each period.
+    """``signal``, ``entry``, ``exit``, ``names``, ``tradable``, ``period_ret`` and ``nav`` of each period."""
+    return rebalance_variants(panel, factor, name, costs, {"": rules}).drop("variant")
+
+
+def rebalance_variants(panel: DataFrame, factor: DataFrame, name: str, costs: Costs, variants: dict[str, Rules]) -> DataFrame:
+    """Backtests of several rules over one factor in one pass, told apart by ``variant``; capital and days to sell are the first's.
 
     A name that finds no open above its lower limit within ``sell_days`` calendar days adds neither return nor cost.
     Fees are on the initial capital's share, so the value is a plain running product.
     """
-    picks = select_names(panel, factor, name, rules)
+    rules = next(iter(variants.values()))
+    picks = select_names(panel, factor, name, variants)
     q = quotes(panel).withColumn("blocked", limit_down(F.col("code"), F.col("prev_close"), F.col("open")))
     sold = joins.first_sellable(picks.select("code", "exit_idx"), q.select("code", "cal_idx", "open", "blocked"), rules.sell_days)
     held = picks.join(sold, ["code", "exit_idx"], "left")
@@ -89,8 +98,8 @@ def rebalance(panel: DataFrame, factor: DataFrame, name: str, costs: Costs = Cos
     fees = 2 * fee + notional * (costs.stamp_duty + costs.slippage * 2 + costs.transfer_fee * 2)
     filled = F.coalesce((F.col("entry_open") > 0) & (F.col("exit_open") > 0), F.lit(False))
     gain = F.when(filled, F.col("weight") * (F.col("exit_open") / F.nullif("entry_open", F.lit(0.0)) - 1) - fees / rules.initial_capital)
-    out = held.groupBy("signal", "entry", "exit").agg(F.count("*").alias("names"), F.avg(filled.cast("int")).alias("tradable"), F.coalesce(F.sum(gain), F.lit(0.0)).alias("period_ret"))
-    w = Window.orderBy("signal").rowsBetween(Window.unboundedPreceding, 0)  # one row a month
+    out = held.groupBy("variant", "signal", "entry", "exit").agg(F.count("*").alias("names"), F.avg(filled.cast("int")).alias("tradable"), F.coalesce(F.sum(gain), F.lit(0.0)).alias("period_ret"))
+    w = Window.partitionBy("variant").orderBy("signal").rowsBetween(Window.unboundedPreceding, 0)  # one row a month
     return out.withColumn("nav", F.product(1 + F.col("period_ret")).over(w))
 
 

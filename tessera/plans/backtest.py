@@ -103,12 +103,15 @@ def m28(spark, sf_dir):
         F.count("*").alias("periods"), F.round(F.avg("names"), 4).alias("names"), F.round(F.avg("period_ret"), 6).alias("mean_ret"), F.round(F.product(1 + F.col("period_ret")) - 1, 4).alias("total_return"))
 
 
-@query("m26_sensitivity", " UNION ALL ".join(f"SELECT * FROM ({with_(*_BASE, _run('mom_1', quantile=qt, listed=ld))} SELECT '{n}' AS variant, count(*) AS periods, round(avg(period_ret), 6) AS mean_ret FROM nav0)" for n, qt, ld in [("base", 0.2, 120), ("q_low", 0.16, 120), ("q_high", 0.24, 120), ("listed_low", 0.2, 96), ("listed_high", 0.2, 144)]))
+_VARIANTS = [("base", 0.2, 120), ("q_low", 0.16, 120), ("q_high", 0.24, 120), ("listed_low", 0.2, 96), ("listed_high", 0.2, 144)]
+
+
+@query("m26_sensitivity", " UNION ALL ".join(f"SELECT * FROM ({with_(*_BASE, _run('mom_1', quantile=qt, listed=ld))} SELECT '{n}' AS variant, count(*) AS periods, round(avg(period_ret), 6) AS mean_ret FROM nav0)" for n, qt, ld in _VARIANTS))
 def m26(spark, sf_dir):
-    """Five variants of the quantile and listed days."""
-    b, f = p.bars(spark, sf_dir), factor_table(spark, sf_dir, ["mom_1"])
-    runs = [bt.rebalance(b, f, "mom_1", bt.Costs(), bt.Rules(max_price=1e9, top_quantile=qt, min_listed_days=ld)).withColumn("variant", F.lit(n)) for n, qt, ld in [("base", 0.2, 120), ("q_low", 0.16, 120), ("q_high", 0.24, 120), ("listed_low", 0.2, 96), ("listed_high", 0.2, 144)]]
-    return reduce(lambda x, y: x.unionByName(y), runs).groupBy("variant").agg(F.count("*").alias("periods"), F.round(F.avg("period_ret"), 6).alias("mean_ret"))
+    """Five variants of the quantile and listed days, ranked and replayed in one pass."""
+    variants = {n: bt.Rules(max_price=1e9, top_quantile=qt, min_listed_days=ld) for n, qt, ld in _VARIANTS}
+    runs = bt.rebalance_variants(p.bars(spark, sf_dir), factor_table(spark, sf_dir, ["mom_1"]), "mom_1", bt.Costs(), variants)
+    return runs.groupBy("variant").agg(F.count("*").alias("periods"), F.round(F.avg("period_ret"), 6).alias("mean_ret"))
 
 
 REGIME = f"""idxw AS (SELECT date, close, avg(close) OVER w20 AS ma20, avg(close) OVER w60 AS ma60, count(*) OVER w60 AS n, r FROM (SELECT *, close / nullif(lag(close) OVER (ORDER BY date), 0) - 1 AS r FROM idx)
