@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 
 _own_dir: list[str] = []
+_staged: list[str] = []
 #: Bytes of an Arrow batch that goes to a Python worker.
 BATCH_BYTES = 8 << 20
 #: Bytes of texts that are Python objects at once.
@@ -17,15 +18,16 @@ SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the context's checkpoint folder.
 
-    A temporary folder is used only where the setting is absent, as in local tests.
+    Where neither is set, a local session gets a temporary folder; on a cluster that would lose tables, so it is an error.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own_dir:
             _own_dir.append("file://" + tempfile.mkdtemp(prefix="spark-"))
-            spark.sparkContext.setCheckpointDir(_own_dir[0])
         path = _own_dir[0]
     return path.rstrip("/")
 
@@ -33,14 +35,29 @@ def shared_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
-    This cuts lineage with a committed table, so a lost executor costs only its own tasks.
+    This cuts lineage with a committed table, so a lost executor costs only its own tasks. The table stays until
+    ``drop_staged``, as results may read it later.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
+    _staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged() -> list[str]:
+    """The tables that ``stage`` has written and nothing has dropped."""
+    return list(_staged)
+
+
+def drop_staged(spark: SparkSession, paths: list[str]) -> None:
+    """Delete staged tables that no result reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _staged.remove(path)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Have Spark cut Arrow batches by bytes: 10,000 rows of long texts or lists are too much for a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
