@@ -87,8 +87,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; between them the documents are written and read again."""
-    docs = common.documents(spark, sf_dir)
+    """All stages over ``documents``; between them the documents are written and read again, and a stage's own tables go."""
+    docs, kept = common.documents(spark, sf_dir), common.staged()
     for name, function in STAGES[:-1]:
         docs = common.stage(function(spark, docs, sf_dir), f"pipeline-{name}")
+        *done, last = [path for path in common.staged() if path not in kept]
+        common.drop_staged(spark, done)
     return STAGES[-1][1](spark, docs, sf_dir)
