@@ -24,8 +24,8 @@ WORD_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}
 
 SPACED = re.compile(rf" ?[{LETTERS}]+| ?[{NUMBERS}]+|{ENDINGS}| ?[^{SPACE}{LETTERS}{NUMBERS}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 UNSPACED = re.compile(rf"[{LETTERS}]+|[{NUMBERS}]|{ENDINGS}|[^{SPACE}{LETTERS}{NUMBERS}]+")
-#: Pre-tokens, and their bytes, that a worker's memo holds at most.
-WORDS, WORD_BYTES = 400_000, 32 << 20
+#: Pre-tokens, and their bytes, that each of the two generations of a worker's memo holds about.
+WORDS, WORD_BYTES = 300_000, 24 << 20
 
 Split = Callable[[str], list[str] | None]
 
@@ -53,7 +53,7 @@ class PartEncoder:
 
     ``split`` cuts a text into pre-tokens, or gives None for a text that has to be encoded whole. ``encode_words`` gives
     the ids of a list of pre-tokens, ``encode_text`` those of one text. Only pre-tokens not yet known are encoded; the
-    memo is bounded in entries and bytes and ends with the task. Texts that hold one of the strings ``added``, in any
+    memo is bounded in entries and bytes. Texts that hold one of the strings ``added``, in any
     case, are encoded whole: the tokenizer takes these out before it splits.
     """
 
@@ -68,6 +68,7 @@ class PartEncoder:
 
     def forget(self) -> None:
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.held = 0
 
     def _parts(self, text: str) -> list[str] | None:
@@ -78,12 +79,22 @@ class PartEncoder:
         return self.split(text)
 
     def _learn(self, words: list[str]) -> None:
+        """Bring the pre-tokens into the younger generation: from the older, where frequent ones stay known, else by encoding."""
         if len(self.words) > WORDS or self.held > WORD_BYTES:
-            self.forget()
-        missing = list(set(words).difference(self.words))
+            self.words, self.older, self.held = {}, self.words, 0
+        missing = []
+        for word in set(words).difference(self.words):
+            value = self.older.get(word)
+            if value is None:
+                missing.append(word)
+            else:
+                self._put(word, value)
         for word, ids in zip(missing, self.encode_words(missing), strict=True):
-            value = self.words[word] = np.asarray(ids, self.kind).tobytes()
-            self.held += len(word) + len(value)
+            self._put(word, np.asarray(ids, self.kind).tobytes())
+
+    def _put(self, word: str, value: bytes) -> None:
+        self.words[word] = value
+        self.held += len(word) + len(value)
 
     def one(self, text: str) -> bytes:
         words = self._parts(text)
@@ -99,6 +110,13 @@ class PartEncoder:
         return [self.one(text) for text in texts]
 
 
+def _byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies: itself where it prints, else the next from 256 on."""
+    printed = {*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in printed]
+    return {b: chr(b) if b in printed else chr(256 + hidden.index(b)) for b in range(256)}
+
+
 _encoders: dict[str, PartEncoder] = {}
 
 
@@ -121,8 +139,10 @@ def library_encoder(path: str) -> PartEncoder:
         t = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
             split = library_split(json.load(file))
+        letters, merged = _byte_letters(), t.model.tokenize
+        # a pre-token has only its merges to come: the model gives its ids without the pipeline around it
         _encoders[path] = PartEncoder(
-            lambda words: [e.ids for e in t.encode_batch_fast(words, add_special_tokens=False)],
+            lambda words: [[x.id for x in merged(w.encode().decode("latin-1").translate(letters))] for w in words],
             lambda text: t.encode(text, add_special_tokens=False).ids,
             split,
             2 if t.get_vocab_size() <= 1 << 16 else 4,
