@@ -523,3 +523,40 @@ def test_pipeline(spark):
         docs = spark.createDataFrame(out.collect(), docs.schema)
     packed = c.STAGES[-1][1](spark, docs, SF)
     assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
+def test_run_drops_its_tables(spark):
+    """What stays in the shared folder is what the result reads: the last documents and the packing's tables."""
+    import corpus_pipeline as c
+    from tessera.llm import common
+
+    before = common.staged()
+    out = c.run(spark, SF)
+    names = [x.rsplit("/", 1)[1].rsplit("-", 1)[0] for x in common.staged() if x not in before]
+    assert sorted(names) == ["piece-counts", "pieces", "pipeline-ngram_join"]
+    assert out.count() > 0 and out.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter(f"n > {packing.CAPACITY}").count() == 0
+
+
+def test_pieces_are_the_library_ids(spark, awkward):
+    """Lengths, starts and checksums of cut documents against the library."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path(packing.VOCABULARY))
+    want = []
+    for r in awkward.collect():
+        ids = np.asarray(t.encode(r.text or "", add_special_tokens=False).ids + [packing.END], "<u4")
+        want += [(r.doc_id, k, a, len(ids[a : a + 64]), zlib.crc32(ids[a : a + 64].tobytes())) for k, a in enumerate(range(0, len(ids), 64))]
+    rows = packing.pack_documents(awkward, P.path(packing.VOCABULARY), capacity=64).collect()
+    assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows), key=str) == sorted(want, key=str)
+
+
+def test_media_digests(spark):
+    """The query's digests from plain zlib and hashlib; equal texts give equal rows."""
+    rows = [(i, t) for i, t in enumerate(["a", "", None, "x" * 576, "é" * 400, "a"])]
+    got = {r.doc_id: r for r in media.read_media(media.with_media(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    for i, t in rows:
+        raw = (t or "").encode()
+        padded = raw + b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw))
+        assert got[i].payload == padded and got[i].n_bytes == len(raw)
+        assert media.png_decode(got[i].media)[0].tobytes() == padded
+    assert (got[0].media, got[0].feature) == (got[5].media, got[5].feature) and got[0].feature != got[4].feature
