@@ -87,7 +87,7 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; between them the documents are written and read again, and a stage's own tables go."""
+    """All stages over ``documents``; between them the documents are written and read again, and a stage's own tables and the documents before it go."""
     docs, kept = common.documents(spark, sf_dir), common.staged()
     for name, function in STAGES[:-1]:
         docs = common.stage(function(spark, docs, sf_dir), f"pipeline-{name}")
