@@ -207,12 +207,13 @@ def t4(spark, sf_dir):
 keyed AS (SELECT b.code, c.cal_idx, b.close, b.date FROM bars b JOIN calx c USING (date)), lasts AS (SELECT date_trunc('month', date) AS month, max(date) AS date FROM calx GROUP BY 1),
 far AS (SELECT a.code, CAST(l.month AS DATE) AS month, CAST(h.h AS BIGINT) AS horizon, """ + q.rnd("k.close / nullif(a.close, 0) - 1") + """ AS ret FROM keyed a JOIN lasts l USING (date) CROSS JOIN h JOIN keyed k ON k.code = a.code AND k.cal_idx = a.cal_idx + h.h),
 decay AS (SELECT l.factor, l.month, l.code, l.value, far.horizon, far.ret AS fwd FROM long l JOIN far ON far.code = l.code AND far.month = CAST(l.month AS DATE))"""
-       + _RANKS.format(by="factor, horizon, month", src="decay", least=5) + f" SELECT factor, horizon, {_STATS} FROM ics WHERE ic IS NOT NULL GROUP BY factor, horizon")
+       + _RANKS.format(by="factor, horizon, month", src="decay", least=5) + f" SELECT factor, horizon, {_STATS} FROM (SELECT factor, horizon, {q.rnd('ic', 9)} AS ic FROM ics WHERE ic IS NOT NULL) GROUP BY factor, horizon")
 def a10(spark, sf_dir):
     """How the rank correlation of each factor decays over 21, 42 and 63 days."""
     far = m4(spark, sf_dir).select("code", F.trunc("date", "MM").alias("month"), "horizon", F.col("fwd").alias("ret"))
     rows = long_monthly(spark, sf_dir).select("factor", "code", F.to_date("month").alias("month"), "value").join(far, ["code", "month"])
-    return ic_stats(rank_ic(rows, "value", "ret", ["factor", "horizon", "month"]).filter("ic is not null"), ["factor", "horizon"])
+    ics = rank_ic(rows, "value", "ret", ["factor", "horizon", "month"]).filter("ic is not null")
+    return ic_stats(ics.withColumn("ic", rnd("ic", 9)), ["factor", "horizon"])  # no sign from rounding errors
 
 
 @query("a9_regime_ic", with_(*MONTHLY_CTES, LONG, INDEX, REGIME) + _RANKS.format(by="factor, month", src="long", least=5) + f""", label AS (SELECT CAST(date_trunc('month', date) AS DATE) AS month, max_by(regime, date) AS regime FROM regimes GROUP BY 1),
