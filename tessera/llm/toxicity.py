@@ -20,6 +20,8 @@ POSITIVE_WEIGHT = 2.0
 PAIR = 0.3
 #: Parts of the sample that are scored by a model of the others, to place the threshold.
 FOLDS = 3
+#: F1 that the cut may give away to lie higher, where clean documents are safer.
+SLACK = 0.003
 #: The logit of THRESHOLD.
 PLAIN = float(np.log(THRESHOLD / (1 - THRESHOLD)))
 
@@ -60,7 +62,7 @@ def _learn(known: list[tuple[np.ndarray, int]], labels: list[int], z: np.ndarray
 
 
 def best_cut(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The logit that parts the labels with the best F1; that of THRESHOLD where there is nothing to part."""
+    """The highest logit that parts the labels with the best F1 but for SLACK; that of THRESHOLD where there is nothing to part."""
     if not 0 < labels.sum() < len(labels):
         return PLAIN
     order = np.argsort(-logits, kind="stable")
@@ -68,7 +70,7 @@ def best_cut(logits: np.ndarray, labels: np.ndarray) -> float:
     hits = np.cumsum(y)
     f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
     f1[:-1][s[:-1] == s[1:]] = 0  # no cut between equal scores
-    k = int(np.argmax(f1))
+    k = int(np.flatnonzero(f1 >= f1.max() - SLACK)[0])
     return min(PLAIN, float((s[k] + s[min(k + 1, len(s) - 1)]) / 2))
 
 
