@@ -64,7 +64,7 @@ def a5(spark, sf_dir):
        + _RANKS.format(by="factor, month, industry", src="ind", least=10) + f", m AS (SELECT factor, month, avg(ic) AS ic FROM ics WHERE ic IS NOT NULL GROUP BY factor, month) SELECT factor, {_STATS} FROM m GROUP BY factor")
 def a7(spark, sf_dir):
     """Correlations within industries of ten names or more, their plain mean per month, then the summary."""
-    ind = long_monthly(spark, sf_dir).join(F.broadcast(_industry(spark, sf_dir)), "code", "left").fillna("none", ["industry"])
+    ind = long_monthly(spark, sf_dir).join(_industry(spark, sf_dir), "code", "left").fillna("none", ["industry"])
     ics = rank_ic(ind, "value", "fwd", ["factor", "month", "industry"], least=10).filter("ic is not null")
     return ic_stats(ics.groupBy("factor", "month").agg(F.avg("ic").alias("ic")), ["factor"])
 
@@ -87,7 +87,7 @@ SELECT month, code, industry, """ + q.rnd("CASE WHEN n >= 30 AND s > 0 THEN yw -
 def m1(spark, sf_dir):
     """M1, P5: winsorized values less the mean of month and industry (the residual on dummies); thin months stay raw."""
     w = Window.partitionBy("month")
-    rows = monthly(spark, sf_dir).filter("vol_20d_atr is not null").join(F.broadcast(_industry(spark, sf_dir)), "code", "left").fillna("none", ["industry"])
+    rows = monthly(spark, sf_dir).filter("vol_20d_atr is not null").join(_industry(spark, sf_dir), "code", "left").fillna("none", ["industry"])
     rows = rows.withColumns({"yw": winsorize("vol_20d_atr", window=w), "k": F.count("*").over(w), "s": F.stddev_pop("vol_20d_atr").over(w)})
     neutral = F.when((F.col("k") >= 30) & (F.col("s") > 0), F.col("yw") - F.avg("yw").over(Window.partitionBy("month", "industry"))).otherwise(F.col("vol_20d_atr"))
     return rows.select("month", "code", "industry", rnd(neutral).alias("neutral"))
