@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,18 +42,6 @@ def running_max(x, window=None) -> Column:
     return F.max(col(x)).over((window or by_code()).rowsBetween(Window.unboundedPreceding, 0))
 
 
-def ewm(x, decay: float, n: int | None = None, window=None) -> Column:
-    """Exponentially weighted mean with weights adjusted to sum to one over the last ``n`` rows; nulls are skipped.
-
-    Without ``n``, as many rows as have a weight of at least 1e-20: the whole series within a double's precision.
-    """
-    n = n or math.ceil(math.log(1e-20) / math.log(decay))
-    start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w"))
-    values = F.collect_list(col(x)).over((window or by_code()).rowsBetween(1 - n, 0))
-    done = F.aggregate(values, start, lambda a, v: F.struct((a["s"] * decay + v).alias("s"), (a["w"] * decay + 1.0).alias("w")))
-    return div(done["s"], done["w"])
-
-
 def clip(x, low, high) -> Column:
     """Null stays null; least and greatest alone would return the bound."""
     x = col(x)

@@ -4,17 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
 
+from tessera.operators.scans import running
 
-def asof_backward(left: DataFrame, right: DataFrame, by: list[str], on: str, values: list[str]) -> DataFrame:
-    """``left`` with the last ``values`` of ``right`` at or before ``on``: a union and one window by key, no range join.
 
-    Rows of ``right`` with one key and time: the greatest values win. Rows of ``left`` without an earlier match get nulls.
+def time_bucket(df: DataFrame, on: str) -> Column:
+    """The month of a date or time, the thousand of a number: buckets for a two-level scan along ``on``."""
+    if isinstance(df.schema[on].dataType, (DateType, TimestampType, TimestampNTZType)):
+        return F.trunc(on, "MM")
+    return F.floor(F.col(on) / 1000)
+
+
+def asof_backward(left: DataFrame, right: DataFrame, by: list[str], on: str, values: list[str], bucket=None) -> DataFrame:
+    """``left`` with the last ``values`` of ``right`` at or before ``on``: a union and a two-level scan, no range join.
+
+    Both sides meet by (key, ``bucket`` of time; months or thousands if none is given); each bucket's last match is carried on to the later ones. So no task holds
+    a whole key, however hot it is. Rows of ``right`` with one key and time: the greatest values win. Rows of ``left`` without an earlier
+    match, without a key or without a time get nulls.
     """
-    both = left.withColumn("_side", F.lit(1)).unionByName(right.select(*by, on, F.struct(*values).alias("_v")).withColumn("_side", F.lit(0)), allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy(on, "_side", F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("_last", F.last("_v", ignorenulls=True).over(w)).filter("_side = 1")
-    return found.select(*left.columns, *[F.col("_last")[v].alias(v) for v in values])
+    known = right.select(*by, on, F.struct(*values).alias("_v")).groupBy(*by, on).agg(F.max("_v").alias("_v"))
+    both = left.withColumn("_side", F.lit(1)).unionByName(known.withColumn("_side", F.lit(0)), allowMissingColumns=True)
+    found = running(both, by, time_bucket(left, on) if bucket is None else bucket, [on, "_side"], {"_last": ("last", "_v")}).filter("_side = 1")
+    matched = F.when(F.col(on).isNotNull() & ~_any_null(by), F.col("_last"))
+    return found.withColumn("_last", matched).select(*left.columns, *[F.col("_last")[v].alias(v) for v in values])
+
+
+def _any_null(columns: list[str]) -> Column:
+    out = F.lit(False)
+    for c in columns:
+        out = out | F.col(c).isNull()
+    return out
 
 
 def ffill(df: DataFrame, value: str, limit: int, by: list[str], order: str) -> Column:
@@ -48,29 +68,42 @@ def first_sellable(wanted: DataFrame, quotes: DataFrame, days: int = 10) -> Data
     return open_days.groupBy("code", "exit_idx").agg(F.min_by("open", "cal_idx").alias("exit_open"), F.min("cal_idx").alias("sold_idx"))
 
 
-def around(events: DataFrame, series: DataFrame, first: int, last: int) -> DataFrame:
-    """Rows of ``series`` (cal_idx) from ``first`` to ``last`` days around each event's ``t0_idx``, with ``rel_day``."""
-    days = events.withColumn("rel_day", F.explode(F.sequence(F.lit(first), F.lit(last)))).withColumn("cal_idx", F.col("t0_idx") + F.col("rel_day"))
-    return days.join(series, "cal_idx")
-
-
-def fifo_lots(rows: DataFrame, key: str, order: list[str], volume: str = "volume", direction: str = "direction", width: float = 1000.0) -> DataFrame:
-    """First-in first-out allocation of sells to buys by overlap of running volumes.
+def fifo_lots(rows: DataFrame, key: str, order: list[str], volume: str = "volume", direction: str = "direction", width: float = 1000.0, bucket=None, strict: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """First-in first-out allocation of sells to buys by overlap of running volumes: ``key``, ``sell_id``, ``buy_id``, ``alloc``, ``sold``.
 
-    ``rows`` has an ``id``. The pool of a code holds all its buys, whatever their time; what is sold beyond all buys
-    comes back with a null ``buy_id``. Volume ranges are cut into buckets of ``width``, so the overlap is an equi join.
+    ``rows`` has an ``id``. The pool of a key holds all its buys, whatever their time; what is sold beyond all buys
+    comes back with a null ``buy_id``. With ``strict`` a sell takes earlier buys alone: what no earlier buy covers is the running maximum of
+    sold minus bought, so it is reflected out of the running sums, and each sell's rest comes back with a null ``buy_id``. Volume ranges are
+    cut into buckets of ``width``, so the overlap is an equi join; running sums go through ``bucket`` (see ``running``), so no key is held by
+    one task. Columns of ``keep`` come along as ``buy_...`` and ``sell_...``.
     """
-    w = Window.partitionBy(key, direction).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    cum = rows.select(key, direction, F.col("id"), F.col(volume).alias("v"), F.sum(volume).over(w).alias("hi")).withColumn("lo", F.col("hi") - F.col("v"))
+    bucket = F.lit(0) if bucket is None else bucket
+    side = lambda name: F.when(F.col(direction) == name, F.col(volume)).otherwise(0.0)
+    cum = running(rows, [key], bucket, order, {"_bought": ("sum", side("buy")), "_sold": ("sum", side("sell"))})
+    open_ = F.lit(0.0)
+    if strict:
+        short = F.col("_sold") - F.col("_bought")
+        cum = running(cum, [key], bucket, order, {"_u": ("max", short), "_u0": ("max_before", short)})
+        zero = F.lit(0.0)
+        cum = cum.withColumns({"_u": F.greatest("_u", zero), "_u0": F.greatest(F.coalesce("_u0", zero), zero)})
+        open_ = F.col("_u")
+    lo = F.col("_sold") - F.col(volume) - (F.col("_u0") if strict else 0.0)
+    named = lambda name: [F.col(c).alias(f"{name}_{c}") for c in keep]
     cut = lambda df: df.withColumn("b", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
-    buys = cut(cum.filter(F.col(direction) == "buy").select(key, F.col("id").alias("buy_id"), F.col("lo").alias("blo"), F.col("hi").alias("bhi"), "lo", "hi")).drop("lo", "hi")
-    sells = cum.filter(F.col(direction) == "sell").select(key, F.col("id").alias("sell_id"), "lo", "hi", F.col("v").alias("sold"))
+    buys = cum.filter(F.col(direction) == "buy").select(key, F.col("id").alias("buy_id"), (F.col("_bought") - F.col(volume)).alias("lo"), F.col("_bought").alias("hi"), *named("buy"))
+    buys = cut(buys).withColumnsRenamed({"lo": "blo", "hi": "bhi"})
+    sells = cum.filter(F.col(direction) == "sell").select(key, F.col("id").alias("sell_id"), lo.alias("lo"), (F.col("_sold") - open_).alias("hi"), F.col(volume).alias("sold"), *named("sell"))
     overlap = F.least("hi", "bhi", (F.col("b") + 1) * width) - F.greatest("lo", "blo", F.col("b") * width)
-    met = cut(sells).join(buys, [key, "b"]).withColumn("alloc", overlap).filter("alloc > 0")
-    lots = met.groupBy(key, "sell_id", "buy_id").agg(F.sum("alloc").alias("alloc"), F.first("sold").alias("sold"))
-    total = cum.filter(F.col(direction) == "buy").groupBy(key).agg(F.max("hi").alias("bought"))
-    rest = sells.join(total, key, "left").withColumn("alloc", F.col("hi") - F.greatest("lo", F.coalesce("bought", F.lit(0.0)))).filter("alloc > 0")
-    return lots.unionByName(rest.select(key, "sell_id", F.lit(None).cast(rows.schema["id"].dataType).alias("buy_id"), "alloc", "sold"))
+    met = cut(sells.filter("hi > lo")).join(buys, [key, "b"]).withColumn("alloc", overlap).filter("alloc > 0")
+    carry = [f"{x}_{c}" for c in keep for x in ("buy", "sell")]
+    lots = met.groupBy(key, "sell_id", "buy_id").agg(F.sum("alloc").alias("alloc"), F.first("sold").alias("sold"), *[F.first(c).alias(c) for c in carry])
+    if strict:
+        rest = sells.withColumn("alloc", F.col("sold") - (F.col("hi") - F.col("lo"))).filter("alloc > 1e-9")
+    else:
+        total = rows.filter(F.col(direction) == "buy").groupBy(key).agg(F.sum(volume).alias("bought"))
+        rest = sells.join(total, key, "left").withColumn("alloc", F.col("hi") - F.greatest("lo", F.coalesce("bought", F.lit(0.0)))).filter("alloc > 0")
+    unmatched = [F.lit(None).cast(rows.schema[c].dataType).alias(f"buy_{c}") if x == "buy" else F.col(f"sell_{c}") for c in keep for x in ("buy", "sell")]
+    return lots.unionByName(rest.select(key, "sell_id", F.lit(None).cast(rows.schema["id"].dataType).alias("buy_id"), "alloc", "sold", *unmatched))
 
 
 def carried(values: DataFrame, value: str, rows: int, by: list[str], index: str) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.joins import fifo_lots
+from tessera.operators.scans import drawdowns
+
 #: The fees of a buy and of a sell, as shares of the turnover.
 BUY_COST, SELL_COST = 0.0003, 0.0013
 
@@ -80,26 +82,15 @@ def marked_positions(ledger: DataFrame, prices: DataFrame) -> DataFrame:
     return priced.withColumns({"unrealized": (F.col("price") - F.col("cost")) * F.col("held"), "pnl_ratio": ratio})
 
 
-def timed_fifo(trades: DataFrame, order: list[str]) -> DataFrame:
-    """Realized profit per sell against earlier buys only; what no earlier buy covers is dropped (``matched`` tells)."""
-
-    def match(part: pd.DataFrame) -> pd.DataFrame:
-        lots, out, first = [], [], 0
-        for r in part.sort_values(order, kind="stable").itertuples():
-            if r.direction == "buy":
-                lots.append([r.volume, r.price])
-                continue
-            left, gain = r.volume, 0.0
-            while left > 1e-9 and first < len(lots):
-                used = min(left, lots[first][0])
-                gain += (r.price - lots[first][1]) * used
-                left -= used
-                lots[first][0] -= used
-                first += lots[first][0] <= 1e-9
-            out.append((r.code, r.id, r.volume - left, gain))
-        return pd.DataFrame(out, columns=["code", "id", "matched", "pnl"])
+def timed_fifo(trades: DataFrame, order: list[str], bucket=None) -> DataFrame:
+    """Realized profit per sell against earlier buys only: ``code``, ``id``, ``matched``, ``pnl``; what no earlier buy covers is dropped (``matched`` tells).
 
-    return trades.select("code", "id", *[c for c in order if c not in ("code", "id")], "direction", "price", "volume").groupBy("code").applyInPandas(match, "code string, id long, matched double, pnl double")
+    Lots come from ``fifo_lots`` with reflected running sums, so no code's trades are gathered in one place.
+    """
+    lots = fifo_lots(trades, "code", order, bucket=bucket, strict=True, keep=("price",))
+    covered = F.when(F.col("buy_id").isNotNull(), F.col("alloc")).otherwise(0.0)
+    gain = covered * F.coalesce(F.col("sell_price") - F.col("buy_price"), F.lit(0.0))
+    return lots.groupBy("code", F.col("sell_id").alias("id")).agg(F.sum(covered).alias("matched"), F.sum(gain).alias("pnl"))
 
 
 def order_volume(assets: Column, ratio: Column, room: Column, cap: Column, price: Column) -> Column:
@@ -121,11 +112,10 @@ def exit_reason(horizon: Column, gain: Column, peak: Column) -> Column:
     return out
 
 
-def circuit_breaker(assets: DataFrame, order: str, value: str) -> DataFrame:
-    """Running peak, drawdown and pause in days: 90 from -30 %, 30 from -20 %. One account's series a group."""
-    w = Window.partitionBy("account").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    dd = F.col(value) / F.nullif(F.max(value).over(w), F.lit(0.0)) - 1
-    return assets.withColumn("drawdown", dd).withColumn("pause_days", F.when(F.col("drawdown") <= -0.30, 90).when(F.col("drawdown") <= -0.20, 30).otherwise(0).cast("long"))
+def circuit_breaker(assets: DataFrame, order: str, value: str, bucket=None) -> DataFrame:
+    """Running peak, drawdown and pause in days: 90 from -30 %, 30 from -20 %. Each ``account`` is a series; ``bucket`` as in ``scans.running``."""
+    fallen = drawdowns(assets, ["account"], F.lit(0) if bucket is None else bucket, [order], value)
+    return fallen.withColumn("pause_days", F.when(F.col("drawdown") <= -0.30, 90).when(F.col("drawdown") <= -0.20, 30).otherwise(0).cast("long"))
 
 
 #: The most that one review may move a parameter.

@@ -5,23 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import by_code, div, ewm, lag, roll
+from tessera.functions.columns import by_code, div, lag, roll
+from tessera.operators.scans import with_ewm
 
 
 def indicators(bars: DataFrame) -> DataFrame:
     """Moving averages, RSI(14) on simple means, MACD(12,26,9), KDJ(9,3,3) and the volume ratio; rows before the 20th of a code are left out."""
     x = bars.withColumns({
         "ma5": roll(F.avg, "close", 5), "ma20": roll(F.avg, "close", 20), "_d": F.col("close") - lag("close"), "_n": F.row_number().over(by_code()),
-        "_e12": ewm("close", 1 - 2 / 13), "_e26": ewm("close", 1 - 2 / 27), "_lo": roll(F.min, "low", 9), "_hi": roll(F.max, "high", 9),
-        "vol_ratio": div("volume", roll(F.avg, "volume", 5)),
+        "_lo": roll(F.min, "low", 9), "_hi": roll(F.max, "high", 9), "vol_ratio": div("volume", roll(F.avg, "volume", 5)),
     })
     x = x.withColumns({
         "_gain": roll(F.avg, F.greatest("_d", F.lit(0.0)), 14), "_loss": roll(F.avg, F.greatest(-F.col("_d"), F.lit(0.0)), 14),
-        "dif": F.col("_e12") - F.col("_e26"), "_rsv": (F.col("close") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1e-9) * 100,
+        "_rsv": (F.col("close") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1e-9) * 100,
     })
-    x = x.withColumns({"rsi": 100 - 100 / (1 + div("_gain", "_loss")), "dea": ewm("dif", 1 - 2 / 10), "k": ewm("_rsv", 1 - 1 / 3)})
-    x = x.withColumns({"d": ewm("k", 1 - 1 / 3), "hist": (F.col("dif") - F.col("dea")) * 2})
-    x = x.withColumn("j", 3 * F.col("k") - 2 * F.col("d"))
+    x = with_ewm(x, {"_e12": ("close", 1 - 2 / 13), "_e26": ("close", 1 - 2 / 27), "k": ("_rsv", 1 - 1 / 3)})
+    x = x.withColumns({"rsi": 100 - 100 / (1 + div("_gain", "_loss")), "dif": F.col("_e12") - F.col("_e26")})
+    x = with_ewm(x, {"dea": ("dif", 1 - 2 / 10), "d": ("k", 1 - 1 / 3)})
+    x = x.withColumns({"hist": (F.col("dif") - F.col("dea")) * 2, "j": 3 * F.col("k") - 2 * F.col("d")})
     x = x.withColumns({
         "ma_bull": F.col("ma5") > F.col("ma20"),
         "macd_cross": (F.col("dif") > F.col("dea")) & (lag("dif") <= lag("dea")), "macd_bull": F.col("dif") > F.col("dea"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import rnd
 from tessera.operators import joins, ledger, signals
+from tessera.operators.scans import running
 from tessera.plans import sql as q
 from tessera.plans.factors import FULL, SNAP_SPEC, _SNAP, full_bars, snapshot
 from tessera.plans.sql import BARS, TRADES, with_
@@ -144,20 +145,39 @@ lots AS (SELECT st.code, sell_id, buy_id, least(hi, bhi) - greatest(lo, blo) AS
 
 
 def _numbered(spark, sf_dir):
-    return p.trades(spark, sf_dir).withColumn("id", F.row_number().over(Window.partitionBy("code").orderBy(*_ORDER)).cast("long"))
+    """Trades with ``id``, their place in their code, counted by months."""
+    return running(p.trades(spark, sf_dir), ["code"], F.trunc("ts", "MM"), _ORDER, {"id": ("count", F.lit(1))})
 
 
 @query("j13_fifo_lots", with_(TRADES, _CUM) + "SELECT code, sell_id, buy_id, round(alloc, 4) AS alloc FROM lots WHERE alloc > 0")
 def j13(spark, sf_dir):
-    """Lots by overlap of running volumes, with the rest of an oversell."""
-    lots = joins.fifo_lots(_numbered(spark, sf_dir), "code", ["id"])
+    """Lots by overlap of running volumes, with the rest of an oversell."""
+    lots = joins.fifo_lots(_numbered(spark, sf_dir), "code", ["id"], bucket=F.trunc("ts", "MM"))
     return lots.select("code", "sell_id", "buy_id", F.round("alloc", 4).alias("alloc"))
 
 
-@query("j14_timed_fifo")
+#: What a code holds after each trade, step by step: a sell is covered by what is held, no more.
+_HELD = f"""t AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY {_O}) AS id FROM trades),
+held AS (SELECT code, id, direction, price, volume, CASE WHEN direction = 'buy' THEN volume ELSE 0.0::DOUBLE END AS held, 0.0::DOUBLE AS covered FROM t WHERE id = 1
+  UNION ALL SELECT t.code, t.id, t.direction, t.price, t.volume, CASE WHEN t.direction = 'buy' THEN h.held + t.volume ELSE greatest(h.held - t.volume, 0) END, CASE WHEN t.direction = 'buy' THEN 0 ELSE least(h.held, t.volume) END
+  FROM held h JOIN t ON t.code = h.code AND t.id = h.id + 1),
+cum AS (SELECT *, sum(covered) OVER w AS shi, sum(CASE WHEN direction = 'buy' THEN volume ELSE 0 END) OVER w AS bhi FROM held WINDOW w AS (PARTITION BY code ORDER BY id)),
+lots AS (SELECT s.code, s.id AS sell_id, b.id AS buy_id, least(s.shi, b.bhi) - greatest(s.shi - s.covered, b.bhi - b.volume) AS alloc, s.price - b.price AS gain
+  FROM cum s JOIN cum b ON s.code = b.code AND s.direction = 'sell' AND b.direction = 'buy' AND b.bhi - b.volume < s.shi AND s.shi - s.covered < b.bhi WHERE s.covered > 0)"""
+
+
+@query("j14_timed_fifo", with_(TRADES, _HELD) + f"SELECT s.code, s.id, any_value(s.covered) AS matched, {q.rnd('coalesce(sum(alloc * gain), 0)', 4)} AS pnl FROM cum s LEFT JOIN lots l ON l.code = s.code AND l.sell_id = s.id WHERE s.direction = 'sell' GROUP BY 1, 2")
 def j14(spark, sf_dir):
     """Profit of each sell against earlier lots."""
-    return ledger.timed_fifo(_numbered(spark, sf_dir), ["id"])
+    done = ledger.timed_fifo(_numbered(spark, sf_dir), ["id"], F.trunc("ts", "MM"))
+    return done.select("code", "id", "matched", rnd("pnl", 4).alias("pnl"))
+
+
+@query("j13_strict_lots", with_(TRADES, _HELD) + " SELECT code, sell_id, buy_id, round(alloc, 4) AS alloc FROM lots WHERE alloc > 0 UNION ALL SELECT code, id, NULL, round(volume - covered, 4) FROM cum WHERE direction = 'sell' AND volume > covered")
+def j13_strict(spark, sf_dir):
+    """J13 as T14 asks: a sell takes earlier buys alone, and its rest is told."""
+    lots = joins.fifo_lots(_numbered(spark, sf_dir), "code", ["id"], bucket=F.trunc("ts", "MM"), strict=True)
+    return lots.select("code", "sell_id", "buy_id", F.round("alloc", 4).alias("alloc"))
 
 
 @query("x1_x3_ledger_replay")
@@ -260,7 +280,7 @@ def x5(spark, sf_dir):
 def x7(spark, sf_dir):
     """Drawdown from the running peak and the pause that it brings."""
     i = p.index_series(spark, sf_dir).withColumn("account", F.lit(1))
-    return ledger.circuit_breaker(i, "date", "close").select("date", F.round("drawdown", 6).alias("drawdown"), "pause_days")
+    return ledger.circuit_breaker(i, "date", "close", F.trunc("date", "YEAR")).select("date", F.round("drawdown", 6).alias("drawdown"), "pause_days")
 
 
 @query("x8_a24_sector_cap", with_(TRADES, q.INDUSTRY) + "SELECT industry, round(sum(price * volume), 2) AS value, sum(price * volume) <= 0.3 * (SELECT sum(price * volume) FROM trades WHERE direction = 'buy') AS ok FROM trades JOIN industry USING (code) WHERE direction = 'buy' GROUP BY industry")

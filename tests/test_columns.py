@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import columns as c
 from tessera.operators import events, joins, ledger, models, signals
 from tessera.operators.factors import limit_up
+from tessera.operators.scans import with_ewm
 from tessera.plans.factors import available_from
 
 
@@ -39,9 +40,14 @@ def test_average_rank_and_safe_correlation(spark):
 
 
 def test_ewm_is_the_adjusted_mean(spark):
-    values = list(np.random.default_rng(1).normal(size=40))
-    df = days(spark, [float(v) for v in values]).withColumn("y", c.ewm("x", 1 - 2 / 13))
-    assert np.allclose(column(df, "y"), pd.Series(values).ewm(span=12).mean())
+    values = np.random.default_rng(1).normal(size=1500).tolist()
+    for span in (1.5, 12, 26, 300):
+        df = with_ewm(days(spark, values), {"y": ("x", 1 - 2 / (span + 1))})
+        assert np.allclose(column(df, "y"), pd.Series(values).ewm(span=span).mean())
+    gaps = [None if i % 3 == 0 or 100 < i < 300 else v for i, v in enumerate(values)]
+    df = with_ewm(days(spark, gaps), {"y": ("x", 1 - 2 / 13), "z": ("x", 0.5)})
+    want = pd.Series(gaps, dtype=float).ewm(span=12, ignore_na=True).mean()
+    assert column(df, "y")[0] is None and np.allclose(column(df, "y")[1:], want[1:]) and df.columns[-2:] == ["y", "z"]
 
 
 def test_clip_keeps_null_and_cdf(spark):
@@ -110,4 +116,4 @@ def test_dense_models():
     r = rng.normal(size=600) * np.repeat([0.01, 0.03, 0.01], 200)
     assert 0.5 < models.fit_garch(r)["persistence"] < 1
     regime = np.column_stack([np.repeat([0.01, -0.02], 60) + 0.002 * rng.normal(size=120), np.repeat([0.1, 0.4], 60)])
-    assert models.two_state_hmm(regime)[:60].mean() < 0.1 and models.two_state_hmm(regime)[60:].mean() > 0.9
+    assert models.two_state_hmm(regime)[:60].mean() > 0.9 and models.two_state_hmm(regime)[60:].mean() < 0.1
