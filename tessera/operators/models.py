@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.columns import normal_cdf, winsorize
+
 
 def newey_west(df: DataFrame, by: str, order: str, x: str, lags: int = 4) -> DataFrame:
     """t of the mean of ``x`` in each series with Bartlett weights 1 - l / (lags + 1)."""
@@ -38,69 +40,106 @@ def crowding(returns: DataFrame, by: str, order: str, r: str, recent: int = 60,
     return out.select(by, F.round("sharpe", 3).alias("sharpe"), F.round("vol", 4).alias("vol"), F.round("sharpe_prev", 3).alias("sharpe_prev"), F.round("vol_prev", 4).alias("vol_prev"), F.round("m1", 6).alias("mean_return"), "flags", (F.col("flags") >= 2).alias("crowded"))
 
 
-def ols(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Coefficients (intercept first), their t and R squared."""
-    a = np.column_stack([np.ones(len(y)), x])
-    beta, *_ = np.linalg.lstsq(a, y, rcond=None)
-    rest = y - a @ beta
-    total = ((y - y.mean()) ** 2).sum()
-    free = max(1, len(y) - a.shape[1])
-    se = np.sqrt(np.maximum(np.diag(np.linalg.pinv(a.T @ a)) * (rest @ rest) / free, 0))
-    return beta, np.divide(beta, se, out=np.zeros_like(beta), where=se > 0), float(1 - rest @ rest / total) if total > 0 else 0.0
+def gram(rows: DataFrame, by: list[str], factors: list[str], y: str) -> DataFrame:
+    """``by``, ``n``, ``gram``: the sums of products of 1, the factors and ``y`` by group, row by row of the upper triangle.
+
+    One aggregate, partial before the shuffle: what a group sends on is (k + 2)(k + 3) / 2 numbers a task, however many rows it has.
+    """
+    terms = [F.lit(1.0), *[F.col(f).cast("double") for f in factors], F.col(y).cast("double")]
+    sums = [F.sum(terms[i] * terms[j]) for i in range(len(terms)) for j in range(i, len(terms))]
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.array(*sums).alias("gram"))
+
+
+def industry_neutral(rows: DataFrame, by: list[str], value: str, industry: str, least: int = 30) -> DataFrame:
+    """``rows`` with ``neutral``: ``value`` winsorized in its group, less the mean of its industry there (the residual on dummies).
+
+    Groups under ``least`` rows and constant ones keep their values; null values stay null.
+    """
+    w = Window.partitionBy(*by)
+    held = rows.withColumns({"_w": winsorize(value, window=w), "_k": F.count(value).over(w), "_s": F.stddev_pop(value).over(w)})
+    apart = F.col("_w") - F.avg("_w").over(Window.partitionBy(*by, industry))
+    return held.withColumn("neutral", F.when((F.col("_k") >= least) & (F.col("_s") > 0), apart).otherwise(F.col(value))).drop("_w", "_k", "_s")
+
+
+def _square(flat, k: int) -> np.ndarray:
+    """The symmetric (k + 2) x (k + 2) matrix of an upper triangle."""
+    out = np.zeros((k + 2, k + 2))
+    out[np.triu_indices(k + 2)] = flat
+    return out + np.triu(out, 1).T
+
+
+def ols(g: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Coefficients (intercept first), their t and R squared from a Gram matrix; the shortest of them where columns depend on each other."""
+    n, xx, xy = g[0, 0], g[:-1, :-1], g[:-1, -1]
+    inverse = np.linalg.pinv(xx, hermitian=True)
+    beta = inverse @ xy
+    rest, total = max(_left(g, beta), 0.0), g[-1, -1] - g[0, -1] ** 2 / n
+    se = np.sqrt(np.maximum(np.diag(inverse) * rest / max(1.0, n - len(xx)), 0))
+    return beta, np.divide(beta, se, out=np.zeros_like(beta), where=se > 0), float(1 - rest / total) if total > 0 else 0.0
+
 
+def _left(g: np.ndarray, beta: np.ndarray) -> float:
+    """The sum of squared residuals."""
+    return float(g[-1, -1] - 2 * beta @ g[:-1, -1] + beta @ g[:-1, :-1] @ beta)
 
-def ridge(x: np.ndarray, y: np.ndarray, alpha: float) -> np.ndarray:
-    a = np.column_stack([np.ones(len(y)), x])
-    penalty = np.eye(a.shape[1]) * alpha
+
+def ridge(g: np.ndarray, alpha: float) -> np.ndarray:
+    """Closed form; the intercept is not penalized."""
+    penalty = np.eye(len(g) - 1) * alpha
     penalty[0, 0] = 0
-    return np.linalg.solve(a.T @ a + penalty, a.T @ y)
+    return np.linalg.solve(g[:-1, :-1] + penalty, g[:-1, -1])
 
 
-def lasso(x: np.ndarray, y: np.ndarray, alpha: float, rounds: int = 500, tol: float = 1e-6) -> np.ndarray:
+def lasso(g: np.ndarray, alpha: float, rounds: int = 500, tol: float = 1e-6) -> np.ndarray:
     """Coordinate descent on standardized columns; alpha is not scaled by the rows, so small values shrink nothing."""
-    n, beta, mean = len(y), np.zeros(x.shape[1]), y.mean()
+    n, mean, xx = g[0, 0], g[0, -1] / g[0, 0], g[1:-1, 1:-1]
+    target, beta = g[1:-1, -1] - mean * g[0, 1:-1], np.zeros(len(xx))
     for _ in range(rounds):
         old = beta.copy()
-        for j in range(x.shape[1]):
-            rho = x[:, j] @ (y - mean - x @ beta + x[:, j] * beta[j])
+        for j in range(len(beta)):
+            rho = target[j] - xx[j] @ beta + xx[j, j] * beta[j]
             beta[j] = math.copysign(max(0.0, abs(rho) - alpha), rho) / n
         if np.abs(beta - old).max() < tol:
             break
     return np.append(mean, beta)
 
 
-_MODEL = "month date, model string, factor string, coef double, t double, p double, r2 double, n long"
-
-
-def cross_section_models(rows: DataFrame, by: str, factors: list[str], y: str, least: int = 30, alpha_ridge: float = 1.0, alpha_lasso: float = 0.001) -> DataFrame:
-    """OLS, ridge and LASSO in each group with ``least`` rows or more; a group is one date's names."""
-
-    def fit(part: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(part) >= least:
-            x, target = part[factors].to_numpy(float), part[y].to_numpy(float)
-            beta, t, r2 = ols(x, target)
-            total = ((target - target.mean()) ** 2).sum()
-            for name, coef in (("ols", beta), ("ridge", ridge(x, target, alpha_ridge)), ("lasso", lasso(x, target, alpha_lasso))):
-                fitted = coef[0] + x @ coef[1:]
-                score = r2 if name == "ols" else float(1 - ((target - fitted) ** 2).sum() / total) if total > 0 else 0.0
-                for k, f in enumerate(["intercept", *factors]):
-                    has = name == "ols"
-                    out.append((part[by].iloc[0], name, f, float(coef[k]), float(t[k]) if has else None, math.erfc(abs(t[k]) / math.sqrt(2)) if has else None, score, len(part)))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in _MODEL.split(", ")])
-
-    return rows.select(by, *factors, y).groupBy(by).applyInPandas(fit, _MODEL)
+def cross_section_models(rows: DataFrame, by: str | list[str], factors: list[str], y: str, least: int = 30, alpha_ridge: float = 1.0, alpha_lasso: float = 0.001) -> DataFrame:
+    """OLS (with t and a normal two-sided p), ridge and LASSO in each group with ``least`` rows or more.
 
+    All three come from the group's Gram matrix, so no group's rows are gathered; Python sees one small matrix a group. Rows need no nulls in
+    ``factors`` and ``y``.
+    """
+    by = [by] if isinstance(by, str) else by
+    sums = gram(rows, by, factors, y).filter(F.col("n") >= least)
+    names = ["intercept", *factors]
 
-def coefficient_summary(models: DataFrame, split: str) -> DataFrame:
-    """Mean, median, positive share, mean size, mean t, share of large t and Newey-West t, by model, factor and half."""
+    def fit(batches):
+        for part in batches:
+            out = []
+            for row in part.itertuples(index=False):
+                g = _square(row.gram, len(factors))
+                beta, t, r2 = ols(g)
+                total = g[-1, -1] - g[0, -1] ** 2 / g[0, 0]
+                for name, coef in (("ols", beta), ("ridge", ridge(g, alpha_ridge)), ("lasso", lasso(g, alpha_lasso))):
+                    score = r2 if name == "ols" else float(1 - _left(g, coef) / total) if total > 0 else 0.0
+                    out += [(*row[: len(by)], name, f, float(coef[k]), float(t[k]) if name == "ols" else None, score, int(row.n)) for k, f in enumerate(names)]
+            yield pd.DataFrame(out, columns=[*by, "model", "factor", "coef", "t", "r2", "n"])
+
+    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in by)
+    fitted = sums.mapInPandas(fit, f"{schema}, model string, factor string, coef double, t double, r2 double, n long")
+    return fitted.withColumn("p", 2 * (1 - normal_cdf(F.abs("t"))))
+
+
+def coefficient_summary(models: DataFrame, split: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Mean, median, positive share, mean size, mean t, share of large t, mean R squared and Newey-West t, by ``by``, model, factor and half."""
     half = F.when(F.col("month") < F.lit(split).cast("date"), "in_sample").otherwise("out_of_sample")
-    m = models.withColumn("half", half).withColumn("key", F.concat_ws("|", "model", "factor", "half"))
-    agg = m.groupBy("key", "model", "factor", "half").agg(
-        F.count("*").alias("months"), F.round(F.avg("coef"), 8).alias("mean"), F.round(F.median("coef"), 8).alias("median"), F.round(F.avg((F.col("coef") > 0).cast("double")), 4).alias("positive"),
-        F.round(F.avg(F.abs("coef")), 8).alias("mean_abs"), F.round(F.avg("t"), 6).alias("mean_t"), F.round(F.avg((F.abs("t") > 2).cast("double")), 4).alias("large_t"), F.round(F.avg("r2"), 6).alias("mean_r2"))
-    nw = newey_west(m, "key", "month", "coef").select("key", F.round("nw_t", 5).alias("nw_t"))
-    return agg.join(nw, "key").drop("key")
+    keys = [*by, "model", "factor", "half"]
+    m = models.withColumn("half", half).withColumn("key", F.concat_ws("|", *keys))
+    agg = m.groupBy("key", *keys).agg(
+        F.count("*").alias("months"), F.avg("coef").alias("mean"), F.median("coef").alias("median"), F.avg((F.col("coef") > 0).cast("double")).alias("positive"),
+        F.avg(F.abs("coef")).alias("mean_abs"), F.avg("t").alias("mean_t"), F.avg((F.abs("t") > 2).cast("double")).alias("large_t"), F.avg("r2").alias("mean_r2"))
+    return agg.join(newey_west(m, "key", "month", "coef").select("key", "nw_t"), "key").drop("key")
 
 
 # ---- volatility ----
@@ -225,61 +264,109 @@ def two_clusters(x: np.ndarray, seed: int) -> np.ndarray:
     return label
 
 
-def two_state_hmm(x: np.ndarray, restarts: int = 5, rounds: int = 120, tau: float = 0.6) -> np.ndarray | None:
-    """Most probable state (0: the one of lower mean return) of each row, from fixed Gaussian emissions and re-estimated transitions.
+#: The transitions' prior, the weight of the estimate beside it, their bounds, the least share of a state and of labelled rows.
+PRIOR, TAU, TRANS_BOUNDS, LEAST_SHARE, LEAST_ROWS = np.array([[0.9, 0.1], [0.1, 0.9]]), 0.6, (0.05, 0.95), 0.05, 120
 
-    None where no restart gives each state a share of 0.05 at least.
+
+def forward_backward(like: np.ndarray, trans: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, float]:
+    """Share of each state in each row, and the logarithm of the whole likelihood.
+
+    A step is a 2 x 2 matrix and steps multiply associatively, so blocks of about the root of the rows are multiplied
+    side by side, scaled at each step, and only the blocks are gone through one after the other.
+    """
+    n = len(like)
+    size = max(1, math.isqrt(n))
+    blocks = -(-(n - 1) // size)
+    steps = np.tile(np.eye(2), (blocks * size, 1, 1))
+    steps[: n - 1] = trans * like[1:, None, :]
+    steps = steps.reshape(blocks, size, 2, 2)
+    ahead, behind, logs = np.empty_like(steps), np.empty_like(steps), np.zeros(blocks)
+    now = np.tile(np.eye(2), (blocks, 1, 1))
+    for k in range(size):
+        now = now @ steps[:, k]
+        scale = now.sum((1, 2))
+        now = now / scale[:, None, None]
+        logs += np.log(scale)
+        ahead[:, k] = now
+    now = np.tile(np.eye(2), (blocks, 1, 1))
+    for k in range(size - 1, -1, -1):
+        behind[:, k] = now
+        now = steps[:, k] @ now
+        now = now / now.sum((1, 2))[:, None, None]
+    first = start * like[0]
+    total, v, entry = math.log(first.sum()), first / first.sum(), np.empty((blocks, 2))
+    for i in range(blocks):
+        entry[i] = v
+        v = v @ ahead[i, -1]
+        total += math.log(v.sum()) + logs[i]
+        v = v / v.sum()
+    w, leave = np.ones(2), np.empty((blocks, 2))
+    for i in range(blocks - 1, -1, -1):
+        leave[i] = w
+        w = now[i] @ w
+        w = w / w.sum()
+    alpha, beta = np.empty_like(like), np.empty_like(like)
+    alpha[0], beta[0] = first, w
+    alpha[1:] = np.einsum("bi,bkij->bkj", entry, ahead).reshape(-1, 2)[: n - 1]
+    beta[1:] = np.einsum("bkij,bj->bki", behind, leave).reshape(-1, 2)[: n - 1]
+    gamma = alpha * beta
+    return gamma / gamma.sum(1, keepdims=True), total
+
+
+def fit_states(x: np.ndarray, seed: int, rounds: int = 120) -> tuple[float, np.ndarray] | None:
+    """Likelihood and most probable state (0: the one of lower mean return) of each row of one restart.
+
+    Fixed Gaussian emissions from two seeded clusters, re-estimated transitions. None where a state has less than LEAST_SHARE.
     """
     x = (x - x.mean(0)) / (x.std(0) + 1e-12)
-    best, states = -np.inf, None
-    prior = np.array([[0.9, 0.1], [0.1, 0.9]])
-    for seed in range(restarts):
-        label = two_clusters(x, seed)
-        if label.min() == label.max():
-            continue
-        means = np.stack([x[label == k].mean(0) for k in (0, 1)])
-        var = np.stack([x[label == k].var(0) + 1e-3 for k in (0, 1)])
-        logp = -0.5 * (((x[:, None] - means) ** 2 / var) + np.log(2 * np.pi * var)).sum(2)
-        like = np.exp(logp - logp.max(1, keepdims=True))
-        trans = np.ones((2, 2))
-        np.add.at(trans, (label[:-1], label[1:]), 1)
+    label = two_clusters(x, seed)
+    if label.min() == label.max():
+        return None
+    means = np.stack([x[label == k].mean(0) for k in (0, 1)])
+    var = np.stack([x[label == k].var(0) + 1e-3 for k in (0, 1)])
+    logp = -0.5 * (((x[:, None] - means) ** 2 / var) + np.log(2 * np.pi * var)).sum(2)
+    like = np.exp(logp - logp.max(1, keepdims=True))
+    trans = np.ones((2, 2))
+    np.add.at(trans, (label[:-1], label[1:]), 1)
+    trans /= trans.sum(1, keepdims=True)
+    start = np.array([(label == k).mean() for k in (0, 1)]) + 1e-6
+    start /= start.sum()
+    for _ in range(rounds):
+        gamma, total = forward_backward(like, trans, start)
+        if gamma.sum(0).min() < 1e-6:
+            break
+        trans = gamma[:-1].T @ gamma[1:] / np.maximum(gamma[:-1].sum(0)[:, None], 1e-12)  # no pairwise term: states of neighbours as if apart
+        trans = np.clip(TAU * trans + (1 - TAU) * PRIOR, *TRANS_BOUNDS)
         trans /= trans.sum(1, keepdims=True)
-        start = np.array([(label == k).mean() for k in (0, 1)]) + 1e-6
-        start /= start.sum()
-        for _ in range(rounds):
-            alpha, scale = np.empty_like(like), np.empty(len(x))
-            v = start * like[0]
-            for i in range(len(x)):
-                v = v if i == 0 else (alpha[i - 1] @ trans) * like[i]
-                scale[i] = max(v.sum(), 1e-300)
-                alpha[i] = v / scale[i]
-            beta = np.ones_like(like)
-            for i in range(len(x) - 2, -1, -1):
-                beta[i] = trans @ (like[i + 1] * beta[i + 1]) / scale[i + 1]
-            gamma = alpha * beta
-            gamma /= gamma.sum(1, keepdims=True)
-            if gamma.sum(0).min() < 1e-6:
-                break
-            trans = gamma[:-1].T @ gamma[1:] / np.maximum(gamma[:-1].sum(0)[:, None], 1e-12)  # as the reference: no pairwise term
-            trans = np.clip(tau * trans + (1 - tau) * prior, 0.05, 0.95)
-            trans /= trans.sum(1, keepdims=True)
-            start = gamma[0]
-        share, score = gamma.mean(0), float(np.log(scale).sum() + logp.max(1).sum())
-        if share.min() >= 0.05 and score > best:
-            best, states = score, gamma.argmax(1)
-            if means[0, 0] > means[1, 0]:
-                states = 1 - states
-    return states
-
-
-def hmm_labels(features: DataFrame, by: str, order: str, columns: list[str]) -> DataFrame:
-    """State of each row of each series (one index a group); rows with nulls, and series of under 120 rows or without two states, are left out."""
+        start = gamma[0]
+    if gamma.mean(0).min() < LEAST_SHARE:
+        return None
+    states = gamma.argmax(1)
+    return total + float(logp.max(1).sum()), 1 - states if means[0, 0] > means[1, 0] else states
+
+
+def two_state_hmm(x: np.ndarray, restarts: int = 5) -> np.ndarray | None:
+    """The states of the likeliest restart, the earlier one of equals; None where no restart gives both states their share."""
+    fits = [f for f in (fit_states(x, seed) for seed in range(restarts)) if f is not None]
+    return max(fits, key=lambda f: f[0])[1] if fits else None
 
-    def label(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.dropna().sort_values(order)
-        out = part[[by, order]].copy()
-        states = two_state_hmm(part[columns].to_numpy(float)) if len(part) >= 120 else None
-        return out.assign(state=states) if states is not None else out.iloc[:0].assign(state=0)
 
-    schema = f"{by} {features.schema[by].dataType.simpleString()}, {order} {features.schema[order].dataType.simpleString()}, state int"
-    return features.select(by, order, *columns).groupBy(by).applyInPandas(label, schema)
+def hmm_labels(features: DataFrame, by: str, order: str, columns: list[str], restarts: int = 5) -> DataFrame:
+    """``by``, ``order`` and ``state`` of every row of ``features``; rows with nulls, and series of under LEAST_ROWS rows or without two states, have a null state.
+
+    Restarts are rows: each (series, restart) is a group of its own, so they run side by side, and the likeliest one is joined
+    back to all rows. A series (one index, as long as the calendar) is held by one task a restart.
+    """
+    whole = features.select(by, order, *columns).dropna()
+    tries = whole.withColumn("restart", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))))
+
+    def label(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(order)
+        fit = fit_states(part[columns].to_numpy(float), int(part.restart.iloc[0])) if len(part) >= LEAST_ROWS else None
+        out = part[[by, order, "restart"]].copy()
+        return out.assign(score=fit[0], state=fit[1]) if fit else out.iloc[:0].assign(score=0.0, state=0)
+
+    kind = lambda c: features.schema[c].dataType.simpleString()
+    found = tries.groupBy(by, "restart").applyInPandas(label, f"{by} {kind(by)}, {order} {kind(order)}, restart int, score double, state int")
+    best = found.groupBy(by, order).agg(F.max_by("state", F.struct("score", -F.col("restart"))).alias("state"))
+    return features.select(by, order).join(best, [by, order], "left")

@@ -172,13 +172,13 @@ def m18(spark, sf_dir):
 
 @query("m15_m17_hmm_regimes")
 def m15(spark, sf_dir):
-    """Features by windows, states by a two-state hidden Markov model, label with the 60-day mean."""
+    """Every trading day with its state by a two-state hidden Markov model and its label with the 60-day mean; both null where the features or the model lack a state."""
     x = p.index_series(spark, sf_dir).withColumn("code", F.lit("index")).withColumn("ret", pct_change("close"))
     f = x.withColumns({"vol20": roll(F.stddev_samp, "ret", 20), "ma60": roll(F.avg, "close", 60)}).withColumn("gap", F.col("close") / F.nullif("ma60", F.lit(0.0)) - 1)
     states = models.hmm_labels(f, "code", "date", ["ret", "vol20", "gap"])
     both = states.join(f.select("code", "date", "gap"), ["code", "date"])
     label = F.when((F.col("state") == 1) & (F.col("gap") > 0.02), "bull").when((F.col("state") == 0) & (F.col("gap") < -0.02), "bear").when(F.abs("gap") < 0.05, "range").otherwise("transition")
-    return both.select("date", F.col("state").cast("long").alias("state"), label.alias("hmm"))
+    return both.select("date", F.col("state").cast("long").alias("state"), F.when(F.col("state").isNotNull(), label).alias("hmm"))
 
 
 def _forecasts(spark, sf_dir):

@@ -86,11 +86,8 @@ w AS (SELECT j.*, least(greatest(y, lo), hi) AS yw, n, s FROM joined j JOIN boun
 SELECT month, code, industry, """ + q.rnd("CASE WHEN n >= 30 AND s > 0 THEN yw - avg(yw) OVER (PARTITION BY month, industry) ELSE y END") + " AS neutral FROM w")
 def m1(spark, sf_dir):
     """M1, P5: winsorized values less the mean of month and industry (the residual on dummies); thin months stay raw."""
-    w = Window.partitionBy("month")
     rows = monthly(spark, sf_dir).filter("vol_20d_atr is not null").join(_industry(spark, sf_dir), "code", "left").fillna("none", ["industry"])
-    rows = rows.withColumns({"yw": winsorize("vol_20d_atr", window=w), "k": F.count("*").over(w), "s": F.stddev_pop("vol_20d_atr").over(w)})
-    neutral = F.when((F.col("k") >= 30) & (F.col("s") > 0), F.col("yw") - F.avg("yw").over(Window.partitionBy("month", "industry"))).otherwise(F.col("vol_20d_atr"))
-    return rows.select("month", "code", "industry", rnd(neutral).alias("neutral"))
+    return models.industry_neutral(rows, ["month"], "vol_20d_atr", "industry").select("month", "code", "industry", rnd("neutral").alias("neutral"))
 
 
 _Z = """, b AS (SELECT month, factor, quantile_cont(value, 0.01::DOUBLE) AS lo, quantile_cont(value, 0.99::DOUBLE) AS hi FROM long GROUP BY 1, 2),
@@ -158,23 +155,129 @@ def m5_one(spark, sf_dir):
     return z.groupBy("factor", "month").agg(F.count("*").alias("n"), F.round(F.regr_slope("y", "z0"), 6).alias("coef"), F.round(F.regr_intercept("y", "z0"), 6).alias("intercept"), F.round(F.regr_r2("y", "z0"), 6).alias("r2")).filter("n >= 30")
 
 
-def _wide_z(spark, sf_dir) -> DataFrame:
-    w = Window.partitionBy("month")
-    m = monthly(spark, sf_dir).filter("fwd is not null and " + " and ".join(f"{f} is not null" for f in FACTORS3))
+def _standard(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Rows with all three factors and a return: winsorized z-scores by group, the return clipped as ``y``."""
+    w = Window.partitionBy(*by)
+    m = rows.filter("fwd is not null and " + " and ".join(f"{f} is not null" for f in FACTORS3))
     m = m.withColumns({f: winsorize(f, window=w) for f in FACTORS3}).withColumns({f: zscore(f, w) for f in FACTORS3})
     return m.withColumn("y", clip("fwd", -0.21, 0.21))
 
 
-@query("m5_m9_cross_section_models")
+def _standard_sql(src: str, by: str) -> str:
+    """``std``: the twin of ``_standard``."""
+    many = ", ".join(f"quantile_cont({f}, [0.01::DOUBLE, 0.99::DOUBLE]) AS e{i}" for i, f in enumerate(FACTORS3, 1))
+    held = ", ".join(f"least(greatest({f}, e{i}[1]), e{i}[2]) AS v{i}" for i, f in enumerate(FACTORS3, 1))
+    score = ", ".join(f"(v{i} - avg(v{i}) OVER g) / (stddev_pop(v{i}) OVER g + 1e-12) AS x{i}" for i in (1, 2, 3))
+    return f""", full_rows AS (SELECT {by}, code, {", ".join(FACTORS3)}, least(greatest(fwd, -0.21::DOUBLE), 0.21::DOUBLE) AS y FROM {src} WHERE fwd IS NOT NULL AND {" AND ".join(f"{f} IS NOT NULL" for f in FACTORS3)}),
+edge AS (SELECT {by}, {many} FROM full_rows GROUP BY {by}), held_in AS (SELECT {by}, code, y, {held} FROM full_rows JOIN edge USING ({by})),
+std AS (SELECT {by}, y, {score} FROM held_in WINDOW g AS (PARTITION BY {by}))"""
+
+
+def _models_sql(by: str) -> str:
+    """``fits`` from ``std``: OLS and ridge by the inverse of the centred 3 x 3 matrix, LASSO step by step."""
+    pairs = [(i, j) for i in (1, 2, 3) for j in range(i, 4)]
+    raw = ", ".join([f"sum(x{i} * x{j}) AS r{i}{j}" for i, j in pairs] + [f"sum(x{i}) AS s{i}, sum(x{i} * y) AS h{i}" for i in (1, 2, 3)])
+    centred = ", ".join([f"r{i}{j} - s{i} * s{j} / n AS c{i}{j}" for i, j in pairs] + [f"h{i} - s{i} * sy / n AS k{i}, s{i} / n AS m{i}" for i in (1, 2, 3)])
+    quadratic = lambda c: " + ".join(f"{1 if i == j else 2} * b{i} * b{j} * {c}{i}{j}" for i, j in pairs)
+    inverse = "(a22 * a33 - a23 * a23) / det AS i11, (c13 * c23 - c12 * a33) / det AS i12, (c12 * c23 - c13 * a22) / det AS i13, (a11 * a33 - c13 * c13) / det AS i22, (c12 * c13 - a11 * c23) / det AS i23, (a11 * a22 - c12 * c12) / det AS i33"
+    soft = lambda e: f"(CASE WHEN {e} > 0 THEN 1 ELSE -1 END) * greatest(abs({e}) - 0.001::DOUBLE, 0) / n"
+    names = ["intercept", *FACTORS3]
+    long = lambda t: "UNNEST([" + ", ".join(f"{{'factor': '{f}', 'coef': b{i}, 't': {t and f't{i}' or 'NULL::DOUBLE'}}}" for i, f in enumerate(names)) + "])"
+    return f""", sums AS (SELECT {by}, count(*) AS n, sum(y) AS sy, sum(y * y) AS yy, {raw} FROM std GROUP BY {by} HAVING count(*) >= 30),
+cen AS (SELECT *, yy - sy * sy / n AS tss, sy / n AS my, {centred} FROM sums),
+pen AS (SELECT *, c11 + alpha AS a11, c22 + alpha AS a22, c33 + alpha AS a33, c23 AS a23 FROM cen, (VALUES ('ols', 0.0::DOUBLE), ('ridge', 1.0::DOUBLE)) AS kinds(model, alpha)),
+inv AS (SELECT *, {inverse} FROM (SELECT *, a11 * (a22 * a33 - c23 * c23) - c12 * (c12 * a33 - c23 * c13) + c13 * (c12 * c23 - a22 * c13) AS det FROM pen)),
+bet AS (SELECT *, i11 * k1 + i12 * k2 + i13 * k3 AS b1, i12 * k1 + i22 * k2 + i23 * k3 AS b2, i13 * k1 + i23 * k2 + i33 * k3 AS b3 FROM inv),
+res AS (SELECT *, my - b1 * m1 - b2 * m2 - b3 * m3 AS b0, greatest(tss - 2 * (b1 * k1 + b2 * k2 + b3 * k3) + {quadratic("c")}, 0) AS rss FROM bet),
+lin AS (SELECT {by}, model, n, 1 - rss / tss AS r2, b0, b1, b2, b3, CASE WHEN model = 'ols' THEN b0 / sqrt(rss / (n - 4) * (1.0::DOUBLE / n + m1 * m1 * i11 + m2 * m2 * i22 + m3 * m3 * i33 + 2 * (m1 * m2 * i12 + m1 * m3 * i13 + m2 * m3 * i23))) END AS t0,
+  {", ".join(f"CASE WHEN model = 'ols' THEN b{i} / sqrt(rss / (n - 4) * i{i}{i}) END AS t{i}" for i in (1, 2, 3))} FROM res),
+las AS (SELECT *, 0 AS step, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2, 0.0::DOUBLE AS b3, 1.0::DOUBLE AS moved FROM cen
+  UNION ALL SELECT * EXCLUDE (o1, o2, o3, b1, b2, b3), b1, b2, b3, greatest(abs(b1 - o1), abs(b2 - o2), abs(b3 - o3)) AS moved FROM (
+    SELECT *, {soft("(k3 - r13 * b1 - r23 * b2)")} AS b3 FROM (SELECT *, {soft("(k2 - r12 * b1 - r23 * o3)")} AS b2 FROM (SELECT *, {soft("(k1 - r12 * o2 - r13 * o3)")} AS b1 FROM (
+      SELECT * EXCLUDE (b1, b2, b3, step, moved), step + 1 AS step, b1 AS o1, b2 AS o2, b3 AS o3 FROM las WHERE step < 500 AND moved >= 1e-6))))),
+lasd AS (SELECT {by}, 'lasso' AS model, n, 1 - (tss - 2 * (b1 * k1 + b2 * k2 + b3 * k3) + {quadratic("r")}) / tss AS r2, my AS b0, b1, b2, b3 FROM las QUALIFY row_number() OVER (PARTITION BY {by} ORDER BY step DESC) = 1),
+flat AS (SELECT {by}, model, n, r2, {long(True)} AS u FROM lin UNION ALL SELECT {by}, model, n, r2, {long(False)} AS u FROM lasd),
+fits AS (SELECT {by}, model, u.factor AS factor, u.coef AS coef, u.t AS t, r2, n FROM flat)"""
+
+
+_TAIL = "1.0::DOUBLE / (1 + 0.3275911::DOUBLE * abs(t) / sqrt(2.0::DOUBLE))"
+_P = f"exp(-t * t / 2) * {_TAIL} * (0.254829592::DOUBLE + {_TAIL} * (-0.284496736::DOUBLE + {_TAIL} * (1.421413741::DOUBLE + {_TAIL} * (-1.453152027::DOUBLE + {_TAIL} * 1.061405429::DOUBLE))))"
+
+
+def _cross_models(spark, sf_dir) -> DataFrame:
+    return models.cross_section_models(_standard(monthly(spark, sf_dir), ["month"]), "month", FACTORS3, "y")
+
+
+@query("m5_m9_cross_section_models", with_(*MONTHLY_CTES) + _standard_sql("monthly", "month") + _models_sql("month") + f" SELECT month, model, factor, {q.rnd('coef', 7)} AS coef, {q.rnd('t', 4)} AS t, {q.rnd(_P, 5)} AS p, {q.rnd('r2', 6)} AS r2, n FROM fits")
 def m5_m9(spark, sf_dir):
-    """OLS with t and p, ridge and LASSO per month; numpy on one month's names at a time."""
-    return models.cross_section_models(_wide_z(spark, sf_dir), "month", FACTORS3, "y")
+    """M5-M9: OLS with t and p, ridge and LASSO per month, from the month's Gram matrix."""
+    x = _cross_models(spark, sf_dir)
+    return x.select("month", "model", "factor", rnd("coef", 7).alias("coef"), rnd("t", 4).alias("t"), rnd("p", 5).alias("p"), rnd("r2", 6).alias("r2"), "n")
 
 
-@query("a17_a18_coefficient_summary")
+SPLIT = "1999-01-01"
+
+
+def _summary_sql(by: str) -> str:
+    """``summary`` of ``fits`` by ``by``, model, factor and half."""
+    return f""", halves AS (SELECT *, CASE WHEN month < DATE '{SPLIT}' THEN 'in_sample' ELSE 'out_of_sample' END AS half FROM fits),
+dev AS (SELECT *, coef - avg(coef) OVER (PARTITION BY {by}) AS e FROM halves),
+lagged AS (SELECT *, lag(e, 1) OVER w AS e1, lag(e, 2) OVER w AS e2, lag(e, 3) OVER w AS e3, lag(e, 4) OVER w AS e4 FROM dev WINDOW w AS (PARTITION BY {by} ORDER BY month)),
+summary AS (SELECT {by}, count(*) AS months, avg(coef) AS mean, median(coef) AS median, avg((coef > 0)::INT) AS positive, avg(abs(coef)) AS mean_abs, avg(t) AS mean_t, avg((abs(t) > 2)::INT) AS large_t, avg(r2) AS mean_r2,
+  avg(coef) / nullif(sqrt(greatest(sum(e * e) + 2 * (0.8 * coalesce(sum(e * e1), 0) + 0.6 * coalesce(sum(e * e2), 0) + 0.4 * coalesce(sum(e * e3), 0) + 0.2 * coalesce(sum(e * e4), 0)), 0)) / count(*), 0) AS nw_t FROM lagged GROUP BY {by})"""
+
+
+_DIGITS = {"mean": 7, "median": 7, "positive": 4, "mean_abs": 7, "mean_t": 4, "large_t": 4, "mean_r2": 6, "nw_t": 3}
+
+
+@query("a17_a18_coefficient_summary", with_(*MONTHLY_CTES) + _standard_sql("monthly", "month") + _models_sql("month") + _summary_sql("model, factor, half") + " SELECT model, factor, half, months, " + ", ".join(f"{q.rnd(c, d)} AS {c}" for c, d in _DIGITS.items()) + " FROM summary")
 def a17_a18(spark, sf_dir):
     """Per model, factor and in- or out-of-sample half; Newey-West t with four lags."""
-    return models.coefficient_summary(models.cross_section_models(_wide_z(spark, sf_dir), "month", FACTORS3, "y"), "1999-01-01")
+    x = models.coefficient_summary(_cross_models(spark, sf_dir), SPLIT)
+    return x.select("model", "factor", "half", "months", *[rnd(c, d).alias(c) for c, d in _DIGITS.items()])
+
+
+@query("m23_model_cross_check", with_(*MONTHLY_CTES) + _standard_sql("monthly", "month") + _models_sql("month") + _summary_sql("model, factor, half") + f""", wide AS (SELECT factor, half, {", ".join(f"max(mean) FILTER (model = '{m}') AS {m}" for m in ("ols", "ridge", "lasso"))} FROM summary WHERE factor <> 'intercept' GROUP BY 1, 2)
+SELECT i.factor, {", ".join(f"{q.rnd(f'{h}.{m}', 7)} AS {m}_{n}" for h, n in (("i", "in"), ("o", "out")) for m in ("ols", "ridge", "lasso"))}, sign(i.ols) = sign(i.ridge) AND sign(i.ols) = sign(i.lasso) AS agree_in, sign(o.ols) = sign(o.ridge) AND sign(o.ols) = sign(o.lasso) AS agree_out, sign(i.ols) = sign(o.ols) AS ols_holds FROM wide i JOIN wide o ON i.factor = o.factor AND i.half = 'in_sample' AND o.half = 'out_of_sample'""")
+def m23(spark, sf_dir):
+    """Whether OLS, ridge and LASSO agree on each factor's sign, in and out of sample, and whether the sign holds."""
+    x = models.coefficient_summary(_cross_models(spark, sf_dir), SPLIT).filter("factor <> 'intercept'")
+    mean = {f"{m}_{n}": F.max(F.when((F.col("model") == m) & (F.col("half") == h), F.col("mean"))) for h, n in (("in_sample", "in"), ("out_of_sample", "out")) for m in ("ols", "ridge", "lasso")}
+    w = x.groupBy("factor").agg(*[v.alias(k) for k, v in mean.items()]).dropna()
+    same = lambda a, b: F.signum(a) == F.signum(b)
+    agree = {f"agree_{n}": same(f"ols_{n}", f"ridge_{n}") & same(f"ols_{n}", f"lasso_{n}") for n in ("in", "out")}
+    return w.select("factor", *[rnd(c, 7).alias(c) for c in mean], *[v.alias(k) for k, v in agree.items()], same("ols_in", "ols_out").alias("ols_holds"))
+
+
+_VARIANTS = ", " + INDUSTRY + """,
+lind AS (SELECT l.*, coalesce(industry, 'none') AS industry FROM long l LEFT JOIN industry USING (code)),
+lb AS (SELECT month, factor, quantile_cont(value, 0.01::DOUBLE) AS lo, quantile_cont(value, 0.99::DOUBLE) AS hi, count(*) AS k, stddev_pop(value) AS s FROM lind GROUP BY 1, 2),
+lw AS (SELECT lind.*, least(greatest(value, lo), hi) AS vw, k, s FROM lind JOIN lb USING (month, factor)),
+both_ways AS (SELECT 'raw' AS variant, month, code, factor, value, fwd FROM long UNION ALL
+  SELECT 'neutral', month, code, factor, """ + q.rnd("CASE WHEN k >= 30 AND s > 0 THEN vw - avg(vw) OVER (PARTITION BY month, factor, industry) ELSE value END", 8) + """, fwd FROM lw),
+spread AS (SELECT variant, month, code, any_value(fwd) AS fwd, """ + ", ".join(f"max(value) FILTER (factor = '{f}') AS {f}" for f in FACTORS3) + " FROM both_ways GROUP BY 1, 2, 3)"
+
+
+@query("m22_neutralization_audit", with_(*MONTHLY_CTES, LONG) + _VARIANTS + _standard_sql("spread", "variant, month") + _models_sql("variant, month") + _summary_sql("variant, model, factor, half") + _RANKS.format(by="variant, factor, month", src="both_ways", least=5) + f""",
+icm AS (SELECT variant, factor, avg(ic) AS mean_ic, coalesce(avg(ic) / nullif(stddev_samp(ic) / sqrt(count(ic)), 0), 0) AS ic_t FROM (SELECT variant, factor, {q.rnd('ic', 9)} AS ic FROM ics WHERE ic IS NOT NULL AND month >= DATE '{SPLIT}') GROUP BY 1, 2),
+one AS (SELECT s.variant, s.factor, mean, positive, nw_t, mean_ic, ic_t FROM summary s JOIN icm USING (variant, factor) WHERE model = 'ols' AND half = 'out_of_sample')
+SELECT r.factor, {", ".join(f"{q.rnd(f'{a}.{c}', d)} AS {n}_{c}" for a, n in (("r", "raw"), ("n", "neutral")) for c, d in (("mean", 7), ("positive", 4), ("nw_t", 3), ("mean_ic", 6), ("ic_t", 4)))}, sign(r.mean) = sign(n.mean) AS sign_holds, {q.rnd('abs(n.mean_ic) - abs(r.mean_ic)', 6)} AS ic_gain FROM one r JOIN one n ON r.factor = n.factor AND r.variant = 'raw' AND n.variant = 'neutral'""")
+def m22(spark, sf_dir):
+    """Each factor raw and less its industry's mean, out of sample: OLS coefficients and rank correlations, signs kept, gain in correlation."""
+    raw = long_monthly(spark, sf_dir).join(_industry(spark, sf_dir), "code", "left").fillna("none", ["industry"])
+    neutral = models.industry_neutral(raw, ["month", "factor"], "value", "industry").withColumn("value", rnd("neutral", 8))
+    rows = raw.withColumn("variant", F.lit("raw")).unionByName(neutral.drop("neutral").withColumn("variant", F.lit("neutral")))
+    wide = rows.groupBy("variant", "month", "code").agg(F.max("fwd").alias("fwd"), *[F.max(F.when(F.col("factor") == f, F.col("value"))).alias(f) for f in FACTORS3])
+    fits = models.cross_section_models(_standard(wide, ["variant", "month"]), ["variant", "month"], FACTORS3, "y").filter("model = 'ols'")
+    coefs = models.coefficient_summary(fits, SPLIT, ("variant",)).filter("half = 'out_of_sample'").select("variant", "factor", "mean", "positive", "nw_t")
+    ics = rank_ic(rows, "value", "fwd", ["variant", "factor", "month"]).filter(F.col("ic").isNotNull() & (F.col("month") >= F.lit(SPLIT).cast("date"))).withColumn("ic", rnd("ic", 9))
+    t = F.coalesce(F.avg("ic") / F.nullif(F.stddev_samp("ic") / F.sqrt(F.count("ic")), F.lit(0.0)), F.lit(0.0))
+    one = coefs.join(ics.groupBy("variant", "factor").agg(F.avg("ic").alias("mean_ic"), t.alias("ic_t")), ["variant", "factor"])
+    side = lambda v: {f"{v}_{c}": F.max(F.when(F.col("variant") == v, F.col(c))) for c in ("mean", "positive", "nw_t", "mean_ic", "ic_t")}
+    digits = {"mean": 7, "positive": 4, "nw_t": 3, "mean_ic": 6, "ic_t": 4}
+    both = one.groupBy("factor").agg(*[v.alias(k) for k, v in (side("raw") | side("neutral")).items()]).dropna()
+    shown = [rnd(f"{v}_{c}", d).alias(f"{v}_{c}") for v in ("raw", "neutral") for c, d in digits.items()]
+    return both.select("factor", *shown, (F.signum("raw_mean") == F.signum("neutral_mean")).alias("sign_holds"), rnd(F.abs("neutral_mean_ic") - F.abs("raw_mean_ic"), 6).alias("ic_gain"))
 
 
 @query("a18_newey_west", with_(*MONTHLY_CTES, LONG) + _RANKS.format(by="factor, month", src="long", least=5) + """, d AS (SELECT factor, month, ic - avg(ic) OVER (PARTITION BY factor) AS e, avg(ic) OVER (PARTITION BY factor) AS m FROM ics WHERE ic IS NOT NULL),

@@ -108,11 +108,19 @@ def test_dense_models():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(200, 2))
     y = 1 + x @ [0.5, -0.2] + 0.01 * rng.normal(size=200)
-    beta, t, r2 = models.ols(x, y)
-    assert np.allclose(beta, [1, 0.5, -0.2], atol=0.01) and abs(t[1]) > 50 and r2 > 0.99
-    assert np.allclose(models.ridge(x, y, 0.0), beta)
+    sums = lambda x: (lambda a: a.T @ a)(np.column_stack([np.ones(len(x)), x, y]))
+    beta, t, r2 = models.ols(sums(x))
+    a = np.column_stack([np.ones(200), x])
+    want = np.linalg.lstsq(a, y, rcond=None)[0]
+    error = np.sqrt(np.diag(np.linalg.inv(a.T @ a)) * ((y - a @ want) ** 2).sum() / 197)
+    assert np.allclose(beta, want) and np.allclose(t, want / error, rtol=1e-5) and abs(r2 - 1 + ((y - a @ want) ** 2).sum() / ((y - y.mean()) ** 2).sum()) < 1e-9
+    assert np.allclose(models.ridge(sums(x), 0.0), beta)
+    assert np.allclose(models.ridge(sums(x), 3.0), np.linalg.solve(a.T @ a + np.diag([0, 3.0, 3.0]), a.T @ y))
     z = (x - x.mean(0)) / x.std(0)
-    assert np.allclose(models.lasso(z, y, 0.001), models.ols(z, y)[0], atol=1e-4)
+    assert np.allclose(models.lasso(sums(z), 0.001), models.ols(sums(z))[0], atol=1e-4)
+    assert (models.lasso(sums(z), 1e6)[1:] == 0).all()
+    twice = np.column_stack([x[:, 0], x[:, 0]])
+    assert np.allclose(models.ols(sums(twice))[0], np.linalg.lstsq(np.column_stack([np.ones(200), twice]), y, rcond=None)[0])
     r = rng.normal(size=600) * np.repeat([0.01, 0.03, 0.01], 200)
     assert 0.5 < models.fit_garch(r)["persistence"] < 1
     regime = np.column_stack([np.repeat([0.01, -0.02], 60) + 0.002 * rng.normal(size=120), np.repeat([0.1, 0.4], 60)])

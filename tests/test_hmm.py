@@ -1,6 +1,7 @@
 """States of the hidden Markov model against a direct version in logarithms."""
 
 import numpy as np
+import pytest
 
 from tessera.operators import models
 
@@ -39,3 +40,33 @@ def test_states():
     got = models.two_state_hmm(x)
     assert (got == direct(x)).all()
     assert x[got == 1, 0].mean() > x[got == 0, 0].mean()
+
+
+def test_forward_backward_in_blocks():
+    """Shares and likelihood equal those of a plain pass, for lengths about a square."""
+    rng = np.random.default_rng(8)
+    for n in (2, 3, 120, 121, 143, 144, 145, 1000):
+        like, trans, start = rng.random((n, 2)) + 1e-9, np.array([[0.9, 0.1], [0.3, 0.7]]), np.array([0.4, 0.6])
+        f, r = np.zeros((n, 2)), np.zeros((n, 2))
+        f[0] = np.log(start * like[0])
+        for i in range(1, n):
+            f[i] = np.log(like[i]) + [np.logaddexp(*(f[i - 1] + np.log(trans[:, k]))) for k in (0, 1)]
+        for i in range(n - 2, -1, -1):
+            r[i] = [np.logaddexp(*(np.log(trans[k] * like[i + 1]) + r[i + 1])) for k in (0, 1)]
+        want = np.exp(f + r - np.logaddexp(*(f[-1])))
+        gamma, total = models.forward_backward(like, trans, start)
+        assert np.allclose(gamma, want) and total == pytest.approx(np.logaddexp(*f[-1]))
+
+
+def test_every_row_comes_back(spark):
+    """A series of one state, one that is too short and rows with nulls have null states; the others those of the direct version."""
+    rng = np.random.default_rng(3)
+    high = np.repeat([1, 0, 1, 0, 1], 26)
+    x = np.column_stack([rng.normal(0.8 * high, 1), rng.normal(1 - high, 0.8), rng.normal(high, 1.2)])
+    rows = [("two", i, *map(float, v)) for i, v in enumerate(x)] + [("two", 500, None, 1.0, 1.0)]
+    rows += [("one", i, 1.0, 1.0, 1.0) for i in range(150)] + [("short", i, float(i), 1.0, 1.0) for i in range(30)]
+    frame = spark.createDataFrame(rows, "code string, i int, a double, b double, c double")
+    got = {(r.code, r.i): r.state for r in models.hmm_labels(frame, "code", "i", ["a", "b", "c"]).collect()}
+    assert len(got) == len(rows)
+    assert [got["two", i] for i in range(len(x))] == direct(x).tolist()
+    assert got["two", 500] is None and {v for (code, _), v in got.items() if code != "two"} == {None}
