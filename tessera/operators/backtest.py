@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import joins
 from tessera.operators.factors import limit_down, limit_up
+from tessera.operators.scans import running
 from tessera.sources.panel import calendar, month_ends
 
 
@@ -103,26 +104,39 @@ def rebalance_variants(panel: DataFrame, factor: DataFrame, name: str, costs: Co
     return out.withColumn("nav", F.product(1 + F.col("period_ret")).over(w))
 
 
+def worst_fall(returns: DataFrame, by: list[str], bucket: str, order: str, r: str) -> DataFrame:
+    """``by``, ``max_drawdown``: the least value of the product of 1 + r over its running maximum, less 1; returns are above -1.
+
+    A bucket of rows is (product, top and lowest prefix, worst fall within); these combine associatively, so buckets are scanned side by side
+    and only one row a bucket is scanned in order. A value is measured against the higher of the top before its bucket and the top within, whichever is worse.
+    """
+    inside = Window.partitionBy(*by, bucket).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    x = returns.withColumn("_e", F.product(1 + F.col(r)).over(inside)).withColumn("_top", F.max("_e").over(inside))
+    blocks = x.groupBy(*by, bucket).agg(F.product(1 + F.col(r)).alias("_p"), F.max("_e").alias("_high"), F.min("_e").alias("_low"), F.min(F.col("_e") / F.nullif("_top", F.lit(0.0))).alias("_fall"))
+    before = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_at", F.coalesce(F.product("_p").over(before), F.lit(1.0)))
+    blocks = blocks.withColumn("_peak", F.max(F.col("_at") * F.col("_high")).over(before))
+    across = F.col("_at") * F.col("_low") / F.nullif("_peak", F.lit(0.0))
+    return blocks.groupBy(*by).agg((F.min(F.least("_fall", across)) - 1).alias("max_drawdown"))
+
+
 def performance(returns: DataFrame, by: list[str], order: str, r: str, per_year: float | None = 12.0) -> DataFrame:
-    """Ten figures of each return series: one window for the drawdown, one aggregate.
+    """Ten figures of each return series: one aggregate, and the drawdown by buckets of ``order``, so no series is held by one task.
 
     Without ``per_year``, a series of dates with a median gap of two days at most has 252 periods a year, others 12.
     """
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    x = returns.filter(F.col(r).isNotNull()).withColumn("_e", F.product(1 + F.col(r)).over(w))
+    x = returns.filter(F.col(r).isNotNull()).withColumn("_bucket", joins.time_bucket(returns, order))
     if per_year is None:
-        gap = F.datediff(F.col(order), F.lag(order).over(Window.partitionBy(*by).orderBy(order)))
-        daily = F.median("_gap").over(Window.partitionBy(*by)) <= 2
-        x = x.withColumn("_gap", gap).withColumn("_year", F.when(daily, 252.0).otherwise(12.0))
+        x = running(x, by, F.col("_bucket"), [order], {"_prev": ("max_before", order)}).withColumn("_bucket", joins.time_bucket(returns, order))
+        year = F.when(F.median(F.datediff(order, "_prev")) <= 2, 252.0).otherwise(12.0)
     else:
-        x = x.withColumn("_year", F.lit(float(per_year)))
-    x = x.withColumn("_dd", F.col("_e") / F.nullif(F.max("_e").over(w), F.lit(0.0)) - 1)
-    year = F.sqrt(F.first("_year"))
+        year = F.lit(float(per_year))
     a = x.groupBy(*by).agg(
-        F.count("*").alias("periods"), F.first("_year").alias("_year"), (F.product(1 + F.col(r)) - 1).alias("total_return"), (F.stddev_samp(r) * year).alias("annualized_vol"), F.min("_dd").alias("max_drawdown"),
-        (F.stddev_samp(F.when(F.col(r) < 0, F.col(r))) * year).alias("_down"), F.avg((F.col(r) > 0).cast("double")).alias("win_rate"),
+        F.count("*").alias("periods"), year.alias("_year"), (F.product(1 + F.col(r)) - 1).alias("total_return"), F.stddev_samp(r).alias("_s"),
+        F.stddev_samp(F.when(F.col(r) < 0, F.col(r))).alias("_d"), F.avg((F.col(r) > 0).cast("double")).alias("win_rate"),
         F.coalesce(F.avg(r) / F.nullif(F.stddev_samp(r) / F.sqrt(F.count(r)), F.lit(0.0)), F.lit(0.0)).alias("t_stat"))
-    a = a.withColumn("annualized_return", F.pow(1 + F.col("total_return"), F.col("_year") / F.col("periods")) - 1)
+    a = a.join(worst_fall(x, by, "_bucket", order, r), by)
+    a = a.withColumns({"annualized_return": F.pow(1 + F.col("total_return"), F.col("_year") / F.col("periods")) - 1, "annualized_vol": F.col("_s") * F.sqrt("_year"), "_down": F.col("_d") * F.sqrt("_year")})
     return a.select(
         *by, "periods", "total_return", "annualized_return", "annualized_vol", F.coalesce(F.col("annualized_return") / F.nullif("annualized_vol", F.lit(0.0)), F.lit(0.0)).alias("sharpe"), "max_drawdown",
         F.when(F.col("max_drawdown") < 0, F.col("annualized_return") / F.abs(F.nullif("max_drawdown", F.lit(0.0)))).alias("calmar"), (F.col("annualized_return") / F.nullif("_down", F.lit(0.0))).alias("sortino"), "win_rate", "t_stat")

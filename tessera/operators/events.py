@@ -8,29 +8,55 @@ from pyspark.sql import functions as F
 from tessera.functions.columns import normal_cdf
 
 
+def running_moments(returns: DataFrame, market: DataFrame) -> DataFrame:
+    """A row for each code and calendar day from its first return on: ``r`` (null without a return), ``m`` and running sums ``n, sr, sm, srm, smm``.
+
+    The calendar is that of ``market`` (cal_idx, r). Any window's sums are then the difference of two rows, so no return is
+    copied into the windows it belongs to. A day without a return repeats the sums of the day before.
+    """
+    by = Window.partitionBy("code").orderBy("cal_idx")
+    upto = by.rowsBetween(Window.unboundedPreceding, 0)
+    x = returns.filter("r is not null").join(F.broadcast(market.select("cal_idx", F.col("r").alias("m"))), "cal_idx")
+    r, m = F.col("r"), F.col("m")
+    sums = {"n": F.count("r"), "sr": F.sum(r), "sm": F.sum(m), "srm": F.sum(r * m), "smm": F.sum(m * m)}
+    last = market.agg(F.max("cal_idx").alias("_last"))
+    x = x.withColumns({k: v.over(upto) for k, v in sums.items()}).withColumn("_next", F.lead("cal_idx").over(by))
+    x = x.crossJoin(F.broadcast(last))  # one row
+    x = x.withColumn("_day", F.explode(F.sequence("cal_idx", F.coalesce(F.col("_next") - 1, F.greatest("cal_idx", "_last")))))
+    return x.select("code", F.col("_day").alias("cal_idx"), F.when(F.col("_day") == F.col("cal_idx"), r).alias("r"), F.when(F.col("_day") == F.col("cal_idx"), m).alias("m"), *sums)
+
+
 def day_study(days: DataFrame, returns: DataFrame, market: DataFrame, est: tuple[int, int] = (-120, -36), win: tuple[int, int] = (-5, 20), least_obs: int = 30, least_codes: int = 50, per_day: int | None = None) -> DataFrame:
     """Mean abnormal return around each event day: ``t0_idx``, ``rel_day``, ``aar``, ``codes``.
 
-    The model depends on an event's day alone, so it runs once for each distinct ``t0_idx`` of ``days``. These and the days
-    around them are bounded by the calendar and broadcast; ``returns`` (code, cal_idx, r) is filtered by them before it is
-    grouped. A code counts with ``least_obs`` days to estimate on and every day of the window (or ``per_day`` of them).
+    The model depends on an event's day alone, so it runs once for each distinct ``t0_idx`` of ``days``. A code's running moments give
+    the model of every day by the difference of two rows, and the days around are the rows around, so all of it is
+    windows by code over one dealing of ``returns`` (code, cal_idx, r); only sums by (day, relative day) meet. A code counts with ``least_obs`` days
+    to estimate on and every day of the window (or ``per_day`` of them). ``market`` and ``days`` are bounded by the calendar and broadcast.
     """
-    x = returns.join(F.broadcast(market.select("cal_idx", F.col("r").alias("m"))), "cal_idx")
-    rel = (F.col("cal_idx") - F.col("t0_idx")).alias("rel_day")
-
-    def placed(lo: int, hi: int) -> DataFrame:
-        near = days.select("t0_idx").distinct().select("t0_idx", F.explode(F.sequence(F.col("t0_idx") + lo, F.col("t0_idx") + hi)).alias("cal_idx"))
-        return x.join(F.broadcast(near), "cal_idx").select("t0_idx", "code", "r", "m", rel)
-
-    inside = F.col("rel_day").between(*est)
-    y, m = F.when(inside, F.col("r")), F.when(inside & F.col("r").isNotNull(), F.col("m"))
-    need = per_day or win[1] - win[0] + 1
-    n, var = F.count(y), F.var_pop(m)
-    fit = placed(est[0], win[1]).groupBy("t0_idx", "code").agg(n.alias("n"), F.avg(y).alias("my"), F.avg(m).alias("mm"), var.alias("v"), F.covar_pop(m, y).alias("c"), F.count_if(F.col("rel_day").between(*win) & F.col("r").isNotNull()).alias("days"))
-    fit = fit.filter((F.col("n") >= least_obs) & (F.col("days") >= need)).withColumn("beta", F.when(F.col("v") > 1e-12, F.col("c") / F.nullif("v", F.lit(0.0))).otherwise(0.0))
-    fit = fit.withColumn("alpha", F.col("my") - F.col("beta") * F.col("mm"))
-    ar = placed(*win).join(fit.select("t0_idx", "code", "alpha", "beta"), ["t0_idx", "code"]).withColumn("ar", F.col("r") - F.col("alpha") - F.col("beta") * F.col("m"))
-    return ar.groupBy("t0_idx", "rel_day").agg(F.avg("ar").alias("aar"), F.count("ar").alias("codes")).filter(F.col("codes") >= least_codes)
+    by = Window.partitionBy("code").orderBy("cal_idx")
+    dense = running_moments(returns, market)
+    whole = Window.partitionBy("code")
+
+    def between(c: str, lo: int, hi: int) -> Column:
+        """The sum of a moment over the days from ``lo`` to ``hi`` around a row; days before the first count nothing, those after the last neither."""
+        end = F.lag(c, -hi).over(by) if hi <= 0 else F.coalesce(F.lead(c, hi).over(by), F.max(c).over(whole))
+        begin = F.lag(c, 1 - lo).over(by) if lo <= 1 else F.lead(c, lo - 1).over(by)
+        return F.coalesce(end, F.lit(0)) - F.coalesce(begin, F.lit(0))
+
+    sums = {f"_{c}": between(c, *est) for c in ("n", "sr", "sm", "srm", "smm")}
+    around = F.collect_list(F.when(F.col("r").isNotNull(), F.struct(F.col("cal_idx").alias("d"), "r", "m"))).over(by.rowsBetween(win[0], win[1]))  # nulls are left out
+    placed = dense.withColumns(sums | {"_days": between("n", *win), "_around": around})
+    fit = placed.join(F.broadcast(days.select(F.col("t0_idx").alias("cal_idx")).distinct()), "cal_idx").filter((F.col("_n") >= least_obs) & (F.col("_days") >= (per_day or win[1] - win[0] + 1)))
+    n = F.nullif(F.col("_n"), F.lit(0)).cast("double")
+    mr, mm = F.col("_sr") / n, F.col("_sm") / n
+    var, cov = F.col("_smm") / n - mm * mm, F.col("_srm") / n - mr * mm
+    beta = F.when(var > 1e-12, cov / F.nullif(var, F.lit(0.0))).otherwise(0.0)
+    fit = fit.withColumn("beta", beta).withColumn("alpha", mr - F.col("beta") * mm)
+    each = fit.select(F.col("cal_idx").alias("t0_idx"), "alpha", "beta", F.explode("_around").alias("x"))
+    ar = F.col("x.r") - F.col("alpha") - F.col("beta") * F.col("x.m")
+    out = each.groupBy("t0_idx", (F.col("x.d") - F.col("t0_idx")).alias("rel_day")).agg(F.avg(ar).alias("aar"), F.count("*").alias("codes"))
+    return out.filter(F.col("codes") >= least_codes)
 
 
 def event_study(events: DataFrame, study: DataFrame) -> DataFrame:

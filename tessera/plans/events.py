@@ -12,6 +12,7 @@ from tessera.plans import sql as q
 from tessera.plans.sql import BARS, CAL, INDEX, with_
 from tessera.registry import query
 from tessera.sources import panel as p
+from tessera.sources.staging import written
 
 _EVENTS = """ev AS (SELECT o_orderkey AS event_id, CAST(o_orderdate AS DATE) AS event_date, CASE o_orderkey % 3 WHEN 0 THEN 'rate' WHEN 1 THEN 'plan' ELSE 'tax' END AS kind FROM orders),
 t0 AS (SELECT e.*, c.date AS t0, c.cal_idx AS t0_idx FROM ev e ASOF JOIN cal c ON e.event_date <= c.date)"""
@@ -41,11 +42,11 @@ aar AS (SELECT event_id, kind, rel_day, aar, codes FROM by_day JOIN t0 USING (t0
 
 
 def _aar(spark, sf_dir):
-    b = p.bars(spark, sf_dir)
-    cal = p.calendar(b)
+    b = p.bars(spark, sf_dir).select("code", "date", "close")
     w = Window.partitionBy("code").orderBy("date")
-    prev = F.lag("close").over(w)
-    r = b.join(F.broadcast(cal), "date").withColumn("prev", prev).filter("prev > 0").select("code", "cal_idx", (F.ln(F.col("close") / F.col("prev")) / 100).alias("r"))
+    b = written(b.withColumn("prev", F.lag("close").over(w)), "closes")  # the calendar, the market and the study read it
+    cal = p.calendar(b)
+    r = b.join(F.broadcast(cal), "date").filter("prev > 0").select("code", "cal_idx", (F.ln(F.col("close") / F.col("prev")) / 100).alias("r"))
     market = r.groupBy("cal_idx").agg(F.avg("r").alias("r"))
     e = _events(spark, sf_dir, cal)
     return e, ev.day_study(e, r, market, least_obs=10, least_codes=5, per_day=3)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import joins, ledger
+from tessera.operators import backtest, events, joins, ledger
 from tessera.operators.scans import drawdowns, running, with_ewm
 
 
@@ -107,3 +107,40 @@ def test_strict_lots_of_a_hot_code(spark):
         gains[s] = (m + v, g + v * (s % 11 - b % 11)) if b is not None else (m, g)
     got = {r.id: (r.matched, r.pnl) for r in ledger.timed_fifo(rows, ["id"], F.floor(F.col("id") / 50)).collect()}
     assert got == gains and any(m == 0 for m, _ in gains.values())
+
+
+def test_performance_of_a_long_series(spark):
+    """Figures over some hundred buckets equal those over the whole series at once."""
+    rng = np.random.default_rng(9)
+    r = [float(v) for v in rng.normal(0.0003, 0.02, 3000)]
+    rows = [("long", dt.date(2000, 1, 1) + dt.timedelta(i), v) for i, v in enumerate(r)] + [("one", dt.date(2000, 1, 1), 0.5), ("one", dt.date(2000, 2, 1), None), ("falls", dt.date(2000, 1, 30), -0.5), ("falls", dt.date(2000, 2, 1), -0.5)]
+    got = {x.s: x for x in backtest.performance(spark.createDataFrame(rows, "s string, d date, r double"), ["s"], "d", "r", None).collect()}
+    equity = np.cumprod(1 + np.array(r))
+    assert abs(got["long"].max_drawdown - (equity / np.maximum.accumulate(equity) - 1).min()) < 1e-12
+    assert abs(got["long"].annualized_vol - np.std(r, ddof=1) * np.sqrt(252)) < 1e-12 and got["long"].periods == 3000
+    assert (got["one"].max_drawdown, got["one"].total_return, got["falls"].max_drawdown) == (0.0, 0.5, -0.5)
+
+
+def test_day_study_at_full_limits(spark):
+    """30 estimation days, 50 codes, all 26 window days, codes with gaps: against least squares window by window."""
+    rng = np.random.default_rng(10)
+    days, market = 260, rng.normal(0, 0.01, 260)
+    data = {c: {d: float(0.001 + (0.5 + c / 60) * market[d] + rng.normal(0, 0.005)) for d in range(c % 7, days) if c % 3 or rng.random() < 0.9} for c in range(75)}
+    returns = spark.createDataFrame([(f"c{c}", d + 1, v) for c, x in data.items() for d, v in x.items()], "code string, cal_idx long, r double")
+    index = spark.createDataFrame([(d + 1, float(v)) for d, v in enumerate(market)], "cal_idx long, r double")
+    t0s = [40, 100, 125, 126, 200, 239, 240, 259]
+    at = spark.createDataFrame([(t + 1,) for t in [*t0s, 100]], "t0_idx long")
+    got = {(r.t0_idx - 1, r.rel_day): (r.aar, r.codes) for r in events.day_study(at, returns, index).collect()}
+    want = {}
+    for t in t0s:
+        ars = {}
+        for x in data.values():
+            est = [d for d in range(t - 120, t - 35) if d in x]
+            if len(est) < 30 or any(t + k not in x for k in range(-5, 21)):
+                continue
+            beta, alpha = np.polyfit(market[est], [x[d] for d in est], 1)
+            for k in range(-5, 21):
+                ars.setdefault(k, []).append(x[t + k] - alpha - beta * market[t + k])
+        want |= {(t, k): (np.mean(v), len(v)) for k, v in ars.items() if len(v) >= 50}
+    assert got.keys() == want.keys() and len({t for t, _ in want}) >= 4
+    assert all(got[k][1] == want[k][1] and abs(got[k][0] - want[k][0]) < 1e-10 for k in want)
