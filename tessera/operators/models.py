@@ -149,68 +149,82 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -700, 700)))
 
 
-def _garch_loss(theta: np.ndarray, r2: np.ndarray, negative: np.ndarray) -> float:
-    omega, alpha, gamma, beta = np.exp(min(theta[0], 700.0)), *_unit(theta[1:])
-    if alpha + gamma / 2 + beta >= 0.9999:
-        return 1e12
-    h, total = r2.mean(), 0.0
-    for x, neg in zip(r2.tolist(), negative.tolist(), strict=True):
-        total += math.log(h) + x / h
+def _garch_terms(theta: np.ndarray) -> tuple[np.ndarray, ...]:
+    return np.exp(np.minimum(theta[..., 0], 700.0)), *(_unit(theta[..., i]) for i in (1, 2, 3))
+
+
+def garch_loss(theta: np.ndarray, r2: np.ndarray, negative: np.ndarray) -> np.ndarray:
+    """Half the negative log likelihood of parameters (..., series, 4) for squared returns (days, series): all series and trial points go through the days together."""
+    omega, alpha, gamma, beta = _garch_terms(theta)
+    bad = alpha + gamma / 2 + beta >= 0.9999
+    omega, beta = np.where(bad, 1.0, omega), np.where(bad, 0.0, beta)
+    h, total = np.broadcast_to(r2.mean(0), omega.shape).copy(), np.zeros(omega.shape)
+    for x, neg in zip(r2, negative, strict=True):
+        total += np.log(h) + x / h
         h = omega + (alpha + gamma * neg) * x + beta * h
-    return total / 2
+    return np.where(bad, 1e12, total / 2)
 
 
 def nelder_mead(f, start: np.ndarray, rounds: int = 200, step: float = 0.5) -> np.ndarray:
-    points = [start] + [start + step * np.eye(len(start))[i] for i in range(len(start))]
-    values = [f(x) for x in points]
+    """The least of ``f`` for each of many problems (rows of ``start``), which go through the rounds together; ``f(points, which)`` takes points (..., problems, k)."""
+    count, k = start.shape
+    points = np.stack([start] + [start + step * np.eye(k)[i] for i in range(k)], axis=1)  # problem, corner, parameter
+    everyone = np.arange(count)
+    values = f(points.transpose(1, 0, 2), everyone).T
+    live = everyone
     for _ in range(rounds):
-        order = np.argsort(values)
-        points, values = [points[i] for i in order], [values[i] for i in order]
-        if abs(values[-1] - values[0]) < 1e-8 * (1 + abs(values[0])):
+        order = np.argsort(values, axis=1, kind="stable")
+        points, values = np.take_along_axis(points, order[:, :, None], 1), np.take_along_axis(values, order, 1)
+        live = live[np.abs(values[live, -1] - values[live, 0]) >= 1e-8 * (1 + np.abs(values[live, 0]))]
+        if not len(live):
             break
-        mid = np.mean(points[:-1], 0)
-        tried = [mid + k * (points[-1] - mid) for k in (-1.0, -2.0, 0.5)]
-        best = f(tried[0])
-        if best < values[0] and (far := f(tried[1])) < best:
-            points[-1], values[-1] = tried[1], far
-        elif best < values[-2]:
-            points[-1], values[-1] = tried[0], best
-        elif (near := f(tried[2])) < values[-1]:
-            points[-1], values[-1] = tried[2], near
-        else:
-            points = [points[0]] + [points[0] + (x - points[0]) / 2 for x in points[1:]]
-            values = [values[0]] + [f(x) for x in points[1:]]
-    return points[int(np.argmin(values))]
-
-
-def fit_garch(returns: np.ndarray, asymmetric: bool = False) -> dict[str, float]:
-    """GARCH(1,1) or GJR by likelihood; ``forecast`` is the next day's volatility."""
-    x = np.asarray(returns, float) - np.mean(returns)
+        p, v = points[live], values[live]
+        mid = p[:, :-1].mean(1)
+        tried = np.stack([mid + c * (p[:, -1] - mid) for c in (-1.0, -2.0, 0.5)])
+        near, far, half = f(tried, live)
+        chosen = np.select([(near < v[:, 0]) & (far < near), near < v[:, -2], half < v[:, -1]], [1, 0, 2], -1)
+        moved, shrunk = np.flatnonzero(chosen >= 0), np.flatnonzero(chosen < 0)
+        points[live[moved], -1], values[live[moved], -1] = tried[chosen[moved], moved], np.stack([near, far, half])[chosen[moved], moved]
+        if len(shrunk):
+            which = live[shrunk]
+            points[which, 1:] = points[which, :1] + (points[which, 1:] - points[which, :1]) / 2
+            values[which, 1:] = f(points[which, 1:].transpose(1, 0, 2), which).T
+    return points[everyone, values.argmin(1)]
+
+
+def fit_garch(returns: np.ndarray, asymmetric: bool = False) -> dict[str, np.ndarray]:
+    """GARCH(1,1) or GJR by likelihood for each row of ``returns`` (series, days), or one series; ``forecast`` is the next day's volatility."""
+    x = np.atleast_2d(np.asarray(returns, float))
+    x = (x - x.mean(1, keepdims=True)).T
     r2, negative = x * x, (x < 0).astype(float)
-    base = max(float(r2.mean()), 1e-12)
+    base = np.maximum(r2.mean(0), 1e-12)
     logit = lambda v: math.log(v / (1 - v))
-    free = (lambda t: np.array([t[0], t[1], t[2], t[3]])) if asymmetric else (lambda t: np.array([t[0], t[1], -50.0, t[2]]))
-    start = np.array([math.log(base * 0.05), logit(0.08), *([logit(0.03)] if asymmetric else []), logit(0.85)])
-    theta = free(nelder_mead(lambda t: _garch_loss(free(t), r2, negative), start))
-    omega, alpha, gamma, beta = float(np.exp(theta[0])), *(float(v) for v in _unit(theta[1:]))
+    # the symmetric model has no third parameter: it is held where its share is nothing
+    free = (lambda t: t) if asymmetric else (lambda t: np.stack([t[..., 0], t[..., 1], np.full(t.shape[:-1], -50.0), t[..., 2]], -1))
+    rest = [logit(0.08), *([logit(0.03)] if asymmetric else []), logit(0.85)]
+    start = np.column_stack([np.log(base * 0.05), *(np.full(len(base), v) for v in rest)])
+    theta = free(nelder_mead(lambda t, which: garch_loss(free(t), r2[:, which], negative[:, which]), start))
+    omega, alpha, gamma, beta = _garch_terms(theta)
     h = base
-    for v, neg in zip(r2.tolist(), negative.tolist(), strict=True):
+    for v, neg in zip(r2, negative, strict=True):
         h = omega + (alpha + gamma * neg) * v + beta * h
-    return {"omega": omega, "alpha": alpha, "gamma": gamma, "beta": beta, "persistence": alpha + gamma / 2 + beta, "forecast": math.sqrt(h)}
+    out = {"omega": omega, "alpha": alpha, "gamma": gamma, "beta": beta, "persistence": alpha + gamma / 2 + beta, "forecast": np.sqrt(h)}
+    return out if np.ndim(returns) == 2 else {k: float(v[0]) for k, v in out.items()}
 
 
 def rolling_garch(windows: DataFrame) -> DataFrame:
-    """GARCH and GJR fits for each row of (window_id, returns): refits run in parallel, a window a task at the finest."""
+    """GARCH and GJR fits for each row of (window_id, returns): batches of windows are fitted together, batches side by side."""
     names = ["omega", "alpha", "gamma", "beta", "persistence", "forecast"]
 
     def fit(batches):
         for part in batches:
-            rows = []
-            for i, r in zip(part.window_id, part.returns, strict=True):
+            sizes = part.returns.map(len).to_numpy()
+            for size in np.unique(sizes):
+                some = part[sizes == size]
+                returns = np.stack(some.returns.to_numpy())
                 for model in ("GARCH", "GJR"):
-                    fitted = fit_garch(np.asarray(r), model == "GJR")
-                    rows.append((i, model, *(fitted[k] for k in names)))
-            yield pd.DataFrame(rows, columns=["window_id", "model", *names])
+                    fitted = fit_garch(returns, model == "GJR")
+                    yield pd.DataFrame({"window_id": some.window_id.to_numpy(), "model": model} | {k: fitted[k] for k in names})
 
     return windows.mapInPandas(fit, "window_id long, model string, " + ", ".join(f"{k} double" for k in names))
 

@@ -30,6 +30,37 @@ def test_garch_finds_the_parameters():
         assert abs(got["forecast"] / np.sqrt(h) - 1) < 0.15
 
 
+def test_likelihoods_in_batches():
+    """The batched loss is that of a plain loop; a fit is no worse than any point of a grid, and the same alone as among others."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(0, 0.01, (4, 300)) * np.where(np.arange(300) % 90 < 45, 1, 2)
+    r2, neg = (x * x).T, (x < 0).T.astype(float)
+    grid = np.array([[w, a, g, b] for w in (-14.0, -11.0) for a in (-4.0, -2.0, 0.0) for g in (-50.0, -3.0) for b in (0.0, 1.0, 2.0, 4.0)])
+    got = models.garch_loss(np.repeat(grid[:, None], 4, 1), r2, neg)
+
+    def plain(theta, s):
+        w, (a, g, b) = np.exp(theta[0]), 1 / (1 + np.exp(-theta[1:]))
+        if a + g / 2 + b >= 0.9999:
+            return 1e12
+        h, total = r2[:, s].mean(), 0.0
+        for v, n in zip(r2[:, s], neg[:, s], strict=True):
+            total += np.log(h) + v / h
+            h = w + (a + g * n) * v + b * h
+        return total / 2
+
+    assert np.allclose(got, [[plain(t, s) for s in range(4)] for t in grid], rtol=1e-10)
+    x = x - x.mean(1, keepdims=True)
+    r2, neg = (x * x).T, (x < 0).T.astype(float)
+    for asymmetric in (False, True):
+        together = models.fit_garch(x, asymmetric)
+        for s in range(4):
+            alone = models.fit_garch(x[s], asymmetric)
+            assert all(abs(alone[k] - together[k][s]) < 1e-9 for k in alone)
+            share = [together[k][s] for k in ("alpha", "gamma", "beta")]
+            theta = np.array([np.log(together["omega"][s]), *(np.log(max(v, 1e-22) / (1 - v)) for v in share)])
+            assert plain(theta, s) <= min(plain(t, s) for t in grid if asymmetric or t[2] == -50.0) + 1e-6
+
+
 def test_volatility_comparison(spark):
     frame = registry.QUERIES["m10_m12_garch"](spark, SF).toPandas().sort_values("date")
     got = {r.model: r for r in registry.QUERIES["m12_volatility_comparison"](spark, SF).collect()}
