@@ -11,6 +11,7 @@ from tessera.operators import joins
 from tessera.operators.factors import limit_down, limit_up
 from tessera.operators.scans import running
 from tessera.sources.panel import calendar, month_ends
+from tessera.sources.staging import written
 
 
 @dataclass(frozen=True)
@@ -34,13 +35,12 @@ class Rules:
     sell_days: int = 10
 
 
-def periods(panel: DataFrame) -> DataFrame:
-    """One row a month but the last: signal day, entry and exit days with their places in the calendar.
+def periods(cal: DataFrame) -> DataFrame:
+    """One row a month of a calendar (date, cal_idx) but the last: signal day, entry and exit days with their places in it.
 
     Entry is the day after the month's last, exit the day after the next month's last, or the last day there is.
     These windows run over dates and months alone.
     """
-    cal = calendar(panel)
     nxt = cal.select(F.col("date").alias("next_date"), (F.col("cal_idx") - 1).alias("cal_idx"))
     ends = month_ends(cal).join(nxt, "cal_idx", "left")
     last = cal.agg(F.max("date").alias("last_date"), F.max("cal_idx").alias("last_idx"))
@@ -60,18 +60,24 @@ def quotes(panel: DataFrame) -> DataFrame:
     return keyed.withColumns({"listed": F.count("close").over(w.rowsBetween(Window.unboundedPreceding, 0)), "prev_close": before})
 
 
-def select_names(panel: DataFrame, factor: DataFrame, name: str, variants: dict[str, Rules]) -> DataFrame:
-    """Eligible names at each signal day and the top of them by ``name`` (ties by code): one window a ``variant`` and period."""
+def select_names(quoted: DataFrame, factor: DataFrame, name: str, variants: dict[str, Rules]) -> DataFrame:
+    """Eligible names of ``quotes`` at each signal day and the top of them by ``name`` (ties by code): one window a ``variant`` and period.
+
+    A ``factor`` with a column ``variant`` has scores of its own for each; without one, all variants rank the same scores.
+    """
     w = Window.partitionBy("code").orderBy("date")
     follows = F.lead("cal_idx").over(w) == F.col("cal_idx") + 1
     # the entry day is the calendar's next, so a code's next row is its entry row or it has none
-    q = quotes(panel).withColumns({"entry_open": F.when(follows, F.lead("open").over(w)), "entry_volume": F.when(follows, F.lead("volume").over(w))})
-    at = q.select("code", F.col("date").alias("signal"), F.col("close").alias("signal_close"), "listed", "entry_open", "entry_volume").join(F.broadcast(periods(panel)), "signal")
-    good = at.join(factor.select("code", F.col("date").alias("signal"), F.col(name).alias("score")), ["code", "signal"]).filter(
+    q = quoted.withColumns({"entry_open": F.when(follows, F.lead("open").over(w)), "entry_volume": F.when(follows, F.lead("volume").over(w))})
+    cal = quoted.select("date", "cal_idx").distinct()
+    at = q.select("code", F.col("date").alias("signal"), F.col("close").alias("signal_close"), "listed", "entry_open", "entry_volume").join(F.broadcast(periods(cal)), "signal")
+    own = [F.col("variant").alias("_of")] if "variant" in factor.columns else []
+    good = at.join(factor.select("code", F.col("date").alias("signal"), F.col(name).alias("score"), *own), ["code", "signal"]).filter(
         F.col("score").isNotNull() & F.col("entry_open").isNotNull() & (F.coalesce("entry_volume", F.lit(0.0)) > 0) & ~limit_up(F.col("code"), F.col("signal_close"), F.col("entry_open")))
     rows = [F.struct(F.lit(k).alias("variant"), F.lit(r.min_listed_days).alias("days"), F.lit(r.min_price).alias("low"), F.lit(r.max_price).alias("high"), F.lit(r.top_quantile).alias("share"),
-                     F.lit(r.max_holdings).alias("most"), F.lit(1.0 if r.ascending else -1.0).alias("sign")) for k, r in variants.items()]
+                     F.lit(r.max_holdings).alias("most"), F.lit(1.0 if r.ascending else -1.0).alias("sign"), F.lit(r.initial_capital).alias("capital")) for k, r in variants.items()]
     each = good.select("*", F.inline(F.array(*rows))).filter((F.col("listed") >= F.col("days")) & F.col("signal_close").between(F.col("low"), F.col("high")))
+    each = each.filter("variant = _of").drop("_of") if own else each
     w = Window.partitionBy("variant", "signal")
     ranked = each.withColumns({"rank": F.row_number().over(w.orderBy(F.col("score") * F.col("sign"), "code")), "k": F.count("*").over(w)})
     take = F.least(F.greatest(F.lit(1), F.floor(F.col("k") * F.col("share"))), F.col("most"))
@@ -84,21 +90,21 @@ def rebalance(panel: DataFrame, factor: DataFrame, name: str, costs: Costs = Cos
 
 
 def rebalance_variants(panel: DataFrame, factor: DataFrame, name: str, costs: Costs, variants: dict[str, Rules]) -> DataFrame:
-    """Backtests of several rules over one factor in one pass, told apart by ``variant``; capital and days to sell are the first's.
+    """Backtests of several rules, each with its own capital and, if ``factor`` has a ``variant``, its own scores, in one pass; days to sell are the first's.
 
-    A name that finds no open above its lower limit within ``sell_days`` calendar days adds neither return nor cost.
+    Quotes are written once: the calendar, the names and the sales read them. A name that finds no open above its lower limit within ``sell_days`` calendar days adds neither return nor cost.
     Fees are on the initial capital's share, so the value is a plain running product.
     """
-    rules = next(iter(variants.values()))
-    picks = select_names(panel, factor, name, variants)
-    q = quotes(panel).withColumn("blocked", limit_down(F.col("code"), F.col("prev_close"), F.col("open")))
-    sold = joins.first_sellable(picks.select("code", "exit_idx"), q.select("code", "cal_idx", "open", "blocked"), rules.sell_days)
+    quoted = written(quotes(panel).select("code", "date", "cal_idx", "open", "close", "volume", "listed", "prev_close"), "quotes")
+    picks = select_names(quoted, factor, name, variants)
+    q = quoted.withColumn("blocked", limit_down(F.col("code"), F.col("prev_close"), F.col("open")))
+    sold = joins.first_sellable(picks.select("code", "exit_idx"), q.select("code", "cal_idx", "open", "blocked"), next(iter(variants.values())).sell_days)
     held = picks.join(sold, ["code", "exit_idx"], "left")
-    notional = rules.initial_capital * F.col("weight")
+    notional = F.col("capital") * F.col("weight")
     fee = F.greatest(notional * costs.commission, F.lit(costs.min_commission))
     fees = 2 * fee + notional * (costs.stamp_duty + costs.slippage * 2 + costs.transfer_fee * 2)
     filled = F.coalesce((F.col("entry_open") > 0) & (F.col("exit_open") > 0), F.lit(False))
-    gain = F.when(filled, F.col("weight") * (F.col("exit_open") / F.nullif("entry_open", F.lit(0.0)) - 1) - fees / rules.initial_capital)
+    gain = F.when(filled, F.col("weight") * (F.col("exit_open") / F.nullif("entry_open", F.lit(0.0)) - 1) - fees / F.col("capital"))
     out = held.groupBy("variant", "signal", "entry", "exit").agg(F.count("*").alias("names"), F.avg(filled.cast("int")).alias("tradable"), F.coalesce(F.sum(gain), F.lit(0.0)).alias("period_ret"))
     w = Window.partitionBy("variant").orderBy("signal").rowsBetween(Window.unboundedPreceding, 0)  # one row a month
     return out.withColumn("nav", F.product(1 + F.col("period_ret")).over(w))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -16,6 +14,7 @@ from tessera.plans.factors import FACTOR_CTES, baseline_factors, factor_table
 from tessera.plans.sql import CAL, ENDS, INDEX, with_
 from tessera.registry import query
 from tessera.sources import panel as p
+from tessera.sources.staging import written
 
 RULES = bt.Rules(max_price=1e9)
 _PERIODS = """nxt AS (SELECT e.month, e.date AS signal, e.cal_idx, c.date AS entry FROM ends e LEFT JOIN cal c ON c.cal_idx = e.cal_idx + 1),
@@ -27,7 +26,7 @@ _QUOTES = f"""quotes AS (
     SELECT b.*, cal_idx, row_number() OVER w AS listed, CASE WHEN lag(cal_idx) OVER w = cal_idx - 1 THEN lag(close) OVER w END AS prev_close FROM bars b JOIN cal USING (date) WINDOW w AS (PARTITION BY code ORDER BY date)))"""
 
 
-def _run(score: str, ascending: bool = False, quantile: float = 0.2, listed: int = 120, holdings: int = 20, source: str = "factors") -> str:
+def _run(score: str, ascending: bool = False, quantile: float = 0.2, listed: int = 120, holdings: int = 20, source: str = "factors", capital: float = 1e6) -> str:
     return f"""good AS (
   SELECT pr.*, f.code, f.{score} AS score, e.open AS entry_open FROM periods pr JOIN {source} f ON f.date = pr.signal JOIN quotes s ON s.code = f.code AND s.date = pr.signal
   JOIN quotes e ON e.code = f.code AND e.date = pr.entry WHERE f.{score} IS NOT NULL AND s.listed >= {listed} AND e.volume > 0 AND s.close BETWEEN 3 AND 1e9 AND NOT e.capped),
@@ -35,7 +34,7 @@ picks AS (SELECT *, 1.0::DOUBLE / take AS weight FROM (SELECT *, row_number() OV
   least(greatest(1, CAST(floor(count(*) OVER (PARTITION BY signal) * {quantile}::DOUBLE) AS BIGINT)), {holdings}) AS take FROM good) WHERE rank <= take),
 held AS (SELECT k.*, (SELECT arg_min(x.open, x.cal_idx) FROM quotes x WHERE x.code = k.code AND x.cal_idx BETWEEN k.exit_idx AND k.exit_idx + 9 AND NOT x.blocked) AS exit_open FROM picks k),
 nav0 AS (SELECT signal, entry, exit, count(*) AS names, avg((exit_open IS NOT NULL)::INT) AS tradable,
-  coalesce(sum(CASE WHEN entry_open > 0 AND exit_open > 0 THEN weight * (exit_open / entry_open - 1) - (2 * greatest(1000000 * weight * 0.00025::DOUBLE, 5.0) + 1000000 * weight * (0.001::DOUBLE + 0.001::DOUBLE * 2 + 0.00001::DOUBLE * 2)) / 1000000 END), 0) AS period_ret
+  coalesce(sum(CASE WHEN entry_open > 0 AND exit_open > 0 THEN weight * (exit_open / entry_open - 1) - (2 * greatest({capital}::DOUBLE * weight * 0.00025::DOUBLE, 5.0) + {capital}::DOUBLE * weight * (0.001::DOUBLE + 0.001::DOUBLE * 2 + 0.00001::DOUBLE * 2)) / {capital}::DOUBLE END), 0) AS period_ret
   FROM held GROUP BY 1, 2, 3)"""
 
 
@@ -43,9 +42,14 @@ _BASE = (*FACTOR_CTES, CAL, ENDS, _PERIODS, _QUOTES)
 _NAV = "SELECT signal, entry, exit, names, round(tradable, 6) AS tradable, round(period_ret, 6) AS period_ret FROM nav0"
 
 
+def _bars(spark, sf_dir):
+    """Bars written once: the factors and the quotes of a backtest read them."""
+    return written(p.bars(spark, sf_dir), "bars")
+
+
 def _rebalanced(spark, sf_dir, name: str, rules: bt.Rules):
-    b = p.bars(spark, sf_dir)
-    return bt.rebalance(b, factor_table(spark, sf_dir, [name]), name, bt.Costs(), rules)
+    b = _bars(spark, sf_dir)
+    return bt.rebalance(b, factor_table(spark, sf_dir, [name], bars=b), name, bt.Costs(), rules)
 
 
 @query("m2_rebalance_momentum", with_(*_BASE, _run("mom_1")) + _NAV)
@@ -92,14 +96,12 @@ _BASELINE = """base AS (SELECT b.code, b.date, mom_12_1, 0.0::DOUBLE AS constant
 @query("m28_baselines", " UNION ALL ".join(f"SELECT * FROM ({with_(*_BASE, _BASELINE, _run(c, quantile=qt, holdings=k, source='base'))} SELECT '{n}' AS baseline, count(*) AS periods, round(avg(names), 4) AS names, round(avg(period_ret), 6) AS mean_ret, round(product(1 + period_ret) - 1, 4) AS total_return FROM nav0)" for n, c, qt, k in _BASELINES))
 def m28(spark, sf_dir):
     """Random walk and equal weight (all names), historical mean and 12-1 momentum, each as a backtest."""
-    own = baseline_factors(spark, sf_dir)
-    momentum = factor_table(spark, sf_dir, ["mom_12_1"]).select("code", "date", "mom_12_1")
-    b = p.bars(spark, sf_dir)
-    runs = []
-    for name, column, share, holdings in _BASELINES:
-        rules = bt.Rules(max_price=1e9, top_quantile=share, max_holdings=holdings)
-        runs.append(bt.rebalance(b, momentum if column == "mom_12_1" else own, column, bt.Costs(), rules).withColumn("baseline", F.lit(name)))
-    return reduce(lambda x, y: x.unionByName(y), runs).groupBy("baseline").agg(
+    b = _bars(spark, sf_dir)
+    own = baseline_factors(b).join(factor_table(spark, sf_dir, ["mom_12_1"], bars=b).select("code", "date", "mom_12_1"), ["code", "date"], "full")
+    scores = own.select("code", "date", F.explode(F.array(*[F.struct(F.lit(n).alias("variant"), F.col(c).alias("score")) for n, c, *_ in _BASELINES])).alias("x")).select("code", "date", "x.*")
+    rules = {n: bt.Rules(max_price=1e9, top_quantile=share, max_holdings=holdings) for n, _, share, holdings in _BASELINES}
+    runs = bt.rebalance_variants(b, scores, "score", bt.Costs(), rules).withColumnRenamed("variant", "baseline")
+    return runs.groupBy("baseline").agg(
         F.count("*").alias("periods"), F.round(F.avg("names"), 4).alias("names"), F.round(F.avg("period_ret"), 6).alias("mean_ret"), F.round(F.product(1 + F.col("period_ret")) - 1, 4).alias("total_return"))
 
 
@@ -110,10 +112,24 @@ _VARIANTS = [("base", 0.2, 120), ("q_low", 0.16, 120), ("q_high", 0.24, 120), ("
 def m26(spark, sf_dir):
     """Five variants of the quantile and listed days, ranked and replayed in one pass."""
     variants = {n: bt.Rules(max_price=1e9, top_quantile=qt, min_listed_days=ld) for n, qt, ld in _VARIANTS}
-    runs = bt.rebalance_variants(p.bars(spark, sf_dir), factor_table(spark, sf_dir, ["mom_1"]), "mom_1", bt.Costs(), variants)
+    b = _bars(spark, sf_dir)
+    runs = bt.rebalance_variants(b, factor_table(spark, sf_dir, ["mom_1"], bars=b), "mom_1", bt.Costs(), variants)
     return runs.groupBy("variant").agg(F.count("*").alias("periods"), F.round(F.avg("period_ret"), 6).alias("mean_ret"))
 
 
+#: The two capitals of the capacity audit.
+_CAPITALS = [("small", 1e5), ("large", 1e8)]
+
+
+@query("m25_capacity", " UNION ALL ".join(f"SELECT * FROM ({with_(*_BASE, _run('mom_1', capital=c))} SELECT '{n}' AS variant, count(*) AS periods, {q.rnd('avg(tradable)', 6)} AS tradable, {q.rnd('avg(period_ret)', 7)} AS mean_ret, {q.rnd('product(1 + period_ret) - 1', 5)} AS total_return FROM nav0)" for n, c in _CAPITALS))
+def m25_capacity(spark, sf_dir):
+    """The backtest with a small and a large capital side by side: least commissions weigh on the small one."""
+    variants = {n: bt.Rules(max_price=1e9, initial_capital=c) for n, c in _CAPITALS}
+    b = _bars(spark, sf_dir)
+    runs = bt.rebalance_variants(b, factor_table(spark, sf_dir, ["mom_1"], bars=b), "mom_1", bt.Costs(), variants)
+    return runs.groupBy("variant").agg(F.count("*").alias("periods"), rnd(F.avg("tradable"), 6).alias("tradable"), rnd(F.avg("period_ret"), 7).alias("mean_ret"), rnd(F.product(1 + F.col("period_ret")) - 1, 5).alias("total_return"))
+
+
 REGIME = f"""idxw AS (SELECT date, close, avg(close) OVER w20 AS ma20, avg(close) OVER w60 AS ma60, count(*) OVER w60 AS n, r FROM (SELECT *, close / nullif(lag(close) OVER (ORDER BY date), 0) - 1 AS r FROM idx)
   WINDOW w20 AS (ORDER BY date ROWS 19 PRECEDING), w60 AS (ORDER BY date ROWS 59 PRECEDING)),
 regimes AS (SELECT date, close, CASE WHEN n < 60 THEN 'transition' WHEN close > 1.05 * ma60 AND ma20 > ma60 THEN CASE WHEN coalesce(vol, 0) >= 0.2 THEN 'bull_high_vol' ELSE 'bull' END WHEN close < 0.95 * ma60 AND ma20 < ma60 THEN 'bear'

@@ -14,9 +14,9 @@ from tessera.registry import query
 from tessera.sources import panel as p
 
 
-def full_bars(spark, sf_dir) -> DataFrame:
-    """Bars with the change in percent and a turnover (volume / 10)."""
-    return p.normalize(p.bars(spark, sf_dir).withColumn("turnover", F.col("volume") / 10.0))
+def full_bars(spark, sf_dir, bars: DataFrame | None = None) -> DataFrame:
+    """Bars (those given, or made anew) with the change in percent and a turnover (volume / 10)."""
+    return p.normalize((p.bars(spark, sf_dir) if bars is None else bars).withColumn("turnover", F.col("volume") / 10.0))
 
 
 FULL = f"full_bars AS (SELECT *, volume / 10.0 AS turnover, (close / nullif({lag('close', 1)}, 0) - 1) * 100 AS pct_chg FROM bars)"
@@ -56,8 +56,8 @@ FACTOR_CTES = (BARS, FULL, _STEPS, FACTORS)
 _DIGITS = {"liq_20d_amt": 5}
 
 
-def factor_table(spark, sf_dir, names=None, keep=()) -> DataFrame:
-    return fa.compute_factors(full_bars(spark, sf_dir), names or fa.PRICE_FACTORS, keep)
+def factor_table(spark, sf_dir, names=None, keep=(), bars: DataFrame | None = None) -> DataFrame:
+    return fa.compute_factors(full_bars(spark, sf_dir, bars), names or fa.PRICE_FACTORS, keep)
 
 
 @query("fa1_fa10_price_factors", with_(*FACTOR_CTES) + "SELECT code, date, " + ", ".join(f"{q.rnd(k, _DIGITS.get(k, 6))} AS {k}" for k in _PRICE) + " FROM factors")
@@ -158,11 +158,10 @@ SELECT code, date, round(lag(r, 1) OVER (PARTITION BY code ORDER BY date), 6) AS
 QUALIFY date >= (SELECT min(date) + 60 FROM bars)""")
 def fa19(spark, sf_dir):
     """FA19 (the 60-row change, one row late) and FA20 (constant); dates from 60 days after the first."""
-    return baseline_factors(spark, sf_dir).withColumn("hist_mean", F.round("hist_mean", 6))
+    return baseline_factors(p.bars(spark, sf_dir)).withColumn("hist_mean", F.round("hist_mean", 6))
 
 
-def baseline_factors(spark, sf_dir) -> DataFrame:
-    b = p.bars(spark, sf_dir)
+def baseline_factors(b: DataFrame) -> DataFrame:
     w = Window.partitionBy("code").orderBy("date")
     r = b.withColumn("r", F.col("close") / F.nullif(F.lag("close", 60).over(w), F.lit(0.0)) - 1)
     first = b.agg(F.date_add(F.min("date"), 60).alias("first"))
