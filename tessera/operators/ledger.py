@@ -93,6 +93,17 @@ def timed_fifo(trades: DataFrame, order: list[str], bucket=None) -> DataFrame:
     return lots.groupBy("code", F.col("sell_id").alias("id")).agg(F.sum(covered).alias("matched"), F.sum(gain).alias("pnl"))
 
 
+def closed_shares(lots: DataFrame, sells: DataFrame) -> DataFrame:
+    """Each lot of ``joins.fifo_lots`` with its share of the sell's ``pnl`` by volume: ``buy_id``, ``sell_id``, ``alloc``, ``pnl``, ``reason``; a rest without a buy takes its share too.
+
+    ``sells`` has the key of the lots, ``id``, ``pnl`` and ``reason``; null profits are 0.
+    """
+    key = lots.columns[0]
+    told = sells.select(key, F.col("id").alias("sell_id"), F.coalesce("pnl", F.lit(0.0)).alias("_pnl"), "reason")
+    share = F.coalesce(F.col("alloc") / F.nullif("sold", F.lit(0.0)), F.lit(0.0))
+    return lots.join(told, [key, "sell_id"]).select(key, "sell_id", "buy_id", "alloc", (F.col("_pnl") * share).alias("pnl"), "reason")
+
+
 def order_volume(assets: Column, ratio: Column, room: Column, cap: Column, price: Column) -> Column:
     """Shares in lots of 100 of the least of the wanted value, the room and the single-name cap."""
     value = F.least(assets * ratio, room, assets * cap)
@@ -122,11 +133,22 @@ def circuit_breaker(assets: DataFrame, order: str, value: str, bucket=None) -> D
 DAMP = {"short_stop_loss": 0.02, "short_take_profit": 0.02, "mid_stop_loss": 0.03, "mid_take_profit": 0.03, "long_stop_loss": 0.04, "long_take_profit": 0.04}
 
 
+#: The step of the confidence and its bounds.
+DAMP_CONFIDENCE, CONFIDENCE_BOUNDS = 5, (40, 90)
+
+
 def damped(key: Column, current: Column, wanted: Column) -> Column:
-    """The wanted value within the key's step of the current one; percentages are divided by 100, wrong signs change nothing."""
+    """The wanted value within the key's step of the current one; percentages are divided by 100, wrong signs change nothing.
+
+    ``min_confidence`` is a whole number within its own step and bounds.
+    """
     limit = F.lit(None).cast("double")
     for name, step in DAMP.items():
         limit = F.when(key == name, step).otherwise(limit)
     value = F.when(F.abs(wanted) > 1, wanted / 100).otherwise(wanted)
     wrong = (key.endswith("_stop_loss") & (value >= 0)) | (key.endswith("_take_profit") & (value <= 0))
-    return F.when(limit.isNull() | value.isNull() | wrong, current).otherwise(F.least(F.greatest(value, current - limit), current + limit))
+    whole = F.when(wanted >= 0, F.floor(wanted)).otherwise(F.ceil(wanted)).cast("double")
+    near = F.least(F.greatest(whole, current - DAMP_CONFIDENCE), current + DAMP_CONFIDENCE)
+    confidence = F.when(wanted.isNull(), current).otherwise(F.least(F.greatest(near, F.lit(float(CONFIDENCE_BOUNDS[0]))), F.lit(float(CONFIDENCE_BOUNDS[1]))))
+    moved = F.when(limit.isNull() | value.isNull() | wrong, current).otherwise(F.least(F.greatest(value, current - limit), current + limit))
+    return F.when(key == "min_confidence", confidence).otherwise(moved)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import by_code, div, lag, roll
+from tessera.functions.columns import by_code, div, lag, rnd, roll
 from tessera.operators.scans import with_ewm
 
 
@@ -128,7 +128,7 @@ UNKNOWN, STRONG, WEAK = "未知", "强因子共振", "弱因子/AI主观"
 
 
 def attribution(closed: DataFrame) -> DataFrame:
-    """Ten groupings of closed trades (strategy, reason, month, pnl, indicators): ``kind``, ``bucket``, ``n``, ``win_rate``, ``net_pnl``, ``place``.
+    """Ten groupings of closed trades (strategy, reason, month, pnl, indicators): ``kind``, ``bucket``, ``n``, ``wins``, ``win_rate``, ``net_pnl``, ``place``.
 
     Each trade gives a row a grouping, summed before the shuffle; a missing name is a bucket of its own. Buckets are placed
     by their net, then by name.
@@ -140,5 +140,21 @@ def attribution(closed: DataFrame) -> DataFrame:
         "volume": F.concat(F.lit("量="), b["vol_state"]), "turnover": F.concat(F.lit("换手="), b["turnover"]),
     }
     rows = closed.select(F.coalesce("pnl", F.lit(0.0)).alias("pnl"), F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("bucket")) for k, v in named.items()])).alias("g"))
-    out = rows.groupBy("g.kind", "g.bucket").agg(F.count("*").alias("n"), F.round(F.avg((F.col("pnl") > 0).cast("double")), 3).alias("win_rate"), F.round(F.sum("pnl"), 1).alias("net_pnl"))
+    out = rows.groupBy("g.kind", "g.bucket").agg(F.count("*").alias("n"), F.count_if(F.col("pnl") > 0).alias("wins"), rnd(F.avg((F.col("pnl") > 0).cast("double")), 3).alias("win_rate"), rnd(F.sum("pnl"), 2).alias("net_pnl"))
     return out.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("net_pnl"), "bucket")))
+
+
+def entry_text(bar: DataFrame) -> Column:
+    """The indicators of a bar (as ``indicators`` gives them, with turnover and prices) as the text that ``entry_buckets`` reads; what is missing is 0 or "?"."""
+    number = lambda c, d: F.format_string(f"%.{d}f", rnd(F.coalesce(F.col(c), F.lit(0.0)), d))
+    yes = lambda c: F.when(F.col(c), "是").when(~F.col(c), "否").otherwise("?")
+    named = lambda c, names: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.col(c)), F.lit("?"))
+    extremes = {"overbought": "超买", "oversold": "超卖", "normal": "正常"}
+    trend = F.when(F.col("macd_bull"), "多头").when(~F.col("macd_bull"), "空头").otherwise("?")
+    parts = [
+        [("MA5=", number("ma5", 2)), (" MA20=", number("ma20", 2)), (" 均线多头=", yes("ma_bull"))], [("RSI=", number("rsi", 1)), (" RSI状态=", named("rsi_state", extremes))],
+        [("MACD金叉=", yes("macd_cross")), (" MACD状态=", trend)], [("K=", number("k", 1)), (" D=", number("d", 1)), (" J=", number("j", 1)), (" KDJ金叉=", yes("kdj_cross")), (" KDJ状态=", named("kdj_state", extremes))],
+        [("量比=", number("vol_ratio", 2)), (" 成交量=", number("volume", 0)), (" 成交量状态=", named("vol_state", {"heavy": "放量", "light": "缩量", "normal": "正常"}))],
+        [("换手率=", number("turnover", 2)), ("%", F.lit(""))], [("今开=", number("open", 2)), (" 最高=", number("high", 2)), (" 最低=", number("low", 2))],
+    ]
+    return F.concat_ws(" | ", *[F.concat(*[x for label, value in part for x in (F.lit(label), value)]) for part in parts])

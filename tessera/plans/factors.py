@@ -137,19 +137,27 @@ def disclosed_quality(spark, sf_dir):
     return joins.asof_backward(p.bars(spark, sf_dir).select("code", "date"), known, ["code"], "date", ["roe"])
 
 
+_VALUES = ["pe_ttm", "pb", "total_mv"]
+
+
 @query("fa17_j6_valuation_ffill", with_(BARS, CAL) + """
 , codes AS (SELECT DISTINCT code FROM bars),
-val AS (SELECT code, date, close / 10 AS pb FROM bars WHERE day(date) % 3 <> 0),
-grid AS (SELECT c.code, cal.date, v.pb FROM codes c CROSS JOIN cal LEFT JOIN val v ON v.code = c.code AND v.date = cal.date)
-SELECT code, date, round(1 / nullif(f, 0), 6) AS value_bp FROM (
-  SELECT code, date, last_value(pb IGNORE NULLS) OVER (PARTITION BY code ORDER BY date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS f FROM grid) WHERE f IS NOT NULL AND f > 0""")
+val AS (SELECT code, date, close / 20 - 40 AS pe_ttm, close / 10 AS pb, close * volume AS total_mv FROM bars WHERE day(date) % 3 <> 0),
+grid AS (SELECT c.code, cal.date, v.pe_ttm, v.pb, v.total_mv FROM codes c CROSS JOIN cal LEFT JOIN val v ON v.code = c.code AND v.date = cal.date),
+held AS (SELECT code, date, """ + ", ".join(f"last_value({c} IGNORE NULLS) OVER w AS {c}" for c in _VALUES) + f""" FROM grid WINDOW w AS (PARTITION BY code ORDER BY date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW))
+SELECT code, date, {q.rnd('CASE WHEN pe_ttm > 0 THEN 1 / pe_ttm END')} AS value_ep, {q.rnd('CASE WHEN pb > 0 THEN 1 / pb END')} AS value_bp, {q.rnd('ln(nullif(total_mv, 0))')} AS size_logcap FROM held WHERE pb IS NOT NULL""")
 def valuation_ffill(spark, sf_dir):
-    """FA17 / J6: values on the union calendar, carried over five rows at most; ratios of 0 or less are dropped."""
+    """FA17 / J6: value_ep, value_bp and size_logcap on the union calendar, each value carried over five rows at most; ratios of 0 or less are null.
+
+    Every third day of the month is left without a value: the gaps that are filled.
+    """
     b = p.bars(spark, sf_dir)
     cal = p.calendar(b)
-    values = b.filter(F.dayofmonth("date") % 3 != 0).join(F.broadcast(cal), "date").select("code", "cal_idx", (F.col("close") / 10).alias("pb"))
-    f = joins.carried(values.filter("pb is not null"), "pb", 5, ["code"], "cal_idx")
-    return f.filter("pb > 0").join(F.broadcast(cal), "cal_idx").select("code", "date", F.round(1 / F.nullif("pb", F.lit(0.0)), 6).alias("value_bp"))
+    made = {"pe_ttm": F.col("close") / 20 - 40, "pb": F.col("close") / 10, "total_mv": F.col("close") * F.col("volume")}
+    values = b.filter(F.dayofmonth("date") % 3 != 0).join(F.broadcast(cal), "date").select("code", "cal_idx", F.struct(*[v.alias(k) for k, v in made.items()]).alias("v"))
+    f = joins.carried(values, "v", 5, ["code"], "cal_idx").select("code", "cal_idx", "v.*").filter("pb is not null")
+    return f.join(F.broadcast(cal), "cal_idx").select(
+        "code", "date", rnd(F.when(F.col("pe_ttm") > 0, 1 / F.nullif("pe_ttm", F.lit(0.0)))).alias("value_ep"), rnd(F.when(F.col("pb") > 0, 1 / F.nullif("pb", F.lit(0.0)))).alias("value_bp"), rnd(F.ln(F.nullif("total_mv", F.lit(0.0)))).alias("size_logcap"))
 
 
 @query("fa19_fa20_baseline_factors", with_(BARS) + """

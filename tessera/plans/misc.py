@@ -56,20 +56,20 @@ def p2(spark, sf_dir):
     return p.table(spark, sf_dir, "customer").select("c_custkey", F.round(F.col("c_acctbal") / F.nullif("c_nationkey", F.lit(0)), 6).alias("ratio"), F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("positive"))
 
 
-_CODE = "lpad(CAST(CASE c_custkey % 5 WHEN 0 THEN 600000 WHEN 1 THEN 300000 WHEN 2 THEN 830000 WHEN 3 THEN 510000 ELSE 1 END + c_custkey % 1000 AS VARCHAR), 6, '0')"
+_CODE = "lpad(CAST(CASE c_custkey % 6 WHEN 0 THEN 600000 WHEN 1 THEN 300000 WHEN 2 THEN 830000 WHEN 3 THEN 510000 WHEN 4 THEN 900000 ELSE 1 END + c_custkey % 1000 AS VARCHAR), 6, '0')"
 
 
 @query("p9_p12_boards_and_prefixes", f"""SELECT c_custkey, code, CASE WHEN regexp_matches(code, '^(300|301|688)') THEN 0.2 WHEN regexp_matches(code, '^(8|4|92)') THEN 0.3 ELSE 0.1 END::DOUBLE AS price_limit,
-  CASE WHEN code[1] IN ('6', '5') THEN 'sh' ELSE 'sz' END || code AS market_symbol, CASE WHEN code[1] = '6' THEN 'sh' WHEN code[1] IN ('4', '8') THEN 'bj' ELSE 'sz' END || code AS loader_symbol,
-  code || CASE WHEN code[1] = '6' THEN '.XSHG' ELSE '.XSHE' END AS exchange_symbol FROM (SELECT c_custkey, {_CODE} AS code FROM customer)""")
+  CASE WHEN code[1] IN ('6', '5', '9') THEN 'sh' ELSE 'sz' END || code AS market_symbol, CASE WHEN code[1] IN ('6', '9') THEN 'sh' WHEN code[1] IN ('4', '8') THEN 'bj' ELSE 'sz' END || code AS loader_symbol,
+  code || CASE WHEN code[1] IN ('6', '9') THEN '.XSHG' ELSE '.XSHE' END AS exchange_symbol, code AS plain FROM (SELECT c_custkey, {_CODE} AS code FROM customer)""")
 def p9(spark, sf_dir):
-    """Price limits by board and the symbol rules of the sources."""
+    """Price limits by board, the symbol rules of the sources, and a symbol back to its code."""
     k = F.col("c_custkey")
-    base = F.when(k % 5 == 0, 600000).when(k % 5 == 1, 300000).when(k % 5 == 2, 830000).when(k % 5 == 3, 510000).otherwise(1)
+    base = F.when(k % 6 == 0, 600000).when(k % 6 == 1, 300000).when(k % 6 == 2, 830000).when(k % 6 == 3, 510000).when(k % 6 == 4, 900000).otherwise(1)
     c = p.table(spark, sf_dir, "customer").select("c_custkey", p.code6(base + k % 1000).alias("code"))
     head = F.substring("code", 1, 1)
-    return c.select("c_custkey", "code", price_limit("code").alias("price_limit"), F.concat(F.when(head.isin("6", "5"), "sh").otherwise("sz"), "code").alias("market_symbol"),
-                    F.concat(F.when(head == "6", "sh").when(head.isin("4", "8"), "bj").otherwise("sz"), "code").alias("loader_symbol"), F.concat("code", F.when(head == "6", ".XSHG").otherwise(".XSHE")).alias("exchange_symbol"))
+    return c.select("c_custkey", "code", price_limit("code").alias("price_limit"), (symbol := F.concat(F.when(head.isin("6", "5", "9"), "sh").otherwise("sz"), "code")).alias("market_symbol"),
+                    F.concat(F.when(head.isin("6", "9"), "sh").when(head.isin("4", "8"), "bj").otherwise("sz"), "code").alias("loader_symbol"), F.concat("code", F.when(head.isin("6", "9"), ".XSHG").otherwise(".XSHE")).alias("exchange_symbol"), p.plain_code(F.concat(F.lit(" "), symbol)).alias("plain"))
 
 
 @query("p13_quality_rules", with_(BARS, FULL) + """, a AS (SELECT code, count(*) AS n, count(close) AS c, count(volume) AS v, count_if(high < low) AS hl, count_if(high < greatest(open, close) OR low > least(open, close)) AS ohlc, quantile_cont(abs(pct_chg), 0.999::DOUBLE) AS p999 FROM full_bars GROUP BY code)
@@ -152,14 +152,6 @@ def u1(spark, sf_dir):
     return one("both", a.intersect(b)).unionByName(one("either", a.union(b).distinct())).unionByName(one("shipped_only", b.exceptAll(a)))
 
 
-@query("g15_w16_allocation", "SELECT event_id, CASE slot WHEN 9 THEN 'long' WHEN 8 THEN 'medium' WHEN 7 THEN 'medium' ELSE 'short' END AS horizon FROM (SELECT event_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) % 10 AS slot FROM events)")
-def g15(spark, sf_dir):
-    """Round robin over ten slots, by account."""
-    slots = F.array(*[F.lit(x) for x in ["short"] * 7 + ["medium"] * 2 + ["long"]])
-    i = (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1) % 10
-    return p.table(spark, sf_dir, "events").withColumn("i", i).select("event_id", F.get(slots, F.col("i")).alias("horizon"))
-
-
 @query("g19_x11_json_payload", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CASE WHEN event_id % 2 = 0 THEN 'filled' ELSE 'rejected' END AS status FROM events")
 def g19(spark, sf_dir):
     """A JSON block out of text, alias keys, status codes to names."""
@@ -179,11 +171,18 @@ def g16(spark, sf_dir):
     return o.join(F.broadcast(last), F.col("d") >= F.col("from")).groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("x9_session_calendar", "SELECT event_id, isodow(ts) < 6 AS trading_day, isodow(ts) < 6 AND (strftime(ts, '%H%M') BETWEEN '0930' AND '1130' OR strftime(ts, '%H%M') BETWEEN '1300' AND '1500') AS is_open FROM events")
+@query("x9_session_calendar", """SELECT event_id, day AS trading_day, day AND inside AS is_open, CASE WHEN day AND inside THEN 0 ELSE greatest(0, floor(epoch(target) - epoch(ts)))::BIGINT END AS seconds_to_open FROM (
+  SELECT *, isodow(ts) < 6 AS day, (strftime(ts, '%H%M') BETWEEN '0930' AND '1130' OR strftime(ts, '%H%M') BETWEEN '1300' AND '1500') AS inside, CASE WHEN isodow(ts) >= 6 THEN date_trunc('day', ts) + to_days((8 - isodow(ts))::INT) + INTERVAL '9 hours 30 minutes'
+    WHEN strftime(ts, '%H%M') < '0930' THEN date_trunc('day', ts) + INTERVAL '9 hours 30 minutes' WHEN strftime(ts, '%H%M') < '1300' THEN date_trunc('day', ts) + INTERVAL '13 hours' ELSE date_trunc('day', ts) + to_days((CASE isodow(ts) WHEN 5 THEN 3 ELSE 1 END)::INT) + INTERVAL '9 hours 30 minutes' END AS target FROM events)""")
 def x9(spark, sf_dir):
-    """Week days and the two sessions."""
-    day, at = F.weekday("ts") < 5, F.date_format("ts", "HHmm")
-    return p.table(spark, sf_dir, "events").select("event_id", day.alias("trading_day"), (day & (at.between("0930", "1130") | at.between("1300", "1500"))).alias("is_open"))
+    """Week days, the two sessions, and the seconds to the next one (0 within one)."""
+    e = p.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    weekday, at = F.weekday("ts"), F.date_format("ts", "HHmm")
+    inside = (weekday < 5) & (at.between("0930", "1130") | at.between("1300", "1500"))
+    ahead = F.when(weekday >= 5, 7 - weekday).when(at < "1300", 0).when(weekday == 4, 3).otherwise(1)
+    opening = F.when((weekday < 5) & (at >= "0930") & (at < "1300"), 13 * 3600).otherwise(9 * 3600 + 1800)
+    left = F.unix_seconds(F.date_add(F.to_date("ts"), ahead).cast("timestamp")) + opening - F.unix_micros("ts") / F.lit(1e6)
+    return e.select("event_id", (weekday < 5).alias("trading_day"), inside.alias("is_open"), F.when(inside, 0).otherwise(F.greatest(F.lit(0), F.floor(left))).cast("long").alias("seconds_to_open"))
 
 
 @query("x15_backfill_names", "SELECT user_id, event_id, coalesce(nullif(CASE WHEN event_id % 4 = 0 THEN event_type ELSE '' END, ''), first_value(nullif(CASE WHEN event_id % 4 = 0 THEN event_type ELSE '' END, '') IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS name FROM events")
@@ -194,63 +193,6 @@ def x15(spark, sf_dir):
     return e.select("user_id", "event_id", F.coalesce("n", F.first("n", ignorenulls=True).over(w)).alias("name"))
 
 
-#: Share of the account by regime, the other limits, and the weights of short, medium and long.
-LIMITS, OTHER_LIMIT = {"bull": 1.0, "bear": 0.5, "range": 0.7}, 0.4
-SINGLE, LEAST_CASH = 0.05, 0.30
-WEIGHTS, BULL_WEIGHTS = (0.5, 0.3, 0.2), (0.6, 0.3, 0.1)
-_CONTRACT = "max_position_pct double, max_total_position double, single_stock_pct double, max_position_size double, min_cash_pct double, weights struct<short: double, medium: double, long: double>"
-
-
-def contract(regime):
-    """The risk limits and horizon weights of a regime, as a struct."""
-    limit = F.lit(OTHER_LIMIT)
-    for name, value in LIMITS.items():
-        limit = F.when(regime.startswith(name), value).otherwise(limit)
-    weights = [F.when(regime.startswith("bull"), b).otherwise(w).alias(n) for b, w, n in zip(BULL_WEIGHTS, WEIGHTS, ("short", "medium", "long"), strict=True)]
-    one, cash = F.lit(SINGLE), F.lit(LEAST_CASH)
-    return F.struct(limit.alias("max_position_pct"), limit.alias("max_total_position"), one.alias("single_stock_pct"), one.alias("max_position_size"), cash.alias("min_cash_pct"), F.struct(*weights).alias("weights"))
-
-
-_LIMIT_SQL = "CAST(CASE r_regionkey % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 WHEN 2 THEN 0.7 ELSE 0.4 END AS DOUBLE)"
-
-
-def _contracts(spark, sf_dir):
-    regime = F.element_at(F.array(F.lit("bull"), F.lit("bear"), F.lit("range"), F.lit("other")), (F.col("r_regionkey") % 4 + 1).cast("int"))
-    return p.table(spark, sf_dir, "region").select("r_regionkey", F.from_json(F.to_json(contract(regime)), _CONTRACT).alias("c"))
-
-
-@query("m30_contract", f"SELECT r_regionkey, {_LIMIT_SQL} AS max_position_pct, {_LIMIT_SQL} AS max_total_position, 0.05::DOUBLE AS single_stock_pct, 0.05::DOUBLE AS max_position_size, 0.3::DOUBLE AS min_cash_pct, CAST(CASE WHEN r_regionkey % 4 = 0 THEN 0.6 ELSE 0.5 END AS DOUBLE) AS short, 0.3::DOUBLE AS medium, CAST(CASE WHEN r_regionkey % 4 = 0 THEN 0.1 ELSE 0.2 END AS DOUBLE) AS long FROM region")
-def m30(spark, sf_dir):
-    """Limits and weights by regime, sent as JSON and read back."""
-    return _contracts(spark, sf_dir).select("r_regionkey", "c.max_position_pct", "c.max_total_position", "c.single_stock_pct", "c.max_position_size", "c.min_cash_pct", "c.weights.*")
-
-
-#: The parameters that hold where a contract says nothing.
-DEFAULTS = {"max_total_position": 0.8, "single_stock_pct": 0.2, "max_hold_days": 30.0}
-
-
-@query("g17_effective_parameters", f"SELECT r_regionkey, k AS key, CASE k WHEN 'max_total_position' THEN {_LIMIT_SQL} WHEN 'single_stock_pct' THEN 0.05::DOUBLE ELSE 30.0::DOUBLE END AS value, k <> 'max_hold_days' AS by_contract FROM region CROSS JOIN (SELECT UNNEST(['max_total_position', 'single_stock_pct', 'max_hold_days']) AS k)")
-def g17(spark, sf_dir):
-    """Stored parameters with the contract's limits laid over them."""
-    over = F.create_map(*[x for k in ("max_total_position", "single_stock_pct") for x in (F.lit(k), F.col(f"c.{k}"))])
-    rows = _contracts(spark, sf_dir).withColumn("over", over).select("r_regionkey", "over", F.explode(F.create_map(*[F.lit(x) for kv in DEFAULTS.items() for x in kv])).alias("key", "stored"))
-    own = F.try_element_at("over", F.col("key"))
-    return rows.select("r_regionkey", "key", F.coalesce(own, "stored").alias("value"), own.isNotNull().alias("by_contract"))
-
-
-@query("m34_landing_checks", f"""SELECT r_regionkey, c AS check_name, CASE c WHEN 'limits_in_range' THEN {_LIMIT_SQL} BETWEEN 0 AND 1 WHEN 'weights_sum_to_one' THEN true WHEN 'single_below_total' THEN 0.05 <= {_LIMIT_SQL} ELSE 1 - 0.3::DOUBLE >= {_LIMIT_SQL} END AS ok
-FROM region CROSS JOIN (SELECT UNNEST(['limits_in_range', 'weights_sum_to_one', 'single_below_total', 'cash_leaves_room']) AS c)""")
-def m34(spark, sf_dir):
-    """What a contract has to hold before it is used, one row a check."""
-    w = F.col("c.weights")
-    checks = {
-        "limits_in_range": F.col("c.max_total_position").between(0, 1), "weights_sum_to_one": F.abs(w["short"] + w["medium"] + w["long"] - 1) < 1e-9,
-        "single_below_total": F.col("c.single_stock_pct") <= F.col("c.max_total_position"), "cash_leaves_room": 1 - F.col("c.min_cash_pct") >= F.col("c.max_total_position"),
-    }
-    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("check_name"), v.alias("ok")) for k, v in checks.items()])).alias("x")
-    return _contracts(spark, sf_dir).select("r_regionkey", rows).select("r_regionkey", "x.*")
-
-
 @query("z15_z19_value_tilt", with_(_SNAP) + "SELECT code, CASE WHEN 1 / nullif(pb, 0) >= 0.75 THEN 'cheap' WHEN 1 / nullif(pb, 0) < 0.25 THEN 'dear' ELSE 'fair' END AS tilt FROM snap")
 def z15(spark, sf_dir):
     """Tilt by book to price."""

@@ -14,6 +14,7 @@ from tessera.plans.sql import BARS, TRADES, with_
 from tessera.registry import query
 from tessera.sources import panel as p
 
+_PNL = q.rnd("(price - 1500) * volume", 2)
 _ORDER = ["ts", "l_orderkey", "l_linenumber", "l_partkey", "price", "volume"]
 _O = ", ".join(_ORDER)
 _IND = f"""d AS (SELECT *, close - lag(close) OVER w AS chg, row_number() OVER w AS n, {q.roll('avg', 'close', 5)} AS ma5, {q.roll('avg', 'close', 20)} AS ma20, volume / nullif({q.roll('avg', 'volume', 5)}, 0) AS vol_ratio FROM full_bars WINDOW w AS (PARTITION BY code ORDER BY date)),
@@ -180,6 +181,40 @@ def j13_strict(spark, sf_dir):
     return lots.select("code", "sell_id", "buy_id", F.round("alloc", 4).alias("alloc"))
 
 
+@query("j12_j15_closed_shares", with_(TRADES, _CUM) + f""", told AS (SELECT code, id AS sell_id, volume AS sold, {_PNL} AS pnl FROM t WHERE direction = 'sell'),
+kept AS (SELECT code, id AS buy_id, CASE WHEN l_linenumber % 4 = 0 THEN NULL ELSE 'line ' || l_linenumber % 4 END AS strategy FROM t WHERE direction = 'buy' AND l_linenumber <> 7),
+parts AS (SELECT k.strategy, l.buy_id IS NULL AS rest, {q.rnd('pnl * alloc / sold', 2)} AS pnl FROM lots l JOIN told USING (code, sell_id) LEFT JOIN kept k ON k.code = l.code AND k.buy_id = l.buy_id WHERE alloc > 0)
+SELECT coalesce(strategy, 'none') AS strategy, rest, count(*) AS n, count_if(pnl > 0)::BIGINT AS wins, {q.rnd('sum(pnl)', 2)} AS net_pnl FROM parts GROUP BY 1, 2""")
+def j12_j15(spark, sf_dir):
+    """Each sell's profit dealt to its lots by volume, the lots joined to what is kept of their buys; count, wins and net by strategy and of the rests."""
+    t = _numbered(spark, sf_dir)
+    lots = joins.fifo_lots(t, "code", ["id"], bucket=F.trunc("ts", "MM"))
+    sells = t.filter("direction = 'sell'").select("code", "id", rnd((F.col("price") - 1500) * F.col("volume"), 2).alias("pnl"), F.lit("sell").alias("reason"))
+    line = F.col("l_linenumber") % 4
+    kept = t.filter("direction = 'buy' AND l_linenumber <> 7").select("code", F.col("id").alias("buy_id"), F.when(line != 0, F.concat(F.lit("line "), line.cast("string"))).alias("strategy"))
+    parts = ledger.closed_shares(lots, sells).join(kept, ["code", "buy_id"], "left").withColumn("pnl", rnd("pnl", 2))
+    return parts.groupBy(F.coalesce("strategy", F.lit("none")).alias("strategy"), F.col("buy_id").isNull().alias("rest")).agg(F.count("*").alias("n"), F.count_if(F.col("pnl") > 0).alias("wins"), rnd(F.sum("pnl"), 2).alias("net_pnl"))
+
+
+def _number(column: str, digits: int) -> str:
+    return f"printf('%.{digits}f', {q.rnd(f'coalesce({column}, 0)', digits)})"
+
+
+_STATE = "CASE {} WHEN 'overbought' THEN '超买' WHEN 'oversold' THEN '超卖' ELSE '正常' END"
+_YES = "CASE WHEN {} THEN '是' ELSE '否' END"
+
+
+@query("g6_entry_text", with_(BARS, FULL, _IND, _EWM) + f"""SELECT code, 'MA5=' || {_number('ma5', 2)} || ' MA20=' || {_number('ma20', 2)} || ' 均线多头=' || {_YES.format('ma5 > ma20')} || ' | RSI=' || {_number('rsi', 1)} || ' RSI状态=' || CASE WHEN rsi > 70 THEN '超买' WHEN rsi < 30 THEN '超卖' ELSE '正常' END
+  || ' | MACD金叉=' || {_YES.format('macd_cross')} || ' MACD状态=' || CASE WHEN dif > dea THEN '多头' ELSE '空头' END || ' | K=' || {_number('k', 1)} || ' D=' || {_number('d', 1)} || ' J=' || {_number('j', 1)} || ' KDJ金叉=' || {_YES.format('kdj_cross')} || ' KDJ状态=' || {_STATE.format('kdj_state')}
+  || ' | 量比=' || {_number('vol_ratio', 2)} || ' 成交量=' || {_number('volume', 0)} || ' 成交量状态=' || CASE WHEN vol_ratio > 1.5 THEN '放量' WHEN vol_ratio < 0.7 THEN '缩量' ELSE '正常' END || ' | 换手率=' || {_number('turnover', 2)} || '% | 今开=' || {_number('open', 2)} || ' 最高=' || {_number('high', 2)} || ' 最低=' || {_number('low', 2)} AS text
+FROM rs JOIN (SELECT code, date, dif, dea, k, d, j, macd_cross, kdj_cross, kdj_state FROM osc) USING (code, date) WHERE n >= 20 QUALIFY row_number() OVER (PARTITION BY code ORDER BY date DESC) = 1""")
+def g6(spark, sf_dir):
+    """The indicators of each code's last bar as one text."""
+    x = signals.indicators(full_bars(spark, sf_dir))
+    last = x.withColumn("last", F.row_number().over(Window.partitionBy("code").orderBy(F.desc("date")))).filter("last = 1")
+    return last.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("macd_cross", "kdj_cross", "macd_bull", "ma_bull")}).select("code", signals.entry_text(last).alias("text"))
+
+
 @query("x1_x3_ledger_replay")
 def x1(spark, sf_dir):
     """Position, average cost, realized profit and rejected sells of each code, without cash."""
@@ -227,33 +262,33 @@ def a22(spark, sf_dir):
     return t.groupBy("code").agg(F.sum(v).alias("sellable"))
 
 
-@query("a11_attribution", with_(TRADES) + """, r AS (SELECT code, direction, strftime(ts, '%Y-%m') AS month, (price - 1500) * volume AS pnl FROM trades)
-SELECT kind, bucket, count(*) AS n, round(avg((pnl > 0)::INT), 3) AS win_rate, round(sum(pnl), 1) AS net_pnl FROM (SELECT 'code' AS kind, code AS bucket, pnl FROM r UNION ALL SELECT 'direction', direction, pnl FROM r UNION ALL SELECT 'month', month, pnl FROM r) GROUP BY 1, 2""")
+@query("a11_attribution", with_(TRADES) + f""", r AS (SELECT code, direction, strftime(ts, '%Y-%m') AS month, {_PNL} AS pnl FROM trades)
+SELECT kind, bucket, count(*) AS n, {q.rnd('avg((pnl > 0)::INT)', 3)} AS win_rate, {q.rnd('sum(pnl)', 2)} AS net_pnl FROM (SELECT 'code' AS kind, code AS bucket, pnl FROM r UNION ALL SELECT 'direction', direction, pnl FROM r UNION ALL SELECT 'month', month, pnl FROM r) GROUP BY 1, 2""")
 def a11(spark, sf_dir):
     """Buckets of several groupings in one pass by grouping sets."""
-    r = p.trades(spark, sf_dir).select("code", "direction", F.date_format("ts", "yyyy-MM").alias("month"), ((F.col("price") - 1500) * F.col("volume")).alias("pnl"))
-    g = r.groupingSets([["code"], ["direction"], ["month"]], "code", "direction", "month").agg(F.count("*").alias("n"), F.round(F.avg((F.col("pnl") > 0).cast("double")), 3).alias("win_rate"), F.round(F.sum("pnl"), 1).alias("net_pnl"), F.grouping_id().alias("_id"))
+    r = p.trades(spark, sf_dir).select("code", "direction", F.date_format("ts", "yyyy-MM").alias("month"), rnd((F.col("price") - 1500) * F.col("volume"), 2).alias("pnl"))
+    g = r.groupingSets([["code"], ["direction"], ["month"]], "code", "direction", "month").agg(F.count("*").alias("n"), rnd(F.avg((F.col("pnl") > 0).cast("double")), 3).alias("win_rate"), rnd(F.sum("pnl"), 2).alias("net_pnl"), F.grouping_id().alias("_id"))
     kind = F.when(F.col("_id") == 3, "code").when(F.col("_id") == 5, "direction").otherwise("month")
     return g.select(kind.alias("kind"), F.coalesce("code", "direction", "month").alias("bucket"), "n", "win_rate", "net_pnl")
 
 
-_CLOSED = """closed AS (SELECT (price - 1500) * volume AS pnl, nullif(direction, 'sell') AS reason, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_linenumber::VARCHAR END AS strategy, strftime(ts, '%Y-%m') AS month, l_partkey AS k FROM trades),
+_CLOSED = f"closed AS (SELECT {_PNL}" + """ AS pnl, nullif(direction, 'sell') AS reason, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_linenumber::VARCHAR END AS strategy, strftime(ts, '%Y-%m') AS month, l_partkey AS k FROM trades),
 marked AS (SELECT *, CASE WHEN k % 2 = 0 THEN '是' ELSE '否' END AS ma, CASE WHEN k % 3 = 0 THEN '是' ELSE '否' END AS macd, CASE WHEN k % 5 = 0 THEN '是' ELSE '否' END AS kdj, CASE k % 4 WHEN 0 THEN '超买' WHEN 1 THEN '超卖' ELSE '正常' END AS rsi, CASE WHEN k % 7 < 2 THEN '放量' ELSE '正常' END AS vol, k % 6 AS t FROM closed),
 g AS (SELECT pnl, UNNEST([{'kind': 'strategy', 'bucket': coalesce(strategy, '未知')}, {'kind': 'reason', 'bucket': coalesce(reason, '未知')}, {'kind': 'month', 'bucket': month},
   {'kind': 'factor_signal', 'bucket': CASE WHEN (ma = '是' AND macd = '是') OR (kdj = '是' AND vol = '放量') THEN '强因子共振' ELSE '弱因子/AI主观' END}, {'kind': 'ma', 'bucket': '均线多头=' || ma}, {'kind': 'rsi', 'bucket': 'RSI=' || rsi}, {'kind': 'macd', 'bucket': 'MACD金叉=' || macd},
   {'kind': 'kdj', 'bucket': 'KDJ金叉=' || kdj}, {'kind': 'volume', 'bucket': '量=' || vol}, {'kind': 'turnover', 'bucket': '换手=' || CASE WHEN t < 1 THEN '<1%' WHEN t < 3 THEN '1-3%' WHEN t < 5 THEN '3-5%' ELSE '>5%' END}]) AS g FROM marked),
-s AS (SELECT g.kind AS kind, g.bucket AS bucket, count(*) AS n, round(avg((pnl > 0)::INT), 3) AS win_rate, round(sum(pnl), 1) AS net_pnl FROM g GROUP BY 1, 2)"""
+s AS (SELECT g.kind AS kind, g.bucket AS bucket, count(*) AS n, count_if(pnl > 0)::BIGINT AS wins, """ + f"{q.rnd('avg((pnl > 0)::INT)', 3)} AS win_rate, {q.rnd('sum(pnl)', 2)} AS net_pnl FROM g GROUP BY 1, 2)"
 
 
 @query("a11_a12_attribution_report", with_(TRADES, _CLOSED) + "SELECT *, row_number() OVER (PARTITION BY kind ORDER BY net_pnl DESC, bucket)::INT AS place FROM s")
 def a11_report(spark, sf_dir):
-    """Count, share won and net of closed trades in ten groupings, by net."""
+    """Count, wins, share won and net (to cents) of closed trades in ten groupings, by net."""
     t = p.trades(spark, sf_dir)
     k, yes = F.col("l_partkey"), lambda n: F.when(F.col("l_partkey") % n == 0, "是").otherwise("否")
     rsi = F.when(k % 4 == 0, "超买").when(k % 4 == 1, "超卖").otherwise("正常")
     text = F.concat(F.lit("均线多头="), yes(2), F.lit(" RSI状态="), rsi, F.lit(" MACD金叉="), yes(3), F.lit(" KDJ金叉="), yes(5), F.lit(" 成交量状态="), F.when(k % 7 < 2, "放量").otherwise("正常"), F.lit(" 换手率="), (k % 6).cast("string"), F.lit("%"))
     strategy = F.when(F.col("l_linenumber") != 7, F.col("l_linenumber").cast("string"))
-    closed = t.select(((F.col("price") - 1500) * F.col("volume")).alias("pnl"), F.nullif("direction", F.lit("sell")).alias("reason"), strategy.alias("strategy"), F.date_format("ts", "yyyy-MM").alias("month"), text.alias("indicators"))
+    closed = t.select(rnd((F.col("price") - 1500) * F.col("volume"), 2).alias("pnl"), F.nullif("direction", F.lit("sell")).alias("reason"), strategy.alias("strategy"), F.date_format("ts", "yyyy-MM").alias("month"), text.alias("indicators"))
     return signals.attribution(closed)
 
 
@@ -297,12 +332,14 @@ def x8(spark, sf_dir):
 _WANTED = "((s_suppkey % 11) - 5) / 20.0::DOUBLE"
 
 
-@query("g18_damped_parameters", f"SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN CASE WHEN {_WANTED} >= 0 THEN -0.05 ELSE least(greatest({_WANTED}, -0.05::DOUBLE - 0.02::DOUBLE), -0.05::DOUBLE + 0.02::DOUBLE) END ELSE CASE WHEN {_WANTED} <= 0 THEN 0.2 ELSE least(greatest({_WANTED}, 0.2::DOUBLE - 0.04::DOUBLE), 0.2::DOUBLE + 0.04::DOUBLE) END END::DOUBLE AS value FROM supplier")
+@query("g18_damped_parameters", f"SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 2 THEN least(greatest(trunc({_WANTED} * 30 + 65.5::DOUBLE), 60), 70)::DOUBLE WHEN s_suppkey % 2 = 0 THEN CASE WHEN {_WANTED} >= 0 THEN -0.05 ELSE least(greatest({_WANTED}, -0.05::DOUBLE - 0.02::DOUBLE), -0.05::DOUBLE + 0.02::DOUBLE) END ELSE CASE WHEN {_WANTED} <= 0 THEN 0.2 ELSE least(greatest({_WANTED}, 0.2::DOUBLE - 0.04::DOUBLE), 0.2::DOUBLE + 0.04::DOUBLE) END END::DOUBLE AS value FROM supplier")
 def g18(spark, sf_dir):
-    """A parameter moves by its step at most."""
+    """A parameter moves by its step at most; the confidence is a whole number within its bounds."""
     s = p.table(spark, sf_dir, "supplier")
-    key = F.when(F.col("s_suppkey") % 2 == 0, "short_stop_loss").otherwise("long_take_profit")
-    now = F.when(F.col("s_suppkey") % 2 == 0, -0.05).otherwise(0.2)
-    return s.select("s_suppkey", ledger.damped(key, now, ((F.col("s_suppkey") % 11) - 5) / F.lit(20.0)).alias("value"))
+    third, even = F.col("s_suppkey") % 3 == 2, F.col("s_suppkey") % 2 == 0
+    key = F.when(third, "min_confidence").when(even, "short_stop_loss").otherwise("long_take_profit")
+    now = F.when(third, 65.0).when(even, -0.05).otherwise(0.2)
+    wanted = ((F.col("s_suppkey") % 11) - 5) / F.lit(20.0)
+    return s.select("s_suppkey", ledger.damped(key, now, F.when(third, wanted * 30 + 65.5).otherwise(wanted)).alias("value"))
 
 

@@ -19,6 +19,11 @@ def code6(x: Column) -> Column:
     return F.lpad(x.cast("string"), 6, "0")
 
 
+def plain_code(symbol: Column) -> Column:
+    """A symbol without blanks and without the mark of its exchange ahead or after a point: the six digits."""
+    return F.regexp_replace(F.regexp_replace(F.upper(F.trim(symbol)), "^(SH|SZ|BJ)", ""), r"\.[A-Z]+$", "")
+
+
 def no_nan(x: Column) -> Column:
     """NaN and infinities are missing values."""
     return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
