@@ -37,12 +37,16 @@ def replay(trades: DataFrame, order: list[str]) -> DataFrame:
 _POSITIONS = "map<string, struct<held: double, cost: double, today: double, day: date>>"
 
 
-def account_ledger(trades: DataFrame, order: list[str], cash: float) -> DataFrame:
+def account_ledger(trades: DataFrame, order: list[str], cash: float, start: DataFrame | None = None) -> DataFrame:
     """Accounts after all their trades in order: ``account``, ``cash``, ``pnl``, ``filled``, ``no_cash``, ``no_shares``, ``positions``.
 
     A buy costs its value and BUY_COST and is rejected when the cash is short; a sell brings its value less SELL_COST and
     is rejected beyond what is held and was not bought the same day. Each step depends on the one before, so an
     account is one fold over its ordered trades; accounts run side by side.
+
+    ``start`` is a ledger as this function gives it, written at an earlier cut: its accounts go on from there with ``trades`` later than the cut, so what an account
+    has traded before never comes back. Accounts without new trades stay as they are, new ones begin with ``cash``. Closed positions are dropped as the fold goes: a
+    step costs the open positions of the account.
     """
     step = F.struct(F.struct(*order).alias("at"), "code", "direction", "price", "volume", F.to_date("ts").alias("day"))
     none = F.lit(0).cast("long")
@@ -57,7 +61,7 @@ def account_ledger(trades: DataFrame, order: list[str], cash: float) -> DataFram
         now = F.when(bought, held + x["volume"]).otherwise(held - x["volume"])
         mean = F.when(bought, (held * cost + value) / F.nullif(held + x["volume"], F.lit(0.0))).otherwise(cost)
         entry = F.struct(now.alias("held"), mean.alias("cost"), F.when(bought, today + x["volume"]).otherwise(today).alias("today"), x["day"].alias("day"))
-        others = F.map_filter(s["positions"], lambda k, _: k != x["code"])
+        others = F.map_filter(s["positions"], lambda k, v: (k != x["code"]) & (v["held"] > 0))
         return F.struct(
             F.when(bought, s["cash"] - value * (1 + BUY_COST)).when(sold, s["cash"] + value * (1 - SELL_COST)).otherwise(s["cash"]).alias("cash"),
             F.when(bought | sold, F.map_concat(others, F.create_map(x["code"], entry))).otherwise(s["positions"]).cast(_POSITIONS).alias("positions"),
@@ -67,8 +71,12 @@ def account_ledger(trades: DataFrame, order: list[str], cash: float) -> DataFram
             (s["no_shares"] + (~buy & ~sold).cast("long")).alias("no_shares"),
         )
 
-    folded = trades.groupBy("account").agg(F.aggregate(F.array_sort(F.collect_list(step)), zero, fold).alias("s"))
-    return folded.select("account", "s.*")
+    steps = trades.groupBy("account").agg(F.array_sort(F.collect_list(step)).alias("steps"))
+    if start is None:
+        return steps.select("account", F.aggregate("steps", zero, fold).alias("s")).select("account", "s.*")
+    kept = start.select("account", F.struct("cash", F.col("positions").cast(_POSITIONS).alias("positions"), "pnl", "filled", "no_cash", "no_shares").alias("kept"))
+    both = steps.join(kept, "account", "full").withColumn("steps", F.coalesce("steps", F.array().cast(steps.schema["steps"].dataType)))
+    return both.select("account", F.aggregate("steps", F.coalesce("kept", zero), fold).alias("s")).select("account", "s.*")
 
 
 def marked_positions(ledger: DataFrame, prices: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from tessera.plans.factors import FULL, SNAP_SPEC, _SNAP, full_bars, snapshot
 from tessera.plans.sql import BARS, TRADES, with_
 from tessera.registry import query
 from tessera.sources import panel as p
+from tessera.sources.staging import written
 
 _PNL = q.rnd("(price - 1500) * volume", 2)
 _ORDER = ["ts", "l_orderkey", "l_linenumber", "l_partkey", "price", "volume"]
@@ -244,6 +245,18 @@ def x1_cash(spark, sf_dir):
     return _accounts(spark, sf_dir).select("account", rnd("cash", 3).alias("cash"), rnd("pnl", 3).alias("pnl"), "filled", "no_cash", "no_shares")
 
 
+@query("x1_x2_resumed_ledger", with_(TRADES, _ACCOUNTS) + f"SELECT account, {q.rnd('cash', 3)} AS cash, {q.rnd('pnl', 3)} AS pnl, filled, no_cash, no_shares FROM done")
+def x1_resumed(spark, sf_dir):
+    """The same accounts by snapshots: the ledger is written at two cuts, and only later trades are folded from there."""
+    owner = p.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("account"))
+    trades = p.trades(spark, sf_dir).join(owner, "l_orderkey")
+    at, day = None, F.to_date("ts")
+    for first, last in (("0001-01-01", "1997-01-01"), ("1997-01-01", "1999-06-01"), ("1999-06-01", "9999-12-31")):
+        some = trades.filter((day >= F.lit(first).cast("date")) & (day < F.lit(last).cast("date")))
+        at = written(ledger.account_ledger(some, _ORDER, CASH, at), "ledger")
+    return at.select("account", rnd("cash", 3).alias("cash"), rnd("pnl", 3).alias("pnl"), "filled", "no_cash", "no_shares")
+
+
 @query("x3_marked_positions", with_(TRADES, BARS, _ACCOUNTS) + f""", last AS (SELECT code, arg_max(close, date) AS price FROM bars GROUP BY 1),
 open AS (SELECT account, UNNEST(map_keys(pos)) AS code, UNNEST(map_values(pos)) AS own FROM done)
 SELECT account, code, own.held AS held, {q.rnd('own.cost', 4)} AS cost, {q.rnd('price', 4)} AS price, {q.rnd('(price - own.cost) * own.held', 3)} AS unrealized, {q.rnd('(price / own.cost - 1) * 100', 4)} AS pnl_ratio FROM open JOIN last USING (code) WHERE own.held > 0""")

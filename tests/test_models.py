@@ -106,6 +106,35 @@ def test_account_ledger(spark):
     assert (open_.held, open_.cost, open_.price) == (60.0, mean, 18.0) and abs(open_.pnl_ratio - 20) < 1e-9 and open_.unrealized == 180.0
 
 
+def test_ledger_goes_on_from_a_snapshot(spark):
+    """Cuts after each day, an account that rests and one that begins late: as one replay over all trades."""
+    rng = np.random.default_rng(11)
+    rows = [(f"a{int(rng.integers(0, 4))}", i, dt.datetime(2024, 1, 1 + i // 30, 9, i % 30), f"c{int(rng.integers(0, 5))}", "buy" if rng.random() < 0.6 else "sell", float(rng.integers(5, 15)), float(rng.integers(1, 30))) for i in range(240)]
+    rows += [("late", 500, dt.datetime(2024, 1, 8, 10), "c1", "buy", 10.0, 5.0), ("rests", 501, dt.datetime(2024, 1, 1, 10), "c1", "buy", 10.0, 5.0)]
+    frame = spark.createDataFrame(rows, "account string, id int, ts timestamp, code string, direction string, price double, volume double")
+    whole = {r.account: r for r in ledger.account_ledger(frame, ["id"], 2000.0).collect()}
+    at = None
+    for last in (3, 4, 6, 9):
+        first = {3: 1, 4: 3, 6: 4, 9: 6}[last]
+        some = frame.filter(f"day(ts) >= {first} AND day(ts) < {last}")
+        at = spark.createDataFrame(ledger.account_ledger(some, ["id"], 2000.0, at).collect(), ledger.account_ledger(some, ["id"], 2000.0, at).schema)
+    got = {r.account: r for r in at.collect()}
+    assert got.keys() == whole.keys() and {"late", "rests"} <= got.keys()
+    held = lambda r: {k: (v.held, round(v.cost, 9)) for k, v in r.positions.items() if v.held > 0}
+    for a, r in whole.items():
+        assert abs(got[a].cash - r.cash) < 1e-9 and abs(got[a].pnl - r.pnl) < 1e-9 and held(got[a]) == held(r)
+        assert (got[a].filled, got[a].no_cash, got[a].no_shares) == (r.filled, r.no_cash, r.no_shares)
+    assert sum(r.no_cash + r.no_shares for r in whole.values()) > 10
+
+
+def test_closed_shares(spark):
+    """A sell of 150 with a profit of 30 on lots of 100 and 200: 20 and 10; a rest beyond all buys takes its share too."""
+    for volumes, want in (([100.0, 200.0, -150.0], {1: 20.0, 2: 10.0}), ([100.0, -150.0], {1: 20.0, None: 10.0})):
+        rows = spark.createDataFrame([("a", i + 1, "buy" if v > 0 else "sell", abs(v), 30.0 if v < 0 else None, "stop") for i, v in enumerate(volumes)], "code string, id long, direction string, volume double, pnl double, reason string")
+        got = ledger.closed_shares(joins.fifo_lots(rows, "code", ["id"]), rows.filter("direction = 'sell'")).collect()
+        assert {r.buy_id: round(r.pnl, 9) for r in got} == want and {r.reason for r in got} == {"stop"}
+
+
 def test_timed_fifo(spark):
     trades = [(1, "buy", 10.0, 5.0), (2, "sell", 12.0, 8.0), (3, "buy", 11.0, 4.0), (4, "buy", 9.0, 4.0), (5, "sell", 10.0, 6.0), (6, "sell", 13.0, 1.0)]
     rows = spark.createDataFrame([("x", *t) for t in trades], "code string, id long, direction string, price double, volume double")
