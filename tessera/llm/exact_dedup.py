@@ -15,11 +15,12 @@ HOT_SHARE = 1000
 _SEEDS = (17, 4711)
 
 
-def _slot(text: Column, seed: int, bits: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), text), F.lit(bits))
+def _slot(hashed: Column, seed: int, bits: int) -> Column:
+    """A place in the filter from a text's hash."""
+    return F.pmod(F.xxhash64(F.lit(seed), hashed), F.lit(bits))
 
 
-def _bit(bitmap: Column, slot: Column) -> Column:
+def bit_of(bitmap: Column, slot: Column) -> Column:
     """The bit of ``slot`` in a bitmap of 32,768 bits made by bitmap_construct_agg; null is 0."""
     position = F.bitmap_bit_position(slot)
     byte = F.conv(F.hex(F.substring(bitmap, (F.shiftright(position, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
@@ -28,28 +29,26 @@ def _bit(bitmap: Column, slot: Column) -> Column:
 
 
 def repeated_slots(text_rows: DataFrame, text: str, bits: int) -> DataFrame:
-    """Pass 1: the Bloom filter's bitmaps of the slots that two rows or more fall into."""
-    slots = text_rows.select(F.explode(F.array(*[_slot(F.col(text), s, bits) for s in _SEEDS])).alias("slot"))
-    twice = slots.groupBy("slot").agg(F.count("*").alias("n")).filter("n > 1")
-    return twice.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bitmap")
-    )
+    """Pass 1: the Bloom filter's bitmaps of the texts whose hash two rows or more have; one 64-bit hash a row shuffles, counted before and after."""
+    twice = text_rows.groupBy(F.xxhash64(text).alias("h")).agg(F.count("*").alias("n")).filter("n > 1")
+    slots = twice.select(F.explode(F.array(*[_slot(F.col("h"), s, bits) for s in _SEEDS])).alias("slot"))
+    return slots.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bitmap"))
 
 
 def _tested(rows: DataFrame, filters: DataFrame, h1: str, h2: str, maybe: str, work: str) -> DataFrame:
     """``rows`` with ``maybe``: both slots (h1, h2, which go) are set in the filter."""
     for slot, end in ((h1, "1"), (h2, "2")):
         side = filters.select(F.col("bucket").alias(work + end), F.col("bitmap").alias(maybe + end))
-        rows = rows.join(side, F.bitmap_bucket_number(slot) == F.col(work + end), "left").withColumn(maybe + end, _bit(F.col(maybe + end), F.col(slot)))
+        rows = rows.join(side, F.bitmap_bucket_number(slot) == F.col(work + end), "left").withColumn(maybe + end, bit_of(F.col(maybe + end), F.col(slot)))
     return rows.withColumn(maybe, F.col(maybe + "1") & F.col(maybe + "2")).drop(*[x + end for x in (work, maybe) for end in "12"], h1, h2)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``keep_id``, ``group_size``, ``kept`` and ``text_sha256``.
 
-    Pass 1 counts rows per Bloom slot (two hashes of the text a row; only 64-bit slots shuffle, counted before and after)
-    and packs the slots met more than once into bitmaps. Pass 2 tests each row against them: a row with a slot of
-    its own is unique and passes straight through; only the rest shuffle, as (id, SHA-256), and are
+    Pass 1 counts rows by one 64-bit hash of the text (of each row no more than that hash shuffles) and marks the two Bloom slots of
+    each hash met more than once in bitmaps. Pass 2 tests each row against them: a row without both of its slots set
+    is unique and passes straight through; only the rest shuffle, as (id, SHA-256), and are
     grouped exactly. The bitmaps are broadcast up to 32 MiB. A larger filter tests (id, SHA-256, slots) by bucket, and the
     few groups that come of it are joined to the rows, which then move once; the result is the same.
     Texts with very many copies (at most 1,000 of them) are joined by broadcast, so no key is hot.
@@ -67,7 +66,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     filters = stage(repeated_slots(rows, "t", bits), "bloom")
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    slots = {h1: _slot(text, _SEEDS[0], bits), h2: _slot(text, _SEEDS[1], bits)}
+    slots = {h1: _slot(F.xxhash64(text), _SEEDS[0], bits), h2: _slot(F.xxhash64(text), _SEEDS[1], bits)}
     hashed = docs.withColumn(sha, F.sha2(text, 256))
     if bits <= MAX_BROADCAST_BITS:
         probed = _tested(hashed.withColumns(slots), F.broadcast(filters), h1, h2, maybe, top)

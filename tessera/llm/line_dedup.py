@@ -11,8 +11,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_names, stage
+from .common import free_names, small_batches, stage
 from .cuckoo import CuckooFilter
+from .exact_dedup import bit_of
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -21,6 +22,8 @@ SHARD_KEYS = 100_000
 MAX_FILTER_BYTES = 32 << 20
 #: Keys held by more than 1/HOT_SHARE of all postings are joined by broadcast: at most HOT_SHARE keys.
 HOT_SHARE = 5_000
+#: Bits of the bitmap of documents that lose lines, per document, and the largest bitmap that is broadcast (32 MiB).
+BITS_PER_ID, MAX_ID_BITS = 16, 1 << 28
 NO_ID = -(2**63)
 _SPACE = b" \t\n\v\f\r"
 _KEY = ["key_hi", "key_lo"]
@@ -70,6 +73,7 @@ def _postings(batches):
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    small_batches(docs.sparkSession)
     return docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("d"), F.coalesce(F.col(text_col), F.lit("")).alias("t")
     )
@@ -165,14 +169,14 @@ def remove_documents(index: LineIndex, ids: DataFrame) -> LineIndex:
     return LineIndex(live.select(*_KEY, "doc"), counts, filters, index.shards, index.min_docs)
 
 
-def _probe_all(index: LineIndex, rows: DataFrame) -> DataFrame:
-    """(key, doc) of lines that a filter knows; all filters are sent to every task."""
+def _probe_all(index: LineIndex, posted: DataFrame) -> DataFrame:
+    """Those of ``posted`` (key, doc) that a filter knows; all filters are sent to every task."""
     shards = index.shards
-    sent = rows.sparkSession.sparkContext.broadcast({r["shard"]: bytes(r["filter"]) for r in index.filters.collect()})
+    sent = posted.sparkSession.sparkContext.broadcast({r["shard"]: bytes(r["filter"]) for r in index.filters.collect()})
 
     def probe(batches):
         filters = {k: CuckooFilter.from_bytes(v) for k, v in sent.value.items()}
-        for batch in _postings(batches):
+        for batch in batches:
             hi, lo = (batch.column(c).to_numpy() for c in _KEY)
             shard, hit = np.mod(hi, shards), np.zeros(len(hi), bool)
             for k, one in filters.items():
@@ -180,16 +184,16 @@ def _probe_all(index: LineIndex, rows: DataFrame) -> DataFrame:
                 hit[mine] = one.contains(lo[mine].view(np.uint64))
             yield batch.filter(pa.array(hit))
 
-    return rows.mapInArrow(probe, _POSTING)
+    return posted.select(*_KEY, "doc").mapInArrow(probe, _POSTING)
 
 
-def _probe_by_shard(index: LineIndex, rows: DataFrame) -> DataFrame:
+def _probe_by_shard(index: LineIndex, posted: DataFrame) -> DataFrame:
     """The same, where the filters are too large together: lines go to their shard's filter, dealt to SALTS tasks a shard.
 
     A task reads one filter at a time, ahead of the lines that it tests.
     """
     salt = F.pmod(F.xxhash64("key_lo"), F.lit(SALTS)).cast("int")
-    lines = rows.mapInArrow(_postings, _POSTING).select(F.pmod("key_hi", F.lit(index.shards)).cast("int").alias("shard"), salt.alias("salt"), F.lit(1).alias("side"), *_KEY, "doc", F.lit(None).cast("binary").alias("filter"))
+    lines = posted.select(F.pmod("key_hi", F.lit(index.shards)).cast("int").alias("shard"), salt.alias("salt"), F.lit(1).alias("side"), *_KEY, "doc", F.lit(None).cast("binary").alias("filter"))
     nothing = [F.lit(0).cast("long").alias(c) for c in (*_KEY, "doc")]
     filters = index.filters.select("shard", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt"), F.lit(0).alias("side"), *nothing, "filter")
     dealt = lines.unionByName(filters).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "side")
@@ -214,16 +218,16 @@ def _runs(values: np.ndarray):
     return zip([0, *cuts.tolist()], [*cuts.tolist(), len(values)], strict=True) if len(values) else ()
 
 
-def _candidates(index: LineIndex, rows: DataFrame) -> DataFrame:
+def _candidates(index: LineIndex, posted: DataFrame) -> DataFrame:
     size = index.filters.agg(F.sum(F.length("filter"))).first()[0] or 0
-    return _probe_all(index, rows) if size <= MAX_FILTER_BYTES else _probe_by_shard(index, rows)
+    return _probe_all(index, posted) if size <= MAX_FILTER_BYTES else _probe_by_shard(index, posted)
 
 
-def _dropped(index: LineIndex, rows: DataFrame) -> DataFrame:
-    """For each document the keys whose lines it loses: (d, keys)."""
+def _dropped(index: LineIndex, posted: DataFrame) -> DataFrame:
+    """For each document of ``posted`` (key, doc) the keys whose lines it loses: (d, keys)."""
     repeated = index.counts.filter(F.col("n_docs") >= index.min_docs).select(*_KEY, "n_docs", "max_doc")
     hot_from = max(index.min_docs, index.postings.count() // HOT_SHARE)
-    found = _candidates(index, rows)
+    found = _candidates(index, posted)
     found = found.join(F.broadcast(repeated.filter(F.col("n_docs") > hot_from).select(*_KEY, F.col("max_doc").alias("hot_doc"))), _KEY, "left")
     found = stage(found, "line-candidates")
     hot = found.filter(F.col("hot_doc").isNotNull()).select(*_KEY, "doc", F.col("hot_doc").alias("max_doc"))
@@ -233,17 +237,43 @@ def _dropped(index: LineIndex, rows: DataFrame) -> DataFrame:
     return lost.groupBy(F.col("doc").alias("d")).agg(F.collect_set(F.struct(*_KEY)).alias("keys"))
 
 
+def _touched(docs: DataFrame, lost: DataFrame, doc: str, maybe: str) -> DataFrame:
+    """``docs`` with ``maybe``: whether ``doc`` may lose lines, by a bitmap of the hashed ids in ``lost`` that is sent to every task.
+
+    Up to MAX_ID_BITS of the bitmap a row knows where it stands without a shuffle; beyond, all rows may lose lines.
+    """
+    n, bits = lost.count(), 1 << 20
+    while bits < BITS_PER_ID * n:
+        bits *= 2
+    if bits > MAX_ID_BITS:
+        return docs.withColumn(maybe, F.lit(True))
+    slot = lambda c: F.pmod(F.xxhash64(F.lit(23), c), F.lit(bits))
+    place, bucket, bitmap = free_names(docs, ["line_slot", "line_bucket", "line_bits"])
+    marks = lost.select(slot("d").alias(place)).groupBy(F.bitmap_bucket_number(place).alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias(bitmap))
+    tested = docs.withColumn(place, slot(F.col(doc))).join(F.broadcast(marks), F.bitmap_bucket_number(place) == F.col(bucket), "left")
+    return tested.withColumn(maybe, bit_of(F.col(bitmap), F.col(place))).drop(place, bucket, bitmap)
+
+
 def apply_index(index: LineIndex, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``kept_text``, ``n_lines``, ``n_dropped``.
 
     A line's key is the line without white space at both ends, A-Z lower-cased. Keys of at least 20 code
     points found in at least ``min_docs`` documents lose all their lines but those of the largest id.
-    Filter hits are verified in the exact table before a line goes. Each row is a document; a null text is
-    one empty line; a null id is less than any other. Documents that lose nothing keep their text as it is.
+    Filter hits are verified in the exact table before a line goes. Only documents that lose lines are shuffled with their texts; the others go
+    straight through. Each row is a document; a null text is one empty line; a null id is less than any other. Documents that lose nothing keep their text as it
+    is. Staged tables stay until ``common.drop_staged``.
     """
-    doc, keys, text = free_names(docs, ["line_doc", "line_keys", "line_text"])
-    lost = _dropped(index, _rows(docs, id_col, text_col)).select(F.col("d").alias(doc), F.col("keys").alias(keys))
-    joined = docs.withColumns({doc: F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), text: F.coalesce(F.col(text_col), F.lit(""))}).join(lost, doc, "left")
+    return _applied(index, docs, id_col, text_col, _rows(docs, id_col, text_col).mapInArrow(_postings, _POSTING))
+
+
+def _applied(index: LineIndex, docs: DataFrame, id_col: str, text_col: str, posted: DataFrame) -> DataFrame:
+    """``apply_index`` where the documents' keys are known: ``posted`` (key, doc)."""
+    doc, keys, text, maybe = free_names(docs, ["line_doc", "line_keys", "line_text", "line_maybe"])
+    lost = stage(_dropped(index, posted), "line-lost")
+    named = docs.withColumns({doc: F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), text: F.coalesce(F.col(text_col), F.lit(""))})
+    marked = _touched(named, lost, doc, maybe)
+    moved = marked.filter(F.col(maybe)).join(lost.select(F.col("d").alias(doc), F.col("keys").alias(keys)), doc, "left")
+    joined = moved.unionByName(marked.filter(~F.col(maybe)).withColumn(keys, F.lit(None).cast(lost.schema["keys"].dataType)))
     own = [c for c in docs.columns if c.lower() not in ("kept_text", "n_lines", "n_dropped")]
     plain = joined.select(*own, text, keys)
     schema = plain.select(*own).schema.add("kept_text", "string").add("n_lines", "long").add("n_dropped", "long")
@@ -273,7 +303,8 @@ def apply_index(index: LineIndex, docs: DataFrame, id_col: str = "doc_id", text_
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Index ``docs`` and apply the index to them."""
-    return apply_index(build_index(docs, id_col, text_col), docs, id_col, text_col)
+    index = build_index(docs, id_col, text_col)
+    return _applied(index, docs, id_col, text_col, index.postings)  # the postings hold these documents' keys already
 
 
 def query(spark, sf_dir):

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_names
+from .common import free_names, small_batches
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 WIDTH = 576
@@ -107,7 +107,8 @@ def cosine_hash(image: np.ndarray) -> str:
 
 
 def _mapped(df: DataFrame, source: str, keep: list[str], outputs: str, function) -> DataFrame:
-    """``keep`` plus new columns that ``function`` makes of each value of the binary column ``source``."""
+    """``keep`` plus new columns that ``function`` makes of each value (bytes or None) of the binary column ``source``."""
+    small_batches(df.sparkSession)
     plain = df.select(*keep, source)
     names = [x.split()[0] for x in outputs.split(",")]
     schema = plain.select(*keep).schema
@@ -120,7 +121,7 @@ def _mapped(df: DataFrame, source: str, keep: list[str], outputs: str, function)
         for batch in batches:
             values, start, rows, size = batch.column(len(keep)), 0, [], 0
             for i in range(len(values)):
-                rows.append(function(values[i].as_buffer().to_pybytes()))
+                rows.append(function(values[i].as_buffer().to_pybytes() if values[i].is_valid else None))
                 size += sum(len(x) for x in rows[-1] if isinstance(x, bytes))
                 if size >= FLUSH or i == len(values) - 1:
                     new = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)]
@@ -142,15 +143,23 @@ def with_media(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def read_media(df: DataFrame, media_col: str = "media") -> DataFrame:
-    """``df`` with ``payload`` (all bytes read back), ``n_bytes`` (of them not padding) and ``feature`` (cosine hash)."""
+    """``df`` with ``payload`` (all bytes read back), ``n_bytes`` (of them not padding), ``feature`` (cosine hash) and ``error``.
 
-    def read(media: bytes) -> tuple[bytes, int, str]:
-        image, length = png_decode(media)
-        return image.tobytes(), length, cosine_hash(image)
+    Null media gives nulls. Media that is no whole image of this form gives nulls and what is wrong with it in ``error``, so one damaged row does not end the job.
+    """
+
+    def read(media: bytes | None) -> tuple:
+        if media is None:
+            return None, None, None, None
+        try:
+            image, length = png_decode(media)
+        except (ValueError, IndexError, KeyError, struct.error, zlib.error) as e:
+            return None, None, None, f"{type(e).__name__}: {e}"
+        return image.tobytes(), length, cosine_hash(image), None
 
-    keep = [c for c in df.columns if c.lower() not in ("payload", "n_bytes", "feature", media_col.lower())]
+    keep = [c for c in df.columns if c.lower() not in ("payload", "n_bytes", "feature", "error", media_col.lower())]
     (copy,) = free_names(df, ["media_copy"])
-    return _mapped(df.withColumn(copy, F.col(media_col)), copy, [*keep, media_col], "payload binary,n_bytes long,feature string", read)
+    return _mapped(df.withColumn(copy, F.col(media_col)), copy, [*keep, media_col], "payload binary,n_bytes long,feature string,error string", read)
 
 
 def query(spark, sf_dir):

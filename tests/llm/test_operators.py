@@ -198,6 +198,27 @@ def test_line_dedup_beyond_the_broadcast(spark, awkward, monkeypatch):
     assert sum(x[2] for x in want[0])
     monkeypatch.setattr(line_dedup, "MAX_FILTER_BYTES", 0)
     assert [rows(line_dedup.line_dedup(x)) for x in (docs, awkward)] == want
+    monkeypatch.setattr(line_dedup, "MAX_ID_BITS", 0)
+    assert [rows(line_dedup.line_dedup(x)) for x in (docs, awkward)] == want
+
+
+def test_only_documents_that_lose_lines_are_shuffled(spark):
+    docs = spark.range(3000).select(F.col("id").alias("line_doc"), F.lit("t").alias("text"))
+    lost = spark.range(0, 3000, 100).select(F.col("id").alias("d"))
+    marked = line_dedup._touched(docs, lost, "line_doc", "maybe")
+    moved = {r.line_doc for r in marked.filter("maybe").collect()}
+    assert set(range(0, 3000, 100)) <= moved and len(moved) < 45
+    assert marked.columns == ["line_doc", "text", "maybe"] and marked.count() == 3000
+    plan = marked.filter("not maybe")._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.split("\n") if "Exchange hashpartitioning" in x and "text" in x]
+
+
+def test_media_that_cannot_be_read(spark):
+    good = media.png_encode(b"some text")
+    rows = [(1, good), (2, None), (3, b""), (4, b"no image"), (5, good[:-20]), (6, good[:60] + b"\x00" + good[61:])]
+    got = {r.doc_id: r for r in media.read_media(spark.createDataFrame(rows, "doc_id long, media binary")).collect()}
+    assert got[1].n_bytes == 9 and got[1].error is None and got[2].payload is None and got[2].error is None
+    assert all(got[i].payload is None and got[i].feature is None and got[i].error for i in (3, 4, 5, 6))
 
 
 def test_line_dedup_grows(spark, monkeypatch):
