@@ -37,7 +37,7 @@ def s6(spark, sf_dir):
     return p.universe(p.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("code"), F.col("c_mktsegment").alias("name")))
 
 
-@query("o6_hash_sample")
+@query("o6_hash_sample", "SELECT code FROM (SELECT lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS code FROM customer WHERE NOT contains(upper(c_mktsegment), 'ST')) ORDER BY md5('42:' || code), code LIMIT 200")
 def o6(spark, sf_dir):
     """A sample of 200 by seeded hash, the same on any cluster."""
     return p.universe(p.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("code"), F.col("c_mktsegment").alias("name")), 200)

@@ -216,10 +216,19 @@ def g6(spark, sf_dir):
     return last.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("macd_cross", "kdj_cross", "macd_bull", "ma_bull")}).select("code", signals.entry_text(last).alias("text"))
 
 
-@query("x1_x3_ledger_replay")
+#: One code's position, cost and profit step by step, without cash.
+_REPLAY = f"""t AS (SELECT *, CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY code ORDER BY {_O}) AS id FROM trades),
+own AS (SELECT DISTINCT code, 0::BIGINT AS id, 0::DOUBLE AS held, 0::DOUBLE AS cost, 0::DOUBLE AS pnl, 0::DOUBLE AS today, NULL::DATE AS day, 0::BIGINT AS rejected, 0::BIGINT AS filled FROM t
+  UNION ALL SELECT code, id, h AS held, CASE WHEN buy THEN (held * cost + volume * price) / (held + volume) WHEN h = 0 THEN 0 ELSE cost END, CASE WHEN sold THEN pnl + (price - cost) * volume ELSE pnl END, CASE WHEN buy THEN tod + volume ELSE tod END, day, rejected + (NOT buy AND NOT sold)::BIGINT, filled + (buy OR sold)::BIGINT
+  FROM (SELECT *, CASE WHEN buy THEN held + volume WHEN sold THEN held - volume ELSE held END AS h FROM (SELECT *, NOT buy AND held - tod >= volume AS sold FROM (
+    SELECT t.code, t.id, t.day, t.price, t.volume, t.direction = 'buy' AS buy, o.held, o.cost, o.pnl, o.rejected, o.filled, CASE WHEN o.day = t.day THEN o.today ELSE 0 END AS tod FROM own o JOIN t ON t.code = o.code AND t.id = o.id + 1)))),
+done AS (SELECT * FROM own QUALIFY row_number() OVER (PARTITION BY code ORDER BY id DESC) = 1)"""
+
+
+@query("x1_x3_ledger_replay", with_(TRADES, _REPLAY) + f"SELECT code, held, {q.rnd('cost', 5)} AS cost, {q.rnd('pnl', 3)} AS pnl, rejected, filled FROM done")
 def x1(spark, sf_dir):
     """Position, average cost, realized profit and rejected sells of each code, without cash."""
-    return ledger.replay(_numbered(spark, sf_dir), ["id"]).select("code", "held", F.round("cost", 6).alias("cost"), F.round("pnl", 4).alias("pnl"), "rejected", "filled")
+    return ledger.replay(_numbered(spark, sf_dir), ["id"]).select("code", "held", rnd("cost", 5).alias("cost"), rnd("pnl", 3).alias("pnl"), "rejected", "filled")
 
 
 CASH = 100_000.0

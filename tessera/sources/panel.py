@@ -98,9 +98,9 @@ def parse_quote(raw: Column) -> Column:
 
 
 def universe(names: DataFrame, sample: int | None = None, seed: int = 42) -> DataFrame:
-    """Codes without special-treatment names; a sample takes the smallest seeded hashes (a sort with a limit, no full sort)."""
+    """Codes without special-treatment names; a sample takes the smallest seeded MD5s, the same in any engine (a sort with a limit, no full sort)."""
     kept = names.filter(~F.upper("name").contains("ST")).select(code6(F.col("code")).alias("code"))
-    return kept if sample is None else kept.orderBy(F.xxhash64(F.lit(seed), "code"), "code").limit(sample)
+    return kept if sample is None else kept.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "code")), "code").limit(sample)
 
 
 def prefer(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
