@@ -54,6 +54,14 @@ def build_contract(regimes: DataFrame, factors: DataFrame, crowding: DataFrame,
     return reduce(DataFrame.unionByName, [history, states], now)
 
 
+def policy_overlay(states: DataFrame, recent: DataFrame) -> DataFrame:
+    """``states`` (kind, status, weight, mean_car, n_events) with ``text``: the line on a policy factor that has weight and an event among ``recent`` (kind), else null."""
+    seen = recent.select("kind").distinct().withColumn("_seen", F.lit(True))
+    car = F.format_string("%+.2f", F.floor(F.col("mean_car") * 1e4 + 0.5).cast("double") / 100.0)
+    line = F.concat(F.lit("研究层政策因子 policy_"), "kind", F.lit("："), "status", F.lit("，CAR "), car, F.lit("%，样本 "), F.col("n_events").cast("string"), F.lit("，窗口内有 "), "kind", F.lit(" 事件"))
+    return states.join(F.broadcast(seen), "kind", "left").withColumn("text", F.when((F.col("weight") > 0) & F.col("_seen"), line)).drop("_seen")
+
+
 def as_json(contract: DataFrame) -> DataFrame:
     """One row: ``contract``, the sections as a JSON object of objects; a row's text, else its value."""
     entry = F.coalesce("text", F.col("value").cast("string"))

@@ -18,8 +18,12 @@ _EVENTS = """ev AS (SELECT o_orderkey AS event_id, CAST(o_orderdate AS DATE) AS
 t0 AS (SELECT e.*, c.date AS t0, c.cal_idx AS t0_idx FROM ev e ASOF JOIN cal c ON e.event_date <= c.date)"""
 
 
+def event_kind():
+    return F.when(F.col("o_orderkey") % 3 == 0, "rate").when(F.col("o_orderkey") % 3 == 1, "plan").otherwise("tax")
+
+
 def _events(spark, sf_dir, cal):
-    kind = F.when(F.col("o_orderkey") % 3 == 0, "rate").when(F.col("o_orderkey") % 3 == 1, "plan").otherwise("tax")
+    kind = event_kind()
     e = p.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event_id"), F.to_date("o_orderdate").alias("event_date"), kind.alias("kind"))
     days = joins.asof_forward(e.select("event_date").distinct(), cal, "event_date").filter("t0 is not null")  # one row a date
     return e.join(F.broadcast(days), "event_date").select("event_id", "event_date", "kind", "t0", "t0_idx")

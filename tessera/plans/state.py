@@ -16,8 +16,9 @@ from tessera.operators.joins import asof_backward
 from tessera.operators.refresh import refresh, stored
 from tessera.plans import sql as q
 from tessera.plans.backtest import _BASE, REGIME, RULES, _bars, _run, regimes
+from tessera.plans.events import _AR, _DECIDED, _EVENTS, a20, event_kind
 from tessera.plans.factors import _DIGITS, _PRICE, _SNAP, FACTOR_CTES, SNAP_SPEC, factor_table, snapshot
-from tessera.plans.sql import INDEX, with_
+from tessera.plans.sql import BARS, CAL, INDEX, with_
 from tessera.plans.xsection import _CROWD, _RANKS, _STATS, _Z, FACTORS3, LONG, MONTHLY_CTES, _z, factor_returns, long_monthly
 from tessera.registry import query
 from tessera.sources import panel as p
@@ -91,6 +92,21 @@ def m34(spark, sf_dir):
     return ct.landing_checks(_contract(spark, sf_dir), p.ensure_columns(snapshot(spark, sf_dir), SNAP_SPEC), len(FACTORS3))
 
 
+_KINDS = f"""{_DECIDED[: _DECIDED.index(chr(10) + "SELECT kind, n_events")]}, recent AS (SELECT DISTINCT kind FROM ev WHERE event_date >= (SELECT max(event_date) - 5 FROM ev)),
+factor AS (SELECT kind, n_events, {q.rnd('mean_car', 8)} AS car, mean_car > 0 AS up, r.kind IS NOT NULL AS seen FROM types LEFT JOIN (SELECT kind AS k, kind FROM recent) r ON r.k = types.kind)"""
+
+
+@query("g16_policy_overlay", with_(BARS, CAL, _EVENTS, _AR) + _KINDS.replace("SELECT kind, n_events, floor", "SELECT types.kind, n_events, floor") + """ SELECT kind, CASE WHEN up THEN 0.05 ELSE 0.0 END::DOUBLE AS weight,
+  CASE WHEN up AND seen THEN '研究层政策因子 policy_' || kind || '：active，CAR ' || printf('%+.2f', floor(car * 1e4 + 0.5::DOUBLE) / 100) || '%，样本 ' || n_events || '，窗口内有 ' || kind || ' 事件' END AS text FROM factor""")
+def g16_overlay(spark, sf_dir):
+    """The overlay line of each policy factor with weight (a positive mean return) and an event of the last five days."""
+    up = F.col("mean_car") > 0
+    states = a20(spark, sf_dir).select("kind", "n_events", "mean_car", F.when(up, "active").otherwise("watch").alias("status"), F.when(up, 0.05).otherwise(0.0).alias("weight"))
+    o = p.table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("d"), event_kind().alias("kind"))
+    recent = o.join(F.broadcast(o.agg(F.date_sub(F.max("d"), 5).alias("since"))), F.col("d") >= F.col("since"))
+    return ct.policy_overlay(states, recent).select("kind", "weight", "text")
+
+
 #: Ten horizon slots and weights by market strength, from the strongest on; the least mean change in percent of the first three.
 BUCKETS = {"strong": ((8, 1, 1), (0.8, 0.1, 0.1)), "firm": ((7, 2, 1), (0.7, 0.2, 0.1)), "range": ((6, 3, 1), (0.6, 0.3, 0.1)), "weak": ((5, 3, 2), (0.5, 0.3, 0.2))}
 STRENGTH = {"strong": 0.8, "firm": 0.2, "range": -0.3}

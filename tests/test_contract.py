@@ -50,6 +50,12 @@ def test_checks_fail_when_they_should(spark, parts):
     assert len(failing(contract.limit(0))) >= 10
 
 
+def test_policy_overlay(spark):
+    states = spark.createDataFrame([("plan", "active", 0.05, 0.01234, 7), ("tax", "active", 0.05, -0.02, 3), ("rate", "watch", 0.0, 0.01, 9)], "kind string, status string, weight double, mean_car double, n_events long")
+    got = {r.kind: r.text for r in ct.policy_overlay(states, spark.createDataFrame([("plan",), ("rate",), ("plan",)], "kind string")).collect()}
+    assert got == {"plan": "研究层政策因子 policy_plan：active，CAR +1.23%，样本 7，窗口内有 plan 事件", "tax": None, "rate": None}
+
+
 def test_damped_confidence_and_codes(spark):
     rows = spark.createDataFrame([(65.0, 90.0, 70.0), (65.0, 62.9, 62.0), (42.0, 30.0, 40.0), (88.0, 99.0, 90.0), (65.0, None, 65.0)], "now double, wanted double, want double")
     assert all(r.got == r.want for r in rows.withColumn("got", ledger.damped(F.lit("min_confidence"), F.col("now"), F.col("wanted"))).collect())
