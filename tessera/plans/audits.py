@@ -6,13 +6,15 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import rnd
-from tessera.operators import audit
+from tessera.operators import audit, joins, models
 from tessera.plans import sql as q
 from tessera.plans.backtest import REGIME, regimes
-from tessera.plans.sql import INDEX, INDUSTRY, with_
-from tessera.plans.xsection import FACTORS3, MONTHLY_CTES, SPLIT, _industry, monthly
+from tessera.plans.factors import FINANCIALS, HELD, VALUE_FACTORS, available_from, financials, valuations
+from tessera.plans.sql import BARS, CAL, INDEX, INDUSTRY, with_
+from tessera.plans.xsection import FACTORS3, MONTHLY_CTES, SPLIT, _industry, _standard, _standard_sql, _summary_sql, monthly
 from tessera.registry import query
 from tessera.sources import panel as p
+from tessera.sources.staging import written
 
 #: The least names of an industry, and of a month that is cut in thirds.
 INDUSTRY_LEAST, TERCILE_LEAST = 20, 90
@@ -50,3 +52,82 @@ def m25(spark, sf_dir):
     return audit.sliced_ic(rows, [
         audit.Slice("sample", F.when(late, "out_of_sample").otherwise("in_sample"), "fwd"), *[audit.Slice("decay", f"{k}m", ret, when=late) for k, ret in ((1, "fwd"), (2, "fwd2"), (3, "fwd3"))],
         audit.Slice("regime", F.col("regime"), "fwd"), audit.Slice("industry", "within", "fwd", F.col("industry"), late, INDUSTRY_LEAST), audit.Slice("size", F.col("tercile"), "fwd", when=late)])
+
+
+FUNDAMENTALS = [*VALUE_FACTORS, "quality_roe", "quality_gross_margin"]
+_FUNDAMENTALS = f"""vals AS (SELECT code, CAST(date_trunc('month', date) AS DATE) AS month, CASE WHEN pe_ttm > 0 THEN 1 / pe_ttm END AS value_ep, CASE WHEN pb > 0 THEN 1 / pb END AS value_bp, ln(nullif(total_mv, 0)) AS size_logcap
+  FROM held WHERE pb IS NOT NULL QUALIFY row_number() OVER (PARTITION BY code, date_trunc('month', date) ORDER BY date DESC) = 1),
+ends_by_code AS (SELECT code, CAST(date_trunc('month', date) AS DATE) AS month, max(date) AS date, arg_max_null(close, date) AS close FROM bars GROUP BY 1, 2),
+ret AS (SELECT *, lead(close) OVER (PARTITION BY code ORDER BY month) / nullif(close, 0) - 1 AS fwd FROM ends_by_code),
+known AS (SELECT code, report + CAST(CASE month(report) WHEN 3 THEN 45 WHEN 6 THEN 75 WHEN 9 THEN 45 WHEN 12 THEN 120 ELSE 75 END AS INTEGER) AS date, roe, gross_margin FROM financials),
+disclosed AS (SELECT r.code, r.month, r.fwd, k.roe AS quality_roe, k.gross_margin AS quality_gross_margin FROM ret r ASOF LEFT JOIN known k ON r.code = k.code AND r.date >= k.date),
+fundamentals AS (SELECT d.code, d.month, d.fwd, {", ".join(f"{q.rnd(f, 8)} AS {f}" for f in FUNDAMENTALS)} FROM disclosed d LEFT JOIN vals v ON v.code = d.code AND v.month = d.month)"""
+
+
+def fundamentals(spark, sf_dir):
+    """The last valuation of each code and month, the figures disclosed by its last bar, and the return to the next month's last close."""
+    b = p.bars(spark, sf_dir)
+    months = b.groupBy("code", F.trunc("date", "MM").alias("month")).agg(F.max("date").alias("date"), F.max_by("close", "date").alias("close"))
+    months = months.withColumn("fwd", F.lead("close").over(Window.partitionBy("code").orderBy("month")) / F.nullif("close", F.lit(0.0)) - 1)
+    known = financials(spark, sf_dir).select("code", available_from(F.col("report")).alias("date"), "roe", "gross_margin")
+    disclosed = joins.asof_backward(months.select("code", "date", "month", "fwd"), known, ["code"], "date", ["roe", "gross_margin"])
+    held = valuations(b).groupBy("code", F.trunc("date", "MM").alias("month")).agg(F.max_by(F.struct(*VALUE_FACTORS), "date").alias("v")).select("code", "month", "v.*")
+    every = disclosed.withColumnsRenamed({"roe": "quality_roe", "gross_margin": "quality_gross_margin"}).join(held, ["code", "month"], "left")
+    return every.select("code", "month", "fwd", *[rnd(f, 8).alias(f) for f in FUNDAMENTALS])
+
+
+def _fits_sql(by: str, names: list[str]) -> str:
+    """``fits`` of any number of factors from ``std``: OLS and ridge by sweeping each factor out of the centred cross products, LASSO step by step."""
+    ids = range(1, len(names) + 1)
+    pairs = [(i, j) for i in ids for j in ids if i <= j]
+    at = lambda t, i, j: f"{t}{min(i, j)}{max(i, j)}"
+    keep = f"{by}, model, n, tss, my, " + ", ".join(f"k{i}" for i in ids)
+    out, source = [], "pen"
+    for s in ids:
+        swept = [f"-1.0::DOUBLE / a{s}{s} AS a{s}{s}" if i == j == s else f"{at('a', i, j)} / a{s}{s} AS a{i}{j}" if s in (i, j) else f"a{i}{j} - {at('a', i, s)} * {at('a', j, s)} / a{s}{s} AS a{i}{j}" for i, j in pairs]
+        right = [f"y{s} / a{s}{s} AS y{s}" if i == s else f"y{i} - {at('a', i, s)} * y{s} / a{s}{s} AS y{i}" for i in ids]
+        out.append(f"sweep{s} AS (SELECT {keep}, {', '.join(swept + right)} FROM {source})")
+        source = f"sweep{s}"
+    steps = "SELECT * EXCLUDE (step, moved, " + ", ".join(f"b{i}" for i in ids) + "), step + 1 AS step, " + ", ".join(f"b{i} AS o{i}" for i in ids) + " FROM las WHERE step < 500 AND moved >= 1e-6"
+    for i in ids:
+        rest = f"(k{i} - " + " - ".join(f"{at('r', i, j)} * {'b' if j < i else 'o'}{j}" for j in ids if j != i) + ")"
+        steps = f"SELECT *, (CASE WHEN {rest} > 0 THEN 1 ELSE -1 END) * greatest(abs({rest}) - 0.001::DOUBLE, 0) / n AS b{i} FROM ({steps})"
+    first = f"{by}, n, " + ", ".join([f"r{i}{j}" for i, j in pairs] + [f"k{i}" for i in ids])
+    order = f"{first}, step, " + ", ".join(f"b{i}" for i in ids)
+    long = lambda t: "UNNEST([" + ", ".join(f"{{'factor': '{f}', 'coef': b{i}, 't': {f't{i}' if t else 'NULL::DOUBLE'}}}" for i, f in enumerate(names, 1)) + "])"
+    return f""", sums AS (SELECT {by}, count(*) AS n, sum(y) AS sy, sum(y * y) AS yy, {", ".join([f"sum(x{i} * x{j}) AS r{i}{j}" for i, j in pairs] + [f"sum(x{i}) AS s{i}, sum(x{i} * y) AS h{i}" for i in ids])} FROM std GROUP BY {by} HAVING count(*) >= 30),
+cen AS (SELECT *, yy - sy * sy / n AS tss, sy / n AS my, {", ".join([f"r{i}{j} - s{i} * s{j} / n AS c{i}{j}" for i, j in pairs] + [f"h{i} - s{i} * sy / n AS k{i}" for i in ids])} FROM sums),
+pen AS (SELECT {keep}, {", ".join([f"c{i}{j}" + (" + alpha" if i == j else "") + f" AS a{i}{j}" for i, j in pairs] + [f"k{i} AS y{i}" for i in ids])} FROM cen, (VALUES ('ols', 0.0::DOUBLE), ('ridge', 1.0::DOUBLE)) AS kinds(model, alpha)),
+{", ".join(out)},
+lin AS (SELECT *, greatest(tss - ({" + ".join(f"y{i} * k{i}" for i in ids)}), 0) AS rss FROM {source}),
+lint AS (SELECT {by}, model, n, CASE WHEN model = 'ols' THEN 1 - rss / tss END AS r2, {", ".join(f"y{i} AS b{i}, CASE WHEN model = 'ols' THEN y{i} / sqrt(rss / (n - {len(names) + 1}) * -a{i}{i}) END AS t{i}" for i in ids)} FROM lin),
+las AS (SELECT {first}, 0 AS step, {", ".join(f"0.0::DOUBLE AS b{i}" for i in ids)}, 1.0::DOUBLE AS moved FROM cen
+  UNION ALL SELECT {order}, greatest({", ".join(f"abs(b{i} - o{i})" for i in ids)}) AS moved FROM ({steps})),
+lasd AS (SELECT * FROM las QUALIFY row_number() OVER (PARTITION BY {by} ORDER BY step DESC) = 1),
+flat AS (SELECT {by}, model, n, r2, {long(True)} AS u FROM lint UNION ALL SELECT {by}, 'lasso', n, NULL, {long(False)} AS u FROM lasd),
+fits AS (SELECT {by}, model, u.factor AS factor, u.coef AS coef, u.t AS t, r2, n FROM flat)"""
+
+
+_SHOWN = {"ols_mean": 6, "ols_positive": 4, "ols_mean_t": 4, "ols_large_t": 4, "ols_nw_t": 3, "ols_mean_r2": 6, "ridge_mean": 6, "ridge_nw_t": 3, "lasso_mean": 6, "lasso_nw_t": 3}
+
+
+@query("m24_fundamentals_audit", with_(BARS, CAL, HELD, FINANCIALS, _FUNDAMENTALS) + _standard_sql("fundamentals", "month", FUNDAMENTALS) + _fits_sql("month", FUNDAMENTALS) + _summary_sql("model, factor, half") + f""",
+long AS (SELECT month, factor, value, fwd FROM fundamentals UNPIVOT INCLUDE NULLS (value FOR factor IN ({", ".join(FUNDAMENTALS)}))), cover AS (SELECT factor, round(100.0 * count(value) / count(*), 4) AS coverage FROM long GROUP BY 1),
+stacked AS (SELECT factor, month, value, 'sample' AS section, 'out_of_sample' AS slice, '' AS part, fwd AS ret, 5 AS least FROM long WHERE month >= DATE '{SPLIT}')""" + _RANKED + f""",
+wide AS (SELECT factor, {", ".join(f"max({c.split('_', 1)[1]}) FILTER (model = '{c.split('_', 1)[0]}') AS {c}" for c in _SHOWN)} FROM summary WHERE half = 'out_of_sample' GROUP BY factor)
+SELECT c.factor, coverage, months, mean_ic, median_ic, positive, t, {", ".join(f"{q.rnd(c, d)} AS {c}" for c, d in _SHOWN.items())} FROM cover c LEFT JOIN stats USING (factor) LEFT JOIN wide USING (factor)""")
+def m24(spark, sf_dir):
+    """Five disclosed fundamentals: coverage, rank correlations and the means of OLS, ridge and LASSO coefficients out of sample.
+
+    The written frame serves the correlations and the fits; a factor without enough rows keeps its coverage with nulls beside it.
+    """
+    rows = written(fundamentals(spark, sf_dir), "fundamentals")
+    late = F.col("month") >= F.lit(SPLIT).cast("date")
+    long = rows.unpivot(["month", "fwd"], FUNDAMENTALS, "factor", "value")
+    cover = long.groupBy("factor").agg(F.round(100.0 * F.count("value") / F.count("*"), 4).alias("coverage"))
+    ics = audit.sliced_ic(long, [audit.Slice("sample", "out_of_sample", "fwd", when=late)]).drop("section", "slice")
+    fits = models.cross_section_models(_standard(rows, ["month"], FUNDAMENTALS), "month", FUNDAMENTALS, "y").filter("factor <> 'intercept'")
+    s = models.coefficient_summary(fits, SPLIT).filter("half = 'out_of_sample'")
+    cell = lambda c: F.max(F.when(F.col("model") == c.split("_", 1)[0], F.col(c.split("_", 1)[1])))
+    wide = s.groupBy("factor").agg(*[rnd(cell(c), d).alias(c) for c, d in _SHOWN.items()])
+    return cover.join(ics, "factor", "left").join(wide, "factor", "left")

@@ -103,15 +103,29 @@ def snapshot_factors(spark, sf_dir):
     return t.select("code", *[F.round(c, 6).alias(c) for c in fa.SNAPSHOT_FACTORS])
 
 
-def reports(spark, sf_dir) -> DataFrame:
-    """Quarter-end reports of each code: the mean order total of its share of the customers."""
-    o = p.table(spark, sf_dir, "orders")
+def _by_quarter(spark, sf_dir):
+    """Orders grouped by code (each has its share of the customers) and quarter end."""
     n = p.table(spark, sf_dir, "supplier").count()
     code = p.code6(F.col("o_custkey") % F.lit(n) + 1)
     quarter = F.last_day(F.add_months(F.date_trunc("quarter", F.col("o_orderdate").cast("timestamp")).cast("date"), 2))
-    return o.groupBy(code.alias("code"), quarter.alias("report")).agg(rnd(F.avg("o_totalprice"), 2).alias("roe"))
+    return p.table(spark, sf_dir, "orders").groupBy(code.alias("code"), quarter.alias("report"))
+
+
+def reports(spark, sf_dir) -> DataFrame:
+    """Quarter-end reports of each code: the mean order total."""
+    return _by_quarter(spark, sf_dir).agg(rnd(F.avg("o_totalprice"), 2).alias("roe"))
 
 
+def financials(spark, sf_dir) -> DataFrame:
+    """Reports with both figures known (S10): ``roe`` and ``gross_margin``, the least order in percent of the largest where there are two or more."""
+    margin = F.when(F.count("*") > 1, rnd(100 * F.min("o_totalprice") / F.nullif(F.max("o_totalprice"), F.lit(0.0)), 4))
+    return _by_quarter(spark, sf_dir).agg(rnd(F.avg("o_totalprice"), 2).alias("roe"), margin.alias("gross_margin")).dropna(subset=["roe", "gross_margin"])
+
+
+FINANCIALS = """financials AS (SELECT * FROM (
+  SELECT lpad(CAST(o_custkey % (SELECT count(*) FROM supplier) + 1 AS VARCHAR), 6, '0') AS code, last_day(CAST(date_trunc('quarter', o_orderdate) + INTERVAL 2 MONTH AS DATE)) AS report,
+         floor(avg(o_totalprice) * 100 + 0.5) / 100 AS roe, CASE WHEN count(*) > 1 THEN """ + q.rnd("100 * min(o_totalprice) / nullif(max(o_totalprice), 0)", 4) + """ END AS gross_margin
+  FROM orders GROUP BY 1, 2) WHERE roe IS NOT NULL AND gross_margin IS NOT NULL)"""
 _REPORTS = """reports AS (
   SELECT lpad(CAST(o_custkey % (SELECT count(*) FROM supplier) + 1 AS VARCHAR), 6, '0') AS code,
          last_day(CAST(date_trunc('quarter', o_orderdate) + INTERVAL 2 MONTH AS DATE)) AS report, floor(avg(o_totalprice) * 100 + 0.5) / 100 AS roe
@@ -138,26 +152,33 @@ def disclosed_quality(spark, sf_dir):
 
 
 _VALUES = ["pe_ttm", "pb", "total_mv"]
-
-
-@query("fa17_j6_valuation_ffill", with_(BARS, CAL) + """
-, codes AS (SELECT DISTINCT code FROM bars),
+HELD = """codes AS (SELECT DISTINCT code FROM bars),
 val AS (SELECT code, date, close / 20 - 40 AS pe_ttm, close / 10 AS pb, close * volume AS total_mv FROM bars WHERE day(date) % 3 <> 0),
 grid AS (SELECT c.code, cal.date, v.pe_ttm, v.pb, v.total_mv FROM codes c CROSS JOIN cal LEFT JOIN val v ON v.code = c.code AND v.date = cal.date),
-held AS (SELECT code, date, """ + ", ".join(f"last_value({c} IGNORE NULLS) OVER w AS {c}" for c in _VALUES) + f""" FROM grid WINDOW w AS (PARTITION BY code ORDER BY date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW))
+held AS (SELECT code, date, """ + ", ".join(f"last_value({c} IGNORE NULLS) OVER w AS {c}" for c in _VALUES) + " FROM grid WINDOW w AS (PARTITION BY code ORDER BY date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW))"
+
+
+@query("fa17_j6_valuation_ffill", with_(BARS, CAL, HELD) + f"""
 SELECT code, date, {q.rnd('CASE WHEN pe_ttm > 0 THEN 1 / pe_ttm END')} AS value_ep, {q.rnd('CASE WHEN pb > 0 THEN 1 / pb END')} AS value_bp, {q.rnd('ln(nullif(total_mv, 0))')} AS size_logcap FROM held WHERE pb IS NOT NULL""")
 def valuation_ffill(spark, sf_dir):
     """FA17 / J6: value_ep, value_bp and size_logcap on the union calendar, each value carried over five rows at most; ratios of 0 or less are null.
 
     Every third day of the month is left without a value: the gaps that are filled.
     """
-    b = p.bars(spark, sf_dir)
+    return valuations(p.bars(spark, sf_dir)).select("code", "date", *[rnd(c).alias(c) for c in VALUE_FACTORS])
+
+
+VALUE_FACTORS = ["value_ep", "value_bp", "size_logcap"]
+
+
+def valuations(b: DataFrame) -> DataFrame:
+    """The three valuation factors on the union calendar of ``b``, not rounded."""
     cal = p.calendar(b)
     made = {"pe_ttm": F.col("close") / 20 - 40, "pb": F.col("close") / 10, "total_mv": F.col("close") * F.col("volume")}
     values = b.filter(F.dayofmonth("date") % 3 != 0).join(F.broadcast(cal), "date").select("code", "cal_idx", F.struct(*[v.alias(k) for k, v in made.items()]).alias("v"))
     f = joins.carried(values, "v", 5, ["code"], "cal_idx").select("code", "cal_idx", "v.*").filter("pb is not null")
     return f.join(F.broadcast(cal), "cal_idx").select(
-        "code", "date", rnd(F.when(F.col("pe_ttm") > 0, 1 / F.nullif("pe_ttm", F.lit(0.0)))).alias("value_ep"), rnd(F.when(F.col("pb") > 0, 1 / F.nullif("pb", F.lit(0.0)))).alias("value_bp"), rnd(F.ln(F.nullif("total_mv", F.lit(0.0)))).alias("size_logcap"))
+        "code", "date", F.when(F.col("pe_ttm") > 0, 1 / F.nullif("pe_ttm", F.lit(0.0))).alias("value_ep"), F.when(F.col("pb") > 0, 1 / F.nullif("pb", F.lit(0.0))).alias("value_bp"), F.ln(F.nullif("total_mv", F.lit(0.0))).alias("size_logcap"))
 
 
 @query("fa19_fa20_baseline_factors", with_(BARS) + """

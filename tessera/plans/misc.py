@@ -115,6 +115,32 @@ def a25(spark, sf_dir):
     return b.groupBy("code", "k.kind", "k.period").agg(rnd(F.min_by("open", "date"), 4).alias("open"), rnd(F.max("high"), 4).alias("high"), rnd(F.min("low"), 4).alias("low"), rnd(F.max_by("close", "date"), 4).alias("close"), F.sum("volume").alias("volume"), F.max("date").alias("last_date"))
 
 
+@query("s15_minute_bars", "WITH t AS (SELECT user_id AS code, ts, event_id, value AS price FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND value IS NOT NULL), sizes(minutes, most) AS (VALUES (5, 240), (15, 160), (30, 120), (60, 120)), "
+       "b AS (SELECT code, minutes, most, time_bucket(to_minutes(minutes), ts) AS start, arg_min(price, (ts, event_id)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (ts, event_id)) AS close, count(*) AS volume FROM t CROSS JOIN sizes GROUP BY ALL) "
+       "SELECT code, minutes, strftime(b.start, '%Y-%m-%d %H:%M') AS start, open, high, low, close, volume FROM b QUALIFY row_number() OVER (PARTITION BY code, minutes ORDER BY b.start DESC) <= most")
+def s15(spark, sf_dir):
+    """Bars of 5, 15, 30 and 60 minutes of each code, the newest 240, 160, 120 and 120 of them."""
+    most = F.element_at(F.create_map(*[F.lit(x) for pair in p.BAR_TAILS.items() for x in pair]), F.col("minutes"))
+    return p.tail(p.minute_bars(p.ticks(spark, sf_dir), list(p.BAR_TAILS)), ["code", "minutes"], "start", most, max(p.BAR_TAILS.values())).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm"))
+
+
+@query("s8_s9_spot_snapshot", """WITH one AS (SELECT lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS code, c_name AS name, CASE WHEN c_custkey % 5 <> 0 THEN c_acctbal END AS close, abs(c_acctbal) * 1000 AS total_mv, c_nationkey * 1e6 AS circ_mv, c_acctbal / 50 AS pe, c_acctbal / 500 AS pb FROM customer WHERE c_custkey % 3 <> 0),
+two AS (SELECT lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS code, c_name AS name, c_acctbal AS close, (c_nationkey + 0.5::DOUBLE) * 1e8 AS total_mv, c_nationkey * 1e8 AS circ_mv, CASE WHEN c_custkey % 4 <> 0 THEN c_acctbal / 50 END AS pe, CAST(NULL AS DOUBLE) AS pb FROM customer WHERE c_custkey % 3 = 0),
+eps AS (SELECT lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS code, s_acctbal / 100 AS roe, s_acctbal / 1000 AS eps, n_name AS industry FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+SELECT code, name, """ + ", ".join(f"{q.rnd(c, 4)} AS {c}" for c in ("close", "total_mv", "circ_mv", "pe", "pb", "roe", "eps")) + ", CAST(NULL AS DOUBLE) AS gross_margin, industry FROM (SELECT * FROM one UNION ALL SELECT * FROM two) LEFT JOIN eps USING (code)")
+def s8(spark, sf_dir):
+    """A spot snapshot whose missing codes come from a second source in other units and symbols, with the earnings table beside it."""
+    c = p.table(spark, sf_dir, "customer")
+    first = c.filter("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("code"), F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 5 == 0, "-").otherwise(F.col("c_acctbal").cast("string")).alias("price"),
+                                                  (F.abs("c_acctbal") * 1000).alias("market_value"), (F.col("c_nationkey") * 1e6).alias("float_value"), (F.col("c_acctbal") / 50).alias("pe_dynamic"), (F.col("c_acctbal") / 500).alias("pb"))
+    second = c.select(F.concat(F.lit("sz"), p.code6(F.col("c_custkey"))).alias("symbol"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("zxj"), (F.col("c_nationkey") + 0.5).alias("zsz"), F.col("c_nationkey").alias("ltsz"),
+                      F.when(F.col("c_custkey") % 4 == 0, "").otherwise((F.col("c_acctbal") / 50).cast("string")).alias("pe_ttm"))
+    s, n = p.table(spark, sf_dir, "supplier"), p.table(spark, sf_dir, "nation")
+    reported = s.join(F.broadcast(n), s.s_nationkey == n.n_nationkey).select(F.col("s_suppkey").alias("symbol"), F.col("s_name").alias("short_name"), (F.col("s_acctbal") / 100).alias("roe_weighted"), (F.col("s_acctbal") / 1000).alias("eps"), F.col("n_name").alias("industry"))
+    spot = p.spot_snapshot(first, second).join(p.earnings(reported).drop("name", "bps"), "code", "left")
+    return spot.select("code", "name", *[rnd(x, 4).alias(x) for x in ("close", "total_mv", "circ_mv", "pe", "pb", "roe", "eps")], "gross_margin", "industry")
+
+
 @query("a27_index_average", with_(INDEX) + "SELECT round(avg(p), 6) AS avg_pct FROM (SELECT (close / lag(close) OVER (ORDER BY date) - 1) * 100 AS p FROM idx)")
 def a27(spark, sf_dir):
     """Mean change of the index."""

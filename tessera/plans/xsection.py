@@ -155,20 +155,20 @@ def m5_one(spark, sf_dir):
     return z.groupBy("factor", "month").agg(F.count("*").alias("n"), F.round(F.regr_slope("y", "z0"), 6).alias("coef"), F.round(F.regr_intercept("y", "z0"), 6).alias("intercept"), F.round(F.regr_r2("y", "z0"), 6).alias("r2")).filter("n >= 30")
 
 
-def _standard(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Rows with all three factors and a return: winsorized z-scores by group, the return clipped as ``y``."""
+def _standard(rows: DataFrame, by: list[str], names: list[str] = FACTORS3) -> DataFrame:
+    """Rows with all factors and a return: winsorized z-scores by group, the return clipped as ``y``."""
     w = Window.partitionBy(*by)
-    m = rows.filter("fwd is not null and " + " and ".join(f"{f} is not null" for f in FACTORS3))
-    m = m.withColumns({f: winsorize(f, window=w) for f in FACTORS3}).withColumns({f: zscore(f, w) for f in FACTORS3})
+    m = rows.filter("fwd is not null and " + " and ".join(f"{f} is not null" for f in names))
+    m = m.withColumns({f: winsorize(f, window=w) for f in names}).withColumns({f: zscore(f, w) for f in names})
     return m.withColumn("y", clip("fwd", -0.21, 0.21))
 
 
-def _standard_sql(src: str, by: str) -> str:
+def _standard_sql(src: str, by: str, names: list[str] = FACTORS3) -> str:
     """``std``: the twin of ``_standard``."""
-    many = ", ".join(f"quantile_cont({f}, [0.01::DOUBLE, 0.99::DOUBLE]) AS e{i}" for i, f in enumerate(FACTORS3, 1))
-    held = ", ".join(f"least(greatest({f}, e{i}[1]), e{i}[2]) AS v{i}" for i, f in enumerate(FACTORS3, 1))
-    score = ", ".join(f"(v{i} - avg(v{i}) OVER g) / (stddev_pop(v{i}) OVER g + 1e-12) AS x{i}" for i in (1, 2, 3))
-    return f""", full_rows AS (SELECT {by}, code, {", ".join(FACTORS3)}, least(greatest(fwd, -0.21::DOUBLE), 0.21::DOUBLE) AS y FROM {src} WHERE fwd IS NOT NULL AND {" AND ".join(f"{f} IS NOT NULL" for f in FACTORS3)}),
+    many = ", ".join(f"quantile_cont({f}, [0.01::DOUBLE, 0.99::DOUBLE]) AS e{i}" for i, f in enumerate(names, 1))
+    held = ", ".join(f"least(greatest({f}, e{i}[1]), e{i}[2]) AS v{i}" for i, f in enumerate(names, 1))
+    score = ", ".join(f"(v{i} - avg(v{i}) OVER g) / (stddev_pop(v{i}) OVER g + 1e-12) AS x{i}" for i in range(1, len(names) + 1))
+    return f""", full_rows AS (SELECT {by}, code, {", ".join(names)}, least(greatest(fwd, -0.21::DOUBLE), 0.21::DOUBLE) AS y FROM {src} WHERE fwd IS NOT NULL AND {" AND ".join(f"{f} IS NOT NULL" for f in names)}),
 edge AS (SELECT {by}, {many} FROM full_rows GROUP BY {by}), held_in AS (SELECT {by}, code, y, {held} FROM full_rows JOIN edge USING ({by})),
 std AS (SELECT {by}, y, {score} FROM held_in WINDOW g AS (PARTITION BY {by}))"""
 

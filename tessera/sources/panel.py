@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,6 +89,55 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("code"), "event_type", F.col("value").alias("price"))
 
 
+#: The bar sizes in minutes with the most bars a code is given.
+BAR_TAILS = {5: 240, 15: 160, 30: 120, 60: 120}
+
+
+def minute_bars(ticks: DataFrame, minutes: list[int]) -> DataFrame:
+    """Bars of each code, size in ``minutes`` and ``start``; ticks of one time by ``event_id``. Ticks without code, time or price count nowhere.
+
+    Ticks shuffle once, to bars of the sizes' common divisor; the larger bars are made from these.
+    """
+    base = math.gcd(*minutes)
+    start = lambda x, m: F.timestamp_seconds(F.floor(F.unix_seconds(x) / (60 * m)) * (60 * m))
+    good = ticks.filter("code is not null and ts is not null and price is not null")
+    order = F.struct("ts", "event_id")
+    small = good.groupBy("code", start(F.col("ts"), base).alias("at")).agg(F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"), F.count("*").alias("volume"))
+    sized = small.select("*", F.explode(F.array(*[F.struct(F.lit(m).alias("minutes"), start(F.col("at"), m).alias("from")) for m in minutes])).alias("bar"))
+    return sized.groupBy("code", F.col("bar.minutes").alias("minutes"), F.col("bar.from").alias("start")).agg(
+        F.min_by("open", "at").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "at").alias("close"), F.sum("volume").alias("volume"))
+
+
+def tail(df: DataFrame, by: list[str], on: str, n: int | Column, bound: int | None = None) -> DataFrame:
+    """The last ``n`` rows of each group by ``on``. Where ``n`` is a number, or a column with the ``bound``, each task keeps no more before the shuffle."""
+    kept = F.col("_rn") <= n if bound is None else (F.col("_rn") <= bound) & (F.col("_rn") <= n)
+    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(on)))).filter(kept).drop("_rn")
+
+
+#: Fixed value: the second source gives market values in this unit.
+VALUE_UNIT = 1e8
+SPOT = {"code": ("string", []), "name": ("string", []), "close": ("double", ["price"]), "total_mv": ("double", ["market_value"]), "circ_mv": ("double", ["float_value"]), "pe": ("double", ["pe_dynamic"]), "pb": ("double", [])}
+SPOT_SECOND = {"code": ("string", ["symbol"]), "name": ("string", []), "close": ("double", ["zxj"]), "total_mv": ("double", ["zsz"]), "circ_mv": ("double", ["ltsz"]), "pe": ("double", ["pe_ttm"])}
+EARNINGS = {"code": ("string", ["symbol"]), "name": ("string", ["short_name"]), "roe": ("double", ["roe_weighted"]), "gross_margin": ("double", ["margin"]), "eps": ("double", []), "bps": ("double", []), "industry": ("string", [])}
+
+
+def spot_snapshot(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Prices and ratios of all codes: rows of ``first``, and of ``second`` for codes that it lacks.
+
+    The second source marks its symbols with the exchange, gives values in hundred millions and no ``pb`` (null). Text that is no number
+    is null, rows without a code go, a code that is listed twice in one source keeps both rows.
+    """
+    one = ensure_columns(first, SPOT).withColumn("code", code6(F.col("code")))
+    two = ensure_columns(second, SPOT_SECOND).withColumn("code", code6(plain_code(F.col("code"))))
+    two = two.withColumns({c: F.col(c) * VALUE_UNIT for c in ("total_mv", "circ_mv")}).withColumn("pb", F.lit(None).cast("double"))
+    return prefer(one.filter("code is not null"), two.filter("code is not null"), ["code"])
+
+
+def earnings(raw: DataFrame) -> DataFrame:
+    """The reports of one period: return on equity, margin, earnings and book value a share, industry."""
+    return ensure_columns(raw, EARNINGS).withColumn("code", code6(F.col("code"))).filter("code is not null")
+
+
 def parse_quote(raw: Column) -> Column:
     """A '~'-delimited quote: name, code, price, previous close, open, ... ; under 40 fields gives only ``error``."""
     f = F.split(raw, "~")
