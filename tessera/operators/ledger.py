@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.joins import fifo_lots
-from tessera.operators.scans import drawdowns
+from tessera.operators.scans import drawdowns, running
 
 #: The fees of a buy and of a sell, as shares of the turnover.
 BUY_COST, SELL_COST = 0.0003, 0.0013
@@ -90,6 +90,39 @@ def marked_positions(ledger: DataFrame, prices: DataFrame) -> DataFrame:
     return priced.withColumns({"unrealized": (F.col("price") - F.col("cost")) * F.col("held"), "pnl_ratio": ratio})
 
 
+def balances(ledger: DataFrame, positions: DataFrame) -> DataFrame:
+    """Each account of ``account_ledger`` with its ``marked_positions`` summed: ``account``, ``cash``, ``market_value``, ``total_assets``, ``positions_count``, ``exposure``.
+
+    An account without open positions keeps its cash and has 0 of the rest; ``exposure`` is null where the assets are 0.
+    """
+    held = positions.groupBy("account").agg(F.sum(F.col("price") * F.col("held")).alias("market_value"), F.count("*").alias("positions_count"))
+    both = ledger.select("account", "cash").join(held, "account", "left").fillna(0, ["market_value", "positions_count"])
+    both = both.withColumn("total_assets", F.col("cash") + F.col("market_value"))
+    return both.withColumn("exposure", F.col("market_value") / F.nullif("total_assets", F.lit(0.0)))
+
+
+#: Commands that end an order, with the status that they leave.
+ORDER_ENDS = {"fill": "filled", "reject": "rejected", "cancel": "cancelled"}
+
+
+def order_states(commands: DataFrame, bucket=None) -> DataFrame:
+    """What commands (order_id, ts, seq, kind) leave of each order: ``order_id``, ``status``, ``placed_at``, ``changed_at``, ``refused``.
+
+    An order is pending from its first ``place`` on, until the first of ORDER_ENDS after it; a cancel works on a pending order only. Every other command is refused and
+    counted: a second ``place``, an end before the first or after an end, an unknown kind. Commands of one time go by ``seq``. An order that was never placed
+    has no row. Commands without order or time count nowhere. The first ``place`` is carried along by buckets of time (hours if none is given), and what
+    is left is one aggregate with partial sums: no task holds all commands of an order.
+    """
+    good = commands.filter("order_id is not null and ts is not null").withColumn("at", F.struct("ts", "seq"))
+    told = running(good, ["order_id"], F.date_trunc("HOUR", "ts") if bucket is None else bucket, ["at"], {"placed": ("min", F.when(F.col("kind") == "place", F.col("at")))})
+    ends = (F.col("at") > F.col("placed")) & F.col("kind").isin(*ORDER_ENDS)
+    names = F.create_map(*[F.lit(x) for pair in ORDER_ENDS.items() for x in pair])
+    first = F.min(F.when(ends, F.struct("at", "kind")))
+    out = told.groupBy("order_id").agg(F.min("placed").alias("placed"), first.alias("end"), F.count("*").alias("n")).filter("placed is not null")
+    return out.select("order_id", F.coalesce(F.element_at(names, F.col("end.kind")), F.lit("pending")).alias("status"), F.col("placed.ts").alias("placed_at"), F.coalesce("end.at.ts", "placed.ts").alias("changed_at"),
+                      (F.col("n") - 1 - F.col("end").isNotNull().cast("long")).alias("refused"))
+
+
 def timed_fifo(trades: DataFrame, order: list[str], bucket=None) -> DataFrame:
     """Realized profit per sell against earlier buys only: ``code``, ``id``, ``matched``, ``pnl``; what no earlier buy covers is dropped (``matched`` tells).
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera.functions import text
 from tessera.functions.columns import rnd
 from tessera.operators import joins, ledger, signals
 from tessera.operators.scans import running
@@ -276,6 +277,65 @@ def x3(spark, sf_dir):
     return x.select("account", "code", "held", rnd("cost", 4).alias("cost"), rnd("price", 4).alias("price"), rnd("unrealized", 3).alias("unrealized"), rnd("pnl_ratio", 4).alias("pnl_ratio"))
 
 
+_MARKED = f"""last AS (SELECT code, arg_max(close, date) AS price FROM bars GROUP BY 1),
+open AS (SELECT account, code, own.held AS held, own.cost AS cost, price FROM (SELECT account, UNNEST(map_keys(pos)) AS code, UNNEST(map_values(pos)) AS own FROM done) JOIN last USING (code) WHERE own.held > 0),
+balance AS (SELECT *, cash + market_value AS total FROM (SELECT d.account, any_value(d.cash) AS cash, coalesce(sum(o.price * o.held), 0) AS market_value, count(o.code) AS positions_count FROM done d LEFT JOIN open o USING (account) GROUP BY 1))"""
+
+
+def _balances(spark, sf_dir):
+    """The ledger written once, its marked positions and balances."""
+    kept = written(_accounts(spark, sf_dir), "ledger")
+    last = p.bars(spark, sf_dir).groupBy("code").agg(F.max_by("close", "date").alias("price"))
+    marked = ledger.marked_positions(kept, last)
+    return marked, ledger.balances(kept, marked)
+
+
+@query("a21_balances", with_(TRADES, BARS, _ACCOUNTS, _MARKED) + f"SELECT account, {q.rnd('cash', 2)} AS cash, {q.rnd('market_value', 2)} AS market_value, {q.rnd('total', 2)} AS total_assets, positions_count, {q.rnd('market_value / nullif(total, 0)', 6)} AS exposure FROM balance")
+def a21(spark, sf_dir):
+    """Cash, market value, assets, number of positions and exposure of each account."""
+    _, b = _balances(spark, sf_dir)
+    return b.select("account", *[rnd(c, 2).alias(c) for c in ("cash", "market_value", "total_assets")], "positions_count", rnd("exposure", 6).alias("exposure"))
+
+
+def _money(x: str) -> str:
+    return f"format('{{:,.2f}}', {q.rnd(x, 2)})"
+
+
+@query("z22_report_lines", with_(TRADES, BARS, _ACCOUNTS, _MARKED) + f"""SELECT account, '' AS code, '总资产 ¥' || {_money('total')} || ' | 现金 ¥' || {_money('cash')} || ' | 持仓 ¥' || {_money('market_value')} AS line FROM balance
+UNION ALL SELECT account, code, '  ' || code || ' ' || coalesce(s_name, '') || ' ' || held::BIGINT || '股 成本¥' || {_money('cost')} || ' 现价¥' || {_money('price')} || ' ' || printf('%+.2f%%', {q.rnd('(price / cost - 1) * 100', 2)}) || ' [' || CASE s_suppkey % 4 WHEN 0 THEN '短线' WHEN 1 THEN '中线' WHEN 2 THEN '长线' ELSE '—' END || ']'
+FROM open LEFT JOIN supplier ON lpad(CAST(s_suppkey AS VARCHAR), 6, '0') = code""")
+def z22_report(spark, sf_dir):
+    """The report of each account: a line of its balance, and one for each position with name, cost, price, gain and horizon."""
+    marked, b = _balances(spark, sf_dir)
+    k = F.col("s_suppkey") % 4
+    names = p.table(spark, sf_dir, "supplier").select(p.code6(F.col("s_suppkey")).alias("code"), F.col("s_name").alias("name"), F.when(k == 0, "short").when(k == 1, "medium").when(k == 2, "long").alias("horizon"))
+    one = b.select("account", F.lit("").alias("code"), text.balance_line("total_assets", "cash", "market_value").alias("line"))
+    return one.unionByName(marked.join(names, "code", "left").select("account", "code", text.position_line("code", "name", "held", "cost", "price", "pnl_ratio", "horizon").alias("line")))
+
+
+@query("z22_order_lines", f"""SELECT l_orderkey, l_linenumber, '  ' || strftime(l_shipdate, '%H:%M') || ' ' || CASE WHEN l_returnflag = 'R' THEN '卖出' ELSE '买入' END || ' ' || lpad(CAST(l_suppkey AS VARCHAR), 6, '0') || ' ' || l_quantity::BIGINT || '股 ¥' || {_money('l_extendedprice / l_quantity')} || ' [' || CASE l_linestatus WHEN 'F' THEN 'filled' ELSE 'pending' END || ']' AS line
+FROM lineitem WHERE CAST(l_shipdate AS DATE) = (SELECT max(CAST(l_shipdate AS DATE)) FROM lineitem)""")
+def z22_lines(spark, sf_dir):
+    """The orders of the last day as lines of a report."""
+    li = p.table(spark, sf_dir, "lineitem")
+    last = li.agg(F.max(F.to_date("l_shipdate")).alias("day"))
+    day = li.join(F.broadcast(last), F.to_date("l_shipdate") == F.col("day"))  # one row
+    side, status = F.when(F.col("l_returnflag") == "R", "sell").otherwise("buy"), F.when(F.col("l_linestatus") == "F", "filled").otherwise("pending")
+    return day.select("l_orderkey", "l_linenumber", text.order_line("l_shipdate", side, p.code6(F.col("l_suppkey")), "l_quantity", F.col("l_extendedprice") / F.nullif("l_quantity", F.lit(0.0)), status).alias("line"))
+
+
+@query("z21_order_states", """WITH c AS (SELECT user_id * 1000 + event_id % 3 AS order_id, ts, event_id AS seq, CASE event_id % 7 WHEN 0 THEN 'fill' WHEN 1 THEN 'cancel' WHEN 2 THEN 'reject' WHEN 3 THEN 'amend' ELSE 'place' END AS kind FROM events),
+p AS (SELECT *, min(CASE WHEN kind = 'place' THEN (ts, seq) END) OVER (PARTITION BY order_id) AS placed FROM c),
+g AS (SELECT order_id, min(placed) AS placed, arg_min(kind, (ts, seq)) FILTER (kind IN ('fill', 'reject', 'cancel') AND (ts, seq) > placed) AS ended, min(ts) FILTER (kind IN ('fill', 'reject', 'cancel') AND (ts, seq) > placed) AS ended_at, count(*) AS n, min(ts) FILTER (kind = 'place') AS placed_at FROM p WHERE placed IS NOT NULL GROUP BY 1)
+SELECT order_id, CASE ended WHEN 'fill' THEN 'filled' WHEN 'reject' THEN 'rejected' WHEN 'cancel' THEN 'cancelled' ELSE 'pending' END AS status, round(epoch(placed_at), 3) AS placed_at, round(epoch(coalesce(ended_at, placed_at)), 3) AS changed_at, n - 1 - (ended IS NOT NULL)::BIGINT AS refused FROM g""")
+def z21(spark, sf_dir):
+    """Commands to place, fill, reject and cancel orders; cancels work on pending orders only."""
+    e, kind = p.ticks(spark, sf_dir), F.col("event_id") % 7
+    made = e.select((F.col("code") * 1000 + F.col("event_id") % 3).alias("order_id"), "ts", F.col("event_id").alias("seq"), F.when(kind == 0, "fill").when(kind == 1, "cancel").when(kind == 2, "reject").when(kind == 3, "amend").otherwise("place").alias("kind"))
+    seconds = lambda c: F.round(F.unix_micros(c) / 1e6, 3).alias(c)
+    return ledger.order_states(made).select("order_id", "status", seconds("placed_at"), seconds("changed_at"), "refused")
+
+
 @query("a22_sellable", with_(TRADES) + "SELECT code, sum(CASE WHEN direction = 'buy' AND CAST(ts AS DATE) < DATE '2001-06-01' THEN volume WHEN direction = 'sell' THEN -volume ELSE 0 END) AS sellable FROM trades WHERE CAST(ts AS DATE) <= DATE '2001-06-01' GROUP BY code")
 def a22(spark, sf_dir):
     """Bought before the day less all sold."""
