@@ -22,6 +22,8 @@ PAIR = 0.3
 FOLDS = 3
 #: F1 that the cut may give away to lie higher, where clean documents are safer.
 SLACK = 0.003
+#: Share of toxic rows among those that a cut marks, below which it is no cut: a filter must not take more clean documents than toxic ones.
+LEAST_PRECISION = 0.5
 #: The logit of THRESHOLD.
 PLAIN = float(np.log(THRESHOLD / (1 - THRESHOLD)))
 
@@ -61,8 +63,12 @@ def _learn(known: list[tuple[np.ndarray, int]], labels: list[int], z: np.ndarray
         n[at] += g * g
 
 
-def best_cut(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The highest logit that parts the labels with the best F1 but for SLACK; that of THRESHOLD where there is nothing to part."""
+def best_cut(logits: np.ndarray, labels: np.ndarray, least: float = 0.0) -> float:
+    """The highest logit that parts the labels with the best F1 but for SLACK; that of THRESHOLD where there is nothing to part.
+
+    Cuts with a precision below ``least`` are left out. Without any other, as with a model of a few labels that tells nothing, the cut is that of THRESHOLD,
+    or of the highest logit where that is more.
+    """
     if not 0 < labels.sum() < len(labels):
         return PLAIN
     order = np.argsort(-logits, kind="stable")
@@ -70,6 +76,9 @@ def best_cut(logits: np.ndarray, labels: np.ndarray) -> float:
     hits = np.cumsum(y)
     f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
     f1[:-1][s[:-1] == s[1:]] = 0  # no cut between equal scores
+    f1[hits < least * np.arange(1, len(y) + 1)] = 0
+    if not f1.any():
+        return max(PLAIN, float(np.nextafter(s[0], np.inf)))
     k = int(np.flatnonzero(f1 >= f1.max() - SLACK)[0])
     return min(PLAIN, float((s[k] + s[min(k + 1, len(s) - 1)]) / 2))
 
@@ -85,7 +94,7 @@ def _epochs(rows, state, turn):
         for i in np.flatnonzero(fold == k):
             at, words = known[i]
             logits[i] = w[at] @ _values(len(at), words)
-    state["cut"][0] = best_cut(logits, labels)
+    state["cut"][0] = best_cut(logits, labels, LEAST_PRECISION)
     _learn(known, labels.tolist(), state["z"], state["n"])
 
 

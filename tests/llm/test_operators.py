@@ -480,6 +480,17 @@ def test_best_cut():
     assert toxicity.best_cut(logits, labels * 0) == toxicity.best_cut(logits[:0], labels[:0]) == toxicity.PLAIN
 
 
+def test_cut_of_a_model_that_tells_nothing():
+    """Marking every row has the best F1 of scores without a meaning; the cut marks none instead."""
+    rng = np.random.default_rng(1)
+    labels = np.zeros(200, int)
+    labels[rng.choice(200, 20, replace=False)] = 1
+    for logits in (np.zeros(200), np.where(labels == 1, -1.0, rng.normal(0, 0.1, 200)), np.where(labels == 1, 4.0, 5.0)):
+        assert not (logits >= toxicity.best_cut(logits, labels, toxicity.LEAST_PRECISION)).any()
+    clear = np.where(labels == 1, 1.0, -1.0)
+    assert ((clear >= toxicity.best_cut(clear, labels, toxicity.LEAST_PRECISION)) == (labels == 1)).all()
+
+
 def test_quality_pairs_and_gradient():
     """The sum-of-squares identity against all pairs, and one step against numeric differences."""
     import pandas as pd
