@@ -157,24 +157,28 @@ def encode_bpe(docs: DataFrame, vocabulary: str, pattern: str = public_tokenizer
 
 
 def decode_bpe(df: DataFrame, vocabulary: str, pattern: str = public_tokenizers.PATTERN, ids_col: str = "ids") -> DataFrame:
-    """``df`` with ``n_tokens``, ``ids_text`` (decimal ids joined by one space) and ``decoded`` (bytes). Null ids: none."""
+    """``df`` with ``n_tokens``, ``ids_text`` (decimal ids joined by one space), ``decoded`` (bytes) and ``error``.
+
+    Null or empty ids give no tokens and no bytes. Bytes that are no whole ids, or an id without a token, give nulls and what is wrong in ``error``, so one damaged
+    row does not end the job.
+    """
 
     def make():
         bpe = load(vocabulary, pattern)
-        token, decimal = bpe.by_id.__getitem__, bpe.decimal.__getitem__
+        token, decimal, known = bpe.by_id.__getitem__, bpe.decimal.__getitem__, len(bpe.by_id)
+        holes = {i for i, t in enumerate(bpe.by_id) if not t}
 
-        def decode(_, values):
-            counts, texts, raw = [], [], []
-            for value in values:
-                ids = np.frombuffer(value or b"", "<u4").tolist()
-                counts.append(len(ids))
-                texts.append(" ".join(map(decimal, ids)))
-                raw.append(b"".join(map(token, ids)))
-            return [counts, texts, raw]
+        def decoded(value: bytes) -> tuple:
+            if len(value) % 4:
+                return None, None, None, f"{len(value)} bytes are no whole ids"
+            ids = np.frombuffer(value, "<u4").tolist()
+            if ids and max(ids) >= known or holes and not holes.isdisjoint(ids):
+                return None, None, None, f"no token has id {next(i for i in ids if i >= known or i in holes)}"
+            return len(ids), " ".join(map(decimal, ids)), b"".join(map(token, ids)), None
 
-        return decode
+        return lambda _, values: list(zip(*[decoded(v or b"") for v in values], strict=True)) if values else [[], [], [], []]
 
-    return map_text(df, F.lit(None).cast("string"), {"n_tokens": "long", "ids_text": "string", "decoded": "binary"}, make, [ids_col])
+    return map_text(df, F.lit(None).cast("string"), {"n_tokens": "long", "ids_text": "string", "decoded": "binary", "error": "string"}, make, [ids_col])
 
 
 def query(spark, sf_dir, vocabulary: str | None = None):

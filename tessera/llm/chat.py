@@ -94,7 +94,10 @@ def find_layout(df: DataFrame, id_col: str) -> Layout:
 
 
 def canonical_turns(df: DataFrame, id_col: str) -> DataFrame:
-    """``conv_id`` and ``turns`` (array of role, text) of a frame in any declared layout; null fields count as empty."""
+    """``conv_id`` and ``turns`` (array of role, text) of a frame in any declared layout; null fields count as empty.
+
+    A null list of turns stays null.
+    """
     return df.select(F.col(id_col).alias("conv_id"), find_layout(df, id_col).turns().cast(_TURN).alias("turns"))
 
 
@@ -164,7 +167,7 @@ def unescape(text: Column) -> Column:
 def format_chat(turns: DataFrame) -> DataFrame:
     """``conv_id``, ``formatted`` and ``loss_spans`` (start and length in code points of each assistant's escaped text).
 
-    A turn is ``<|role|>``, a newline, the escaped text, ``<|end|>`` and a newline. No turns give an empty string.
+    A turn is ``<|role|>``, a newline, the escaped text, ``<|end|>`` and a newline. No turns give an empty string and no spans, null turns nulls.
     """
     parts = turns.select(
         "conv_id",

@@ -58,7 +58,8 @@ class TokenFiles:
 def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id`` and ``ids`` (binary, little-endian), with the end id after each document.
 
-    An id takes two bytes, or four where the vocabulary has more than 65,536.
+    An id takes two bytes, or four where the vocabulary has more than 65,536. A null or empty text gives the end id alone, an empty table no rows; null ids and
+    repeated rows are documents like any other.
     """
 
     def make():
