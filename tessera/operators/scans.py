@@ -69,19 +69,21 @@ def with_ewm(df: DataFrame, outs: dict[str, tuple[str, float]], by: tuple[str, .
     place = {c: F.col(f"_n_{c}") - F.col(f"_b_{c}") * size for c, size in sizes.items()}
     block = {c: Window.partitionBy(*by, f"_b_{c}").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0) for c in sizes}
     grown = {name: F.sum(F.col(c) * F.pow(F.lit(1 / decays[name]), place[c])).over(block[c]) for name, (c, _) in outs.items()}
-    x = x.withColumns({f"_p_{name}": v for name, v in grown.items()})
-    x = x.withColumns({f"_p_{name}": F.col(f"_p_{name}") * F.pow(F.lit(decays[name]), place[c]) for name, (c, _) in outs.items()})
-    past = {}
-    for name, (c, _) in outs.items():
-        reach = math.ceil(math.log(LEAST_WEIGHT) / math.log(decays[name]) / sizes[c]) + 1
-        whole = F.when(F.col(c).isNotNull() & (place[c] == sizes[c]), F.col(f"_p_{name}"))
-        past[f"_c_{name}"] = F.collect_list(whole).over(Window.partitionBy(*by).orderBy(f"_b_{c}").rangeBetween(-reach, -1))
-    x = x.withColumns(past)
+    for c in sizes:  # column by column: the sums within blocks and those of the blocks before share one sort
+        own = {name: decays[name] for name, (of, _) in outs.items() if of == c}
+        x = x.withColumns({f"_p_{name}": grown[name] for name in own})
+        x = x.withColumns({f"_p_{name}": F.col(f"_p_{name}") * F.pow(F.lit(d), place[c]) for name, d in own.items()})
+        past = {}
+        for name, d in own.items():
+            reach = math.ceil(math.log(LEAST_WEIGHT) / math.log(d) / sizes[c]) + 1
+            whole = F.when(F.col(c).isNotNull() & (place[c] == sizes[c]), F.col(f"_p_{name}"))
+            past[f"_c_{name}"] = F.collect_list(whole).over(Window.partitionBy(*by).orderBy(f"_b_{c}").rangeBetween(-reach, -1))
+        x = x.withColumns(past)
+        x = x.withColumns({f"_c_{name}": F.aggregate(f"_c_{name}", F.lit(0.0), _faded(d ** sizes[c])) for name, d in own.items()})  # a number, so that no list is sorted along
     done = {}
     for name, (c, _) in outs.items():
         d = decays[name]
-        carry = F.aggregate(f"_c_{name}", F.lit(0.0), _faded(d ** sizes[c]))
-        total = F.coalesce(F.col(f"_p_{name}"), F.lit(0.0)) + carry * F.pow(F.lit(d), place[c])
+        total = F.coalesce(F.col(f"_p_{name}"), F.lit(0.0)) + F.col(f"_c_{name}") * F.pow(F.lit(d), place[c])
         done[name] = F.when(F.col(f"_n_{c}") > 0, total * (1 - d) / (1 - F.pow(F.lit(d), F.col(f"_n_{c}"))))
     return x.withColumns(done).drop(*[f"_{k}_{c}" for k in "nb" for c in sizes], *[f"_{k}_{name}" for k in "pc" for name in outs])
 

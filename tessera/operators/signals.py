@@ -10,7 +10,7 @@ from tessera.operators.scans import with_ewm
 
 
 def indicators(bars: DataFrame) -> DataFrame:
-    """Moving averages, RSI(14) on simple means, MACD(12,26,9), KDJ(9,3,3) and the volume ratio; rows before the 20th of a code are left out."""
+    """Moving averages, RSI(14) on simple means, MACD(12,26,9), KDJ(9,3,3) and the volume ratio; rows before the 20th of a code are left out. ``last`` tells a code's last bar."""
     x = bars.withColumns({
         "ma5": roll(F.avg, "close", 5), "ma20": roll(F.avg, "close", 20), "_d": F.col("close") - lag("close"), "_n": F.row_number().over(by_code()),
         "_lo": roll(F.min, "low", 9), "_hi": roll(F.max, "high", 9), "vol_ratio": div("volume", roll(F.avg, "volume", 5)),
@@ -26,7 +26,7 @@ def indicators(bars: DataFrame) -> DataFrame:
     x = x.withColumns({
         "ma_bull": F.col("ma5") > F.col("ma20"),
         "macd_cross": (F.col("dif") > F.col("dea")) & (lag("dif") <= lag("dea")), "macd_bull": F.col("dif") > F.col("dea"),
-        "kdj_cross": (F.col("k") > F.col("d")) & (lag("k") <= lag("d")),
+        "kdj_cross": (F.col("k") > F.col("d")) & (lag("k") <= lag("d")), "last": F.lead("date").over(by_code()).isNull(),
         "kdj_state": F.when(F.col("j") > 80, "overbought").when(F.col("j") < 20, "oversold").otherwise("normal"),
         "rsi_state": F.when(F.col("rsi") > 70, "overbought").when(F.col("rsi") < 30, "oversold").otherwise("normal"),
         "vol_state": F.when(F.col("vol_ratio") > 1.5, "heavy").when(F.col("vol_ratio") < 0.7, "light").otherwise("normal"),
