@@ -22,19 +22,19 @@ class Slice:
     least: int = 5
 
 
-def sliced_ic(rows: DataFrame, slices: list[Slice], value: str = "value", by: tuple[str, ...] = ("factor",), period: str = "month") -> DataFrame:
+def sliced_ic(rows: DataFrame, slices: list[Slice], value: str = "value", by: tuple[str, ...] = ("factor",), period: str = "month", tasks: int | None = None) -> DataFrame:
     """Number, mean, median, positive share and t of each slice's rank correlations by ``by``.
 
     Every row goes once into each slice that it belongs to, so all slices share one shuffle and one sort instead of a job each. Rows without value
     or return, and those whose slice has no name, count nowhere; parts with fewer than ``least`` pairs or a constant side give no correlation;
-    slices without one have no row.
+    slices without one have no row. Groups are ranked in ``tasks`` tasks, if given.
     """
     cell = lambda s: F.struct(F.lit(s.section).alias("section"), (F.lit(s.name) if isinstance(s.name, str) else s.name).alias("slice"), (F.lit("") if s.part is None else s.part).alias("part"),
                               F.col(s.ret).alias("ret"), F.lit(s.least).alias("least"))
     cells = [cell(s) if s.when is None else F.when(s.when, cell(s)) for s in slices]
     stacked = rows.filter(F.col(value).isNotNull()).select(*by, period, value, F.explode(F.array_compact(F.array(*cells))).alias("c")).select(*by, period, value, "c.*")
     stacked = stacked.filter("ret is not null and slice is not null and part is not null")
-    ics = rank_ic(stacked, value, "ret", [*by, "section", "slice", "part", period, "least"]).filter("n >= least and ic is not null")
+    ics = rank_ic(stacked, value, "ret", [*by, "section", "slice", "part", period, "least"], tasks=tasks).filter("n >= least and ic is not null")
     months = ics.groupBy(*by, "section", "slice", period).agg(rnd(F.avg("ic"), 9).alias("ic"))  # no sign from rounding errors
     return ic_stats(months, [*by, "section", "slice"])
 
