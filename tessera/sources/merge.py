@@ -29,6 +29,12 @@ def _one_a_key(rows: DataFrame, keys: list[str], first: list) -> DataFrame:
     return rows.withColumn("_place", place).filter("_place = 1").drop("_place")
 
 
+def _overwrite(rows: DataFrame, path: str, keys: list[str], partition: str) -> None:
+    """Write the partitions of ``rows`` again. One task a partition value would make a hot one: rows are dealt by value and a bounded salt."""
+    dealt = rows.repartition(F.col(partition), F.pmod(F.xxhash64(*keys), F.lit(8)))
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+
+
 def merge(spark: SparkSession, path: str, updates: DataFrame, keys: list[str], partition: str, order: str | None = None, keep_old: bool = False) -> int:
     """Merge ``updates`` into the Parquet table at ``path``, partitioned by ``partition``; the number of partitions written again.
 
@@ -36,29 +42,29 @@ def merge(spark: SparkSession, path: str, updates: DataFrame, keys: list[str], p
     updates with one key the greatest row does. ``keep_old`` inserts absent keys alone. ``partition`` is one of the keys or follows from them: a key never
     changes its partition. The result is written in the shared folder first; then Spark's dynamic overwrite swaps the touched
     partitions when its job commits, so a failed run leaves the old ones, and the files of all others stay as they are. A first
-    update makes the table. No updates write nothing.
+    update makes the table, without that copy. No updates write nothing.
     """
     columns = updates.columns
     rest = [c for c in columns if c not in keys]
     order_by = ([F.col(order).desc_nulls_last()] if order else []) + [F.col(c).desc_nulls_last() for c in rest]
-    new = written(_one_a_key(updates, keys, order_by), "updates")
+    one = _one_a_key(updates, keys, order_by)
+    if not exists(spark, path):
+        # nothing to merge with: written where it belongs at once
+        _overwrite(one, path, keys, partition)
+        return spark.read.parquet(path).select(partition).distinct().count() if exists(spark, path) else 0
+    new = written(one, "updates")
     touched = new.select(partition).distinct()
     count = touched.count()
     if not count:
         return 0
-    result = new
-    if exists(spark, path):
-        table = spark.read.parquet(path)
-        if count <= MAX_LISTED:
-            values = [r[0] for r in touched.collect()]
-            some = F.col(partition).isin([v for v in values if v is not None])
-            old = table.filter(some | F.col(partition).isNull() if None in values else some)
-        else:
-            old = table.join(touched.select(F.col(partition).alias("_p")), F.col(partition).eqNullSafe(F.col("_p")), "left_semi")
-        both = old.select(*columns).withColumn("_side", F.lit(0)).unionByName(new.withColumn("_side", F.lit(1)))
-        first = [F.col("_side").asc()] if keep_old else [*([F.col(order).desc_nulls_last()] if order else []), F.col("_side").desc()]
-        result = written(_one_a_key(both, keys, first).drop("_side"), "merged")
-    # one task a partition value would make a hot one: rows are dealt by value and a bounded salt
-    dealt = result.repartition(F.col(partition), F.pmod(F.xxhash64(*keys), F.lit(8)))
-    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    table = spark.read.parquet(path)
+    if count <= MAX_LISTED:
+        values = [r[0] for r in touched.collect()]
+        some = F.col(partition).isin([v for v in values if v is not None])
+        old = table.filter(some | F.col(partition).isNull() if None in values else some)
+    else:
+        old = table.join(touched.select(F.col(partition).alias("_p")), F.col(partition).eqNullSafe(F.col("_p")), "left_semi")
+    both = old.select(*columns).withColumn("_side", F.lit(0)).unionByName(new.withColumn("_side", F.lit(1)))
+    first = [F.col("_side").asc()] if keep_old else [*([F.col(order).desc_nulls_last()] if order else []), F.col("_side").desc()]
+    _overwrite(written(_one_a_key(both, keys, first).drop("_side"), "merged"), path, keys, partition)
     return count
