@@ -15,6 +15,7 @@ from tessera.plans.factors import FACTOR_CTES, factor_table
 from tessera.plans.sql import BARS, CAL, ENDS, INDEX, INDUSTRY, with_
 from tessera.registry import query
 from tessera.sources import panel as p
+from tessera.sources.staging import written
 
 FACTORS3 = ["mom_1", "vol_20d_atr", "liq_20d_turnover"]
 MONTHLY = """monthly AS (
@@ -30,16 +31,16 @@ ics AS (SELECT {by}, covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0)
 _STATS = "count(*) AS months, round(avg(ic), 6) AS mean_ic, round(median(ic), 6) AS median_ic, round(avg((ic > 0)::INT), 6) AS positive, round(coalesce(avg(ic) / nullif(stddev_samp(ic) / sqrt(count(ic)), 0), 0), 5) AS t"
 
 
-def monthly(spark, sf_dir) -> DataFrame:
-    """The last bar of each code and month with its factors, and the return to the next month's last close."""
-    t = factor_table(spark, sf_dir, FACTORS3, ["close", "amount"])
+def monthly(spark, sf_dir, bars: DataFrame | None = None) -> DataFrame:
+    """The last bar of each code and month (of the bars given, or made anew) with its factors, and the return to the next month's last close."""
+    t = factor_table(spark, sf_dir, FACTORS3, ["close", "amount"], bars)
     m = t.groupBy("code", F.trunc("date", "MM").alias("month")).agg(*[F.max_by(c, "date").alias(n) for c, n in [("close", "close"), *[(f, f) for f in FACTORS3], ("amount", "cap")]])
     w = Window.partitionBy("code").orderBy("month")
     return m.withColumn("fwd", F.lead("close").over(w) / F.nullif("close", F.lit(0.0)) - 1)
 
 
-def long_monthly(spark, sf_dir) -> DataFrame:
-    return monthly(spark, sf_dir).unpivot(["month", "code", "fwd", "cap"], FACTORS3, "factor", "value").filter("value is not null").withColumn("value", rnd("value", 8))
+def long_monthly(spark, sf_dir, bars: DataFrame | None = None) -> DataFrame:
+    return monthly(spark, sf_dir, bars).unpivot(["month", "code", "fwd", "cap"], FACTORS3, "factor", "value").filter("value is not null").withColumn("value", rnd("value", 8))
 
 
 def _industry(spark, sf_dir) -> DataFrame:
@@ -96,9 +97,9 @@ z AS (SELECT *, (v - avg(v) OVER (PARTITION BY month, factor)) / (stddev_pop(v)
         (v - avg(v) OVER (PARTITION BY month, factor)) / nullif(stddev_samp(v) OVER (PARTITION BY month, factor), 0) AS z1 FROM clipped)"""
 
 
-def _z(spark, sf_dir) -> DataFrame:
+def _z(spark, sf_dir, rows: DataFrame | None = None) -> DataFrame:
     w = Window.partitionBy("month", "factor")
-    v = long_monthly(spark, sf_dir).withColumn("v", winsorize("value", window=w))
+    v = (long_monthly(spark, sf_dir) if rows is None else rows).withColumn("v", winsorize("value", window=w))
     return v.withColumns({"z0": zscore("v", w), "z1": (F.col("v") - F.avg("v").over(w)) / F.nullif(F.stddev_samp("v").over(w), F.lit(0.0))})
 
 
@@ -136,9 +137,9 @@ def a16(spark, sf_dir):
 @query("m4_forward_returns", with_(BARS, CAL, ENDS) + """, h AS (SELECT unnest([21, 42, 63]) AS h), starts AS (SELECT b.code, b.date, e.cal_idx, b.close FROM bars b JOIN ends e USING (date)),
 keyed AS (SELECT b.code, c.cal_idx, b.close FROM bars b JOIN cal c USING (date))
 SELECT a.code, a.date, CAST(h.h AS BIGINT) AS horizon, """ + q.rnd("k.close / nullif(a.close, 0) - 1") + " AS fwd FROM starts a CROSS JOIN h JOIN keyed k ON k.code = a.code AND k.cal_idx = a.cal_idx + h.h")
-def m4(spark, sf_dir):
+def m4(spark, sf_dir, bars: DataFrame | None = None):
     """Returns over 21, 42 and 63 days of the union calendar, not of a code's own rows."""
-    b = p.bars(spark, sf_dir)
+    b = written(p.bars(spark, sf_dir).select("code", "date", "close"), "closes") if bars is None else bars  # the calendar and both sides read them
     cal = p.calendar(b)
     keyed = b.join(F.broadcast(cal), "date").select("code", "date", "cal_idx", "close")
     at = keyed.join(F.broadcast(p.month_ends(cal).select("date")), "date").withColumn("horizon", F.explode(F.array(*[F.lit(h).cast("long") for h in (21, 42, 63)])))
@@ -264,13 +265,13 @@ one AS (SELECT s.variant, s.factor, mean, positive, nw_t, mean_ic, ic_t FROM sum
 SELECT r.factor, {", ".join(f"{q.rnd(f'{a}.{c}', d)} AS {n}_{c}" for a, n in (("r", "raw"), ("n", "neutral")) for c, d in (("mean", 7), ("positive", 4), ("nw_t", 3), ("mean_ic", 6), ("ic_t", 4)))}, sign(r.mean) = sign(n.mean) AS sign_holds, {q.rnd('abs(n.mean_ic) - abs(r.mean_ic)', 6)} AS ic_gain FROM one r JOIN one n ON r.factor = n.factor AND r.variant = 'raw' AND n.variant = 'neutral'""")
 def m22(spark, sf_dir):
     """Each factor raw and less its industry's mean, out of sample: OLS coefficients and rank correlations, signs kept, gain in correlation."""
-    raw = long_monthly(spark, sf_dir).join(_industry(spark, sf_dir), "code", "left").fillna("none", ["industry"])
+    raw = written(long_monthly(spark, sf_dir).join(_industry(spark, sf_dir), "code", "left").fillna("none", ["industry"]), "raw")
     neutral = models.industry_neutral(raw, ["month", "factor"], "value", "industry").withColumn("value", rnd("neutral", 8))
-    rows = raw.withColumn("variant", F.lit("raw")).unionByName(neutral.drop("neutral").withColumn("variant", F.lit("neutral")))
+    rows = raw.withColumn("variant", F.lit("raw")).unionByName(written(neutral.drop("neutral").withColumn("variant", F.lit("neutral")), "neutral"))  # fits and correlations read both
     wide = rows.groupBy("variant", "month", "code").agg(F.max("fwd").alias("fwd"), *[F.max(F.when(F.col("factor") == f, F.col("value"))).alias(f) for f in FACTORS3])
     fits = models.cross_section_models(_standard(wide, ["variant", "month"]), ["variant", "month"], FACTORS3, "y").filter("model = 'ols'")
     coefs = models.coefficient_summary(fits, SPLIT, ("variant",)).filter("half = 'out_of_sample'").select("variant", "factor", "mean", "positive", "nw_t")
-    ics = rank_ic(rows, "value", "fwd", ["variant", "factor", "month"]).filter(F.col("ic").isNotNull() & (F.col("month") >= F.lit(SPLIT).cast("date"))).withColumn("ic", rnd("ic", 9))
+    ics = rank_ic(rows, "value", "fwd", ["variant", "factor", "month"], tasks=p.tasks(spark, sf_dir)).filter(F.col("ic").isNotNull() & (F.col("month") >= F.lit(SPLIT).cast("date"))).withColumn("ic", rnd("ic", 9))
     t = F.coalesce(F.avg("ic") / F.nullif(F.stddev_samp("ic") / F.sqrt(F.count("ic")), F.lit(0.0)), F.lit(0.0))
     one = coefs.join(ics.groupBy("variant", "factor").agg(F.avg("ic").alias("mean_ic"), t.alias("ic_t")), ["variant", "factor"])
     side = lambda v: {f"{v}_{c}": F.max(F.when(F.col("variant") == v, F.col(c))) for c in ("mean", "positive", "nw_t", "mean_ic", "ic_t")}
@@ -313,9 +314,10 @@ decay AS (SELECT l.factor, l.month, l.code, l.value, far.horizon, far.ret AS fwd
        + _RANKS.format(by="factor, horizon, month", src="decay", least=5) + f" SELECT factor, horizon, {_STATS} FROM (SELECT factor, horizon, {q.rnd('ic', 9)} AS ic FROM ics WHERE ic IS NOT NULL) GROUP BY factor, horizon")
 def a10(spark, sf_dir):
     """How the rank correlation of each factor decays over 21, 42 and 63 days."""
-    far = m4(spark, sf_dir).select("code", F.trunc("date", "MM").alias("month"), "horizon", F.col("fwd").alias("ret"))
-    rows = long_monthly(spark, sf_dir).select("factor", "code", F.to_date("month").alias("month"), "value").join(far, ["code", "month"])
-    ics = rank_ic(rows, "value", "ret", ["factor", "horizon", "month"]).filter("ic is not null")
+    b = written(p.bars(spark, sf_dir), "bars")  # the calendar, both sides of the returns and the factors read them
+    far = m4(spark, sf_dir, b).select("code", F.trunc("date", "MM").alias("month"), "horizon", F.col("fwd").alias("ret"))
+    rows = long_monthly(spark, sf_dir, b).select("factor", "code", F.to_date("month").alias("month"), "value").join(far, ["code", "month"])
+    ics = rank_ic(rows, "value", "ret", ["factor", "horizon", "month"], tasks=p.tasks(spark, sf_dir)).filter("ic is not null")
     return ic_stats(ics.withColumn("ic", rnd("ic", 9)), ["factor", "horizon"])  # no sign from rounding errors
 
 
@@ -325,5 +327,5 @@ def a9(spark, sf_dir):
     """Rank correlations by the index's regime at the end of the month."""
     index = p.index_series(spark, sf_dir).withColumn("code", F.lit("index"))
     label = regimes(index).groupBy(F.trunc("date", "MM").alias("month")).agg(F.max_by("regime", "date").alias("regime"))
-    ics = rank_ic(long_monthly(spark, sf_dir), "value", "fwd", ["factor", "month"]).filter("ic is not null").withColumn("month", F.to_date("month"))
+    ics = rank_ic(long_monthly(spark, sf_dir), "value", "fwd", ["factor", "month"], tasks=p.tasks(spark, sf_dir)).filter("ic is not null").withColumn("month", F.to_date("month"))
     return ic_stats(ics.join(F.broadcast(label), "month", "left").fillna("none", ["regime"]), ["factor", "regime"])
