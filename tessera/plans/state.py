@@ -22,7 +22,7 @@ from tessera.plans.sql import BARS, CAL, INDEX, with_
 from tessera.plans.xsection import _CROWD, _RANKS, _STATS, _Z, FACTORS3, LONG, MONTHLY_CTES, _z, factor_returns, long_monthly
 from tessera.registry import query
 from tessera.sources import panel as p
-from tessera.sources.staging import shared_dir
+from tessera.sources.staging import shared_dir, written
 
 _METRICS = ["close", "ma20", "ma60", "vol", "deviation"]
 _PERIODS = (12, 24)
@@ -34,8 +34,9 @@ def _regimes(spark, sf_dir):
 
 
 def _contract(spark, sf_dir):
-    ics = ic_stats(rank_ic(long_monthly(spark, sf_dir), "value", "fwd", ["factor", "month"]), ["factor"])
-    crowding = models.crowding(factor_returns(_z(spark, sf_dir)), "factor", "month", "r", *_PERIODS).select("factor", "crowded", "sharpe")
+    rows = written(long_monthly(spark, sf_dir), "monthly")  # correlations and crowding read them
+    ics = ic_stats(rank_ic(rows, "value", "fwd", ["factor", "month"], tasks=p.tasks(spark, sf_dir)), ["factor"])
+    crowding = models.crowding(factor_returns(_z(spark, sf_dir, rows)), "factor", "month", "r", *_PERIODS).select("factor", "crowded", "sharpe")
     return ct.build_contract(_regimes(spark, sf_dir), ics.select("factor", "mean_ic", "t"), crowding, _METRICS)
 
 
@@ -158,7 +159,7 @@ def m29(spark, sf_dir):
     perf = bt.performance(runs, ["variant"], "signal", "period_ret", 12.0)
     perf = perf.withColumn("log_growth", F.log1p("total_return"))
     perf = perf.select(F.col("variant").alias("experiment"), "periods", *[rnd(c, d).alias(c) for c, d in (("log_growth", 5), ("annualized_vol", 5), ("max_drawdown", 6), ("win_rate", 6))])
-    ics = ic_stats(rank_ic(long_monthly(spark, sf_dir), "value", "fwd", ["factor", "month"]), ["factor"]).withColumnsRenamed({"factor": "experiment", "t": "ic_t", "positive": "ic_positive"})
+    ics = ic_stats(rank_ic(long_monthly(spark, sf_dir, b), "value", "fwd", ["factor", "month"], tasks=p.tasks(spark, sf_dir)), ["factor"]).withColumnsRenamed({"factor": "experiment", "t": "ic_t", "positive": "ic_positive"})
     return perf.join(ics, "experiment")
 
 
