@@ -46,7 +46,7 @@ def day_study(days: DataFrame, returns: DataFrame, market: DataFrame, est: tuple
 
     sums = {f"_{c}": between(c, *est) for c in ("n", "sr", "sm", "srm", "smm")}
     around = F.collect_list(F.when(F.col("r").isNotNull(), F.struct(F.col("cal_idx").alias("d"), "r", "m"))).over(by.rowsBetween(win[0], win[1]))  # nulls are left out
-    placed = dense.withColumns(sums | {"_days": between("n", *win), "_around": around})
+    placed = dense.withColumns(sums | {"_around": around}).withColumn("_days", F.size("_around"))  # the days with a return are those around
     fit = placed.join(F.broadcast(days.select(F.col("t0_idx").alias("cal_idx")).distinct()), "cal_idx").filter((F.col("_n") >= least_obs) & (F.col("_days") >= (per_day or win[1] - win[0] + 1)))
     n = F.nullif(F.col("_n"), F.lit(0)).cast("double")
     mr, mm = F.col("_sr") / n, F.col("_sm") / n
