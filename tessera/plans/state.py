@@ -156,8 +156,7 @@ def m29(spark, sf_dir):
     scores = factor_table(spark, sf_dir, names, bars=b).select("code", "date", F.explode(F.array(*[F.struct(F.lit(f).alias("variant"), F.col(f).alias("score")) for f in names])).alias("x")).select("code", "date", "x.*")
     rules = {f: bt.Rules(max_price=RULES.max_price, ascending=low) for f, low in EXPERIMENTS}
     runs = bt.rebalance_variants(b, scores, "score", bt.Costs(), rules)
-    perf = bt.performance(runs, ["variant"], "signal", "period_ret", 12.0)
-    perf = perf.withColumn("log_growth", F.log1p("total_return"))
+    perf = bt.performance(runs, ["variant"], "signal", "period_ret", 12.0, growth=True)
     perf = perf.select(F.col("variant").alias("experiment"), "periods", *[rnd(c, d).alias(c) for c, d in (("log_growth", 5), ("annualized_vol", 5), ("max_drawdown", 6), ("win_rate", 6))])
     ics = ic_stats(rank_ic(long_monthly(spark, sf_dir, b), "value", "fwd", ["factor", "month"], tasks=p.tasks(spark, sf_dir)), ["factor"]).withColumnsRenamed({"factor": "experiment", "t": "ic_t", "positive": "ic_positive"})
     return perf.join(ics, "experiment")
