@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.factors import compute_factors
@@ -21,11 +21,12 @@ def refresh(spark: SparkSession, store: str, bars: DataFrame, names: list[str],
     ``lookback_days`` must span the longest factor's rows of every code, or the first values after it are null.
     """
     month = F.trunc("date", "MM").cast("string").alias("month")
-    new = bars.filter("code is not null and date is not null").select("*", month)
+    seen = Observation()  # the first new day is told by the pass that merges the bars
+    new = bars.filter("code is not null and date is not null").select("*", month).observe(seen, F.min("date").alias("first"))
     written = {"bars": merge(spark, f"{store}/bars", new, ["code", "date", "month"], "month")}
-    first = new.agg(F.min("date")).first()[0]
-    if first is None:
+    if not written["bars"]:  # no new bars: nothing is seen
         return written | {"factors": 0}
+    first = seen.get["first"]
     table = spark.read.parquet(f"{store}/bars")
     # the filter on months prunes partitions, the one on dates the rows of the first
     since = F.date_sub(F.lit(first), lookback_days)

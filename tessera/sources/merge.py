@@ -24,6 +24,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return True
 
 
+def _partitions(spark: SparkSession, path: str) -> int:
+    """Partitions that hold rows, told by the folders of the table's files: no file is opened."""
+    return len({f.rsplit("/", 2)[-2] for f in spark.read.parquet(path).inputFiles()})
+
+
 def _one_a_key(rows: DataFrame, keys: list[str], first: list) -> DataFrame:
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*first))
     return rows.withColumn("_place", place).filter("_place = 1").drop("_place")
@@ -51,15 +56,15 @@ def merge(spark: SparkSession, path: str, updates: DataFrame, keys: list[str], p
     if not exists(spark, path):
         # nothing to merge with: written where it belongs at once
         _overwrite(one, path, keys, partition)
-        return spark.read.parquet(path).select(partition).distinct().count() if exists(spark, path) else 0
+        return _partitions(spark, path) if exists(spark, path) else 0
     new = written(one, "updates")
     touched = new.select(partition).distinct()
-    count = touched.count()
-    if not count:
+    values = [r[0] for r in touched.limit(MAX_LISTED + 1).collect()]
+    if not values:
         return 0
     table = spark.read.parquet(path)
-    if count <= MAX_LISTED:
-        values = [r[0] for r in touched.collect()]
+    listed = len(values) <= MAX_LISTED
+    if listed:
         some = F.col(partition).isin([v for v in values if v is not None])
         old = table.filter(some | F.col(partition).isNull() if None in values else some)
     else:
@@ -67,4 +72,4 @@ def merge(spark: SparkSession, path: str, updates: DataFrame, keys: list[str], p
     both = old.select(*columns).withColumn("_side", F.lit(0)).unionByName(new.withColumn("_side", F.lit(1)))
     first = [F.col("_side").asc()] if keep_old else [*([F.col(order).desc_nulls_last()] if order else []), F.col("_side").desc()]
     _overwrite(written(_one_a_key(both, keys, first).drop("_side"), "merged"), path, keys, partition)
-    return count
+    return len(values) if listed else touched.count()

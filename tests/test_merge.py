@@ -68,3 +68,34 @@ def test_refresh_equals_a_full_run(spark, tmp_path):
     got = {(r.code, r.date): [r[f] for f in PRICE_FACTORS] for r in stored(spark, store, "factors").collect()}
     assert got == key(want)
     assert refresh(spark, store, bars.limit(0), PRICE_FACTORS) == {"bars": 0, "factors": 0}
+
+
+def test_a_refresh_computes_its_bars_once(spark, tmp_path):
+    """One pass over new bars both merges them and tells their first day, whether the store is new or not; bars without code or date count nowhere."""
+    schema = "code string, date date, open double, close double, high double, low double, volume double, amount double, turnover double"
+    day = lambda i: dt.date(2023, 1, 30) + dt.timedelta(i)
+    bar = lambda code, date, x: (code, date, x, x, x, x, x, x, x)
+    source = spark.createDataFrame([*[bar(c, day(i), 10.0 + i) for c in ("600001", "300001") for i in range(6)], bar(None, day(-9), 1.0), bar("600001", None, 1.0)], schema)
+    store, seen = str(tmp_path / "store"), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    for part, made in ((F.col("date").isNull() | (F.col("date") < F.lit(day(3))), {"bars": 2, "factors": 2}), (F.col("date") >= F.lit(day(3)), {"bars": 1, "factors": 1}), (F.lit(False), {"bars": 0, "factors": 0})):
+        before = seen.value
+        bars = source.filter(part)
+        assert refresh(spark, store, bars.mapInArrow(counted, schema), PRICE_FACTORS) == made
+        assert seen.value - before == bars.count()
+    got = {(r.code, r.date): r.close for r in stored(spark, store, "factors").collect()}
+    assert got == {(c, day(i)): 10.0 + i for c in ("600001", "300001") for i in range(6)}
+
+
+def test_partitions_are_counted_by_their_folders(spark, tmp_path, monkeypatch):
+    """A first merge counts them, a null and an escaped name too, without a scan of the table."""
+    path, made = str(tmp_path / "t"), [(1, "a/b", 1.0, 1), (2, "a/b", 1.0, 1), (1, None, 1.0, 1), (1, "c=d", 1.0, 1)]
+    frame = spark.createDataFrame(made, SCHEMA)
+    monkeypatch.setattr(type(frame), "count", lambda self: pytest.fail("a scan"))
+    assert mg.merge(spark, path, frame, ["id", "day"], "day") == 3
+    assert rows(spark, path) == sorted(made, key=str)
