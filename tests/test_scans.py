@@ -144,3 +144,35 @@ def test_day_study_at_full_limits(spark):
         want |= {(t, k): (np.mean(v), len(v)) for k, v in ars.items() if len(v) >= 50}
     assert got.keys() == want.keys() and len({t for t, _ in want}) >= 4
     assert all(got[k][1] == want[k][1] and abs(got[k][0] - want[k][0]) < 1e-10 for k in want)
+
+
+def test_strict_lots_deal_rows_once(spark, monkeypatch):
+    """Rows are dealt by series and bucket once for all running values; the maximum of earlier buckets meets sells alone. A series without a key is scanned within each bucket and has no lots, only rests."""
+    rng = np.random.default_rng(11)
+    made = [(code, i, "buy" if rng.random() < 0.5 else "sell", float(rng.integers(1, 20)) / 2, float(rng.integers(1, 9))) for code in ("a", "b", None) for i in range(90)]
+    made += [("c", 1, "sell", 5.0, 1.0), ("c", 2, "sell", None, 1.0), ("d", 1, "buy", 2.0, 1.0)]
+    rows = spark.createDataFrame(made, "code string, id long, direction string, volume double, price double")
+    plans, keep = [], joins.written
+    monkeypatch.setattr(joins, "written", lambda df, name: (plans.append(df._jdf.queryExecution().executedPlan().toString()), keep(df, name))[1])
+    lots = joins.fifo_lots(rows, "code", ["id"], width=8.0, bucket=F.floor(F.col("id") / 10), strict=True, keep=("price",))
+    got = {(r.code, r.sell_id, r.buy_id): (round(r.alloc, 6), r.sell_price) for r in lots.collect()}
+    want = {}
+    for code in ("a", "b", "c", None):
+        held, span = [], None
+        for _, i, direction, volume, price in sorted((r for r in made if r[0] == code and r[3] is not None), key=lambda r: r[1]):
+            held, span = [] if code is None and i // 10 != span else held, i // 10
+            if direction == "buy":
+                held.append([i, volume])
+                continue
+            left = volume
+            while left and held:
+                alloc = min(left, held[0][1])
+                if code is not None:
+                    want[code, i, held[0][0]] = (alloc, price)
+                left, held[0][1] = left - alloc, held[0][1] - alloc
+                held = held if held[0][1] else held[1:]
+            if left:
+                want[code, i, None] = (left, price)
+    assert got == want
+    # the rows; the totals of buckets; these by series; what is carried. Rows are sorted once, totals once
+    assert plans[0].count("Exchange hashpartitioning") == 4 and plans[0].count("Sort [") == 2
